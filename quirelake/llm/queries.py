@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, minhash_dedup, pii_semicrf, quality_rules, toxicity_fm
+from . import bpe, decontamination, license_scan, minhash_dedup, pii_semicrf, preference_chat, quality_cotraining, quality_rules, suffix_tree_lm, toxicity_fm
 from .common import environment_path, held_out, read
 
 
@@ -17,11 +17,22 @@ def tokenizer_path() -> str:
     return environment_path("QUIRELAKE_TOKENIZER", public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Co-trained quality scores of every document."""
+    scores = quality_cotraining.quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return scores.withColumn("held_out", held_out(quality_cotraining.HELD_OUT))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document."""
     return bpe.bpe_digests(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op3_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in every document."""
+    return license_scan.license_scan(read(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measurements and verdicts of every document."""
     return quality_rules.apply_policy(quality_rules.ledger(read(spark, sf_dir, "documents")))
@@ -32,11 +43,21 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(read(spark, sf_dir, "documents"), width=4)
 
 
+def op6_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model scores of every document."""
+    return suffix_tree_lm.language_scores(read(spark, sf_dir, "documents"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document."""
     return pii_semicrf.personal_data(read(spark, sf_dir, "documents"))
 
 
+def op8_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation against its twin with a stranger's last answer."""
+    return preference_chat.preference_turns(preference_chat.swapped_answers(read(spark, sf_dir, "conversations")))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows in every document."""
     return decontamination.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
@@ -58,10 +79,14 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """By name, in the order of the operators."""
     return {
+        "op1_quality": op1_quality,
         "op2_bpe": op2_bpe,
+        "op3_license": op3_license,
         "op4_quality_rules": op4_quality_rules,
         "op5_minhash": op5_minhash,
+        "op6_suffix_tree": op6_suffix_tree,
         "op7_pii": op7_pii,
+        "op8_preference": op8_preference,
         "op9_decontamination": op9_decontamination,
         "op10_toxicity": op10_toxicity,
         "pipeline": pipeline,
@@ -70,4 +95,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that SQL expresses."""
-    return {}
+    return {"op3_license": license_scan.oracle(), "op8_preference": preference_chat.ORACLE}
