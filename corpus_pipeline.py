@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quirelake.llm import bpe, decontamination, minhash_dedup, pii_semicrf, toxicity_fm
-from quirelake.llm.common import checkpointed, read
+from quirelake.llm.common import read, stored
 from quirelake.llm.queries import tokenizer_path
 
 
@@ -62,5 +62,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for at, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if at + 1 < len(STAGES):
-            docs = checkpointed(docs)
+            docs = stored(docs)
     return docs

@@ -21,10 +21,12 @@ import heapq
 import json
 import unicodedata
 from collections import defaultdict
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import per_document
 
@@ -256,14 +258,12 @@ def bpe_encode(docs: DataFrame, path: str) -> DataFrame:
 
 def bpe_decode(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id and text of ids; null ids give an empty text."""
-    import pandas as pd
-    from pyspark.sql import functions as F
-
     source = encoded.sparkSession.sparkContext.broadcast(tokenizer_source(path))
 
-    @F.pandas_udf("string")
-    def decode(ids: pd.Series) -> pd.Series:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _loaded_once(source.value)
-        return ids.map(lambda x: "" if x is None else bpe.decode(x))
+        for batch in batches:
+            texts = [bpe.decode(ids or ()) for ids in batch.column("ids").to_pylist()]
+            yield pa.record_batch([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", decode("ids").alias("text"))
+    return encoded.select(F.col("doc_id").cast("long"), F.col("ids").cast("array<int>")).mapInArrow(run, "doc_id long, text string")

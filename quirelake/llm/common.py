@@ -8,6 +8,7 @@ single ASCII bytes and all non-ASCII characters, so ``bytes.translate`` and
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -67,13 +68,20 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows of ``df``, written to the shared folder: lost executors cost no lineage."""
+def stored(df: DataFrame) -> DataFrame:
+    """The rows of ``df``, written to the shared folder as a table and read again.
+
+    The table cuts the lineage: executors may be lost, and the plan of what
+    follows starts anew (a checkpoint would carry the constraints of all plans
+    before it, which grow without end in a loop).  It goes when the
+    application ends.
+    """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark).rstrip('/')}/quirelake-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def binary(column: pa.Array | pa.ChunkedArray) -> list[bytes]:

@@ -180,7 +180,7 @@ def _by_blocks(docs: DataFrame, begun: list, blocks: Iterator) -> DataFrame:
     places = hits.select("doc_id", "key", F.explode(F.sequence("start", F.col("start") + F.col("width") - 1)).alias("at")).distinct()
     n_hit = places.groupBy("doc_id", "key").agg(F.count("*").alias("n_hit"))
     items = (
-        hits.select("doc_id", "key", F.explode("items").cast("string").alias("item"))
+        hits.select("doc_id", "key", F.explode(F.col("items").cast("array<string>")).alias("item"))
         .groupBy("doc_id", "key")
         .agg(F.sort_array(F.collect_set("item")).alias("items"))
     )

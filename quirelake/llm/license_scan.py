@@ -166,11 +166,11 @@ def oracle() -> str:
     for phrase, label in BASE_PHRASES.items():
         parts = phrase.split()
         test = " AND ".join(f"words[i + {k + 1}] = '{p}'" for k, p in enumerate(parts))
-        starts.append(f"SELECT doc_id, i AS at, '{label}' AS label FROM (SELECT doc_id, words, unnest(range(0, len(words) - {len(parts) - 1})) AS i FROM w) WHERE {test}")
+        starts.append(f"SELECT doc_id, i AS place, '{label}' AS label FROM (SELECT doc_id, words, unnest(range(0, len(words) - {len(parts) - 1})) AS i FROM w) WHERE {test}")
     return f"""
 WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents),
 base AS ({" UNION ALL ".join(starts)}),
-b AS (SELECT doc_id, count(*) AS n_base, min(at) AS first_word, max(at) AS last_word, list_sort(list(DISTINCT label)) AS labels FROM base GROUP BY doc_id),
+b AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list_sort(list(DISTINCT label)) AS labels FROM base GROUP BY doc_id),
 blocks AS (SELECT doc_id, list_distinct(words[i + 1 : i + {2 * step}]) AS held FROM (SELECT doc_id, words, unnest(range(0, len(words), {step})) AS i FROM w)),
 templates(label, template) AS (VALUES {values}),
 hits AS (SELECT doc_id, label, len(list_intersect(held, template))::DOUBLE / len(template) AS containment FROM blocks, templates

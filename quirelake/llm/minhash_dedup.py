@@ -16,7 +16,7 @@ Hot groups stay cheap without losing a link between different texts:
   untested only when its ends are already in one component.
 
 Components are found by label propagation with pointer jumping over
-checkpointed tables in the shared folder.  With 28 bands of 4 coordinates a
+written tables in the shared folder.  With 28 bands of 4 coordinates a
 pair of similarity 0.8 shares no band with a probability of 4e-7.
 
 Defined results: a null or empty text, or one without words, has no shingles,
@@ -37,13 +37,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary, checkpointed, lower_ascii, per_document
+from .common import binary, lower_ascii, per_document, stored
 
 BANDS, ROWS = 28, 4
 #: Percent of similarity that links.
 PERCENT = 80
 #: Rounds of stars before components are compared in full.
-STARS = 3
+STARS = 2
 
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -158,8 +158,8 @@ def _linked(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """node and the smallest node reachable by edges (a, b), by min labels and pointer jumping."""
-    both = checkpointed(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = checkpointed(nodes.select("node", F.col("node").alias("label")))
+    both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    labels = stored(nodes.select("node", F.col("node").alias("label")))
     if both.isEmpty():
         return labels
     while True:
@@ -168,7 +168,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         )
         lower = labels.join(reached, "node", "left").select("node", "label", F.least("label", F.coalesce("near", "label")).alias("low"))
         jump = lower.select(F.col("node").alias("low"), F.col("low").alias("next"))
-        new = checkpointed(lower.join(jump, "low", "left").select("node", "label", F.least("low", F.coalesce("next", "low")).alias("new")))
+        new = stored(lower.join(jump, "low", "left").select("node", "label", F.least("low", F.coalesce("next", "low")).alias("new")))
         changed = new.where("new < label").limit(1).count()
         labels = new.select("node", F.col("new").alias("label"))
         if not changed:
@@ -178,16 +178,16 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, *, width: int = 4) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of ``docs``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    all_signed = checkpointed(signed(docs, width))
+    all_signed = stored(signed(docs, width))
     usable = all_signed.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     classes = usable.groupBy("fingerprint").agg(
         F.min("doc_id").alias("node"), F.first("n_shingles").alias("size"), F.first("keys").alias("keys")
     )
     placed = classes.select("node", "size", F.explode("keys").alias("key"))
     shared = placed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
-    members = checkpointed(placed.join(shared, "key").select("key", "node", "size"))
-    nodes = checkpointed(members.select("node").distinct())
-    texts = checkpointed(docs.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text"))
+    members = stored(placed.join(shared, "key").select("key", "node", "size"))
+    nodes = stored(members.select("node").distinct())
+    texts = stored(docs.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text"))
     labels = nodes.select("node", F.col("node").alias("label"))
     for turn in range(STARS + 1):
         placed = members.join(labels, "node")
@@ -200,17 +200,17 @@ def near_duplicates(docs: DataFrame, *, width: int = 4) -> DataFrame:
             left, right = (still.select("key", *(F.col(c).alias(f"{s}{t}") for c, t in (("node", ""), ("size", "_size"), ("label", "_label")))) for s in "xy")
             pairs = left.join(right, "key").where("x < y")
         near = F.lit(100) * F.least("x_size", "y_size") >= PERCENT * F.greatest("x_size", "y_size")
-        pairs = checkpointed(pairs.where((F.col("x_label") != F.col("y_label")) & near).select("x", "y").distinct().select(F.col("x").alias("a"), F.col("y").alias("b")))
+        pairs = stored(pairs.where((F.col("x_label") != F.col("y_label")) & near).select("x", "y").distinct().select(F.col("x").alias("a"), F.col("y").alias("b")))
         if pairs.isEmpty():
             break
-        found = checkpointed(_linked(pairs, texts, width))
+        found = stored(_linked(pairs, texts, width))
         if found.isEmpty():
             continue
         # Links become edges between components.
         of = lambda end: labels.select(F.col("node").alias(end), F.col("label").alias(f"{end}_label"))  # noqa: B023, E731
         edges = found.join(of("a"), "a").join(of("b"), "b").select(F.col("a_label").alias("a"), F.col("b_label").alias("b")).where("a <> b").distinct()
         merged = components(labels.select(F.col("label").alias("node")).distinct(), edges)
-        labels = checkpointed(labels.join(merged.select(F.col("node").alias("label"), F.col("label").alias("new")), "label").select("node", F.col("new").alias("label")))
+        labels = stored(labels.join(merged.select(F.col("node").alias("label"), F.col("label").alias("new")), "label").select("node", F.col("new").alias("label")))
     by_class = classes.select("fingerprint", "node").join(labels, "node", "left").select("fingerprint", F.coalesce("label", "node").alias("found"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id"))
     return (

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary, checkpointed, held_out, lower_ascii, pieces
+from .common import binary, held_out, lower_ascii, pieces, stored
 
 HELD_OUT = 10
 #: Bytes of a context at most; a context and its next symbol fit in 64 bits.
@@ -190,7 +190,7 @@ def language_scores(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs``."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    counts = checkpointed(corpus_counts(docs))
+    counts = stored(corpus_counts(docs))
     words = counts.where("word is not null").select("word", "n")
     n_train, n_distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     least = max(2, int(np.ceil(n_train * FREQUENT_SHARE)))
