@@ -9,11 +9,13 @@ shingles confirms them.
 Hot groups stay cheap without losing a link between different texts:
 
 * documents with equal sets are one class, found by an aggregation;
-* in a bucket, members are compared with one pivot (a star, not all pairs);
-  links join components;
-* buckets that still hold several components are compared again with other
-  pivots, and at last across components in full, so a candidate pair is left
-  untested only when its ends are already in one component.
+* in a bucket, members are compared with one pivot (a star, not all pairs):
+  first with the member that shares the largest buckets, which in a group of
+  copies of one text is that text, then with another; links join components;
+* buckets that still hold several components are at last compared across
+  components, where the signatures, four bits of each coordinate, agree well
+  enough: at a similarity of 0.8, 91 of 112 do on average, and fewer than
+  ``LEAST_AGREEING`` with a probability of 2e-6.
 
 Components are found by label propagation with pointer jumping over
 written tables in the shared folder.  With 28 bands of 4 coordinates a
@@ -34,7 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import binary, lower_ascii, per_document, stored
@@ -42,8 +44,10 @@ from .common import binary, lower_ascii, per_document, stored
 BANDS, ROWS = 28, 4
 #: Percent of similarity that links.
 PERCENT = 80
-#: Rounds of stars before components are compared in full.
+#: Rounds of stars before components are compared.
 STARS = 2
+#: Coordinates of two signatures that must agree in four bits before components are compared in full.
+LEAST_AGREEING = 72
 
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -98,14 +102,32 @@ class CirculantMinHash:
             np.minimum(low, _mixed(first[None, at : at + 1024] - self.shifts).min(1), out=low)
         return low
 
-    def keys(self, shingles: np.ndarray) -> np.ndarray:
+    def keys(self, signature: np.ndarray) -> np.ndarray:
         """One bucket key for each band."""
-        rows = self.signature(shingles).reshape(self.bands, self.rows)
+        rows = signature.reshape(self.bands, self.rows)
         key = np.arange(self.bands, dtype=np.uint64)
         for column in rows.T:
             key = _mixed(key * _GOLDEN + column)
         return key.view(np.int64)
 
+    @staticmethod
+    def sketch(signature: np.ndarray) -> np.ndarray:
+        """Four bits of each coordinate, sixteen coordinates a number."""
+        nibbles = _mixed(signature.copy()) & np.uint64(15)
+        shifts = np.arange(0, 64, 4, dtype=np.uint64)
+        return np.bitwise_or.reduce(nibbles.reshape(-1, 16) << shifts, axis=1).view(np.int64)
+
+
+def _agreeing(a: str, b: str) -> Column:
+    """Coordinates of two sketches that agree."""
+    different = F.lit(0)
+    for k in range(BANDS * ROWS // 16):
+        x = F.col(f"{a}.s{k}").bitwiseXOR(F.col(f"{b}.s{k}"))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111))
+        different += F.bit_count(x)
+    return F.lit(BANDS * ROWS) - different
+
 
 def _shingle_set(text: bytes, width: int) -> set[bytes]:
     words = lower_ascii(text).split()
@@ -114,23 +136,25 @@ def _shingle_set(text: bytes, width: int) -> set[bytes]:
 
 
 def signed(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, a fingerprint of the whole set and its bucket keys."""
+    """doc_id, n_shingles, a fingerprint of the whole set, its bucket keys and its sketch."""
 
     def prepare():
         minhash = CirculantMinHash(width)
 
         def digest(texts: list[bytes]) -> dict[str, list]:
-            out: dict[str, list] = {"n_shingles": [], "fingerprint": [], "keys": []}
+            out: dict[str, list] = {"n_shingles": [], "fingerprint": [], "keys": [], "sketch": []}
             for t in texts:
                 s = minhash.shingles(t)
+                low = minhash.signature(s) if len(s) else None
                 out["n_shingles"].append(len(s))
                 out["fingerprint"].append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                out["keys"].append(minhash.keys(s).tolist() if len(s) else None)
+                out["keys"].append(minhash.keys(low).tolist() if len(s) else None)
+                out["sketch"].append(minhash.sketch(low).tolist() if len(s) else None)
             return out
 
         return digest
 
-    return per_document(docs, "n_shingles long, fingerprint binary, keys array<long>", prepare)
+    return per_document(docs, "n_shingles long, fingerprint binary, keys array<long>, sketch array<long>", prepare)
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
@@ -181,24 +205,28 @@ def near_duplicates(docs: DataFrame, *, width: int = 4) -> DataFrame:
     all_signed = stored(signed(docs, width))
     usable = all_signed.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     classes = usable.groupBy("fingerprint").agg(
-        F.min("doc_id").alias("node"), F.first("n_shingles").alias("size"), F.first("keys").alias("keys")
+        F.min("doc_id").alias("node"), F.first("n_shingles").alias("size"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")
     )
     placed = classes.select("node", "size", F.explode("keys").alias("key"))
-    shared = placed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
-    members = stored(placed.join(shared, "key").select("key", "node", "size"))
-    nodes = stored(members.select("node").distinct())
-    texts = stored(docs.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text"))
+    shared = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+    members = stored(placed.join(shared.select("key", "n"), "key").select("key", "node", "size", "n"))
+    # Members of a node's buckets: the text behind many copies shares most.
+    nodes = members.groupBy("node").agg(F.sum("n").alias("weight"))
+    sketch = F.struct(*[F.col("sketch")[k].alias(f"s{k}") for k in range(BANDS * ROWS // 16)])
+    nodes = stored(nodes.join(classes.select("node", sketch.alias("sketch")), "node").dropDuplicates(["node"]))
+    texts = stored(docs.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text"))
     labels = nodes.select("node", F.col("node").alias("label"))
     for turn in range(STARS + 1):
-        placed = members.join(labels, "node")
-        several = placed.groupBy("key").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.min(F.struct(F.hash("node", F.lit(turn)), "node", "size", "label")).alias("pivot"))
+        placed = members.join(labels.join(nodes, "node") if turn in (0, STARS) else labels, "node")
+        rank = F.col("weight") if turn == 0 else F.hash("node", F.lit(turn)).cast("long")
+        several = placed.groupBy("key").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.max(F.struct(rank.alias("rank"), (-F.col("node")).alias("_node"), "size", "label")).alias("pivot"))
         mixed = several.where("_low < _high").select("key", "pivot")
         if turn < STARS:
-            pairs = placed.join(mixed, "key").select("key", F.col("pivot.node").alias("x"), F.col("pivot.size").alias("x_size"), F.col("pivot.label").alias("x_label"), F.col("node").alias("y"), F.col("size").alias("y_size"), F.col("label").alias("y_label"))
+            pairs = placed.join(mixed, "key").select("key", (-F.col("pivot._node")).alias("x"), F.col("pivot.size").alias("x_size"), F.col("pivot.label").alias("x_label"), F.col("node").alias("y"), F.col("size").alias("y_size"), F.col("label").alias("y_label"))
         else:
             still = placed.join(mixed.select("key"), "key")
-            left, right = (still.select("key", *(F.col(c).alias(f"{s}{t}") for c, t in (("node", ""), ("size", "_size"), ("label", "_label")))) for s in "xy")
-            pairs = left.join(right, "key").where("x < y")
+            left, right = (still.select("key", *(F.col(c).alias(f"{s}{t}") for c, t in (("node", ""), ("size", "_size"), ("label", "_label"), ("sketch", "_sketch")))) for s in "xy")
+            pairs = left.join(right, "key").where("x < y").where(_agreeing("x_sketch", "y_sketch") >= LEAST_AGREEING)
         near = F.lit(100) * F.least("x_size", "y_size") >= PERCENT * F.greatest("x_size", "y_size")
         pairs = stored(pairs.where((F.col("x_label") != F.col("y_label")) & near).select("x", "y").distinct().select(F.col("x").alias("a"), F.col("y").alias("b")))
         if pairs.isEmpty():
