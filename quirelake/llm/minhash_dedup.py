@@ -12,10 +12,10 @@ Hot groups stay cheap without losing a link between different texts:
 * in a bucket, members are compared with one pivot (a star, not all pairs):
   first with the member that shares the largest buckets, which in a group of
   copies of one text is that text, then with another; links join components;
-* buckets that still hold several components are at last compared across
-  components, where the signatures, four bits of each coordinate, agree well
-  enough: at a similarity of 0.8, 91 of 112 do on average, and fewer than
-  ``LEAST_AGREEING`` with a probability of 2e-6.
+* members of buckets that still hold several components meet at last by an
+  exact prefix filter: two sets of the similarity asked for must share one of
+  the rarest fifth of their shingles, so texts that merely share a passage, or
+  that are edited copies of one text too far from each other, never meet.
 
 Components are found by label propagation with pointer jumping over
 written tables in the shared folder.  With 28 bands of 4 coordinates a
@@ -36,18 +36,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary, lower_ascii, per_document, stored
+from .common import binary, lower_ascii, per_document, pieces, stored
 
 BANDS, ROWS = 28, 4
 #: Percent of similarity that links.
 PERCENT = 80
 #: Rounds of stars before components are compared.
 STARS = 2
-#: Coordinates of two signatures that must agree in four bits before components are compared in full.
-LEAST_AGREEING = 72
 
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -110,24 +108,6 @@ class CirculantMinHash:
             key = _mixed(key * _GOLDEN + column)
         return key.view(np.int64)
 
-    @staticmethod
-    def sketch(signature: np.ndarray) -> np.ndarray:
-        """Four bits of each coordinate, sixteen coordinates a number."""
-        nibbles = _mixed(signature.copy()) & np.uint64(15)
-        shifts = np.arange(0, 64, 4, dtype=np.uint64)
-        return np.bitwise_or.reduce(nibbles.reshape(-1, 16) << shifts, axis=1).view(np.int64)
-
-
-def _agreeing(a: str, b: str) -> Column:
-    """Coordinates of two sketches that agree."""
-    different = F.lit(0)
-    for k in range(BANDS * ROWS // 16):
-        x = F.col(f"{a}.s{k}").bitwiseXOR(F.col(f"{b}.s{k}"))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111))
-        different += F.bit_count(x)
-    return F.lit(BANDS * ROWS) - different
-
 
 def _shingle_set(text: bytes, width: int) -> set[bytes]:
     words = lower_ascii(text).split()
@@ -136,25 +116,23 @@ def _shingle_set(text: bytes, width: int) -> set[bytes]:
 
 
 def signed(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, a fingerprint of the whole set, its bucket keys and its sketch."""
+    """doc_id, n_shingles, a fingerprint of the whole set and its bucket keys."""
 
     def prepare():
         minhash = CirculantMinHash(width)
 
         def digest(texts: list[bytes]) -> dict[str, list]:
-            out: dict[str, list] = {"n_shingles": [], "fingerprint": [], "keys": [], "sketch": []}
+            out: dict[str, list] = {"n_shingles": [], "fingerprint": [], "keys": []}
             for t in texts:
                 s = minhash.shingles(t)
-                low = minhash.signature(s) if len(s) else None
                 out["n_shingles"].append(len(s))
                 out["fingerprint"].append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                out["keys"].append(minhash.keys(low).tolist() if len(s) else None)
-                out["sketch"].append(minhash.sketch(low).tolist() if len(s) else None)
+                out["keys"].append(minhash.keys(minhash.signature(s)).tolist() if len(s) else None)
             return out
 
         return digest
 
-    return per_document(docs, "n_shingles long, fingerprint binary, keys array<long>, sketch array<long>", prepare)
+    return per_document(docs, "n_shingles long, fingerprint binary, keys array<long>", prepare)
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
@@ -180,6 +158,39 @@ def _linked(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long")
 
 
+def _prefix_pairs(texts: DataFrame, labels: DataFrame, width: int) -> DataFrame:
+    """Pairs of nodes that share one of the shingles that a similar pair must share.
+
+    Shingles are ordered by the number of ``texts`` that hold them, then by
+    value; those of one text only come first and cannot be shared.  Two
+    similar sets of ``n`` and ``m`` shingles have ``a`` in common, at least
+    0.8 / 1.8 of ``n + m``; what follows their first common shingle, at places
+    ``i`` and ``j`` in that order, must hold the rest, so ``1 + min(n - i - 1,
+    m - j - 1) >= a``.  Only places that can satisfy this are compared.
+    """
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        minhash = CirculantMinHash(width)
+        for batch in batches:
+            for piece in pieces(batch, "text", 1_000_000):
+                sets = [minhash.shingles(t).view(np.int64) for t in binary(piece.column("text"))]
+                sizes = np.array([len(s) for s in sets])
+                ids = np.repeat(piece.column("node").to_numpy(), sizes)
+                yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(np.repeat(sizes, sizes), pa.int64()), pa.array(np.concatenate(sets))], names=["node", "size", "shingle"])
+
+    rows = texts.select("node", "text").mapInArrow(explode, "node long, size long, shingle long")
+    often = rows.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    shared = rows.join(often, "shingle").groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("shared"))
+    prefix = F.col("size") - F.ceil(F.col("size") * PERCENT / 100) + 1
+    alone = F.col("size") - F.size("shared")
+    left = (prefix - alone).cast("int")
+    chosen = shared.where(left > 0).select("node", "size", alone.alias("alone"), F.posexplode(F.slice("shared", F.lit(1), left)["shingle"]).alias("at", "shingle"))
+    chosen = stored(chosen.select("node", "size", "shingle", (F.col("size") - F.col("alone") - F.col("at")).alias("rest")).join(labels, "node"))
+    x, y = (chosen.select("shingle", *(F.col(c).alias(f"{s}{t}") for c, t in (("node", ""), ("size", "_size"), ("label", "_label"), ("rest", "_rest")))) for s in "xy")
+    enough = (100 + PERCENT) * F.least("x_rest", "y_rest") >= PERCENT * (F.col("x_size") + F.col("y_size"))
+    return x.join(y, "shingle").where((F.col("x") < F.col("y")) & enough)
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """node and the smallest node reachable by edges (a, b), by min labels and pointer jumping."""
     both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct())
@@ -205,28 +216,25 @@ def near_duplicates(docs: DataFrame, *, width: int = 4) -> DataFrame:
     all_signed = stored(signed(docs, width))
     usable = all_signed.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     classes = usable.groupBy("fingerprint").agg(
-        F.min("doc_id").alias("node"), F.first("n_shingles").alias("size"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")
+        F.min("doc_id").alias("node"), F.first("n_shingles").alias("size"), F.first("keys").alias("keys")
     )
     placed = classes.select("node", "size", F.explode("keys").alias("key"))
     shared = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     members = stored(placed.join(shared.select("key", "n"), "key").select("key", "node", "size", "n"))
     # Members of a node's buckets: the text behind many copies shares most.
-    nodes = members.groupBy("node").agg(F.sum("n").alias("weight"))
-    sketch = F.struct(*[F.col("sketch")[k].alias(f"s{k}") for k in range(BANDS * ROWS // 16)])
-    nodes = stored(nodes.join(classes.select("node", sketch.alias("sketch")), "node").dropDuplicates(["node"]))
+    nodes = stored(members.groupBy("node").agg(F.sum("n").alias("weight"), F.max("size").alias("size")))
     texts = stored(docs.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text"))
     labels = nodes.select("node", F.col("node").alias("label"))
     for turn in range(STARS + 1):
-        placed = members.join(labels.join(nodes, "node") if turn in (0, STARS) else labels, "node")
+        placed = members.join(labels.join(nodes.drop("size"), "node") if turn == 0 else labels, "node")
         rank = F.col("weight") if turn == 0 else F.hash("node", F.lit(turn)).cast("long")
         several = placed.groupBy("key").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.max(F.struct(rank.alias("rank"), (-F.col("node")).alias("_node"), "size", "label")).alias("pivot"))
         mixed = several.where("_low < _high").select("key", "pivot")
         if turn < STARS:
             pairs = placed.join(mixed, "key").select("key", (-F.col("pivot._node")).alias("x"), F.col("pivot.size").alias("x_size"), F.col("pivot.label").alias("x_label"), F.col("node").alias("y"), F.col("size").alias("y_size"), F.col("label").alias("y_label"))
         else:
-            still = placed.join(mixed.select("key"), "key")
-            left, right = (still.select("key", *(F.col(c).alias(f"{s}{t}") for c, t in (("node", ""), ("size", "_size"), ("label", "_label"), ("sketch", "_sketch")))) for s in "xy")
-            pairs = left.join(right, "key").where("x < y").where(_agreeing("x_sketch", "y_sketch") >= LEAST_AGREEING)
+            still = placed.join(mixed.select("key"), "key").select("node").distinct()
+            pairs = _prefix_pairs(texts.join(still, "node"), labels, width)
         near = F.lit(100) * F.least("x_size", "y_size") >= PERCENT * F.greatest("x_size", "y_size")
         pairs = stored(pairs.where((F.col("x_label") != F.col("y_label")) & near).select("x", "y").distinct().select(F.col("x").alias("a"), F.col("y").alias("b")))
         if pairs.isEmpty():
