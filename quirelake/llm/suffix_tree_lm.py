@@ -110,7 +110,13 @@ class SuffixTree:
         return tree
 
     def log_p(self, packed: np.ndarray) -> np.ndarray:
-        """Natural log probability of each packed context's next symbol, from its longest suffix state."""
+        """Natural log probability of each packed context's next symbol, from its longest suffix state.
+
+        Contexts are looked up in the order of their latest bytes, so that
+        neighbours share states and the searches stay in cache.
+        """
+        order = np.argsort((packed >> 8).byteswap() ^ (packed & 255))
+        packed = packed[order]
         p = self.root[packed & 255]
         for depth, ((states, totals, kinds), (keys, counts)) in enumerate(zip(self.states, self.nexts, strict=True), 1):
             if not len(states):
@@ -121,7 +127,9 @@ class SuffixTree:
             place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
             count = np.where(keys[place] == key, counts[place], 0.0)
             p = np.where(known, (count + kinds[at] * p) / (totals[at] + kinds[at]), p)
-        return np.log(p)
+        out = np.empty(len(p))
+        out[order] = np.log(p)
+        return out
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         """log10 probability of each text."""
@@ -136,7 +144,7 @@ def corpus_counts(docs: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter[bytes] = Counter()
-        keys, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
 
         def out_words() -> pa.RecordBatch:
             batch = pa.record_batch(
@@ -145,7 +153,16 @@ def corpus_counts(docs: DataFrame) -> DataFrame:
             words.clear()
             return batch
 
+        def merge() -> int:
+            """Counts of all parts as one part; returns its size."""
+            codes, distinct = _distinct(np.concatenate([np.zeros(0, np.int64), *(k for k, _ in parts)]))
+            weights = np.concatenate([np.zeros(0, np.int64), *(n for _, n in parts)])
+            parts[:] = [(distinct, np.bincount(codes, weights, len(distinct)).astype(np.int64))]
+            return len(distinct)
+
         def out_grams() -> pa.RecordBatch:
+            merge()
+            keys, sums = parts.pop()
             return pa.record_batch([pa.nulls(len(keys), pa.binary()), pa.array(keys), pa.array(sums)], names=["word", "gram", "n"])
 
         for batch in batches:
@@ -153,15 +170,12 @@ def corpus_counts(docs: DataFrame) -> DataFrame:
                 texts = binary(piece.column("text"))
                 for t in texts:
                     words.update(tokens(t))
-                codes, distinct = _distinct(np.concatenate([keys, grams(texts)[0]]))
-                weights = np.ones(len(codes), np.int64)
-                weights[: len(sums)] = sums
-                keys, sums = distinct, np.bincount(codes, weights, len(distinct)).astype(np.int64)
+                codes, distinct = _distinct(grams(texts)[0])
+                parts.append((distinct, np.bincount(codes, minlength=len(distinct)).astype(np.int64)))
                 if len(words) > 400_000:
                     yield out_words()
-                if len(keys) > 2_000_000:
+                if sum(len(k) for k, _ in parts) > 6_000_000 and merge() > 3_000_000:
                     yield out_grams()
-                    keys, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
         yield out_words()
         yield out_grams()
 
@@ -200,35 +214,40 @@ def language_scores(docs: DataFrame) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, frequent = sent.value
-        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-        names = ["doc_id", "text_key", "word", "copies", "n_tokens", "n_known", "base", "score"]
+        names = ["doc_id", "text_key", "n_tokens", "n_known", "base", "score", "words", "copies"]
         for batch in batches:
             for piece in pieces(batch, "text", _PIECE):
                 texts = binary(piece.column("text"))
-                scores = tree.scores(texts)
-                columns: list[list] = [[] for _ in names]
-                for doc, t, s in zip(piece.column("doc_id").to_pylist(), texts, scores.tolist(), strict=True):
+                columns: list[list] = [[], [], [], []]
+                words: list[bytes] = []
+                copies: list[int] = []
+                ends = [0]
+                for t in texts:
                     found = Counter(tokens(t))
                     key = xxhash.xxh3_64_intdigest(t) - (1 << 63)
-                    base, known, rare = 0.0, 0, []
+                    # The text's own row goes first, by a word that no text has.
+                    words.append(b"\n%d" % key)
+                    copies.append(0)
+                    base, known = 0.0, 0
                     for w, k in found.items():
-                        if (f := frequent.get(w)) is None:
-                            rare.append((w, k))
-                        else:
-                            base += k * f
+                        if w in frequent:
+                            base += k * frequent[w]
                             known += k
-                    n = 1 + len(rare)
-                    columns[0] += [doc] * n
-                    columns[1] += [key] * n
-                    # The text's own row goes by a word that no text has.
-                    columns[2] += [b"\n%d" % key, *[w for w, _ in rare]]
-                    columns[3] += [None, *[k for _, k in rare]]
-                    for c, v in zip(columns[4:], (sum(found.values()), known, base, s), strict=True):
+                        else:
+                            words.append(w)
+                            copies.append(k)
+                    ends.append(len(words))
+                    for c, v in zip(columns, (key, found.total(), known, base), strict=True):
                         c.append(v)
-                        c += [None] * len(rare)
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
-
-    rows = docs.mapInArrow(score, "doc_id long, text_key long, word binary, copies long, n_tokens long, n_known long, base double, score double")
+                offsets = pa.array(ends, pa.int32())
+                arrays = [piece.column("doc_id"), *(pa.array(c) for c in columns), pa.array(tree.scores(texts))]
+                arrays += [pa.ListArray.from_arrays(offsets, pa.array(words, pa.binary())), pa.ListArray.from_arrays(offsets, pa.array(copies, pa.int64()))]
+                yield pa.record_batch(arrays, names=names)
+
+    scored = docs.mapInArrow(score, "doc_id long, text_key long, n_tokens long, n_known long, base double, score double, words array<binary>, copies array<long>")
+    own = lambda c: F.when(F.col("at") == 0, F.col(c)).alias(c)
+    placed = scored.select("doc_id", "text_key", "n_tokens", "n_known", "base", "score", F.posexplode(F.arrays_zip("words", "copies")).alias("at", "_w"))
+    rows = placed.select("doc_id", "text_key", F.col("_w.words").alias("word"), F.col("_w.copies").alias("copies"), own("n_tokens"), own("n_known"), own("base"), own("score"))
     rare = words.where(F.col("n") < least).select("word", F.col("n").alias("c"))
     met = rows.join(rare.hint("shuffle_hash"), "word", "left")
     c = F.coalesce("c", F.lit(0))
