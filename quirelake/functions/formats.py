@@ -73,13 +73,20 @@ def magic_ok(data: Column, fmt: Column) -> Column:
     return F.when(fmt == "pdf", head.contains("%PDF-")).when(fmt.isin("docx", "pptx", "xlsx"), head.startswith("PK\x03\x04")).otherwise(F.lit(True))
 
 
+def windows_1252(data: Column) -> Column:
+    """Bytes as Windows-1252: Latin-1, but for the 32 control characters above ASCII."""
+    controls = "".join(map(chr, range(0x80, 0xA0)))
+    shown = bytes(range(0x80, 0xA0)).decode("cp1252", "replace")
+    return F.translate(F.decode(data, "ISO-8859-1"), controls, shown)
+
+
 def decoded_file(data: Column) -> Column:
     """Text of a file's bytes: UTF-16 by its mark, else UTF-8 without its mark, else Windows-1252."""
     mark = F.hex(F.substring(data, 1, 2))
     utf8 = F.try_validate_utf8(data.cast("string"))
     plain = F.when(F.hex(F.substring(data, 1, 3)) == "EFBBBF", F.expr("null")).otherwise(utf8)
     without = F.regexp_replace(F.coalesce(plain, utf8), "^\ufeff", "")
-    return F.when(mark.isin("FFFE", "FEFF"), F.decode(data, "UTF-16")).when(utf8.isNotNull(), without).otherwise(F.decode(data, "windows-1252"))
+    return F.when(mark.isin("FFFE", "FEFF"), F.decode(data, "UTF-16")).when(utf8.isNotNull(), without).otherwise(windows_1252(data))
 
 
 def decoded_page(data: Column, charset: Column) -> Column:
@@ -87,9 +94,8 @@ def decoded_page(data: Column, charset: Column) -> Column:
     declared = F.regexp_extract(F.decode(F.substring(data, 1, 4096), "ISO-8859-1"), r"(?i)<meta[^>]*charset=[\"']?([\w-]+)", 1)
     name = F.lower(F.coalesce(charset, F.nullif(declared, F.lit(""))))
     out = F.make_valid_utf8(data.cast("string"))
-    for known in ("utf-16", "iso-8859-1", "windows-1252", "us-ascii"):
-        out = F.when(name == known, F.decode(data, "ISO-8859-1" if known == "us-ascii" else known)).otherwise(out)
-    return out
+    out = F.when(name == "windows-1252", windows_1252(data)).otherwise(out)
+    return F.when(name == "utf-16", F.decode(data, "UTF-16")).when(name.isin("iso-8859-1", "us-ascii"), F.decode(data, "ISO-8859-1")).otherwise(out)
 
 
 def image_plan(spark: SparkSession) -> DataFrame:

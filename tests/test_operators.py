@@ -105,3 +105,23 @@ def test_numbers_and_choices(spark):
     assert [r[0] for r in df.select(text.format_number(F.col("v"))).collect()] == ["3", "2.25", "", "-7"]
     with pytest.raises(ValueError, match="markdown"):
         formats.check_choice("format", "x", ("markdown", "html"))
+
+
+def test_media(spark):
+    from quirelake.functions import media
+
+    df = spark.createDataFrame([("HTTPS://a.b/c%20d.png?x=1", "image/svg+xml; q=1"), ("//h/x", "image/jpeg"), ("C:/a b.png", "text/html"), ("rel/p.gif", None)], "u string, t string")
+    u = F.col("u")
+    got = df.select(
+        media.is_remote(u), media.has_scheme(u), media.resolve_local(u, F.lit("/base/")), media.sanitized_filename(media.image_filename(u)), media.extension_of_type(F.col("t"))
+    ).collect()
+    assert [tuple(r)[:3] for r in got] == [(True, True, "HTTPS://a.b/c%20d.png?x=1"), (True, False, "//h/x"), (False, False, "C:/a b.png"), (False, False, "/base/rel/p.gif")]
+    assert got[0][3] == "c_d.png" and got[1][3].startswith("image_") and [r[4] for r in got] == [".svg", ".jpg", None, None]
+    data = spark.createDataFrame([("data:text/plain;base64,aGk=",), ("data:,a%20b",), ("http://x",)], "u string")
+    assert [r[0] and bytes(r[0]) for r in data.select(media.data_url_bytes(u)).collect()] == [b"hi", b"a b", None]
+    box = spark.range(1).select(media.box_text(F.lit(10), F.lit(50), F.lit(30), F.lit(20), F.lit(18)).alias("b")).withColumn("p", media.box_of_text(F.col("b"))).first()
+    assert box["b"] == "Text box (x 10%, y 50%, w 30%, h 20%, font 18pt)" and (box["p"]["x"], box["p"]["font"]) == (10, 18.0)
+    other = spark.range(1).select(
+        media.sheet_serial(F.lit("1900-01-01 12:00:00").cast("timestamp")), media.property_text(F.lit("a  b\n" + "word " * 80)), media.frame_percent(F.lit(1), F.lit(3))
+    ).first()
+    assert other[0] == 2.5 and len(other[1]) <= 255 and other[1].endswith("word") and other[2] == 33
