@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, per_document, rewritten
+from .common import LOWER, UPPER, alnum_words, per_document, rewritten
 
 WINDOW = 13
 #: A document goes when this part of its words, or more, is hit: one in twenty.
@@ -201,6 +201,24 @@ def _by_blocks(docs: DataFrame, begun: list, blocks: Iterator) -> DataFrame:
     )
 
 
+def oracle() -> str:
+    """The same in DuckDB: every window of every document joined with the items' windows."""
+    words = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    return f"""
+WITH b AS (SELECT item_id, words, least({WINDOW}, len(words)) AS width FROM (SELECT item_id, {words} AS words FROM benchmark)),
+owners AS (SELECT DISTINCT item_id, width, array_to_string(words[i + 1 : i + width], ' ') AS g FROM (SELECT *, unnest(range(0, len(words) - width + 1)) AS i FROM b WHERE width > 0)),
+d AS (SELECT doc_id, {words} AS words FROM documents),
+places AS (SELECT doc_id, width, i, array_to_string(words[i + 1 : i + width], ' ') AS g
+  FROM (SELECT doc_id, words, width, unnest(range(0, len(words) - width + 1)) AS i FROM d, (SELECT DISTINCT width FROM owners))),
+hits AS (SELECT doc_id, i, width, item_id FROM places JOIN owners USING (width, g)),
+h AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + width)) AS place FROM hits) GROUP BY doc_id),
+k AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit > 0 AND {ONE_IN} * n_hit >= len(words), false) AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, remove: str = "documents") -> DataFrame:
     """The columns of ``docs`` without contaminated documents, or without the hit spans.
 

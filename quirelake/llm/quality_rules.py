@@ -150,3 +150,21 @@ def ablation(entries: DataFrame, policy: str = CURRENT) -> DataFrame:
         for r in inside
     ]
     return counted.agg(F.array(*sums).alias("r")).select(F.inline("r"))
+
+
+def oracle(policy: str = CURRENT) -> str:
+    """The ledger and a policy's verdicts in DuckDB."""
+    bits = " + ".join(f"CASE WHEN {r.fails} THEN {1 << r.bit} ELSE 0 END" for r in RULES)
+    return rf"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+l AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+g AS (SELECT doc_id, i, array_to_string(words[i + 1 : i + {WINDOW}], ' ') AS g FROM (SELECT doc_id, words, unnest(range(0, len(words) - {WINDOW - 1})) AS i FROM w)),
+r AS (SELECT doc_id, count(DISTINCT place) AS n_repeat_words FROM (
+  SELECT doc_id, unnest(range(i, i + {WINDOW})) AS place FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g) WHERE n > 1) GROUP BY doc_id),
+m AS (SELECT doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars, len(regexp_extract_all(text, '[{SYMBOLS}]'))::BIGINT AS n_symbols,
+  coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(n_lines, 0)::BIGINT AS n_lines,
+  len(regexp_extract_all(text, '[A-Z]'))::BIGINT AS n_upper FROM w LEFT JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)),
+f AS (SELECT *, ({bits})::INTEGER AS failed FROM m)
+SELECT *, failed & {BASE} <> 0 AS base_failed, failed & {POLICIES[policy] | BASE} = 0 AS kept FROM f
+"""

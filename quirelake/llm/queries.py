@@ -95,4 +95,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that SQL expresses."""
-    return {"op3_license": license_scan.oracle(), "op8_preference": preference_chat.ORACLE}
+    return {
+        "op3_license": license_scan.oracle(),
+        "op4_quality_rules": quality_rules.oracle(),
+        "op8_preference": preference_chat.ORACLE,
+        "op9_decontamination": decontamination.oracle(),
+    }

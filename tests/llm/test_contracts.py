@@ -109,8 +109,9 @@ def test_license_base(both, which):
         assert 0 <= r["score"] <= 1 and set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(","))
 
 
-def test_license_oracle(spark, small, same_as_duckdb):
-    same_as_duckdb(queries.op3_license(spark, small), queries.oracle_sql()["op3_license"], small)
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_oracle(spark, small, same_as_duckdb, name):
+    same_as_duckdb(queries.queries()[name](spark, small), queries.oracle_sql()[name], small)
 
 
 def test_license_templates(spark):
@@ -259,10 +260,6 @@ def test_pii_more(spark):
     assert [r["text"] for r in pii_semicrf.redact(df).orderBy("doc_id").collect()][0] == "call <PHONE> now"
 
 
-def test_preference_oracle(spark, small, same_as_duckdb):
-    same_as_duckdb(queries.op8_preference(spark, small), queries.oracle_sql()["op8_preference"], small)
-
-
 def test_preference_odd(spark):
     rows_ = [(1, s, t, "user" if t % 2 == 0 else "assistant", x) for s, xs in (("chosen", ["q", "a", "q2", None]), ("rejected", ["q", "a", "q2", "no"])) for t, x in enumerate(xs)]
     rows_ += [(2, "chosen", 0, None, "x"), (2, "rejected", 0, None, "x"), (None, "chosen", 0, "user", "x"), (3, "chosen", 0, "user", "x"), (3, "chosen", 0, "user", "x")]
