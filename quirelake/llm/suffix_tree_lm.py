@@ -55,13 +55,13 @@ def tokens(text: bytes) -> list[bytes]:
 def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The context and next symbol of every place, packed, and where each text begins."""
     joined = [b" ".join(lower_ascii(t).split()) + END for t in texts]
-    data = np.frombuffer(b"".join(END * DEPTH + j for j in joined), np.uint8).astype(np.int64)
+    data = b"".join(END * DEPTH + j for j in joined)
     sizes = np.array([len(j) for j in joined])
     ends = np.cumsum(sizes + DEPTH)
-    n = len(data) - DEPTH
-    packed = np.zeros(max(n, 0), np.int64)
-    for k in range(DEPTH + 1):
-        packed = packed << 8 | data[k : k + n]
+    n = max(0, len(data) - DEPTH)
+    # Eight bytes from every place on, as big-endian numbers that overlap in memory, cut to DEPTH + 1 bytes.
+    windows = np.ndarray((n,), ">u8", data + bytes(8), strides=(1,))
+    packed = (windows.astype(np.uint64) >> np.uint64(8 * (7 - DEPTH))).view(np.int64)
     # Place k predicts data[k + DEPTH]; the padding before each text is not predicted.
     keep = np.ones(n, bool)
     for d in range(1, DEPTH + 1):
