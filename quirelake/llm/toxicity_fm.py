@@ -78,18 +78,21 @@ class FactorizationMachine:
         n, positive = len(labels), int(labels.sum())
         if not 0 < positive < n:
             return cls.constant((positive + 0.5) / (n + 1) if n else 0.5)
-        documents = [np.unique(d) for d in documents]
-        flat = np.concatenate(documents)
-        seen = np.bincount(flat, minlength=BUCKETS)
-        toxic = np.bincount(flat, np.repeat(labels, [len(d) for d in documents]), minlength=BUCKETS)
+        # One document at a time: the driver never holds all terms twice.
+        seen, toxic = np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS, np.int32)
+        for d, y in zip(documents, labels, strict=True):
+            found = np.unique(d)
+            seen[found] += 1
+            toxic[found] += int(y)
         share = positive / n
-        z = (toxic - seen * share) / np.sqrt(np.maximum(seen, 1) * share * (1 - share))
-        terms = np.flatnonzero((seen >= LEAST_DOCUMENTS) & (np.abs(z) >= LEAST_Z))
+        often = np.flatnonzero(seen >= LEAST_DOCUMENTS)
+        z = (toxic[often] - seen[often] * share) / np.sqrt(seen[often] * share * (1 - share))
+        terms = often[np.abs(z) >= LEAST_Z]
         if not len(terms):
             return cls.constant(share)
         place = np.full(BUCKETS, -1, np.int32)
         place[terms] = np.arange(len(terms))
-        documents = [(i := place[d])[i >= 0] for d in documents]
+        documents = [(i := place[np.unique(d)])[i >= 0] for d in documents]
         rng = np.random.default_rng(10)
         w = np.zeros(len(terms))
         v = rng.normal(0, 0.05, (len(terms), FACTORS))
