@@ -36,7 +36,7 @@ class Rule:
 RULES = (
     Rule(0, "few_words", "n_words < 20"),
     Rule(1, "repeated_windows", "100 * n_repeat_words > 30 * n_words"),
-    Rule(2, "symbols", "2 * n_symbols > n_words"),
+    Rule(2, "symbols", "5 * n_symbols > 2 * n_words"),
     Rule(3, "duplicate_lines", "n_lines >= 4 and 10 * n_dup_lines > 3 * n_lines"),
     Rule(4, "long_words", "word_chars > 15 * n_words"),
     Rule(5, "short_words", "word_chars < 2 * n_words"),
