@@ -2,11 +2,17 @@
 
 The symbols are the bytes of a text's lower-cased tokens, joined by one space
 and closed by one end symbol.  Contexts of up to ``DEPTH`` bytes become states
-of the tree if they are frequent enough (``LEAST_SHARE`` of all training
-symbols, which bounds the tree at any corpus size) and if a divergence test
-says that they predict better than the state one byte shorter.  Next-symbol
-distributions are smoothed towards the shorter state, and a text is scored
-from the longest suffix state at each place.
+of the tree if they occur ``LEAST_COUNT`` times, at any corpus size, and if a
+divergence test says that they predict better than the state one byte shorter.
+Next-symbol distributions are smoothed towards the shorter state, and a text
+is scored from the longest suffix state at each place.
+
+The tree grows with the corpus.  All contexts that end in the same two bytes
+are a block, whose subtree needs no other block: the blocks grow on the
+executors and are written as a table.  The driver holds the states of one byte
+and, one after the other, parts of about ``PART_ROWS`` rows, each of which is
+broadcast and scores the places of its own blocks; a text's score is the sum
+over the parts.
 
 Beside it stands the token unigram of the contract.  Its vocabulary grows with
 the corpus: words above ``FREQUENT_SHARE`` of all tokens (a bounded number)
@@ -34,16 +40,18 @@ from .common import binary, held_out, lower_ascii, pieces, stored
 HELD_OUT = 10
 #: Bytes of a context at most; a context and its next symbol fit in 64 bits.
 DEPTH = 6
-#: A context needs this share of all training symbols, so that no depth has more than 1 / LEAST_SHARE states.
-LEAST_SHARE = 5e-6
+#: A context needs so many occurrences, whatever the size of the corpus.
 LEAST_COUNT = 20
 #: Log-likelihood (nats) that a state must gain over the shorter one.
 LEAST_GAIN = 10.0
+#: Rows of the tree (states and their next symbols) that are broadcast at once.
+PART_ROWS = 3_000_000
 #: Words of at least this share of all training tokens are broadcast: 100,000 words at most.
 FREQUENT_SHARE = 1e-5
 #: The end of a text, as a token and as a symbol; no word contains it.
 END = b"\n"
 _PIECE = 3_000_000
+_BLOCKS = 1 << 16
 _MASK = [np.int64((1 << 8 * d) - 1) for d in range(DEPTH + 2)]
 
 
@@ -88,8 +96,12 @@ class SuffixTree:
         root = np.ones(256)
         if levels and len(levels[0][0]):
             root[levels[0][0]] += levels[0][1]
-        tree = cls(root / root.sum(), [], [])
-        for depth, (keys, counts) in enumerate(levels[1:], 1):
+        return cls(root / root.sum(), [], []).extended(levels[1:])
+
+    def extended(self, levels: list[tuple[np.ndarray, np.ndarray]]) -> SuffixTree:
+        """This tree with the good contexts of the next depths."""
+        tree = SuffixTree(self.root, [*self.states], [*self.nexts])
+        for depth, (keys, counts) in enumerate(levels, len(self.states) + 1):
             order = np.argsort(keys)
             keys, counts = keys[order], counts[order].astype(float)
             context = keys >> 8
@@ -131,12 +143,17 @@ class SuffixTree:
         out[order] = np.log(p)
         return out
 
-    def scores(self, texts: list[bytes]) -> np.ndarray:
-        """log10 probability of each text."""
+    def scores(self, texts: list[bytes], blocks: np.ndarray | None = None) -> np.ndarray:
+        """log10 probability of each text, or the part of it that the places of some blocks (one bool each) have."""
         packed, starts = grams(texts)
         codes, distinct = _distinct(packed)
-        each = self.log_p(distinct)[codes]
-        return np.add.reduceat(each, starts) / np.log(10) if len(texts) else np.zeros(0)
+        if blocks is None:
+            each = self.log_p(distinct)
+        else:
+            each = np.zeros(len(distinct))
+            inside = blocks[(distinct >> 8) & (_BLOCKS - 1)]
+            each[inside] = self.log_p(distinct[inside])
+        return np.add.reduceat(each[codes], starts) / np.log(10) if len(texts) else np.zeros(0)
 
 
 def corpus_counts(docs: DataFrame) -> DataFrame:
@@ -183,21 +200,64 @@ def corpus_counts(docs: DataFrame) -> DataFrame:
     return training.mapInArrow(count, "word binary, gram long, n long").groupBy("word", "gram").agg(F.sum("n").alias("n"))
 
 
-def grow(counts: DataFrame) -> SuffixTree:
-    """A tree from gram counts; only contexts of the least share, a bounded number, reach the driver."""
+def often(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys, with their counts, whose contexts occur often enough."""
+    codes, contexts = _distinct(keys >> 8)
+    good = np.bincount(codes, counts, len(contexts))[codes] >= LEAST_COUNT
+    return keys[good], counts[good]
+
+
+def grow(counts: DataFrame) -> tuple[SuffixTree, DataFrame]:
+    """The states of one byte, and a table of all longer states (kinds > 0) and their next symbols (kinds = 0) by block."""
     symbols = counts.where("gram is not null").select("gram", "n")
-    total = symbols.agg(F.sum("n")).first()[0] or 0
-    least = max(LEAST_COUNT, int(total * LEAST_SHARE))
     levels = []
-    for depth in range(DEPTH + 1):
-        level = symbols.groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * (depth + 1)) - 1)).alias("key")).agg(F.sum("n").alias("n"))
-        if depth:
-            context = F.shiftright("key", 8).alias("context")
-            often = level.groupBy(context).agg(F.sum("n").alias("_n")).where(F.col("_n") >= least).select("context")
-            level = level.withColumn("context", F.shiftright("key", 8)).join(often, "context", "left_semi")
-        rows = level.select("key", "n").toArrow()
+    for depth in range(2):
+        rows = symbols.groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * (depth + 1)) - 1)).alias("key")).agg(F.sum("n").alias("n")).toArrow()
         levels.append((rows.column("key").to_numpy().astype(np.int64), rows.column("n").to_numpy().astype(np.int64)))
-    return SuffixTree.grown(levels)
+    base = SuffixTree.grown([levels[0], often(*levels[1])])
+    sent = counts.sparkSession.sparkContext.broadcast(base)
+
+    def block_rows(block: pa.Table) -> pa.Table:
+        grams, n = block.column("gram").to_numpy(), block.column("n").to_numpy()
+        levels = []
+        for depth in range(2, DEPTH + 1):
+            codes, keys = _distinct(grams & _MASK[depth + 1])
+            levels.append(often(keys, np.bincount(codes, n, len(keys))))
+        tree = sent.value.extended(levels)
+        found: list[list[np.ndarray]] = [[], [], [], []]
+        for depth in range(2, DEPTH + 1):
+            (states, totals, kinds), (keys, each) = tree.states[depth - 1], tree.nexts[depth - 1]
+            for c, v in zip(found, (np.full(len(states) + len(keys), depth), np.append(states, keys), np.append(totals, each), np.append(kinds, np.zeros(len(keys)))), strict=True):
+                c.append(v)
+        depths, keys, ns, kinds = (np.concatenate(c) for c in found)
+        number = block.column("block")[0].as_py()
+        return pa.table([pa.array(np.full(len(keys), number), pa.int32()), pa.array(depths, pa.int8()), pa.array(keys, pa.int64()), pa.array(ns, pa.float64()), pa.array(kinds, pa.int16())], names=["block", "depth", "key", "n", "kinds"])
+
+    block = F.shiftright("gram", 8).bitwiseAND(F.lit(_BLOCKS - 1)).cast("int").alias("block")
+    return base, stored(symbols.select(block, "gram", "n").groupBy("block").applyInArrow(block_rows, "block int, depth byte, key long, n double, kinds short"))
+
+
+def parts_of(base: SuffixTree, table: DataFrame) -> Iterator[tuple[SuffixTree, np.ndarray | None]]:
+    """Trees of about ``PART_ROWS`` rows and the blocks that each scores (None: all)."""
+    sizes = np.zeros(_BLOCKS, np.int64)
+    for r in table.groupBy("block").count().collect():
+        sizes[r["block"]] = r["count"]
+    part = np.maximum(np.cumsum(sizes) - 1, 0) // PART_ROWS
+    for p in np.unique(part):
+        blocks = part == p
+        low, high = np.flatnonzero(blocks)[[0, -1]].tolist()
+        rows = table.where(F.col("block").between(low, high)).select("depth", "key", "n", "kinds").toArrow()
+        depths, keys, n, kinds = (rows.column(c).to_numpy() for c in ("depth", "key", "n", "kinds"))
+        tree = SuffixTree(base.root, [*base.states], [*base.nexts])
+        for depth in range(2, DEPTH + 1):
+            for inner in (False, True):
+                at = np.flatnonzero((depths == depth) & ((kinds == 0) == inner))
+                at = at[np.argsort(keys[at])]
+                if inner:
+                    tree.nexts.append((keys[at], n[at]))
+                else:
+                    tree.states.append((keys[at], n[at], kinds[at].astype(float)))
+        yield tree, None if blocks.all() else blocks
 
 
 def language_scores(docs: DataFrame) -> DataFrame:
@@ -208,12 +268,12 @@ def language_scores(docs: DataFrame) -> DataFrame:
     words = counts.where("word is not null").select("word", "n")
     n_train, n_distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     least = max(2, int(np.ceil(n_train * FREQUENT_SHARE)))
-    often = words.where(F.col("n") >= least).toArrow()
-    frequent = dict(zip(often.column("word").to_pylist(), np.log10(often.column("n").to_numpy() + 0.1).tolist(), strict=True))
-    sent = spark.sparkContext.broadcast((grow(counts), frequent))
+    common = words.where(F.col("n") >= least).toArrow()
+    frequent = spark.sparkContext.broadcast(dict(zip(common.column("word").to_pylist(), np.log10(common.column("n").to_numpy() + 0.1).tolist(), strict=True)))
+    parts = [spark.sparkContext.broadcast(p) for p in parts_of(*grow(counts))]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, frequent = sent.value
+        (tree, blocks), often = parts[0].value, frequent.value
         names = ["doc_id", "text_key", "n_tokens", "n_known", "base", "score", "words", "copies"]
         for batch in batches:
             for piece in pieces(batch, "text", _PIECE):
@@ -230,8 +290,8 @@ def language_scores(docs: DataFrame) -> DataFrame:
                     copies.append(0)
                     base, known = 0.0, 0
                     for w, k in found.items():
-                        if w in frequent:
-                            base += k * frequent[w]
+                        if w in often:
+                            base += k * often[w]
                             known += k
                         else:
                             words.append(w)
@@ -240,23 +300,43 @@ def language_scores(docs: DataFrame) -> DataFrame:
                     for c, v in zip(columns, (key, found.total(), known, base), strict=True):
                         c.append(v)
                 offsets = pa.array(ends, pa.int32())
-                arrays = [piece.column("doc_id"), *(pa.array(c) for c in columns), pa.array(tree.scores(texts))]
+                arrays = [piece.column("doc_id"), *(pa.array(c) for c in columns), pa.array(tree.scores(texts, blocks))]
                 arrays += [pa.ListArray.from_arrays(offsets, pa.array(words, pa.binary())), pa.ListArray.from_arrays(offsets, pa.array(copies, pa.int64()))]
                 yield pa.record_batch(arrays, names=names)
 
+    def further(number: int, sent) -> DataFrame:
+        """doc_id, text_key, part and score of each row by one of the other parts."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tree, blocks = sent.value
+            for batch in batches:
+                for piece in pieces(batch, "text", _PIECE):
+                    texts = binary(piece.column("text"))
+                    keys = pa.array([xxhash.xxh3_64_intdigest(t) - (1 << 63) for t in texts], pa.int64())
+                    yield pa.record_batch([piece.column("doc_id"), keys, pa.array([number] * len(texts), pa.int32()), pa.array(tree.scores(texts, blocks))], names=["doc_id", "text_key", "part", "score"])
+
+        return docs.mapInArrow(run, "doc_id long, text_key long, part int, score double")
+
     scored = docs.mapInArrow(score, "doc_id long, text_key long, n_tokens long, n_known long, base double, score double, words array<binary>, copies array<long>")
     own = lambda c: F.when(F.col("at") == 0, F.col(c)).alias(c)
     placed = scored.select("doc_id", "text_key", "n_tokens", "n_known", "base", "score", F.posexplode(F.arrays_zip("words", "copies")).alias("at", "_w"))
     rows = placed.select("doc_id", "text_key", F.col("_w.words").alias("word"), F.col("_w.copies").alias("copies"), own("n_tokens"), own("n_known"), own("base"), own("score"))
     rare = words.where(F.col("n") < least).select("word", F.col("n").alias("c"))
     met = rows.join(rare.hint("shuffle_hash"), "word", "left")
+    if len(parts) > 1:
+        met = met.withColumn("part", F.lit(0))
+        for number, sent in enumerate(parts[1:], 1):
+            met = met.unionByName(further(number, sent), allowMissingColumns=True)
+        whole_score = sum((F.max(F.when(F.col("part") == i, F.col("score"))) for i in range(1, len(parts))), F.max(F.when(F.col("part") == 0, F.col("score"))))
+    else:
+        whole_score = F.max("score")
     c = F.coalesce("c", F.lit(0))
     by_text = met.groupBy("doc_id", "text_key").agg(
         F.count("n_tokens").alias("rows"),
         F.max("n_tokens").alias("n_tokens"),
         F.max("n_known").alias("often_known"),
         F.max("base").alias("often_base"),
-        F.max("score").alias("score"),
+        whole_score.alias("score"),
         F.coalesce(F.sum(F.when(c > 0, F.col("copies"))), F.lit(0)).alias("rare_known"),
         F.coalesce(F.sum(F.col("copies") * F.log10(c + 0.1)), F.lit(0.0)).alias("rare_base"),
     )

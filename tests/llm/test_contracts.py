@@ -228,6 +228,21 @@ def test_suffix_tree_is_a_distribution():
     assert len(starts) == 60 and tree.scores([b"abracadabra"])[0] > tree.scores([b"bdarcaaabra"])[0]
 
 
+def test_suffix_tree_keeps_rare_contexts(spark):
+    """Sixty occurrences make a state also among many million symbols."""
+    docs = spark.createDataFrame([(i, "a b c d e f g h " * 30_000) for i in range(40)] + [(i, "zyxwvutsrqp") for i in range(100, 160)], "doc_id long, text string")
+    score = suffix_tree_lm.language_scores(docs).where("doc_id = 101").first()["score"]
+    assert score > -12
+
+
+def test_suffix_tree_parts(docs, monkeypatch):
+    """A tree that is scored in parts gives the scores of the whole tree."""
+    want = {r["doc_id"]: r["score"] for r in suffix_tree_lm.language_scores(docs).collect()}
+    monkeypatch.setattr(suffix_tree_lm, "PART_ROWS", 3_000)
+    got = {r["doc_id"]: r["score"] for r in suffix_tree_lm.language_scores(docs).collect()}
+    assert got == pytest.approx(want)
+
+
 @pytest.mark.parametrize("which", ["odd", "docs"])
 def test_pii_base(both, which):
     email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
