@@ -2,15 +2,18 @@
 
 Two classifiers see different views of a document: its text (style measures
 of the whole text) and its page metadata (language, source, length class).
-Both start from the labelled rows; in each round either one labels the pool
-documents that it is most sure of and hands them to the other.  At the end
+Both start from the labelled rows; in each round either one labels the
+documents that it is most sure of, among all unlabelled ones, and hands them
+to the other.  At the end
 each view is calibrated on labelled rows that were kept apart, and a second
 logistic model over the calibrated views scores every document.
 
-Fitting happens on the driver over bounded samples: ``MOST_LABELLED`` labelled
-rows and ``MOST_POOL`` unlabelled ones, chosen by a hash of doc_id, each a
-vector of fixed size.  Scoring reads every whole text once and shuffles
-nothing.
+Every whole text is read once, for a vector of fixed size that is written as a
+table.  The driver has ``MOST_LABELLED`` labelled rows, chosen by a hash of
+doc_id; of the unlabelled ones, all of which take part, it has histograms of
+scores, counts by metadata, and sums of slopes and curvatures.  Which labels a
+row was given follows from the views of the rounds before, so no state of rows
+is kept.
 
 Defined results: a null or empty text has the style measures of an empty text;
 null metadata is a value of its own; without labels, or with one class only,
@@ -23,21 +26,23 @@ read, and missing metadata columns count as null.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary, held_out, lower_ascii, pieces
+from .common import binary, held_out, lower_ascii, pieces, stored
 from .quality_rules import repeated_words
 
 HELD_OUT = 5
-MOST_LABELLED, MOST_POOL = 6_000, 6_000
+MOST_LABELLED = 6_000
 ROUNDS = 5
-#: Part of the pool that either view labels in a round.
+#: Part of the unlabelled rows that either view labels in a round.
 CONFIDENT = 0.05
+#: Bins of a score's logit by which rows are ranked.
+BINS = 256
 METADATA = 256
 THRESHOLD = 0.5
 
@@ -69,20 +74,26 @@ def metadata(lang: str | None, source: str | None, n_chars: int | None) -> list[
     return [zlib.crc32(f"{k}={v}".encode()) % METADATA for k, v in (("lang", lang), ("source", source), ("length", length))]
 
 
-def vectors(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id, the columns of ``more`` (int), style and metadata vectors of each row."""
+def vectors(docs: DataFrame) -> DataFrame:
+    """doc_id, style and metadata vectors of each row."""
     cols = [F.col(c).cast(k).alias(c) if c in docs.columns else F.lit(None).cast(k).alias(c) for c, k in (("lang", "string"), ("source", "string"), ("n_chars", "long"))]
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *cols, *more)
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *cols)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, "text", 8_000_000):
                 meta = [metadata(*m) for m in zip(*(piece.column(c).to_pylist() for c in ("lang", "source", "n_chars")), strict=True)]
-                arrays = [piece.column("doc_id"), *(piece.column(c) for c in more)]
-                arrays += [pa.array([style(t) for t in binary(piece.column("text"))], pa.list_(pa.float64())), pa.array(meta, pa.list_(pa.int32()))]
-                yield pa.record_batch(arrays, names=["doc_id", *more, "style", "metadata"])
+                arrays = [piece.column("doc_id"), pa.array([style(t) for t in binary(piece.column("text"))], pa.list_(pa.float64())), pa.array(meta, pa.list_(pa.int32()))]
+                yield pa.record_batch(arrays, names=["doc_id", "style", "metadata"])
 
-    return chosen.mapInArrow(run, f"doc_id long, {''.join(f'{c} int, ' for c in more)}style array<double>, metadata array<int>")
+    return chosen.mapInArrow(run, "doc_id long, style array<double>, metadata array<int>")
+
+
+def _arrays(rows: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The style vectors and metadata places of rows."""
+    table = rows.combine_chunks() if isinstance(rows, pa.Table) else rows
+    styles, places = (np.asarray(x.combine_chunks().flatten() if isinstance(x, pa.ChunkedArray) else x.flatten()) for x in (table.column("style"), table.column("metadata")))
+    return styles.reshape(-1, STYLE).astype(float), places.reshape(-1, 3).astype(int)
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -94,16 +105,27 @@ def _logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, *, ridge: float = 1.0, rounds: int = 15) -> np.ndarray:
-    """Weights of a ridge logistic regression by Newton's method."""
-    w = np.zeros(x.shape[1])
+def derivatives(x: np.ndarray, y: np.ndarray, n: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slope and curvature of the log loss of rows that count ``n`` times each."""
+    p = _sigmoid(x @ w)
+    return x.T @ (n * (p - y)), (x * (n * p * (1 - p))[:, None]).T @ x
+
+
+def logistic(
+    x: np.ndarray, y: np.ndarray, n: np.ndarray | None = None, *, more: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]] | None = None,
+    start: np.ndarray | None = None, ridge: float = 1.0, rounds: int = 15,
+) -> np.ndarray:
+    """Weights of a ridge logistic regression by Newton's method; ``more`` adds the derivatives of rows elsewhere."""
+    w = np.zeros(x.shape[1]) if start is None else start.copy()
     for _ in range(rounds):
-        p = _sigmoid(x @ w)
-        slope = x.T @ (p - y) + ridge * w
-        curve = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
+        slope, curve = derivatives(x, y, np.ones(len(y)) if n is None else n, w)
+        if more:
+            slope, curve = (a + b for a, b in zip((slope, curve), more(w), strict=True))
+        slope = slope + ridge * w
+        curve = curve + ridge * np.eye(len(w))
         step = np.linalg.solve(curve, slope)
         w -= step
-        if np.abs(step).max() < 1e-6:
+        if np.abs(step).max() < (1e-4 if more else 1e-6):
             break
     return w
 
@@ -116,6 +138,104 @@ def one_hot(places: np.ndarray) -> np.ndarray:
     return out
 
 
+def _bins(z: np.ndarray) -> np.ndarray:
+    return np.floor(np.clip(z, -30, 30) * BINS).astype(int)
+
+
+def _binned(view: int, styles: np.ndarray, places: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The binned logits of rows by a view; equal metadata are reckoned once."""
+    if view == 0:
+        return _bins(styles @ w)
+    distinct, codes = np.unique(places, axis=0, return_inverse=True)
+    return _bins(one_hot(distinct) @ w)[codes.reshape(-1)]
+
+
+#: Weights of a view in a round; the rows of up to the first bin are bad, those from the second on good.
+Rule = tuple[np.ndarray, int, float]
+
+
+def given(view: int, rules: list[Rule], styles: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The label of each row by the first rule of a view that is sure of it, or -1."""
+    out = np.full(len(styles), -1)
+    for w, bad, good in rules:
+        z = _binned(view, styles, places, w)
+        out = np.where(out >= 0, out, np.where(z <= bad, 0, np.where(z >= good, 1, -1)))
+    return out
+
+
+class Pool:
+    """All unlabelled rows: a table of vectors of which only sums reach the driver."""
+
+    def __init__(self, rows: DataFrame):
+        self.rows = rows
+
+    def each(self, schema: str, run: Callable[[np.ndarray, np.ndarray], pa.RecordBatch]) -> DataFrame:
+        """What ``run`` makes of the vectors of each batch."""
+
+        def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in found:
+                if batch.num_rows:
+                    yield run(*_arrays(batch))
+
+        return self.rows.mapInArrow(batches, schema)
+
+    def histograms(self, views: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The bins in order and their counts, for either view."""
+
+        def run(styles: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
+            found = [np.unique(_binned(v, styles, places, views[v]), return_counts=True) for v in (0, 1)]
+            view = np.repeat([0, 1], [len(b) for b, _ in found])
+            bins, counts = (np.concatenate(c) for c in zip(*found, strict=True))
+            return pa.record_batch([pa.array(view, pa.int32()), pa.array(bins, pa.int32()), pa.array(counts, pa.int64())], names=["view", "bin", "n"])
+
+        rows = self.each("view int, bin int, n long", run).groupBy("view", "bin").agg(F.sum("n").alias("n")).orderBy("view", "bin").toArrow()
+        view, bins, n = (rows.column(c).to_numpy() for c in ("view", "bin", "n"))
+        return [(bins[view == v], n[view == v]) for v in (0, 1)]
+
+    def metadata_counts(self, rules: list[Rule]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct metadata with labels given by the text view, the labels, and how many rows each has."""
+
+        def run(styles: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
+            label = given(0, rules, styles, places)
+            found, counts = np.unique(np.column_stack([places, label])[label >= 0], axis=0, return_counts=True)
+            return pa.record_batch([pa.array(found[:, i], pa.int32()) for i in range(4)] + [pa.array(counts, pa.int64())], names=["a", "b", "c", "label", "n"])
+
+        keys = ["a", "b", "c", "label"]
+        rows = self.each("a int, b int, c int, label int, n long", run).groupBy(*keys).agg(F.sum("n").alias("n")).orderBy(*keys).toArrow()
+        a, b, c, label, n = (rows.column(x).to_numpy() for x in (*keys, "n"))
+        return np.column_stack([a, b, c]).astype(int), label.astype(float), n.astype(float)
+
+    def style_derivatives(self, rules: list[Rule], w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Slope and curvature of the text view at ``w`` over all rows with labels given by the metadata view."""
+
+        def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((STYLE + 1, STYLE))
+            for batch in found:
+                if batch.num_rows:
+                    styles, places = _arrays(batch)
+                    label = given(1, rules, styles, places)
+                    at = label >= 0
+                    slope, curve = derivatives(styles[at], label[at], np.ones(int(at.sum())), w)
+                    total[0] += slope
+                    total[1:] += curve
+            yield pa.record_batch([pa.array([total.ravel()], pa.list_(pa.float64()))], names=["total"])
+
+        parts = self.rows.mapInArrow(batches, "total array<double>").toArrow().column("total")
+        total = sum((np.asarray(x.values) for x in parts), np.zeros((STYLE + 1) * STYLE)).reshape(STYLE + 1, STYLE)
+        return total[0], total[1:]
+
+
+def rule(w: np.ndarray, bins: np.ndarray, counts: np.ndarray, share: float) -> Rule:
+    """Up to which bin a view is sure that rows are bad, and from which that they are good."""
+    n = int(counts.sum())
+    take = max(1, int(CONFIDENT * n))
+    bad = max(1, round(take * (1 - share)))
+    lowest = int(bins[np.searchsorted(np.cumsum(counts), min(bad, n))])
+    # Sure of a class means beyond what the labelled rows of that class show on average.
+    highest = max(int(bins[::-1][np.searchsorted(np.cumsum(counts[::-1]), take - bad)]), int(np.ceil(_logit(np.array(share)) * BINS))) if take > bad else np.inf
+    return w, min(lowest, -1), highest
+
+
 class CoTrained:
     """Weights of both views, their calibrations (slope, offset) and of their combination."""
 
@@ -129,8 +249,8 @@ class CoTrained:
         return cls([np.zeros(STYLE), np.zeros(METADATA + 1)], [(0.0, 0.0)] * 2, np.array([0.0, 0.0, offset]))
 
     @classmethod
-    def fitted(cls, labelled: tuple[np.ndarray, np.ndarray], labels: np.ndarray, pool: tuple[np.ndarray, np.ndarray]) -> CoTrained:
-        """Co-trains on four of five labelled rows and the pool, calibrates on the fifth."""
+    def fitted(cls, labelled: tuple[np.ndarray, np.ndarray], labels: np.ndarray, unlabelled: Callable[[], Pool]) -> CoTrained:
+        """Co-trains on four of five labelled rows and all unlabelled ones, calibrates on the fifth."""
         n, good = len(labels), int(labels.sum())
         if not 0 < good < n:
             return cls.constant((good + 0.5) / (n + 1) if n else 0.5)
@@ -139,24 +259,20 @@ class CoTrained:
             apart = np.zeros(n, bool)
         train = [x[~apart] for x in labelled]
         y = labels[~apart]
-        given: list[dict[int, float]] = [{}, {}]  # pool rows that each view was taught by the other
-        take = max(1, int(CONFIDENT * len(pool[0]))) if len(pool[0]) else 0
+        pool = unlabelled()
+        rules: list[list[Rule]] = [[], []]
         views = [logistic(x, y) for x in train]
-        for _ in range(ROUNDS if take else 0):
-            for view in (0, 1):
-                p = _sigmoid(pool[view] @ views[view])
-                order = np.argsort(p, kind="stable")
-                bad = max(1, round(take * (1 - y.mean())))
-                # Sure of a class means beyond what the labelled rows of that class show on average.
-                sure_bad = [i for i in order[:bad] if p[i] < 0.5]
-                sure_good = [i for i in order[::-1][: take - bad] if p[i] >= y.mean()]
-                other = given[1 - view]
-                for rows, label in ((sure_bad, 0.0), (sure_good, 1.0)):
-                    for i in rows:
-                        other.setdefault(int(i), label)
+        for _ in range(ROUNDS):
+            ranked = pool.histograms(views)
+            if not len(ranked[0][0]):
+                break
             for view in (0, 1):
-                rows = list(given[view])
-                views[view] = logistic(np.concatenate([train[view], pool[view][rows]]), np.concatenate([y, [given[view][i] for i in rows]]))
+                rules[view].append(rule(views[view], *ranked[view], float(y.mean())))
+            places, taught, n = pool.metadata_counts(rules[0])
+            views = [
+                logistic(train[0], y, more=lambda w: pool.style_derivatives(rules[1], w), start=views[0]),
+                logistic(np.concatenate([train[1], one_hot(places)]), np.concatenate([y, taught]), np.concatenate([np.ones(len(y)), n])),
+            ]
         held = [x[apart] if apart.any() else x for x in labelled]
         truth = labels[apart] if apart.any() else labels
         calibrations, calibrated = [], []
@@ -174,37 +290,33 @@ class CoTrained:
         return _sigmoid(z[0]), _sigmoid(z[1]), _sigmoid(z[0] * self.combined[0] + z[1] * self.combined[1] + self.combined[2])
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> CoTrained:
-    """A co-trained model over bounded samples of ``docs``."""
+def fit(rows: DataFrame, labels: DataFrame) -> CoTrained:
+    """A model co-trained over a bounded sample of the labelled vectors and all unlabelled ones."""
     wanted = (
         labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(HELD_OUT))
         .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
-        .agg(F.max(F.col("quality").cast("int")).alias("quality"))
+        .agg(F.max(F.col("quality").cast("int")).alias("label"))
     )
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    chosen = wanted.orderBy(*order).limit(MOST_LABELLED)
-    unlabelled = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").where(~held_out(HELD_OUT))
-    pool = unlabelled.join(labels.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_anti").distinct().orderBy(*order).limit(MOST_POOL)
-    sample = chosen.unionByName(pool.withColumn("quality", F.lit(None).cast("int"))).withColumnRenamed("quality", "label")
-    named = docs.drop("label").withColumn("doc_id", F.col("doc_id").cast("long"))
-    rows = vectors(named.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]), "label").toArrow().sort_by("doc_id")
-    label = np.array([np.nan if x is None else x for x in rows.column("label").to_pylist()], float)
-    styles = np.array(rows.column("style").to_pylist(), float).reshape(-1, STYLE)
-    places = one_hot(np.array(rows.column("metadata").to_pylist(), int).reshape(-1, 3))
-    known = ~np.isnan(label)
-    return CoTrained.fitted((styles[known], places[known]), label[known], (styles[~known], places[~known]))
+    chosen = wanted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED)
+    sample = rows.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
+    styles, places = _arrays(sample)
+
+    def unlabelled() -> Pool:
+        left = rows.where("doc_id is not null").where(~held_out(HELD_OUT))
+        return Pool(stored(left.join(labels.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_anti").dropDuplicates(["doc_id"])))
+
+    return CoTrained.fitted((styles, one_hot(places)), np.array(sample.column("label").to_pylist(), float), unlabelled)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, text_score, metadata_score, score and kept of every row of ``docs``."""
-    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    rows = stored(vectors(docs))
+    sent = docs.sparkSession.sparkContext.broadcast(fit(rows, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                styles = np.array(batch.column("style").to_pylist(), float).reshape(-1, STYLE)
-                places = np.array(batch.column("metadata").to_pylist(), int).reshape(-1, 3)
-                text, meta, both = sent.value.scores(styles, places)
+                text, meta, both = sent.value.scores(*_arrays(batch))
                 yield pa.record_batch([batch.column("doc_id"), pa.array(text), pa.array(meta), pa.array(both), pa.array(both >= THRESHOLD)], names=["doc_id", "text_score", "metadata_score", "score", "kept"])
 
-    return vectors(docs).mapInArrow(run, "doc_id long, text_score double, metadata_score double, score double, kept boolean")
+    return rows.mapInArrow(run, "doc_id long, text_score double, metadata_score double, score double, kept boolean")

@@ -343,6 +343,22 @@ def test_quality_accuracy(spark):
     assert sum((s >= 0.5) == bool(y) for s, y in scores) >= 0.95 * len(scores)
 
 
+def test_quality_pool_is_whole(spark):
+    """A source that is rare and unlabelled, beyond the first thousands of rows by the hash, gets pseudo-labels."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(20_000).withColumn("good", F.col("id") % 10 != 0)
+    order = [r["id"] for r in rows.orderBy(F.xxhash64("id"), "id").select("id").collect()]
+    rare = [i for i in order[-8_000:] if i % 10 == 0][:200]
+    docs = rows.select(
+        F.col("id").alias("doc_id"), F.when(F.col("good"), F.concat(F.lit("Plain words make a fine line of text about topic "), F.col("id"), F.lit("."))).otherwise("### $$$ %%% buy buy buy buy buy !!!").alias("text"),
+        F.lit("en").alias("lang"), F.when(F.col("id").isin(rare), "rare").when(F.col("good"), "fine").otherwise("spam").alias("source"), F.lit(50).cast("long").alias("n_chars"),
+    )
+    labels = spark.createDataFrame([(i, int(i % 10 != 0)) for i in order[:1_000]], "doc_id long, quality int")
+    scores = {r["source"]: r["m"] for r in quality_cotraining.quality_scores(docs, labels).join(docs, "doc_id").groupBy("source").agg(F.avg("metadata_score").alias("m")).collect()}
+    assert scores["rare"] < 0.5 * scores["fine"]
+
+
 @pytest.mark.parametrize("fit", [toxicity_fm.toxicity_scores, quality_cotraining.quality_scores])
 def test_classifiers_odd(spark, odd, fit):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
