@@ -1,11 +1,13 @@
 """Toxicity by a factorization machine over hashed terms.
 
 A document is the set of the hashed terms of its words: each word and its
-beginnings of three to seven characters.  Only terms whose share of toxic
-documents differs clearly from the average take part (a z-test over the
-training rows); each has a linear weight, and each pair of them in a document
-a low-rank interaction, so that a combination, such as an insult with the
-mention of a group, can weigh more than the sum of its parts.
+beginnings of three to seven characters.  Every term of ``LEAST_DOCUMENTS``
+training rows takes part; each has a linear weight, and each pair of them in a
+document a low-rank interaction, so that a combination, such as an insult with
+the mention of a group, can weigh more than the sum of its parts.  Terms whose
+share of toxic documents hardly differs from the average (a z value over the
+training rows) are regularised by smaller inputs, their factors much less than
+their weights, so that pairs of such terms are learned as well.
 
 The machine is fitted on the driver over a sample of labelled rows of at most
 ``MOST_LABELLED`` documents, chosen by a hash of doc_id; what reaches the
@@ -13,7 +15,7 @@ driver are hashed terms of at most ``MOST_TERMS`` words each, the model has a
 fixed size, and every whole text of the table is scored.
 
 Defined results: null and empty texts get the score of a text without terms;
-without labelled rows, with one class only or without clear terms, every score is the smoothed
+without labelled rows, with one class only or without such terms, every score is the smoothed
 share of toxic rows (0.5 without rows) less a hair, so nothing is rejected
 unseen; null labels are left out; a document labelled twice counts by its
 largest label; repeated rows give repeated results; columns other than
@@ -40,8 +42,10 @@ MOST_TERMS = 1_500
 #: Rows whose crc32(doc_id) is divisible by this are never learned from.
 HELD_OUT = 5
 BEGINNINGS = range(3, 8)
-#: A term takes part if so many training documents have it, at such a z value.
-LEAST_DOCUMENTS, LEAST_Z = 5, 5.0
+#: A term takes part if so many training documents have it.
+LEAST_DOCUMENTS = 5
+#: The z value from which a term is an input of 1; below, of what power of its part of it for weights and for factors, and of how much for factors at least.
+CLEAR_Z, WEIGHT_POWER, FACTOR_POWER, LEAST_FACTOR = 5.0, 3, 1, 0.1
 THRESHOLD = 0.5
 #: Words whose terms a Python worker remembers.
 CACHED = 500_000
@@ -74,7 +78,7 @@ class FactorizationMachine:
 
     @classmethod
     def fitted(cls, documents: list[np.ndarray], labels: np.ndarray, *, rounds: int = 30, rate: float = 0.2, decay: float = 2e-3) -> FactorizationMachine:
-        """Screens the terms, then Adagrad over mini-batches in a fixed order."""
+        """Adagrad over mini-batches in a fixed order; inputs are scaled by the terms' z values."""
         n, positive = len(labels), int(labels.sum())
         if not 0 < positive < n:
             return cls.constant((positive + 0.5) / (n + 1) if n else 0.5)
@@ -85,11 +89,12 @@ class FactorizationMachine:
             seen[found] += 1
             toxic[found] += int(y)
         share = positive / n
-        often = np.flatnonzero(seen >= LEAST_DOCUMENTS)
-        z = (toxic[often] - seen[often] * share) / np.sqrt(seen[often] * share * (1 - share))
-        terms = often[np.abs(z) >= LEAST_Z]
+        terms = np.flatnonzero(seen >= LEAST_DOCUMENTS)
         if not len(terms):
             return cls.constant(share)
+        clear = np.abs(toxic[terms] - seen[terms] * share) / np.sqrt(seen[terms] * share * (1 - share)) / CLEAR_Z
+        first = np.minimum(1, clear**WEIGHT_POWER)
+        second = np.clip(clear**FACTOR_POWER, LEAST_FACTOR, 1)[:, None]
         place = np.full(BUCKETS, -1, np.int32)
         place[terms] = np.arange(len(terms))
         documents = [(i := place[np.unique(d)])[i >= 0] for d in documents]
@@ -106,14 +111,14 @@ class FactorizationMachine:
                 parts = [documents[i] for i in rows]
                 used = np.concatenate(parts)
                 owner = np.repeat(np.arange(len(rows)), [len(p) for p in parts])
-                vt = v[used]
+                vt = (second * v)[used]
                 total = np.stack([np.bincount(owner, vt[:, k], len(rows)) for k in range(FACTORS)], 1)
                 square = np.bincount(owner, (vt * vt).sum(1), len(rows))
-                score = bias + np.bincount(owner, w[used], len(rows)) + 0.5 * ((total * total).sum(1) - square)
+                score = bias + np.bincount(owner, (first * w)[used], len(rows)) + 0.5 * ((total * total).sum(1) - square)
                 error = 1 / (1 + np.exp(-np.clip(score, -30, 30))) - labels[rows]
                 each = error[owner]
-                dw = np.bincount(used, each, len(terms)) + decay * w
-                dv = np.stack([np.bincount(used, each * (total[owner, k] - vt[:, k]), len(terms)) for k in range(FACTORS)], 1) + decay * v
+                dw = first * np.bincount(used, each, len(terms)) + decay * w
+                dv = second * np.stack([np.bincount(used, each * (total[owner, k] - vt[:, k]), len(terms)) for k in range(FACTORS)], 1) + decay * v
                 gw += dw * dw
                 gv += dv * dv
                 w -= rate * dw / np.sqrt(gw)
@@ -121,7 +126,7 @@ class FactorizationMachine:
                 db = float(error.sum())
                 gb += db * db
                 bias -= rate * db / gb**0.5
-        return cls(bias, terms, w, v)
+        return cls(bias, terms, first * w, second * v)
 
     def learn(self, words: set[bytes]) -> None:
         """Looks the terms of new words up."""

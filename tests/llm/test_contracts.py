@@ -379,6 +379,26 @@ def test_interaction_of_terms():
     assert score(words["insult"] + words["group"]) > 0 > max(score(words["insult"]), score(words["group"]))
 
 
+def test_interaction_of_weak_terms():
+    """Two terms that hardly differ from the average each, but are toxic together, among many others."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    n = 6_000
+    a, b = rng.random((2, n)) < 0.17
+    others = [np.flatnonzero(rng.random(400) < 0.1) + 100 for _ in range(n)]
+    labels = (rng.random(n) < np.where(a & b, 0.75, np.where(a | b, 0.01, 0.12))).astype(np.float32)
+    for x in (a, b):
+        assert abs(labels[x].mean() - labels.mean()) * np.sqrt(x.sum() / labels.mean() / (1 - labels.mean())) < 5
+    m = toxicity_fm.FactorizationMachine.fitted([np.append(o, [t for t, x in ((1, a[i]), (2, b[i])) if x]).astype(np.int32) for i, o in enumerate(others)], labels)
+
+    def score(*terms):
+        i = [m.place[t] for t in terms if t in m.place]
+        return m.bias + m.weights[i].sum() + 0.5 * ((m.factors[i].sum(0) ** 2).sum() - (m.factors[i] ** 2).sum())
+
+    assert score(1, 2) > 0 > max(score(1), score(2), score())
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
