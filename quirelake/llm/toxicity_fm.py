@@ -10,9 +10,10 @@ training rows) are regularised by smaller inputs, their factors much less than
 their weights, so that pairs of such terms are learned as well.
 
 The machine is fitted on the driver over a sample of labelled rows of at most
-``MOST_LABELLED`` documents, chosen by a hash of doc_id; what reaches the
-driver are hashed terms of at most ``MOST_TERMS`` words each, the model has a
-fixed size, and every whole text of the table is scored.
+``MOST_LABELLED`` documents, chosen by a hash of doc_id, of which whole texts
+are read; terms are counted on the executors, and what reaches the driver are
+those that take part.  No model has more than ``BUCKETS`` terms, and every
+whole text of the table is scored.
 
 Defined results: null and empty texts get the score of a text without terms;
 without labelled rows, with one class only or without such terms, every score is the smoothed
@@ -32,13 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, binary, held_out, per_document, rewritten
+from .common import alnum_words, binary, held_out, per_document, rewritten, stored
 
 BUCKETS = 1 << 22
 FACTORS = 4
-#: Labelled documents fitted at most, and the words of each that training reads at most.
+#: Labelled documents fitted at most.
 MOST_LABELLED = 12_000
-MOST_TERMS = 1_500
 #: Rows whose crc32(doc_id) is divisible by this are never learned from.
 HELD_OUT = 5
 BEGINNINGS = range(3, 8)
@@ -168,15 +168,29 @@ def fit(docs: DataFrame, labels: DataFrame, *, most: int = MOST_LABELLED) -> Fac
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for text in binary(batch.column("text")):
-                words = sorted(set(alnum_words(text)), key=lambda w: (zlib.crc32(w), w))[:MOST_TERMS]
-                found.append(np.array([t for w in words for t in word_terms(w)], np.int32).tobytes())
+            found = [np.array(sorted({t for w in set(alnum_words(text)) for t in word_terms(w)}), np.int32).tobytes() for text in binary(batch.column("text"))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(found, pa.binary()), batch.column("_label")], names=["doc_id", "terms", "_label"]
             )
 
-    rows = training_rows(docs, labels, most=most).mapInArrow(terms, "doc_id long, terms binary, _label int").toArrow().sort_by("doc_id")
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.int32)
+        for batch in batches:
+            for x in batch.column("terms").to_pylist():
+                total[np.frombuffer(x, np.int32)] += 1
+        found = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(found, pa.int32()), pa.array(total[found], pa.int64())], names=["term", "n"])
+
+    sample = stored(training_rows(docs, labels, most=most).mapInArrow(terms, "doc_id long, terms binary, _label int"))
+    often = sample.mapInArrow(seen, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_DOCUMENTS).select("term").toArrow()
+    sent = docs.sparkSession.sparkContext.broadcast(np.sort(often.column("term").to_numpy()))
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.intersect1d(np.frombuffer(x, np.int32), sent.value, assume_unique=True).tobytes() for x in batch.column("terms").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.binary()), batch.column("_label")], names=["doc_id", "terms", "_label"])
+
+    rows = sample.mapInArrow(kept, sample.schema).toArrow().sort_by("doc_id")
     documents = [np.frombuffer(x, np.int32) for x in rows.column("terms").to_pylist()]
     return FactorizationMachine.fitted(documents, np.array(rows.column("_label").to_pylist(), np.float32))
 

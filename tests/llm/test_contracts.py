@@ -368,6 +368,15 @@ def test_classifiers_odd(spark, odd, fit):
         assert len(got) == odd.count() and all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_toxicity_learns_from_whole_texts(spark):
+    """A toxic word beyond thousands of words of smaller crc32 is learned."""
+    toxic = next(w for i in itertools.count() if zlib.crc32((w := f"zz{i}").encode()) > 0xFFF00000)
+    filler = " ".join(f"word{i}" for i in range(3_000))
+    docs = spark.createDataFrame([(i, f"{filler} {toxic}" if i % 2 else filler) for i in range(100)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100)], "doc_id long, toxic int")
+    assert {(r["doc_id"] % 2, r["predicted"]) for r in toxicity_fm.toxicity_scores(docs, labels).collect()} == {(0, 0), (1, 1)}
+
+
 def test_interaction_of_terms():
     """An insult and a group mention are toxic together only: the pairwise part has to tell."""
     import numpy as np
