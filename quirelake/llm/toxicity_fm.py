@@ -1,7 +1,7 @@
 """Toxicity by a factorization machine over hashed terms.
 
 A document is the set of the hashed terms of its words: each word and its
-beginnings of three to seven characters.  Every term of ``LEAST_DOCUMENTS``
+beginnings of four and six bytes.  Every term of ``LEAST_DOCUMENTS``
 training rows takes part; each has a linear weight, and each pair of them in a
 document a low-rank interaction, so that a combination, such as an insult with
 the mention of a group, can weigh more than the sum of its parts.  Terms whose
@@ -19,8 +19,8 @@ Defined results: null and empty texts get the score of a text without terms;
 without labelled rows, with one class only or without such terms, every score is the smoothed
 share of toxic rows (0.5 without rows) less a hair, so nothing is rejected
 unseen; null labels are left out; a document labelled twice counts by its
-largest label; repeated rows give repeated results; columns other than
-doc_id and text are not read.
+largest label, one with several texts by the first of them in order; repeated
+rows give repeated results; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -41,22 +41,21 @@ FACTORS = 4
 MOST_LABELLED = 12_000
 #: Rows whose crc32(doc_id) is divisible by this are never learned from.
 HELD_OUT = 5
-BEGINNINGS = range(3, 8)
+BEGINNINGS = (4, 6)
 #: A term takes part if so many training documents have it.
 LEAST_DOCUMENTS = 5
 #: The z value from which a term is an input of 1; below, of what power of its part of it for weights and for factors, and of how much for factors at least.
 CLEAR_Z, WEIGHT_POWER, FACTOR_POWER, LEAST_FACTOR = 5.0, 3, 1, 0.1
 THRESHOLD = 0.5
+#: Steps of the fit at least.
+LEAST_STEPS = 600
 #: Words whose terms a Python worker remembers.
-CACHED = 500_000
+CACHED = 200_000
 
 
-def word_terms(word: bytes) -> set[int]:
-    """Hashed terms of a word: itself and its beginnings."""
-    text = word.decode("utf-8", "replace")
-    terms = {zlib.crc32(b"b:" + text[:n].encode()) % BUCKETS for n in BEGINNINGS if len(text) > n}
-    terms.add(zlib.crc32(b"w:" + word) % BUCKETS)
-    return terms
+def word_terms(word: bytes) -> list[int]:
+    """Hashed terms of a word: itself and its beginnings; the family of a term is where its checksum starts."""
+    return [zlib.crc32(word) % BUCKETS, *[zlib.crc32(word[:n], n) % BUCKETS for n in BEGINNINGS if len(word) > n]]
 
 
 class FactorizationMachine:
@@ -64,21 +63,36 @@ class FactorizationMachine:
 
     def __init__(self, bias: float, terms: np.ndarray, weights: np.ndarray, factors: np.ndarray):
         self.bias, self.terms, self.weights, self.factors = bias, terms, weights, factors
-        self.place = {t: i for i, t in enumerate(terms.tolist())}
-        self.words: dict[bytes, tuple[int, ...]] = {}
+        # Per term: what counts alone, w - |v|^2 / 2, and the factors.
+        self.inputs = np.column_stack([weights - 0.5 * (factors * factors).sum(1), factors]).astype(np.float64)
+        self._forget()
 
     def __reduce__(self):
         return FactorizationMachine, (self.bias, self.terms, self.weights, self.factors)
 
+    def _forget(self) -> None:
+        """Empties the table of words: the terms of word number i lie in ``flat`` from ``begins[i]`` to ``begins[i + 1]``."""
+        self.numbers: dict[bytes, int] = {}
+        self.flat = np.zeros(0, np.int64)
+        self.begins = np.zeros(1, np.int64)
+
+    @property
+    def place(self) -> dict[int, int]:
+        """The place of each term among the weights."""
+        return {t: i for i, t in enumerate(self.terms.tolist())}
+
     @classmethod
     def constant(cls, share: float) -> FactorizationMachine:
         """The same score for all texts, below one half."""
         share = min(max(share, 1e-6), 0.5 - 1e-6)
-        return cls(float(np.log(share / (1 - share))), np.zeros(0, np.int64), np.zeros(0), np.zeros((0, FACTORS)))
+        return cls(float(np.log(share / (1 - share))), np.zeros(0, np.int32), np.zeros(0), np.zeros((0, FACTORS)))
 
     @classmethod
     def fitted(cls, documents: list[np.ndarray], labels: np.ndarray, *, rounds: int = 30, rate: float = 0.2, decay: float = 2e-3) -> FactorizationMachine:
-        """Adagrad over mini-batches in a fixed order; inputs are scaled by the terms' z values."""
+        """Adagrad over mini-batches of fixed rows in changing order; inputs are scaled by the terms' z values.
+
+        Few rows are read more often than ``rounds`` times, until ``LEAST_STEPS`` batches were.
+        """
         n, positive = len(labels), int(labels.sum())
         if not 0 < positive < n:
             return cls.constant((positive + 0.5) / (n + 1) if n else 0.5)
@@ -89,65 +103,85 @@ class FactorizationMachine:
             seen[found] += 1
             toxic[found] += int(y)
         share = positive / n
-        terms = np.flatnonzero(seen >= LEAST_DOCUMENTS)
+        terms = np.flatnonzero(seen >= LEAST_DOCUMENTS).astype(np.int32)
         if not len(terms):
             return cls.constant(share)
         clear = np.abs(toxic[terms] - seen[terms] * share) / np.sqrt(seen[terms] * share * (1 - share)) / CLEAR_Z
         first = np.minimum(1, clear**WEIGHT_POWER)
         second = np.clip(clear**FACTOR_POWER, LEAST_FACTOR, 1)[:, None]
         place = np.full(BUCKETS, -1, np.int32)
-        place[terms] = np.arange(len(terms))
-        documents = [(i := place[np.unique(d)])[i >= 0] for d in documents]
+        place[terms] = np.arange(len(terms), dtype=np.int32)
         rng = np.random.default_rng(10)
+        order = rng.permutation(n)
+        batches = []
+        for at in range(0, n, 128):
+            rows = order[at : at + 128]
+            parts = [(i := place[np.unique(documents[r])])[i >= 0] for r in rows]
+            used, inside = np.unique(np.concatenate(parts), return_inverse=True)
+            owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(p) for p in parts])
+            batches.append((labels[rows], used, inside.astype(np.int32), owner))
         w = np.zeros(len(terms))
         v = rng.normal(0, 0.05, (len(terms), FACTORS))
         gw, gv = np.full(len(terms), 1e-1), np.full((len(terms), FACTORS), 1e-1)
         bias, gb = float(np.log(share / (1 - share))), 1.0
-        order = np.arange(n)
-        for _ in range(rounds):
-            rng.shuffle(order)
-            for at in range(0, n, 128):
-                rows = order[at : at + 128]
-                parts = [documents[i] for i in rows]
-                used = np.concatenate(parts)
-                owner = np.repeat(np.arange(len(rows)), [len(p) for p in parts])
-                vt = (second * v)[used]
-                total = np.stack([np.bincount(owner, vt[:, k], len(rows)) for k in range(FACTORS)], 1)
-                square = np.bincount(owner, (vt * vt).sum(1), len(rows))
-                score = bias + np.bincount(owner, (first * w)[used], len(rows)) + 0.5 * ((total * total).sum(1) - square)
-                error = 1 / (1 + np.exp(-np.clip(score, -30, 30))) - labels[rows]
-                each = error[owner]
-                dw = first * np.bincount(used, each, len(terms)) + decay * w
-                dv = second * np.stack([np.bincount(used, each * (total[owner, k] - vt[:, k]), len(terms)) for k in range(FACTORS)], 1) + decay * v
-                gw += dw * dw
-                gv += dv * dv
-                w -= rate * dw / np.sqrt(gw)
-                v -= 0.1 * rate * dv / np.sqrt(gv)
+        for _ in range(max(rounds, -(-LEAST_STEPS // len(batches)))):
+            for at in rng.permutation(len(batches)):
+                truth, used, inside, owner = batches[at]
+                n_rows, n_used = len(truth), len(used)
+                s1, s2 = first[used], second[used]
+                vs = s2 * v[used]
+                vt = vs[inside]
+                total = np.stack([np.bincount(owner, vt[:, k], n_rows) for k in range(FACTORS)], 1)
+                alone = (s1 * w[used] - 0.5 * (vs * vs).sum(1))[inside]
+                score = bias + np.bincount(owner, alone, n_rows) + 0.5 * (total * total).sum(1)
+                error = 1 / (1 + np.exp(-np.clip(score, -30, 30))) - truth
+                each, pull = error[owner], (error[:, None] * total)[owner]
+                mass = np.bincount(inside, each, n_used)
+                dw = s1 * mass + decay * w[used]
+                dv = s2 * (np.stack([np.bincount(inside, pull[:, k], n_used) for k in range(FACTORS)], 1) - mass[:, None] * vs) + decay * v[used]
+                gw[used] += dw * dw
+                gv[used] += dv * dv
+                w[used] -= rate * dw / np.sqrt(gw[used])
+                v[used] -= 0.1 * rate * dv / np.sqrt(gv[used])
                 db = float(error.sum())
                 gb += db * db
                 bias -= rate * db / gb**0.5
         return cls(bias, terms, first * w, second * v)
 
     def learn(self, words: set[bytes]) -> None:
-        """Looks the terms of new words up."""
-        known, place = self.words, self.place
-        if len(known) + len(words) > CACHED:
-            known.clear()
-        for w in words:
-            if w not in known:
-                known[w] = tuple(place[t] for t in word_terms(w) if t in place)
+        """Puts the terms of new words into the table."""
+        if len(self.numbers) > CACHED:
+            self._forget()
+        new = [w for w in words if w not in self.numbers]
+        if not new:
+            return
+        found = [word_terms(w) for w in new]
+        sizes = np.array([len(f) for f in found])
+        terms = np.fromiter((t for f in found for t in f), np.int32, int(sizes.sum()))
+        at = np.minimum(np.searchsorted(self.terms, terms), max(0, len(self.terms) - 1))
+        known = self.terms[at] == terms if len(self.terms) else np.zeros(len(terms), bool)
+        kept = np.add.reduceat(known, np.cumsum(sizes) - sizes).astype(np.int64)
+        self.numbers.update(zip(new, range(len(self.numbers), len(self.numbers) + len(new)), strict=True))
+        self.begins = np.concatenate([self.begins, self.begins[-1] + np.cumsum(kept)])
+        self.flat = np.concatenate([self.flat, at[known]])
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         """The scores of whole texts."""
         found = [set(alnum_words(t)) for t in texts]
         self.learn(set().union(*found))
-        known = self.words
+        sizes = np.array([len(f) for f in found], np.int64)
+        numbers = np.fromiter((i for f in found for i in map(self.numbers.__getitem__, f)), np.int64, int(sizes.sum()))
+        begins, counts = self.begins[numbers], self.begins[numbers + 1] - self.begins[numbers]
+        places = np.repeat(begins - np.cumsum(counts) + counts, counts) + np.arange(int(counts.sum()))
+        owner = np.repeat(np.repeat(np.arange(len(texts)), sizes), counts)
+        # Words share beginnings: each term counts once in a text.
+        keys = np.sort(owner * max(1, len(self.terms)) + self.flat[places])
+        owner, terms = np.divmod(keys[np.flatnonzero(np.diff(keys, prepend=-1))], max(1, len(self.terms)))
         out = np.full(len(texts), self.bias)
-        for i, words in enumerate(found):
-            if terms := {t for x in map(known.__getitem__, words) if x for t in x}:
-                at = sorted(terms)
-                v = self.factors[at]
-                out[i] += self.weights[at].sum() + 0.5 * ((v.sum(0) ** 2).sum() - (v * v).sum())
+        if len(terms):
+            begin = np.flatnonzero(np.diff(owner, prepend=-1))
+            sums = np.add.reduceat(self.inputs[terms], begin)
+            out[owner[begin]] += sums[:, 0] + 0.5 * (sums[:, 1:] ** 2).sum(1)
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
@@ -160,7 +194,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str = "toxic", most
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(most)
     )
-    return docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(wanted), "doc_id").dropDuplicates(["doc_id"])
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return texts.join(F.broadcast(wanted), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("_label").alias("_label"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, most: int = MOST_LABELLED) -> FactorizationMachine:
@@ -208,7 +243,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
         return digest
 
-    return per_document(docs, "score double, predicted int", prepare)
+    return per_document(docs, "score double, predicted int", prepare, most=2_000_000)
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -219,4 +254,4 @@ def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
         machine = sent.value
         return lambda texts: ((machine.scores(texts) < THRESHOLD).tolist(), {})
 
-    return rewritten(docs, prepare)
+    return rewritten(docs, prepare, most=2_000_000)
