@@ -1,10 +1,11 @@
 """Near-duplicate components by circulant MinHash.
 
-Two permutations of the 64-bit numbers make the whole signature: the first
-scatters the shingle hashes, the second, circularly shifted by one more place
-for each coordinate, gives that coordinate's minimum.  Bands of four
-coordinates propose candidates and exact Jaccard on the full sets of word
-shingles confirms them.
+Two permutations make the whole signature: the first scatters the shingle
+hashes over a circle of ``CIRCLE`` places, the second, a table of the places
+that is circularly shifted by one more for each coordinate, gives that
+coordinate's minimum.  All coordinates of a shingle so lie side by side in the
+table.  Bands of four coordinates propose candidates and exact Jaccard on the
+full sets of word shingles confirms them.
 
 Hot groups stay cheap without losing a link between different texts:
 
@@ -16,6 +17,7 @@ Hot groups stay cheap without losing a link between different texts:
   exact prefix filter: two sets of the similarity asked for must share one of
   the rarest fifth of their shingles, so texts that merely share a passage, or
   that are edited copies of one text too far from each other, never meet.
+  Only members of unlike components and like sizes are paired.
 
 Components are found by label propagation with pointer jumping over
 written tables in the shared folder.  With 28 bands of 4 coordinates a
@@ -23,32 +25,40 @@ pair of similarity 0.8 shares no band with a probability of 4e-7.
 
 Defined results: a null or empty text, or one without words, has no shingles,
 is linked with nothing and kept; a text of fewer words than a shingle is one
-shingle; repeated rows get the same result; rows with a null doc_id are linked
-with nothing, have a null component and are kept; an empty table gives an
-empty result; columns other than doc_id and text are not read.
+shingle; repeated rows get the same result, so all copies of a row that is kept
+are kept; rows of one doc_id with several texts are one document; rows with a
+null doc_id are linked with nothing, have a null component and are kept; an
+empty table gives an empty result; columns other than doc_id and text are not
+read.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary, lower_ascii, per_document, pieces, stored
+from .common import ASCII_SPACE, LOWER, UPPER, binary, lower_ascii, per_document, pieces, stored
 
 BANDS, ROWS = 28, 4
+#: Places of the circle.
+CIRCLE = 1 << 20
 #: Percent of similarity that links.
 PERCENT = 80
 #: Rounds of stars before components are compared.
 STARS = 2
+#: Bytes that are hashed at once, and of texts in a slice.
+_CHUNK = 1 << 20
 
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+#: A-Z to a-z, white space to spaces.
+_PLAIN = bytes.maketrans(UPPER.encode() + ASCII_SPACE, LOWER.encode() + b" " * len(ASCII_SPACE))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -61,14 +71,46 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class _WordCodes(dict):
-    """Hashes of words, remembered."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        code = self[word] = xxhash.xxh3_64_intdigest(word) >> 2
-        return code
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+@functools.lru_cache(1)
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A number for each byte, and the powers of an odd number and of its inverse."""
+    base = int(_GOLDEN)
+    return np.random.default_rng(5).integers(1, 2**63, 256, dtype=np.uint64), _powers(base, _CHUNK), _powers(pow(base, -1, 1 << 64), _CHUNK)
+
+
+def word_codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the lower-cased words of all texts, one after the other, and how many each text has."""
+    codes, up, down = _tables()
+    data = b" ".join(texts).translate(_PLAIN) + b" "
+    hashes, starts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    begin = 0
+    while begin < len(data):  # each part ends with a space
+        end = data.rfind(b" ", begin, begin + _CHUNK) + 1 or data.index(b" ", begin) + 1
+        part = np.frombuffer(data, np.uint8, end - begin, begin)
+        if len(part) > len(up):
+            up, down = _powers(int(_GOLDEN), len(part)), _powers(pow(int(_GOLDEN), -1, 1 << 64), len(part))
+        inside = part != 32
+        edges = np.flatnonzero(np.diff(inside, prepend=False))
+        first, last = edges[::2], edges[1::2]
+        sums = np.cumsum(np.where(inside, codes[part] * up[: len(part)], np.uint64(0)), dtype=np.uint64)
+        hashes.append(_mixed((sums[last] - sums[first] + codes[part[first]] * up[first]) * down[first]))
+        starts.append(first + begin)
+        begin = end
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    return np.concatenate(hashes), np.diff(np.searchsorted(np.concatenate(starts), ends), prepend=0)
+
+
+@functools.lru_cache(2)
+def _circle(coordinates: int) -> np.ndarray:
+    """The second permutation, read from each place on."""
+    table = np.random.default_rng(11).permutation(CIRCLE).astype(np.int32)
+    return np.lib.stride_tricks.sliding_window_view(np.concatenate([table, table[: coordinates - 1]]), coordinates)
 
 
 class CirculantMinHash:
@@ -76,33 +118,40 @@ class CirculantMinHash:
 
     def __init__(self, width: int, bands: int = BANDS, rows: int = ROWS):
         self.width, self.bands, self.rows = width, bands, rows
-        self.codes = _WordCodes()
-        self.shifts = np.arange(1, bands * rows + 1, dtype=np.uint64)[:, None]
-
-    def shingles(self, text: bytes) -> np.ndarray:
-        """Sorted hashes of the distinct shingles of a text."""
-        words = lower_ascii(text).split()
-        if not words:
-            return np.zeros(0, np.uint64)
-        codes = np.fromiter(map(self.codes.__getitem__, words), np.uint64, len(words))
-        width = min(self.width, len(words))
-        n = len(words) - width + 1
+
+    def shingles(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Sorted hashes of the distinct shingles of each text."""
+        codes, sizes = word_codes(texts)
+        whole = self._windows(codes, self.width)
+        out, begin = [], 0
+        for n in sizes.tolist():
+            if n >= self.width:
+                out.append(np.unique(whole[begin : begin + n - self.width + 1]))
+            else:
+                out.append(self._windows(codes[begin : begin + n], n) if n else np.zeros(0, np.uint64))
+            begin += n
+        return out
+
+    @staticmethod
+    def _windows(codes: np.ndarray, width: int) -> np.ndarray:
+        n = max(0, len(codes) - width + 1)
         h = np.full(n, width, np.uint64)
         for k in range(width):
             h = _mixed(h * _GOLDEN + codes[k : k + n])
-        return np.unique(h)
+        return h
 
     def signature(self, shingles: np.ndarray) -> np.ndarray:
-        """Minima of the second permutation, shifted once more for each coordinate."""
-        first = _mixed(shingles + _GOLDEN)
-        low = np.full(len(self.shifts), np.iinfo(np.uint64).max)
-        for at in range(0, len(first), 1024):
-            np.minimum(low, _mixed(first[None, at : at + 1024] - self.shifts).min(1), out=low)
+        """The least number on the circle's table, shifted once more for each coordinate."""
+        circle = _circle(self.bands * self.rows)
+        places = (_mixed(shingles + _GOLDEN) % np.uint64(CIRCLE)).astype(np.int64)
+        low = np.full(circle.shape[1], CIRCLE, np.int32)
+        for at in range(0, len(places), 2048):
+            np.minimum(low, circle[places[at : at + 2048]].min(0), out=low)
         return low
 
     def keys(self, signature: np.ndarray) -> np.ndarray:
         """One bucket key for each band."""
-        rows = signature.reshape(self.bands, self.rows)
+        rows = signature.astype(np.uint64).reshape(self.bands, self.rows)
         key = np.arange(self.bands, dtype=np.uint64)
         for column in rows.T:
             key = _mixed(key * _GOLDEN + column)
@@ -123,8 +172,7 @@ def signed(docs: DataFrame, width: int) -> DataFrame:
 
         def digest(texts: list[bytes]) -> dict[str, list]:
             out: dict[str, list] = {"n_shingles": [], "fingerprint": [], "keys": []}
-            for t in texts:
-                s = minhash.shingles(t)
+            for s in minhash.shingles(texts):
                 out["n_shingles"].append(len(s))
                 out["fingerprint"].append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 out["keys"].append(minhash.keys(minhash.signature(s)).tolist() if len(s) else None)
@@ -132,7 +180,7 @@ def signed(docs: DataFrame, width: int) -> DataFrame:
 
         return digest
 
-    return per_document(docs, "n_shingles long, fingerprint binary, keys array<long>", prepare)
+    return per_document(docs, "n_shingles long, fingerprint binary, keys array<long>", prepare, most=_CHUNK)
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
@@ -173,7 +221,7 @@ def _prefix_pairs(texts: DataFrame, labels: DataFrame, width: int) -> DataFrame:
         minhash = CirculantMinHash(width)
         for batch in batches:
             for piece in pieces(batch, "text", 1_000_000):
-                sets = [minhash.shingles(t).view(np.int64) for t in binary(piece.column("text"))]
+                sets = [x.view(np.int64) for x in minhash.shingles(binary(piece.column("text")))]
                 sizes = np.array([len(s) for s in sets])
                 ids = np.repeat(piece.column("node").to_numpy(), sizes)
                 yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(np.repeat(sizes, sizes), pa.int64()), pa.array(np.concatenate(sets))], names=["node", "size", "shingle"])
@@ -186,9 +234,15 @@ def _prefix_pairs(texts: DataFrame, labels: DataFrame, width: int) -> DataFrame:
     left = (prefix - alone).cast("int")
     chosen = shared.where(left > 0).select("node", "size", alone.alias("alone"), F.posexplode(F.slice("shared", F.lit(1), left)["shingle"]).alias("at", "shingle"))
     chosen = stored(chosen.select("node", "size", "shingle", (F.col("size") - F.col("alone") - F.col("at")).alias("rest")).join(labels, "node"))
-    x, y = (chosen.select("shingle", *(F.col(c).alias(f"{s}{t}") for c, t in (("node", ""), ("size", "_size"), ("label", "_label"), ("rest", "_rest")))) for s in "xy")
+    # Of each shingle, members of the commonest component are never paired with each other.
+    kinds = chosen.groupBy("shingle", "label").agg(F.count("*").alias("n")).groupBy("shingle")
+    mixed = stored(kinds.agg(F.max(F.struct("n", "label"))["label"].alias("major"), F.count("*").alias("labels")).where("labels > 1").drop("labels"))
+    rows = chosen.join(mixed, "shingle").withColumn("band", F.floor(F.log(F.col("size")) / float(np.log(101 / PERCENT))))
+    side = lambda s: [F.col(c).alias(f"{s}{t}") for c, t in (("node", ""), ("size", "_size"), ("label", "_label"), ("rest", "_rest"))]
+    x = rows.where("label <> major").select("shingle", "band", *side("x"))
+    y = rows.select("shingle", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), *side("y"))
     enough = (100 + PERCENT) * F.least("x_rest", "y_rest") >= PERCENT * (F.col("x_size") + F.col("y_size"))
-    return x.join(y, "shingle").where((F.col("x") < F.col("y")) & enough)
+    return x.join(y, ["shingle", "band"]).where((F.col("x_label") != F.col("y_label")) & enough)
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -215,12 +269,12 @@ def near_duplicates(docs: DataFrame, *, width: int = 4) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     all_signed = stored(signed(docs, width))
     usable = all_signed.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    classes = usable.groupBy("fingerprint").agg(
-        F.min("doc_id").alias("node"), F.first("n_shingles").alias("size"), F.first("keys").alias("keys")
+    classes = stored(
+        usable.groupBy("fingerprint").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("size"), F.first("keys").alias("keys"))
     )
     placed = classes.select("node", "size", F.explode("keys").alias("key"))
-    shared = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    members = stored(placed.join(shared.select("key", "n"), "key").select("key", "node", "size", "n"))
+    shared = stored(placed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key", "n"))
+    members = stored(placed.join(shared, "key").select("key", "node", "size", "n"))
     # Members of a node's buckets: the text behind many copies shares most.
     nodes = stored(members.groupBy("node").agg(F.sum("n").alias("weight"), F.max("size").alias("size")))
     texts = stored(docs.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text"))
@@ -229,35 +283,33 @@ def near_duplicates(docs: DataFrame, *, width: int = 4) -> DataFrame:
         placed = members.join(labels.join(nodes.drop("size"), "node") if turn == 0 else labels, "node")
         rank = F.col("weight") if turn == 0 else F.hash("node", F.lit(turn)).cast("long")
         several = placed.groupBy("key").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.max(F.struct(rank.alias("rank"), (-F.col("node")).alias("_node"), "size", "label")).alias("pivot"))
-        mixed = several.where("_low < _high").select("key", "pivot")
+        mixed = stored(several.where("_low < _high").select("key", "pivot"))
+        if mixed.isEmpty():
+            break
         if turn < STARS:
-            pairs = placed.join(mixed, "key").select("key", (-F.col("pivot._node")).alias("x"), F.col("pivot.size").alias("x_size"), F.col("pivot.label").alias("x_label"), F.col("node").alias("y"), F.col("size").alias("y_size"), F.col("label").alias("y_label"))
+            pairs = placed.join(mixed, "key").select((-F.col("pivot._node")).alias("x"), F.col("pivot.size").alias("x_size"), F.col("pivot.label").alias("x_label"), F.col("node").alias("y"), F.col("size").alias("y_size"), F.col("label").alias("y_label"))
         else:
             still = placed.join(mixed.select("key"), "key").select("node").distinct()
             pairs = _prefix_pairs(texts.join(still, "node"), labels, width)
         near = F.lit(100) * F.least("x_size", "y_size") >= PERCENT * F.greatest("x_size", "y_size")
-        pairs = stored(pairs.where((F.col("x_label") != F.col("y_label")) & near).select("x", "y").distinct().select(F.col("x").alias("a"), F.col("y").alias("b")))
-        if pairs.isEmpty():
-            break
-        found = stored(_linked(pairs, texts, width))
-        if found.isEmpty():
+        pairs = pairs.where((F.col("x_label") != F.col("y_label")) & near).select(F.col("x").alias("a"), F.col("y").alias("b"))
+        found = stored(_linked(stored(pairs.distinct()), texts, width))
+        if found.isEmpty():  # this round's pivots link nothing; the next may, and the last compares all
             continue
         # Links become edges between components.
         of = lambda end: labels.select(F.col("node").alias(end), F.col("label").alias(f"{end}_label"))  # noqa: B023, E731
         edges = found.join(of("a"), "a").join(of("b"), "b").select(F.col("a_label").alias("a"), F.col("b_label").alias("b")).where("a <> b").distinct()
         merged = components(labels.select(F.col("label").alias("node")).distinct(), edges)
         labels = stored(labels.join(merged.select(F.col("node").alias("label"), F.col("label").alias("new")), "label").select("node", F.col("new").alias("label")))
-    by_class = classes.select("fingerprint", "node").join(labels, "node", "left").select("fingerprint", F.coalesce("label", "node").alias("found"))
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id"))
-    return (
-        all_signed.select("doc_id", "n_shingles", "fingerprint")
-        .join(by_class, "fingerprint", "left")
-        .select("doc_id", "n_shingles", component.alias("component_id"))
-        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-    )
+    # Only classes that a smaller document reaches change; a table, so that groups of copies can be split in the join.
+    moved = stored(classes.select("fingerprint", "node").join(labels, "node", "left").select("fingerprint", F.coalesce("label", "node").alias("found")))
+    rows = all_signed.select("doc_id", "n_shingles", "fingerprint")
+    bare = F.col("fingerprint").isNull() | F.col("doc_id").isNull()
+    whole = rows.where(~bare).join(moved, "fingerprint", "left").unionByName(rows.where(bare).withColumn("found", F.col("doc_id")))
+    return whole.select("doc_id", "n_shingles", F.col("found").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_one(docs: DataFrame, *, width: int = 4) -> DataFrame:
     """The columns of ``docs`` without documents that have a smaller near duplicate."""
-    gone = near_duplicates(docs, width=width).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    gone = near_duplicates(docs, width=width).where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["gone"], "left_anti")
