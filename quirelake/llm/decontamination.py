@@ -4,9 +4,11 @@ Every window of 13 consecutive words of a benchmark item (or the whole item,
 where it is shorter) goes into a hash set.  Documents are scanned once: words
 outside the benchmark's vocabulary cannot lie in a window, so only runs of
 known words are hashed; a hash hit counts after its words are compared.  The
-set is sent out in blocks of at most ``MOST_WINDOWS`` windows.  A benchmark of
-one block, the usual case, needs no shuffle; a larger one scans the documents
-once a block and joins the hits by document.
+set is sent out in blocks of at most ``MOST_WINDOWS`` windows, one at a time.
+A benchmark of one block, the usual case, needs no shuffle; a larger one scans
+the documents once a block, writes the places found to a table, and joins the
+places of all blocks by row (doc_id and digest of the text, nulls equal), so
+that the result is the same however the benchmark is cut.
 
 Defined results: null and empty texts have no words, no hits and stay;
 items without words are ignored; repeated rows of documents give repeated
@@ -18,6 +20,8 @@ columns, whatever their names, pass through or are not read.
 from __future__ import annotations
 
 import hashlib
+import itertools
+import re
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
@@ -25,8 +29,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import LOWER, UPPER, alnum_words, per_document, rewritten
+from .common import LOWER, UPPER, alnum_words, binary, per_document, rewritten, stored
 
 WINDOW = 13
 #: A document goes when this part of its words, or more, is hit: one in twenty.
@@ -34,6 +39,8 @@ ONE_IN = 20
 #: Windows broadcast at once: about 200 MB on an executor.
 MOST_WINDOWS = 400_000
 
+NON_WORD_OF_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -148,56 +155,68 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, most: int = MOST_WIN
             return digest
 
         return per_document(docs, schema, prepare)
-    return _by_blocks(docs, [first, second], blocks)
+    return _by_blocks(docs, itertools.chain([first, second], blocks)).drop("key")
 
 
-def _by_blocks(docs: DataFrame, begun: list, blocks: Iterator) -> DataFrame:
-    """The same for a benchmark of several blocks: hits of each block, joined by document."""
-    spark = docs.sparkSession
-    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.sha2("text", 256))
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and key: what tells one row's content from another's."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.sha2(text, 256).alias("key"))
+
+
+def _hits(keyed: DataFrame, blocks: Iterable[list]) -> DataFrame:
+    """key, start, width, items of every place of every block; one block is in memory at a time."""
+    spark = keyed.sparkSession
     hits = None
-    for block in (x for part in (begun, blocks) for x in part):
+    texts = keyed.select("key", "text")
+    for block in blocks:
         sent = spark.sparkContext.broadcast(WindowSet(block))
 
         def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             windows = sent.value
             for batch in batches:
                 rows = [
-                    (i, k, s, w, sorted(x for x in who if x is not None))
-                    for i, k, t in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "key", "text")), strict=True)
-                    for s, w, who in windows.hits(windows.ids(alnum_words(t.encode())))
+                    (k, s, w, sorted(x for x in who if x is not None))
+                    for k, t in zip(batch.column("key").to_pylist(), binary(batch.column("text")), strict=True)
+                    for s, w, who in windows.hits(windows.ids(alnum_words(t)))
                 ]
                 if rows:
                     columns = list(zip(*rows, strict=True))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True)],
-                        names=["doc_id", "key", "start", "width", "items"],
-                    )
+                    kinds = (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+                    yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["key", "start", "width", "items"])
 
-        found = keyed.mapInArrow(scan, "doc_id long, key string, start long, width long, items array<long>")
+        found = stored(texts.mapInArrow(scan, "key string, start long, width long, items array<long>"))
+        sent.unpersist()
         hits = found if hits is None else hits.unionByName(found)
-    # Overlapping windows, reduced to the word places that each document's hits cover.
-    places = hits.select("doc_id", "key", F.explode(F.sequence("start", F.col("start") + F.col("width") - 1)).alias("at")).distinct()
-    n_hit = places.groupBy("doc_id", "key").agg(F.count("*").alias("n_hit"))
-    items = (
-        hits.select("doc_id", "key", F.explode(F.col("items").cast("array<string>")).alias("item"))
-        .groupBy("doc_id", "key")
-        .agg(F.sort_array(F.collect_set("item")).alias("items"))
-    )
-    words = F.size(F.filter(F.split(F.col("text"), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), lambda w: w != ""))
-    out = keyed.select("doc_id", "key", words.cast("long").alias("n_words"))
-    for side in (n_hit, items):
-        right = side.withColumnsRenamed({"doc_id": "_d", "key": "_k"})
-        out = out.join(right, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k")), "left").drop("_d", "_k")
+    return hits
+
+
+def _spans(hits: DataFrame) -> DataFrame:
+    """key and the distinct (start, width) of a text, in order; at most a few for each of its words."""
+    return hits.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("start", "width"))).alias("spans"))
+
+
+def _by_blocks(docs: DataFrame, blocks: Iterable[list]) -> DataFrame:
+    """The same for a benchmark of several blocks, with the key of each row's text."""
+    keyed = _keyed(docs)
+    hits = _hits(keyed, blocks)
+    # Overlapping windows, reduced to the word places that each text's hits cover.
+    places = hits.select("key", F.explode(F.sequence("start", F.col("start") + F.col("width") - 1)).alias("at")).distinct()
+    n_hit = places.groupBy("key").agg(F.count("*").alias("n_hit"))
+    listed = hits.select("key", F.explode_outer(F.col("items").cast("array<string>")).alias("item")).groupBy("key").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    found = stored(n_hit.join(listed, "key"))
+    words = F.size(F.filter(F.split(F.col("text"), NON_WORD_OF_ANY_CASE), lambda w: w != ""))
+    out = keyed.select("doc_id", "key", words.cast("long").alias("n_words")).join(found, "key", "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
-    listed = F.coalesce("items", F.array().cast("array<string>"))
+    items = F.coalesce("items", F.array().cast("array<string>"))
     return out.select(
         "doc_id",
         "n_words",
         n_hit.alias("n_hit"),
-        F.size(listed).cast("long").alias("n_items"),
-        F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"),
+        F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
         ((n_hit > 0) & (ONE_IN * n_hit >= F.col("n_words"))).alias("contaminated"),
+        "key",
     )
 
 
@@ -219,53 +238,68 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN k USING (doc_id)
 """
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, remove: str = "documents") -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, remove: str = "documents", most: int = MOST_WINDOWS) -> DataFrame:
     """The columns of ``docs`` without contaminated documents, or without the hit spans.
 
-    ``remove="documents"`` drops documents of which a twentieth or more is
-    hit; ``remove="spans"`` keeps all documents and cuts the words inside
-    windows out of the texts.  Each block of windows is one pass without a
-    shuffle when spans go; documents of a many-block benchmark are judged by
-    ``contamination`` and joined.
+    ``remove="documents"`` drops rows of which a twentieth or more is hit;
+    ``remove="spans"`` keeps all rows and cuts the words inside windows out of
+    the texts, once for all windows.
     """
-    spark = docs.sparkSession
     if remove not in ("documents", "spans"):
         raise ValueError(f"remove: documents or spans, not {remove!r}")
-    blocks = benchmark_blocks(benchmark)
+    blocks = benchmark_blocks(benchmark, most)
     first, second = next(blocks, []), next(blocks, None)
-    if remove == "documents" and second is not None:
-        bad = _by_blocks(docs, [first, second], blocks).where("contaminated").select("doc_id").distinct()
-        return docs.join(bad, "doc_id", "left_anti")
-    for block in [first] if second is None else (x for part in ([first, second], blocks) for x in part):
-        sent = spark.sparkContext.broadcast(WindowSet(block))
-
-        def prepare(sent=sent):
-            windows = sent.value
-
-            def decide(texts: list[bytes]) -> tuple[list[bool], dict[int, str]]:
-                kept, new = [True] * len(texts), {}
-                for i, t in enumerate(texts):
-                    words = alnum_words(t)
-                    if found := windows.hits(windows.ids(words)):
-                        if remove == "documents":
-                            kept[i] = ONE_IN * _covered([f[:2] for f in found], len(words)) < len(words)
-                        else:
-                            new[i] = _without(t, found)
-                return kept, new
-
-            return decide
-
-        docs = rewritten(docs, prepare)
-    return docs
-
-
-def _without(text: bytes, found: list[tuple[int, int, set]]) -> str:
-    """The text without the words of the windows found and what stands between them."""
-    import re
-
-    places = [m.span() for m in re.finditer(rb"[0-9A-Za-z\x80-\xff]+", text)]
+    if second is not None:
+        return _decontaminated_by_blocks(docs, itertools.chain([first, second], blocks), remove)
+    sent = docs.sparkSession.sparkContext.broadcast(WindowSet(first))
+
+    def prepare():
+        windows = sent.value
+
+        def decide(texts: list[bytes]) -> tuple[list[bool], dict[int, str]]:
+            kept, new = [True] * len(texts), {}
+            for i, t in enumerate(texts):
+                words = alnum_words(t)
+                if found := windows.hits(windows.ids(words)):
+                    if remove == "documents":
+                        kept[i] = ONE_IN * _covered([f[:2] for f in found], len(words)) < len(words)
+                    else:
+                        new[i] = _without(t, [f[:2] for f in found])
+            return kept, new
+
+        return decide
+
+    return rewritten(docs, prepare)
+
+
+def _decontaminated_by_blocks(docs: DataFrame, blocks: Iterable[list], remove: str) -> DataFrame:
+    """The same for several blocks: texts with hits, few of all, meet their rows by key."""
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    if remove == "documents":
+        bad = _by_blocks(docs, blocks).where("contaminated").select(F.col("key").alias("bad")).distinct()
+        return docs.join(bad, F.sha2(text, 256) == bad["bad"], "left_anti")
+    keyed = _keyed(docs)
+    spans = _spans(_hits(keyed, blocks))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            new = [_without(t, [(x["start"], x["width"]) for x in s]) for t, s in zip(binary(batch.column("text")), batch.column("spans").to_pylist(), strict=True)]
+            yield pa.record_batch([batch.column("key"), pa.array(new, pa.string())], names=["key_of", "text_of"])
+
+    cuts = stored(keyed.select("key", "text").dropDuplicates(["key"]).join(spans, "key").mapInArrow(cut, "key_of string, text_of string"))
+    met = docs.join(cuts, F.sha2(text, 256) == cuts["key_of"], "left")
+    changed = cuts["text_of"].isNotNull()
+    value = {"text": F.when(changed, cuts["text_of"]).otherwise(docs["text"])}
+    if isinstance(dict((f.name, f.dataType) for f in docs.schema).get("n_chars"), (T.LongType, T.IntegerType)):
+        value["n_chars"] = F.when(changed, F.char_length(cuts["text_of"])).otherwise(docs["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return met.select(*(value[c].alias(c) if c in value else docs[c] for c in docs.columns))
+
+
+def _without(text: bytes, found: list[tuple[int, int]]) -> str:
+    """The text without the words of the windows (first word, width) found and what stands between them."""
+    places = [m.span() for m in _WORD.finditer(text)]
     out, at = bytearray(), 0
-    for s, w, _ in sorted(found, key=lambda f: f[0]):
+    for s, w in sorted(found):
         begin, end = places[s][0], places[s + w - 1][1]
         if begin >= at:
             out += text[at:begin]

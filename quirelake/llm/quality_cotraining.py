@@ -3,8 +3,8 @@
 Two classifiers see different views of a document: its text (style measures
 of the whole text) and its page metadata (language, source, length class).
 Both start from the labelled rows; in each round either one labels the
-documents that it is most sure of, among all unlabelled ones, and hands them
-to the other.  At the end
+documents that it is most sure of, among all unlabelled ones that it has not
+labelled yet, and hands them to the other.  At the end
 each view is calibrated on labelled rows that were kept apart, and a second
 logistic model over the calibrated views scores every document.
 
@@ -39,7 +39,7 @@ from .quality_rules import repeated_words
 HELD_OUT = 5
 MOST_LABELLED = 6_000
 ROUNDS = 5
-#: Part of the unlabelled rows that either view labels in a round.
+#: Part of the rows it has not labelled yet that either view labels in a round.
 CONFIDENT = 0.05
 #: Bins of a score's logit by which rows are ranked.
 BINS = 256
@@ -179,11 +179,12 @@ class Pool:
 
         return self.rows.mapInArrow(batches, schema)
 
-    def histograms(self, views: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """The bins in order and their counts, for either view."""
+    def histograms(self, views: list[np.ndarray], rules: list[list[Rule]]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The bins in order and their counts, for either view, over the rows that it has not labelled yet."""
 
         def run(styles: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
-            found = [np.unique(_binned(v, styles, places, views[v]), return_counts=True) for v in (0, 1)]
+            left = [given(v, rules[v], styles, places) < 0 for v in (0, 1)]
+            found = [np.unique(_binned(v, styles[left[v]], places[left[v]], views[v]), return_counts=True) for v in (0, 1)]
             view = np.repeat([0, 1], [len(b) for b, _ in found])
             bins, counts = (np.concatenate(c) for c in zip(*found, strict=True))
             return pa.record_batch([pa.array(view, pa.int32()), pa.array(bins, pa.int32()), pa.array(counts, pa.int64())], names=["view", "bin", "n"])
@@ -263,11 +264,12 @@ class CoTrained:
         rules: list[list[Rule]] = [[], []]
         views = [logistic(x, y) for x in train]
         for _ in range(ROUNDS):
-            ranked = pool.histograms(views)
-            if not len(ranked[0][0]):
+            ranked = pool.histograms(views, rules)
+            if not len(ranked[0][0]) and not len(ranked[1][0]):
                 break
             for view in (0, 1):
-                rules[view].append(rule(views[view], *ranked[view], float(y.mean())))
+                if len(ranked[view][0]):
+                    rules[view].append(rule(views[view], *ranked[view], float(y.mean())))
             places, taught, n = pool.metadata_counts(rules[0])
             views = [
                 logistic(train[0], y, more=lambda w: pool.style_derivatives(rules[1], w), start=views[0]),
