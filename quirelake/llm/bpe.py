@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from .common import per_document
 
-#: Pieces between white space, and pre-tokens, whose encoding a Python worker remembers; the oldest half goes first.
-CACHED = 300_000
+#: Pieces between white space, and pre-tokens, whose encoding a task remembers; the oldest half goes first.
+CACHED = 200_000
 #: The encoding of a piece without tokens.
 _NONE = (0, "", "")
 
@@ -69,8 +69,6 @@ class PairIndexBPE:
         self.words = regex.compile(pattern).findall
         self.spaced = regex.compile(r"\P{White_Space}+").findall
         self.marks = regex.compile("|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True)))) if self.specials else None
-        self.known_words: dict[str, tuple[int, str, str]] = {}
-        self.known: dict[str, tuple[int, str, str]] = {}
 
     def normalized(self, text: str) -> str:
         """NFC, then each character in lower case by itself."""
@@ -161,15 +159,28 @@ class PairIndexBPE:
             out.append(ids)
         return out
 
+    def decode(self, ids: Iterable[int]) -> str:
+        """Token strings joined by a space, special tokens included."""
+        return " ".join(self.tokens[i] for i in ids)
+
+
+class Encoder:
+    """Encodes texts by a vocabulary, with caches that end with it."""
+
+    def __init__(self, bpe: PairIndexBPE):
+        self.bpe = bpe
+        self.known_words: dict[str, tuple[int, str, str]] = {}
+        self.known: dict[str, tuple[int, str, str]] = {}
+
     def learn(self, pieces: Iterable[str]) -> None:
         """Puts the encodings of new pieces into the cache."""
-        known, known_words, tokens = self.known, self.known_words, self.tokens
+        known, known_words, tokens = self.known, self.known_words, self.bpe.tokens
         new = _unknown(pieces, known)
         for begin in range(0, len(new), 20_000):
             part = new[begin : begin + 20_000]
-            split = [self.words(self.normalized(x)) for x in part]
+            split = [self.bpe.words(self.bpe.normalized(x)) for x in part]
             words = _unknown({w for s in split for w in s}, known_words)
-            for word, ids in zip(words, self.merged(words), strict=True):
+            for word, ids in zip(words, self.bpe.merged(words), strict=True):
                 known_words[word] = (len(ids), " ".join(map(str, ids)), " ".join([tokens[i] for i in ids]))
             for piece, s in zip(part, split, strict=True):
                 found = [known_words[w] for w in s]
@@ -179,17 +190,13 @@ class PairIndexBPE:
         """Ids of a whole text."""
         return [int(i) for _, ids, _ in self._found([text])[0] for i in ids.split()]
 
-    def decode(self, ids: Iterable[int]) -> str:
-        """Token strings joined by a space, special tokens included."""
-        return " ".join(self.tokens[i] for i in ids)
-
     def _found(self, texts: list[str]) -> list[list[tuple[int, str, str]]]:
         """The encodings of the pieces of each text, pieces without tokens left out."""
-        parts = [self.pieces(t) for t in texts]
+        parts = [self.bpe.pieces(t) for t in texts]
         distinct: set = set()
         for p in parts:
             distinct.update(p)
-        specials = {i: (1, str(i), self.tokens[i]) for i in distinct if isinstance(i, int)}
+        specials = {i: (1, str(i), self.bpe.tokens[i]) for i in distinct if isinstance(i, int)}
         distinct.difference_update(specials)
         self.learn(distinct)
         known = self.known | specials if specials else self.known
@@ -229,7 +236,7 @@ _loaded: dict[int, PairIndexBPE] = {}
 
 
 def _loaded_once(source: str) -> PairIndexBPE:
-    """One tokenizer, and so one cache, for all tasks of a Python worker."""
+    """One vocabulary for all tasks of a Python worker."""
     key = hash(source)
     if key not in _loaded:
         _loaded.clear()
@@ -241,7 +248,7 @@ def bpe_digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text."""
     source = docs.sparkSession.sparkContext.broadcast(tokenizer_source(path))
     return per_document(
-        docs, "n_tokens long, ids_sha256 string, decoded_sha256 string", lambda: _loaded_once(source.value).digests, most=4_000_000
+        docs, "n_tokens long, ids_sha256 string, decoded_sha256 string", lambda: Encoder(_loaded_once(source.value)).digests, most=2_000_000
     )
 
 
@@ -250,10 +257,10 @@ def bpe_encode(docs: DataFrame, path: str) -> DataFrame:
     source = docs.sparkSession.sparkContext.broadcast(tokenizer_source(path))
 
     def prepare():
-        encode = _loaded_once(source.value).encode
+        encode = Encoder(_loaded_once(source.value)).encode
         return lambda texts: {"ids": [encode(t.decode("utf-8", "replace")) for t in texts]}
 
-    return per_document(docs, "ids array<int>", prepare, most=4_000_000)
+    return per_document(docs, "ids array<int>", prepare, most=2_000_000)
 
 
 def bpe_decode(encoded: DataFrame, path: str) -> DataFrame:

@@ -47,9 +47,9 @@ LEAST_DOCUMENTS = 5
 #: The z value from which a term is an input of 1; below, of what power of its part of it for weights and for factors, and of how much for factors at least.
 CLEAR_Z, WEIGHT_POWER, FACTOR_POWER, LEAST_FACTOR = 5.0, 3, 1, 0.1
 THRESHOLD = 0.5
-#: Steps of the fit at least.
-LEAST_STEPS = 600
-#: Words whose terms a Python worker remembers.
+#: Mini-batches of the fit.
+STEPS = 1_000
+#: Words whose terms a task remembers.
 CACHED = 200_000
 
 
@@ -65,17 +65,10 @@ class FactorizationMachine:
         self.bias, self.terms, self.weights, self.factors = bias, terms, weights, factors
         # Per term: what counts alone, w - |v|^2 / 2, and the factors.
         self.inputs = np.column_stack([weights - 0.5 * (factors * factors).sum(1), factors]).astype(np.float64)
-        self._forget()
 
     def __reduce__(self):
         return FactorizationMachine, (self.bias, self.terms, self.weights, self.factors)
 
-    def _forget(self) -> None:
-        """Empties the table of words: the terms of word number i lie in ``flat`` from ``begins[i]`` to ``begins[i + 1]``."""
-        self.numbers: dict[bytes, int] = {}
-        self.flat = np.zeros(0, np.int64)
-        self.begins = np.zeros(1, np.int64)
-
     @property
     def place(self) -> dict[int, int]:
         """The place of each term among the weights."""
@@ -88,10 +81,10 @@ class FactorizationMachine:
         return cls(float(np.log(share / (1 - share))), np.zeros(0, np.int32), np.zeros(0), np.zeros((0, FACTORS)))
 
     @classmethod
-    def fitted(cls, documents: list[np.ndarray], labels: np.ndarray, *, rounds: int = 30, rate: float = 0.2, decay: float = 2e-3) -> FactorizationMachine:
+    def fitted(cls, documents: list[np.ndarray], labels: np.ndarray, *, steps: int = STEPS, rate: float = 0.25, decay: float = 2e-3) -> FactorizationMachine:
         """Adagrad over mini-batches of fixed rows in changing order; inputs are scaled by the terms' z values.
 
-        Few rows are read more often than ``rounds`` times, until ``LEAST_STEPS`` batches were.
+        The number of steps does not depend on that of the rows, each of which is read once at least.
         """
         n, positive = len(labels), int(labels.sum())
         if not 0 < positive < n:
@@ -124,7 +117,7 @@ class FactorizationMachine:
         v = rng.normal(0, 0.05, (len(terms), FACTORS))
         gw, gv = np.full(len(terms), 1e-1), np.full((len(terms), FACTORS), 1e-1)
         bias, gb = float(np.log(share / (1 - share))), 1.0
-        for _ in range(max(rounds, -(-LEAST_STEPS // len(batches)))):
+        for _ in range(-(-steps // len(batches))):
             for at in rng.permutation(len(batches)):
                 truth, used, inside, owner = batches[at]
                 n_rows, n_used = len(truth), len(used)
@@ -148,6 +141,24 @@ class FactorizationMachine:
                 bias -= rate * db / gb**0.5
         return cls(bias, terms, first * w, second * v)
 
+    def scores(self, texts: list[bytes]) -> np.ndarray:
+        """The scores of whole texts."""
+        return Scorer(self).scores(texts)
+
+
+class Scorer:
+    """Scores texts by a machine, with a table of the words met, which ends with it."""
+
+    def __init__(self, machine: FactorizationMachine):
+        self.machine = machine
+        self._forget()
+
+    def _forget(self) -> None:
+        """Empties the table of words: the terms of word number i lie in ``flat`` from ``begins[i]`` to ``begins[i + 1]``."""
+        self.numbers: dict[bytes, int] = {}
+        self.flat = np.zeros(0, np.int64)
+        self.begins = np.zeros(1, np.int64)
+
     def learn(self, words: set[bytes]) -> None:
         """Puts the terms of new words into the table."""
         if len(self.numbers) > CACHED:
@@ -158,8 +169,8 @@ class FactorizationMachine:
         found = [word_terms(w) for w in new]
         sizes = np.array([len(f) for f in found])
         terms = np.fromiter((t for f in found for t in f), np.int32, int(sizes.sum()))
-        at = np.minimum(np.searchsorted(self.terms, terms), max(0, len(self.terms) - 1))
-        known = self.terms[at] == terms if len(self.terms) else np.zeros(len(terms), bool)
+        at = np.minimum(np.searchsorted(self.machine.terms, terms), max(0, len(self.machine.terms) - 1))
+        known = self.machine.terms[at] == terms if len(self.machine.terms) else np.zeros(len(terms), bool)
         kept = np.add.reduceat(known, np.cumsum(sizes) - sizes).astype(np.int64)
         self.numbers.update(zip(new, range(len(self.numbers), len(self.numbers) + len(new)), strict=True))
         self.begins = np.concatenate([self.begins, self.begins[-1] + np.cumsum(kept)])
@@ -175,12 +186,12 @@ class FactorizationMachine:
         places = np.repeat(begins - np.cumsum(counts) + counts, counts) + np.arange(int(counts.sum()))
         owner = np.repeat(np.repeat(np.arange(len(texts)), sizes), counts)
         # Words share beginnings: each term counts once in a text.
-        keys = np.sort(owner * max(1, len(self.terms)) + self.flat[places])
-        owner, terms = np.divmod(keys[np.flatnonzero(np.diff(keys, prepend=-1))], max(1, len(self.terms)))
-        out = np.full(len(texts), self.bias)
+        keys = np.sort(owner * max(1, len(self.machine.terms)) + self.flat[places])
+        owner, terms = np.divmod(keys[np.flatnonzero(np.diff(keys, prepend=-1))], max(1, len(self.machine.terms)))
+        out = np.full(len(texts), self.machine.bias)
         if len(terms):
             begin = np.flatnonzero(np.diff(owner, prepend=-1))
-            sums = np.add.reduceat(self.inputs[terms], begin)
+            sums = np.add.reduceat(self.machine.inputs[terms], begin)
             out[owner[begin]] += sums[:, 0] + 0.5 * (sums[:, 1:] ** 2).sum(1)
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
@@ -235,10 +246,10 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
     def prepare():
-        machine = sent.value
+        scorer = Scorer(sent.value)
 
         def digest(texts: list[bytes]) -> dict[str, list]:
-            scores = machine.scores(texts)
+            scores = scorer.scores(texts)
             return {"score": scores.tolist(), "predicted": (scores >= THRESHOLD).astype(int).tolist()}
 
         return digest
@@ -251,7 +262,7 @@ def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
     def prepare():
-        machine = sent.value
-        return lambda texts: ((machine.scores(texts) < THRESHOLD).tolist(), {})
+        scorer = Scorer(sent.value)
+        return lambda texts: ((scorer.scores(texts) < THRESHOLD).tolist(), {})
 
     return rewritten(docs, prepare, most=2_000_000)
