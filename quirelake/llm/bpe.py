@@ -1,7 +1,7 @@
 """BPE encoding and decoding with a pair occurrence index.
 
-The distinct pre-tokens of a slice of documents lie in one flat symbol
-sequence.  An index maps each mergeable pair, by its rank, to all its
+The distinct pre-tokens of a part of a partition that were not met before lie in
+one flat symbol sequence.  An index maps each mergeable pair, by its rank, to all its
 positions there; ranks are applied in ascending order, every position of a
 rank at once, and each merge updates only the lists of the two pairs that it
 creates.  A merge therefore costs the same however many documents share it.
@@ -30,10 +30,10 @@ from pyspark.sql import functions as F
 
 from .common import per_document
 
-#: Pieces between white space, and pre-tokens, whose encoding a task remembers; the oldest half goes first.
-CACHED = 200_000
-#: The encoding of a piece without tokens.
-_NONE = (0, "", "")
+#: Pre-tokens whose encoding a task remembers.
+CACHED = 250_000
+#: Pre-tokens that are merged through one pair index.
+MERGED = 50_000
 
 
 def byte_symbols() -> list[str]:
@@ -67,7 +67,6 @@ class PairIndexBPE:
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         pattern = split["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}")
         self.words = regex.compile(pattern).findall
-        self.spaced = regex.compile(r"\P{White_Space}+").findall
         self.marks = regex.compile("|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True)))) if self.specials else None
 
     def normalized(self, text: str) -> str:
@@ -76,21 +75,17 @@ class PairIndexBPE:
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         return text.lower()
 
-    def pieces(self, text: str) -> list[str | int]:
-        """What stands between white space, special tokens as their ids."""
+    def pretokens(self, text: str) -> list[str | int]:
+        """The pre-tokens of a whole text, special tokens as their ids."""
         if self.marks is None or not any(s in text for s in self.specials):
-            return self._pieces(text)
+            return self.words(self.normalized(text))
         out: list[str | int] = []
         begin = 0
         for m in self.marks.finditer(text):
-            out += self._pieces(text[begin : m.start()])
+            out += self.words(self.normalized(text[begin : m.start()]))
             out.append(self.specials[m[0]])
             begin = m.end()
-        return out + self._pieces(text[begin:])
-
-    def _pieces(self, text: str) -> list[str]:
-        # str.split() takes four control characters as white space that the pattern does not.
-        return self.spaced(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
+        return out + self.words(self.normalized(text[begin:]))
 
     def merged(self, words: list[str]) -> list[list[int]]:
         """Ids of each pre-token, all merged together through one pair index."""
@@ -165,67 +160,54 @@ class PairIndexBPE:
 
 
 class Encoder:
-    """Encodes texts by a vocabulary, with caches that end with it."""
+    """Encodes texts by a vocabulary, with a cache of pre-tokens that ends with it."""
 
     def __init__(self, bpe: PairIndexBPE):
         self.bpe = bpe
-        self.known_words: dict[str, tuple[int, str, str]] = {}
-        self.known: dict[str, tuple[int, str, str]] = {}
-
-    def learn(self, pieces: Iterable[str]) -> None:
-        """Puts the encodings of new pieces into the cache."""
-        known, known_words, tokens = self.known, self.known_words, self.bpe.tokens
-        new = _unknown(pieces, known)
-        for begin in range(0, len(new), 20_000):
-            part = new[begin : begin + 20_000]
-            split = [self.bpe.words(self.bpe.normalized(x)) for x in part]
-            words = _unknown({w for s in split for w in s}, known_words)
-            for word, ids in zip(words, self.bpe.merged(words), strict=True):
-                known_words[word] = (len(ids), " ".join(map(str, ids)), " ".join([tokens[i] for i in ids]))
-            for piece, s in zip(part, split, strict=True):
-                found = [known_words[w] for w in s]
-                known[piece] = found[0] if len(found) == 1 else (sum(f[0] for f in found), " ".join([f[1] for f in found]), " ".join([f[2] for f in found]))
+        #: Ids and token strings of pre-tokens, each joined by a space.
+        self.known: dict[str | int, tuple[str, str]] = {}
+
+    def learn(self, words: set[str | int]) -> None:
+        """Puts the encodings of new pre-tokens into the cache; the oldest half goes when it is full."""
+        known, tokens = self.known, self.bpe.tokens
+        new = [w for w in words if w not in known]
+        if known and len(known) + len(new) > CACHED:
+            for w in list(known)[: max(len(known) // 2, len(known) + len(new) - CACHED)]:
+                del known[w]
+            new = [w for w in words if w not in known]
+        for w in [w for w in new if isinstance(w, int)]:
+            known[w] = str(w), tokens[w]
+        new = [w for w in new if isinstance(w, str)]
+        for begin in range(0, len(new), MERGED):
+            part = new[begin : begin + MERGED]
+            for w, ids in zip(part, self.bpe.merged(part), strict=True):
+                known[w] = " ".join(map(str, ids)), " ".join([tokens[i] for i in ids])
+
+    def joined(self, texts: list[str]) -> list[tuple[str, str]]:
+        """The ids and the token strings of each text, joined by a space."""
+        parts = [self.bpe.pretokens(t) for t in texts]
+        self.learn(set().union(*parts))
+        get = self.known.__getitem__
+        out = []
+        for p in parts:
+            ids, strings = zip(*map(get, p), strict=True) if p else ((), ())
+            out.append((" ".join(ids), " ".join(strings)))
+        return out
 
     def encode(self, text: str) -> list[int]:
         """Ids of a whole text."""
-        return [int(i) for _, ids, _ in self._found([text])[0] for i in ids.split()]
-
-    def _found(self, texts: list[str]) -> list[list[tuple[int, str, str]]]:
-        """The encodings of the pieces of each text, pieces without tokens left out."""
-        parts = [self.bpe.pieces(t) for t in texts]
-        distinct: set = set()
-        for p in parts:
-            distinct.update(p)
-        specials = {i: (1, str(i), self.bpe.tokens[i]) for i in distinct if isinstance(i, int)}
-        distinct.difference_update(specials)
-        self.learn(distinct)
-        known = self.known | specials if specials else self.known
-        found = [list(map(known.__getitem__, p)) for p in parts]
-        if _NONE in map(known.__getitem__, distinct):
-            found = [[f for f in fs if f[0]] for fs in found]
-        return found
+        return [int(i) for i in self.joined([text])[0][0].split()]
 
     def digests(self, texts: list[bytes]) -> dict[str, list]:
         """n_tokens, ids_sha256 and decoded_sha256 of each text."""
         out: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
-        for found in self._found([t.decode("utf-8", "replace") for t in texts]):
-            counts, ids, decoded = zip(*found, strict=True) if found else ((), (), ())
-            out["n_tokens"].append(sum(counts))
-            out["ids_sha256"].append(hashlib.sha256(" ".join(ids).encode()).hexdigest())
-            out["decoded_sha256"].append(hashlib.sha256(" ".join(decoded).encode()).hexdigest())
+        for ids, decoded in self.joined([t.decode("utf-8", "replace") for t in texts]):
+            out["n_tokens"].append(ids.count(" ") + 1 if ids else 0)
+            out["ids_sha256"].append(hashlib.sha256(ids.encode()).hexdigest())
+            out["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())
         return out
 
 
-def _unknown(keys: Iterable[str], cache: dict) -> list[str]:
-    """The keys that a bounded cache lacks; makes room for them."""
-    new = [k for k in keys if k not in cache]
-    if len(cache) + len(new) > CACHED and cache:
-        for k in list(cache)[: max(len(cache) // 2, len(cache) + len(new) - CACHED)]:
-            del cache[k]
-        new = [k for k in keys if k not in cache]
-    return new
-
-
 def tokenizer_source(path: str) -> str:
     """The tokenizer's JSON text, read on the driver; a vocabulary file has a fixed size of a few MB."""
     with open(path, encoding="utf-8") as f:
