@@ -84,10 +84,24 @@ def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return codes, np.asarray(distinct, np.int64)
 
 
+def _backwards(packed: np.ndarray) -> np.ndarray:
+    """Packed contexts and symbols with the symbol first, then the context from its latest byte on."""
+    return packed.astype(np.int64).byteswap().view(np.uint64)
+
+
+#: The symbol and the latest bytes of a context, of a backward key.
+_TOP = [np.uint64(((1 << 8 * (d + 1)) - 1) << 8 * (7 - d)) for d in range(DEPTH + 1)]
+_CONTEXT = np.uint64((1 << 56) - 1)
+
+
 class SuffixTree:
-    """States by depth: packed contexts, counts, escape weights; and counts of their next symbols."""
+    """By depth: states with their escape, and next symbols of states with their probability, as sorted backward keys.
+
+    Sorted backwards, contexts that share their latest bytes lie together, so
+    that every depth is looked up once for all that share it, in order.
+    """
 
-    def __init__(self, root: np.ndarray, states: list[tuple[np.ndarray, np.ndarray, np.ndarray]], nexts: list[tuple[np.ndarray, np.ndarray]]):
+    def __init__(self, root: np.ndarray, states: list[tuple[np.ndarray, np.ndarray]], nexts: list[tuple[np.ndarray, np.ndarray]]):
         self.root, self.states, self.nexts = root, states, nexts
 
     @classmethod
@@ -106,39 +120,47 @@ class SuffixTree:
             keys, counts = keys[order], counts[order].astype(float)
             context = keys >> 8
             first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(keys) else np.zeros(0, np.int64)
-            kinds = np.diff(np.append(first, len(keys))).astype(float)
+            kinds = np.diff(np.append(first, len(keys)))
             totals = np.add.reduceat(counts, first) if len(first) else np.zeros(0)
             shorter = np.exp(tree.log_p(keys))
-            total, escape = np.repeat(totals, kinds.astype(int)), np.repeat(kinds, kinds.astype(int))
-            own = (counts + escape * shorter) / (total + escape)
+            own = (counts + np.repeat(kinds, kinds) * shorter) / np.repeat(totals + kinds, kinds)
             gain = np.add.reduceat(counts * np.log(own / shorter), first) if len(first) else np.zeros(0)
             states = context[first] if len(first) else np.zeros(0, np.int64)
             good = gain > LEAST_GAIN
             if depth > 1:  # a state's suffix is a state
-                good &= np.isin(states & _MASK[depth - 1], tree.states[-1][0])
-            inside = np.repeat(good, kinds.astype(int))
-            tree.states.append((states[good], totals[good], kinds[good]))
-            tree.nexts.append((keys[inside], counts[inside]))
+                good &= np.isin(_backwards((states & _MASK[depth - 1]) << 8), tree.states[-1][0])
+            inside = np.repeat(good, kinds)
+            tree.states.append(_sorted(_backwards(states[good] << 8), (kinds / (totals + kinds))[good]))
+            tree.nexts.append(_sorted(_backwards(keys[inside]), own[inside]))
         return tree
 
     def log_p(self, packed: np.ndarray) -> np.ndarray:
-        """Natural log probability of each packed context's next symbol, from its longest suffix state.
-
-        Contexts are looked up in the order of their latest bytes, so that
-        neighbours share states and the searches stay in cache.
-        """
-        order = np.argsort((packed >> 8).byteswap() ^ (packed & 255))
-        packed = packed[order]
-        p = self.root[packed & 255]
-        for depth, ((states, totals, kinds), (keys, counts)) in enumerate(zip(self.states, self.nexts, strict=True), 1):
-            if not len(states):
+        """Natural log probability of each packed context's next symbol, from its longest suffix state."""
+        keys = _backwards(packed)
+        order = np.argsort(keys)
+        keys = keys[order]
+        # Of each depth: the distinct keys, where a state was found for all shorter contexts, and their place in it.
+        p = self.root[(keys >> np.uint64(56)).astype(np.int64)]
+        at = np.arange(len(keys))
+        for depth, ((states, escapes), (nexts, own)) in enumerate(zip(self.states, self.nexts, strict=True), 1):
+            if not len(states) or not len(at):
                 break
-            key = packed & _MASK[depth + 1]
-            at = np.minimum(np.searchsorted(states, key >> 8), len(states) - 1)
-            known = states[at] == key >> 8
-            place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-            count = np.where(keys[place] == key, counts[place], 0.0)
-            p = np.where(known, (count + kinds[at] * p) / (totals[at] + kinds[at]), p)
+            each = keys[at] & _TOP[depth]
+            begins = np.flatnonzero(np.concatenate([[True], each[1:] != each[:-1]]))
+            distinct = each[begins]
+            place = np.minimum(np.searchsorted(nexts, distinct), len(nexts) - 1)
+            seen = nexts[place] == distinct
+            unseen = np.flatnonzero(~seen)
+            context = distinct[unseen] & _CONTEXT
+            state = np.minimum(np.searchsorted(states, context), len(states) - 1)
+            escaped = states[state] == context
+            value = np.where(seen, own[place], p[at[begins]])
+            value[unseen[escaped]] *= escapes[state[escaped]]
+            known = seen
+            known[unseen[escaped]] = True
+            sizes = np.diff(np.append(begins, len(at)))
+            at = at[np.repeat(known, sizes)]
+            p[at] = np.repeat(value[known], sizes[known])
         out = np.empty(len(p))
         out[order] = np.log(p)
         return out
@@ -156,6 +178,11 @@ class SuffixTree:
         return np.add.reduceat(each[codes], starts) / np.log(10) if len(texts) else np.zeros(0)
 
 
+def _sorted(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys)
+    return keys[order], values[order]
+
+
 def corpus_counts(docs: DataFrame) -> DataFrame:
     """word or gram, and n: counts over all training texts."""
 
@@ -208,7 +235,7 @@ def often(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def grow(counts: DataFrame) -> tuple[SuffixTree, DataFrame]:
-    """The states of one byte, and a table of all longer states (kinds > 0) and their next symbols (kinds = 0) by block."""
+    """The states of one byte, and a table of all longer states and their next symbols by block."""
     symbols = counts.where("gram is not null").select("gram", "n")
     levels = []
     for depth in range(2):
@@ -224,17 +251,17 @@ def grow(counts: DataFrame) -> tuple[SuffixTree, DataFrame]:
             codes, keys = _distinct(grams & _MASK[depth + 1])
             levels.append(often(keys, np.bincount(codes, n, len(keys))))
         tree = sent.value.extended(levels)
+        number = block.column("block")[0].as_py()
         found: list[list[np.ndarray]] = [[], [], [], []]
         for depth in range(2, DEPTH + 1):
-            (states, totals, kinds), (keys, each) = tree.states[depth - 1], tree.nexts[depth - 1]
-            for c, v in zip(found, (np.full(len(states) + len(keys), depth), np.append(states, keys), np.append(totals, each), np.append(kinds, np.zeros(len(keys)))), strict=True):
-                c.append(v)
-        depths, keys, ns, kinds = (np.concatenate(c) for c in found)
-        number = block.column("block")[0].as_py()
-        return pa.table([pa.array(np.full(len(keys), number), pa.int32()), pa.array(depths, pa.int8()), pa.array(keys, pa.int64()), pa.array(ns, pa.float64()), pa.array(kinds, pa.int16())], names=["block", "depth", "key", "n", "kinds"])
+            for inner, (keys, values) in enumerate((tree.states[depth - 1], tree.nexts[depth - 1])):
+                for c, v in zip(found, (np.full(len(keys), depth), keys.view(np.int64), values, np.full(len(keys), inner == 0)), strict=True):
+                    c.append(v)
+        depths, keys, values, state = (np.concatenate(c) for c in found)
+        return pa.table([pa.array(np.full(len(keys), number), pa.int32()), pa.array(depths, pa.int8()), pa.array(keys, pa.int64()), pa.array(values, pa.float64()), pa.array(state, pa.bool_())], names=["block", "depth", "key", "value", "state"])
 
     block = F.shiftright("gram", 8).bitwiseAND(F.lit(_BLOCKS - 1)).cast("int").alias("block")
-    return base, stored(symbols.select(block, "gram", "n").groupBy("block").applyInArrow(block_rows, "block int, depth byte, key long, n double, kinds short"))
+    return base, stored(symbols.select(block, "gram", "n").groupBy("block").applyInArrow(block_rows, "block int, depth byte, key long, value double, state boolean"))
 
 
 def parts_of(base: SuffixTree, table: DataFrame) -> Iterator[tuple[SuffixTree, np.ndarray | None]]:
@@ -246,17 +273,13 @@ def parts_of(base: SuffixTree, table: DataFrame) -> Iterator[tuple[SuffixTree, n
     for p in np.unique(part):
         blocks = part == p
         low, high = np.flatnonzero(blocks)[[0, -1]].tolist()
-        rows = table.where(F.col("block").between(low, high)).select("depth", "key", "n", "kinds").toArrow()
-        depths, keys, n, kinds = (rows.column(c).to_numpy() for c in ("depth", "key", "n", "kinds"))
+        rows = table.where(F.col("block").between(low, high)).select("depth", "key", "value", "state").toArrow()
+        depths, keys, values, state = (rows.column(c).to_numpy() for c in ("depth", "key", "value", "state"))
         tree = SuffixTree(base.root, [*base.states], [*base.nexts])
         for depth in range(2, DEPTH + 1):
-            for inner in (False, True):
-                at = np.flatnonzero((depths == depth) & ((kinds == 0) == inner))
-                at = at[np.argsort(keys[at])]
-                if inner:
-                    tree.nexts.append((keys[at], n[at]))
-                else:
-                    tree.states.append((keys[at], n[at], kinds[at].astype(float)))
+            for inner in (True, False):
+                at = np.flatnonzero((depths == depth) & (state == inner))
+                (tree.states if inner else tree.nexts).append(_sorted(keys[at].view(np.uint64), values[at]))
         yield tree, None if blocks.all() else blocks
 
 
