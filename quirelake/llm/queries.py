@@ -55,7 +55,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation against its twin with a stranger's last answer."""
-    return preference_chat.preference_turns(preference_chat.swapped_answers(read(spark, sf_dir, "conversations")))
+    return preference_chat.preference_pairs(preference_chat.swapped_answers(read(spark, sf_dir, "conversations")))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

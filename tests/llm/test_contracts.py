@@ -192,6 +192,48 @@ def test_minhash(spark, both, which):
         assert r["component_id"] == (None if i is None else want[i]) and r["kept"] == (i is None or want[i] == i)
 
 
+def test_minhash_keeps_links(spark):
+    """A stranger that shares buckets with two similar texts does not undo their link."""
+    c = [f"c962x{i}" for i in range(39)]
+    texts = ["a962y0 a962y1 " + " ".join(c) + " a962z0 a962z1", "b962y0 b962y1 " + " ".join(c) + " b962z0 b962z1", " ".join(c[2:36])]
+    df = spark.createDataFrame([(i + 1, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    want = brute_components(shingle_sets(df, 4))
+    assert want[2] == 1
+    assert {r["doc_id"]: r["component_id"] for r in minhash_dedup.near_duplicates(df, width=4).collect()} == want
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_minhash_random(spark, seed):
+    """Families of texts edited at random, about the threshold, among shared passages."""
+    import random
+
+    rng = random.Random(seed)
+    texts = []
+    for f in range(40):
+        base = [f"f{f}w{i}" for i in range(rng.randrange(20, 120))]
+        for _ in range(rng.randrange(1, 7)):
+            words = list(base)
+            for _ in range(rng.randrange(0, 5)):
+                at = rng.randrange(len(words))
+                words[at : at + rng.randrange(2)] = [f"x{rng.random()}"]
+            if rng.random() < 0.3:
+                words += ["a", "passage", "that", "many", "texts", "share"] * 2
+            texts.append(" ".join(words))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = brute_components(shingle_sets(df, 4))
+    assert {r["doc_id"]: r["component_id"] for r in minhash_dedup.near_duplicates(df, width=4).collect()} == want
+
+
+def test_keep_one_odd(spark, odd):
+    """Null ids, repeated rows and clashing columns; the columns stay."""
+    df = odd.withColumnsRenamed({"labels": "gone", "score": "node"})
+    made = minhash_dedup.keep_one(df, width=4)
+    assert made.columns == df.columns
+    sets = shingle_sets(df, 4)
+    want = brute_components(sets)
+    assert sorted(pairs(made), key=repr) == sorted(((i, t) for i, t in pairs(df) if i is None or want[i] == i), key=repr)
+
+
 @pytest.mark.parametrize("which", ["odd", "docs"])
 def test_suffix_tree(both, which):
     data = pairs(both[which])
@@ -278,12 +320,18 @@ def test_pii_more(spark):
 def test_preference_odd(spark):
     rows_ = [(1, s, t, "user" if t % 2 == 0 else "assistant", x) for s, xs in (("chosen", ["q", "a", "q2", None]), ("rejected", ["q", "a", "q2", "no"])) for t, x in enumerate(xs)]
     rows_ += [(2, "chosen", 0, None, "x"), (2, "rejected", 0, None, "x"), (None, "chosen", 0, "user", "x"), (3, "chosen", 0, "user", "x"), (3, "chosen", 0, "user", "x")]
+    rows_ += [(4, "chosen", 0, "assistant", "é"), (4, "chosen", 0, "assistant", "b"), (4, "other", 0, "user", "x")]
     df = spark.createDataFrame(rows_, "pair_id long, side string, turn long, role string, text string")
-    got = sorted((r["pair_id"], r["part"], r["turn"], r["copies"], r["loss"]) for r in preference_chat.preference_turns(df).collect())
-    assert got == [
-        (1, "chosen", 3, 1, True), (1, "prompt", 0, 1, False), (1, "prompt", 1, 1, False), (1, "prompt", 2, 1, False), (1, "rejected", 3, 1, True),
-        (2, "prompt", 0, 1, False), (3, "chosen", 0, 2, False),
+    got = sorted((tuple(r) for r in preference_chat.preference_pairs(df).collect()), key=repr)
+    turn = lambda role, text: f"<|im_start|>{role}\n{text}<|im_end|>\n"
+    no = (None, None, None, None)
+    want = [
+        (1, 0, "prompt", turn("user", "q"), *no), (1, 1, "prompt", turn("assistant", "a"), *no), (1, 2, "prompt", turn("user", "q2"), *no),
+        (1, 3, "completion", None, turn("assistant", ""), turn("assistant", "no"), "22:32", "22:34"),
+        (2, 0, "prompt", turn("unknown", "x"), *no), (3, 0, "completion", None, turn("user", "x") * 2, "", "", ""),
+        (4, 0, "completion", None, turn("assistant", "b") + turn("assistant", "é"), "", "22:33,56:67", ""),
     ]
+    assert got == sorted(want, key=repr)
 
 
 def brute_contamination(data, items, window=13):
@@ -325,6 +373,46 @@ def test_decontamination_removes(spark, odd):
     assert left.columns == odd.columns and left.where("text = ''").count() == 1 + 3
 
 
+@pytest.mark.parametrize("most", [8, 100, decontamination.MOST_WINDOWS])
+@pytest.mark.parametrize("remove", ["documents", "spans"])
+def test_decontamination_blocks(spark, odd, most, remove):
+    """However the benchmark is cut: rows with null ids, two texts of one id, overlapping windows."""
+    words = [f"w{i}" for i in range(40)]
+    rows_ = [(None, " ".join(words)), (50, "clean text of that id"), (50, " ".join(words[:20])), (51, "Intro, " + ", ".join(words[5:30]) + "! Outro."), (51, "Intro, " + ", ".join(words[5:30]) + "! Outro.")]
+    extra = spark.createDataFrame([(i, t, "x", True, 1.0) for i, t in rows_], odd.schema)
+    docs = odd.unionByName(extra).withColumnsRenamed({"labels": "key", "score": "bad"})
+    benchmark = spark.createDataFrame([(1, " ".join(words[:25])), (2, " ".join(words[10:])), (3, "same text here twice")], "item_id long, text string")
+    got = sorted(pairs(decontamination.decontaminate(docs, benchmark, remove=remove, most=most)), key=repr)
+    items = [(r["item_id"], r["text"]) for r in benchmark.collect()]
+    if remove == "documents":
+        want = [(i, t) for i, t in pairs(docs) if not brute_contamination([(i, t)], items)[0][-1]]
+    else:
+        cut = {" ".join(words): "", " ".join(words[:20]): "", "same text here twice": "", rows_[3][1]: "Intro, ! Outro."}
+        want = [(i, cut.get(t, t)) for i, t in pairs(docs)]
+    assert got == sorted(want, key=repr)
+
+
+def test_quality_draws_from_the_rest(spark, monkeypatch):
+    """New rows are handed over in every round."""
+    import random
+
+    rng = random.Random(4)
+    text = lambda: " ".join(rng.choice(["###", "$$$", "plain", "words", "line", "of", "text", "5%"]) for _ in range(rng.randrange(5, 60)))
+    docs = spark.createDataFrame([(i, text(), rng.choice(["en", "de"]), rng.choice(["a", "b", "c", "d"]), rng.randrange(10, 9000)) for i in range(3_000)], "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, int(rng.random() < 0.6)) for i in range(300)], "doc_id long, quality int")
+    left, histograms = [], quality_cotraining.Pool.histograms
+
+    def counted(self, views, rules):
+        found = histograms(self, views, rules)
+        left.append([int(n.sum()) for _, n in found])
+        return found
+
+    monkeypatch.setattr(quality_cotraining.Pool, "histograms", counted)
+    quality_cotraining.quality_scores(docs, labels)
+    assert len(left) == quality_cotraining.ROUNDS
+    assert all(b < a for view in (0, 1) for a, b in itertools.pairwise(x[view] for x in left))
+
+
 def held_out_scores(spark, query, label):
     sf = "/root/testdata/sf0.1"
     labels = {r["doc_id"]: r[label] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
@@ -416,6 +504,6 @@ def test_empty_tables(spark):
     made = [
         quality_cotraining.quality_scores(docs, labels), bpe.bpe_digests(docs, queries.tokenizer_path()), license_scan.license_scan(docs), quality_rules.ledger(docs),
         minhash_dedup.near_duplicates(docs), suffix_tree_lm.language_scores(docs), pii_semicrf.personal_data(docs),
-        preference_chat.preference_turns(preference_chat.swapped_answers(turns)), decontamination.contamination(docs, benchmark), toxicity_fm.toxicity_scores(docs, labels),
+        preference_chat.preference_pairs(preference_chat.swapped_answers(turns)), decontamination.contamination(docs, benchmark), toxicity_fm.toxicity_scores(docs, labels),
     ]
     assert [df.count() for df in made] == [0] * 10
