@@ -88,23 +88,31 @@ def escape_html(text: Column) -> Column:
 
 
 def escape_latex(text: Column) -> Column:
-    """Text in LaTeX; characters of the replacements are not escaped again."""
+    """Text in LaTeX.
+
+    What stands between backslashes is escaped by itself, braces first, so
+    that no replacement is escaped again.
+    """
     from ..plans.render import LATEX_ESCAPES
 
-    out = text
-    for i, c in enumerate(LATEX_ESCAPES):
-        out = F.replace(out, F.lit(c), F.lit(chr(0xE100 + i)))
-    for i, r in enumerate(LATEX_ESCAPES.values()):
-        out = F.replace(out, F.lit(chr(0xE100 + i)), F.lit(r))
-    return out
+    def piece(part: Column) -> Column:
+        for c in sorted(LATEX_ESCAPES, key=lambda c: c not in "{}"):
+            if c != "\\":
+                part = F.replace(part, F.lit(c), F.lit(LATEX_ESCAPES[c]))
+        return part
+
+    return F.array_join(F.transform(F.split(text, r"\\", -1), piece), LATEX_ESCAPES["\\"])
 
 
 def safe_href(url: Column) -> Column:
-    """``#`` for a URL whose scheme runs code or holds data."""
+    """``#`` for a URL whose scheme runs code or holds data, as a browser reads it.
+
+    Browsers drop tabs and line ends anywhere, and control characters and spaces before a URL.
+    """
     from ..plans.render import UNSAFE_SCHEMES
 
-    scheme = F.lower(F.regexp_extract(F.trim(url), "^([A-Za-z][A-Za-z0-9+.-]*):", 1))
-    return F.when(scheme.isin(*UNSAFE_SCHEMES), F.lit("#")).otherwise(url)
+    read = F.regexp_replace(F.regexp_replace(url, r"[\t\n\r]", ""), r"^[\x00-\x20]+", "")
+    return F.when(F.lower(F.regexp_extract(read, "^([A-Za-z][A-Za-z0-9+.-]*):", 1)).isin(*UNSAFE_SCHEMES), F.lit("#")).otherwise(url)
 
 
 def sheet_name(text: Column) -> Column:

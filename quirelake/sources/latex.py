@@ -84,9 +84,41 @@ def _hide_code(source: str, hidden: list[Node]) -> str:
     return re.sub(r"\\(?:verb\*?|lstinline(?:\[[^\]]*\])?)([^A-Za-z\s*{\[])(.*?)\1", short, source)
 
 
+_CONDITIONAL = re.compile(r"\\(?:(?P<begin>if(?!thenelse|def)[A-Za-z@]*)|(?P<other>else)|(?P<end>fi))(?![A-Za-z@])")
+
+
+def _without_false(source: str) -> str:
+    """A text without what ``\\iffalse`` hides, up to its own ``\\else`` or ``\\fi``; conditionals inside count.
+
+    One that is never closed hides all up to the end of the document.
+    """
+    out, at = [], 0
+    open_ifs: list[str] = []  # plain, hidden (an \\iffalse), inner (inside a hidden one), shown (the \\else of a hidden one)
+    for m in _CONDITIONAL.finditer(source):
+        if m["begin"] and "hidden" in open_ifs:
+            open_ifs.append("inner")
+        elif m["begin"] == "iffalse":
+            out.append(source[at : m.start()])
+            open_ifs.append("hidden")
+        elif m["begin"]:
+            open_ifs.append("plain")
+        elif open_ifs and m["other"] and open_ifs[-1] == "hidden":
+            open_ifs[-1], at = "shown", m.end()
+        elif open_ifs and m["end"]:
+            last = open_ifs.pop()
+            if last == "shown":
+                out.append(source[at : m.start()])
+            if last in ("shown", "hidden"):
+                at = m.end()
+    if "hidden" in open_ifs:
+        end = source.find("\\end{document}", at)
+        return "".join(out) + (source[end:] if end >= 0 else "")
+    return "".join([*out, source[at:]])
+
+
 def _without_comments(source: str) -> str:
     source = re.sub(r"\\begin\{comment\}.*?\\end\{comment\}", "", source, flags=re.S)
-    source = re.sub(r"\\iffalse\b.*?\\fi\b", "", source, flags=re.S)
+    source = _without_false(source)
     return re.sub(r"(?<!\\)((?:\\\\)*)%[^\n]*(\n[ \t]*)?", r"\1", source)
 
 

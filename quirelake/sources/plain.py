@@ -162,11 +162,34 @@ class _Text:
         return i
 
 
+def _title_block(lines: list[str]) -> tuple[dict[str, str], list[str]]:
+    """A title between rules of equals signs at the start, and author and date after it; indented lines go on."""
+    head = 0
+    while head < len(lines) and not lines[head].strip():
+        head += 1
+    rules = [k < len(lines) and re.fullmatch("={3,}", lines[k].strip()) for k in (head, head + 2)]
+    if not all(rules) or not lines[head + 1].strip():
+        return {}, lines
+    found, at, last = {"title": lines[head + 1].strip()}, head + 3, None
+    while at < len(lines) and (line := lines[at]).strip():
+        name, colon, value = line.partition(":")
+        if colon and name in ("Author", "Date") and name.lower() not in found:
+            last = name.lower()
+            found[last] = value.strip()
+        elif last and line[0] in " \t":
+            found[last] += f" {line.strip()}"
+        else:
+            break
+        at += 1
+    return {k: v for k, v in found.items() if v}, lines[at:]
+
+
 def parse_text(source: str) -> Node:
     """The tree of a plain text."""
     lines = source.removeprefix("\ufeff").replace("\r\n", "\n").replace("\r", "\n").split("\n")
+    metadata, lines = _title_block(lines)
     paragraphs = [[x for x in p.split("\n")] for p in re.split(r"\n\s*\n", "\n".join(lines)) if p.strip() and not p.startswith("    ")]
-    tree = node("Document", children=_Text(is_wrapped(paragraphs)).parse(lines))
+    tree = node("Document", children=_Text(is_wrapped(paragraphs)).parse(lines), **{k: [text(v)] for k, v in metadata.items()})
     _place_notes(tree)
     return tree
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -51,10 +53,16 @@ PARSERS: dict[str, Callable[..., Node]] = {
 }
 
 
+#: Python frames of a parser at most: some ten thousand levels of nesting.
+MOST_FRAMES = 60_000
+
+
 def parse(fmt: str, source: str, *, extract: bool = False, url: str | None = None) -> Node:
     """The tree of one text."""
     if fmt not in PARSERS:
         raise ValueError(f"format {fmt!r} is none of {', '.join(PARSERS)}")
+    # Parsers call themselves for each level of nesting, in Python frames that lie on the heap.
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), MOST_FRAMES))
     return parse_html(source, extract=extract, url=url) if fmt == "html" else PARSERS[fmt](source)
 
 
