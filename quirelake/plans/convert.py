@@ -27,6 +27,8 @@ class Options:
 
     def __post_init__(self):
         check_choice("image_handling", self.image_handling, ("auto", "keep", "discard", "describe", "transcribe"))
+        if self.image_handling in ("describe", "transcribe"):
+            raise ValueError(f"image_handling {self.image_handling!r} needs a model, and none is configured")
 
 
 def convert_text(source: str, from_format: str, to_format: str, options: Options | None = None, *, url: str | None = None) -> str:
@@ -68,7 +70,7 @@ def convert_df(df: DataFrame, from_format: str, to_format: str, options: Options
                 try:
                     made.append(convert_text(source or "", from_format, to_format, options, url=url))
                     errors.append(None)
-                except ValueError as e:
+                except (ValueError, RecursionError) as e:
                     made.append(None)
                     errors.append(str(e))
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(made, pa.string()), pa.array(errors, pa.string())], names=[id_col, "converted", "error"])
@@ -86,7 +88,7 @@ def render_df(nodes: DataFrame, to_format: str, *, id_col: str = "doc_id") -> Da
         tree = assemble(table.select(NODE_COLUMNS).to_pylist())
         try:
             made, error = RENDERERS[to_format](tree), None
-        except ValueError as e:
+        except (ValueError, RecursionError) as e:
             made, error = None, str(e)
         return pa.table({id_col: table.column(id_col)[:1], "rendered": pa.array([made], pa.string()), "error": pa.array([error], pa.string())})
 

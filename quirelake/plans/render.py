@@ -115,7 +115,7 @@ class Markdown(Renderer):
         core = _ESCAPED.sub(r"\\\1", core)
         if n["script"]:
             core = f"<{n['script']}>{core}</{n['script']}>"
-        for flag, mark in (("italic", "*"), ("bold", "**"), ("strikethrough", "~~")):
+        for flag, mark in (("italic", "_"), ("bold", "**"), ("strikethrough", "~~")):
             if n[flag]:
                 core = f"{mark}{core}{mark}"
         return before + core + after
@@ -125,13 +125,18 @@ class Markdown(Renderer):
         nodes = _runs(nodes)
         for k, n in enumerate(nodes):
             s = self._one(n)
-            # Markers side by side or against a word would read as other markers.
-            if n["type"] == "Text" and (n["bold"] or n["italic"]) and s and (out[-1:].isalnum() or out[-1:] == "*" or k + 1 < len(nodes) and nodes[k + 1]["type"] == "Text" and nodes[k + 1]["content"][:1].isalnum()) and s.strip()[:1] == "*":
-                before, core, after = spaces_apart(n["content"])
-                core = _ESCAPED.sub(r"\\\1", core)
-                for flag, tag in (("italic", "em"), ("bold", "strong"), ("strikethrough", "del")):
-                    core = f"<{tag}>{core}</{tag}>" if n[flag] else core
-                s = before + core + after
+            if n["type"] == "Text" and (n["bold"] or n["italic"]) and (core := spaces_apart(n["content"])[1]):
+                following = nodes[k + 1]["content"][:1] if k + 1 < len(nodes) and nodes[k + 1]["type"] == "Text" else ""
+                letters = out[-1:].isalnum() and s[:1] in "_*~" or following.isalnum() and s[-1:] in "_*~"
+                plain = core[0].isalnum() and core[-1].isalnum() and out[-1:] != "*" and following != "*"
+                if letters and plain and n["italic"] and not n["bold"] and not n["strikethrough"]:
+                    s = s.replace(f"_{core}_", f"*{core}*")  # an underscore beside a letter is no marker
+                elif letters and not (plain and not n["italic"]) or out[-1:] == "*" and s[:1] == "*":
+                    before, core, after = spaces_apart(n["content"])
+                    core = _ESCAPED.sub(r"\\\1", core)
+                    for flag, tag in (("italic", "em"), ("bold", "strong"), ("strikethrough", "del")):
+                        core = f"<{tag}>{core}</{tag}>" if n[flag] else core
+                    s = before + core + after
             out += s
         return out
 
@@ -182,22 +187,27 @@ class Markdown(Renderer):
         return "\n".join(f"> {x}".rstrip() for x in (head + inner).split("\n"))
 
     def abstract(self, n: Node) -> str:
-        inner = self.blocks(n["children"])
-        return "\n".join(f"> {x}".rstrip() for x in f"Abstract: {inner}".split("\n"))
+        lines = ["[!IMPORTANT]", "**Abstract**  ", *self.blocks(n["children"]).split("\n")]
+        return "\n".join(f"> {x}" if x.strip() else ">" for x in lines)
 
     def horizontalrule(self, n: Node) -> str:
         return "---"
 
     def listblock(self, n: Node) -> str:
+        """Blocks after an item's first line are indented by four; paragraphs among them set the items apart."""
         out = []
+        loose = any(b["type"] == "Paragraph" for i in n["items"] for b in i["children"][1:])
         for k, item in enumerate(n["items"]):
-            mark = f"{n['start'] + k}. " if n["ordered"] else "- "
-            task = "" if item["checked"] is None else f"[{'x' if item['checked'] else ' '}] "
-            tight = all(b["type"] in ("Paragraph", "ListBlock") for b in item["children"]) and sum(b["type"] == "Paragraph" for b in item["children"]) < 2
-            body = task + self.blocks(item["children"], "\n" if tight else "\n\n")
-            pad = " " * len(mark)
-            out.append(mark + "\n".join(x if k == 0 or not x else pad + x for k, x in enumerate(body.split("\n"))))
-        return "\n".join(s.rstrip() for s in out)
+            mark = f"{n['start'] + k}." if n["ordered"] else "-"
+            mark += "" if item["checked"] is None else f" [{'x' if item['checked'] else ' '}]"
+            parts = []
+            for j, b in enumerate(item["children"]):
+                if (made := self.blocks([b])).strip():
+                    first = j == 0 and b["type"] == "Paragraph"
+                    body = made if first else "\n".join(f"    {x}" if x.strip() else "" for x in made.split("\n"))
+                    parts.append("\n" * (j > 0 and b["type"] == "Paragraph") + body)
+            out.append(f"{mark} {'\n'.join(parts).strip()}")
+        return ("\n\n" if loose else "\n").join(out)
 
     def table(self, n: Node) -> str:
         head, rows = table_grid(n)
@@ -206,7 +216,7 @@ class Markdown(Renderer):
             return ""
         cell = lambda c: re.sub(r"[ \t]+", " ", self.inline(c["children"]).replace("  \n", "<br>").replace("\n", "<br>")).replace("|", "\\|").strip()
         line = lambda cells: "| " + " | ".join(cells) + " |"
-        lines = [line([cell(c) for c in head] or [""] * width), line(["---"] * width), *(line([cell(c) for c in r]) for r in rows)]
+        lines = [line([cell(c) for c in head] or [""] * width), "|" + "|".join(["---"] * width) + "|", *(line([cell(c) for c in r]) for r in rows)]
         caption = [f"Table: {self.inline(n['caption'])}{_label(n)}"] if n["caption"] or n["label"] else []
         return "\n\n".join([*caption, "\n".join(lines)])
 
@@ -231,8 +241,8 @@ class Html(Renderer):
         return f'<!DOCTYPE html>\n<html>\n<head>\n<meta charset="utf-8">\n<title>{plain}</title>\n</head>\n<body>\n{head}{body}{notes}\n</body>\n</html>\n'
 
     def text(self, n: Node) -> str:
-        out = _html.escape(n["content"], quote=False).replace("\n", "<br>")
-        for flag, tag in ((n["script"], n["script"]), (n["strikethrough"], "del"), (n["italic"], "em"), (n["bold"], "strong")):
+        out = _html.escape(n["content"]).replace("\n", "<br />\n")
+        for flag, tag in ((n["italic"], "i"), (n["bold"], "b"), (n["strikethrough"], "s"), (n["script"], n["script"])):
             out = f"<{tag}>{out}</{tag}>" if flag else out
         return out
 
@@ -243,18 +253,22 @@ class Html(Renderer):
     def image(self, n: Node) -> str:
         title = f' title="{_html.escape(n["title"])}"' if n["title"] else ""
         label = f' data-label="{_html.escape(n["label"])}"' if n["label"] else ""
-        made = f'<img src="{_html.escape(n["src"])}" alt="{_html.escape(n["alt"])}"{title}{label}>'
-        return f"<figure>{made}<figcaption>{self.inline(n['caption'])}</figcaption></figure>" if n["caption"] else made
+        made = f'<img src="{_html.escape(n["src"])}" alt="{_html.escape(n["alt"])}"{title} />'
+        caption = f"<figcaption>{self.inline(n['caption'])}</figcaption>\n" if n["caption"] else ""
+        return f"<figure{label}>\n{made}\n{caption}</figure>" if caption or label else made
 
     def codeinline(self, n: Node) -> str:
-        return f"<code>{_html.escape(n['code'], quote=False)}</code>"
+        return f"<code>{_html.escape(n['code'])}</code>"
 
     def linebreak(self, n: Node) -> str:
-        return "<br>"
+        return "<br />\n"
 
     def equation(self, n: Node) -> str:
-        code = _html.escape(n["code"], quote=False)
-        return f'<span class="math">\\({code}\\)</span>' if n["inline"] else f'<div class="math">\\[{code}\\]</div>'
+        code = _html.escape(n["code"])
+        if n["inline"]:
+            return f'<span class="math inline">\\({code}\\)</span>'
+        begin, end = (f"\\begin{{{n['env']}}}", f"\\end{{{n['env']}}}") if n["env"] else ("$$", "$$")
+        return f'<div class="math block">{begin}\n{code}\n{end}</div>'
 
     def citation(self, n: Node) -> str:
         return _html.escape(macro(n), quote=False)
@@ -262,40 +276,53 @@ class Html(Renderer):
     reference = label = citation
 
     def paragraph(self, n: Node) -> str:
-        return f"<p>{self.inline(n['children'])}</p>"
+        """Display formulas and figures, which ``<p>`` cannot hold, stand between its parts."""
+        out: list[str] = []
+        run: list[Node] = []
+        apart = lambda c: c["type"] == "Equation" and not c["inline"] or c["type"] == "Image" and (c["caption"] or c["label"])
+        for c in [*n["children"], None]:
+            if c is not None and not apart(c):
+                run.append(c)
+                continue
+            if (made := self.inline(run)).strip():
+                out.append(f"<p>{made}</p>")
+            run = []
+            out += [self.inline([c])] if c is not None else []
+        return "\n".join(out)
 
     def heading(self, n: Node) -> str:
         return f"<h{n['level']}>{self.inline(n['children'])}</h{n['level']}>"
 
     def codeblock(self, n: Node) -> str:
         cls = f' class="language-{_html.escape(n["language"])}"' if n["language"] else ""
-        return f"<pre><code{cls}>{_html.escape(n['code'], quote=False)}</code></pre>"
+        return f"<pre><code{cls}>{_html.escape(n['code'])}</code></pre>"
 
     def blockquote(self, n: Node) -> str:
-        cls = f' class="alert alert-{n["alert_type"]}"' if n["alert_type"] else ""
-        return f"<blockquote{cls}>\n{self.blocks(n['children'], chr(10))}\n</blockquote>"
+        cls = f' class="alert alert-{n["alert_type"].lower()}"' if n["alert_type"] else ""
+        title = f'<div class="alert-title">{n["alert_type"].upper()}</div>\n' if n["alert_type"] else ""
+        return f"<blockquote{cls}>\n{title}{self.blocks(n['children'], chr(10))}\n</blockquote>"
 
     def abstract(self, n: Node) -> str:
-        return f'<blockquote class="abstract">\n<p>Abstract:</p>\n{self.blocks(n["children"], chr(10))}\n</blockquote>'
+        return f'<blockquote class="alert-important">\n<div class="alert-title">Abstract</div>\n{self.blocks(n["children"], chr(10))}\n</blockquote>'
 
     def horizontalrule(self, n: Node) -> str:
-        return "<hr>"
+        return "<hr />"
 
     def listblock(self, n: Node) -> str:
         tag = "ol" if n["ordered"] else "ul"
         start = f' start="{n["start"]}"' if n["ordered"] and n["start"] != 1 else ""
         items = []
         for i in n["items"]:
-            box = "" if i["checked"] is None else f'<input type="checkbox" disabled{" checked=checked" if i["checked"] else ""}> '
-            inner = self.inline(i["children"][0]["children"]) if len(i["children"]) == 1 and i["children"][0]["type"] == "Paragraph" else self.blocks(i["children"], "\n")
+            box = "" if i["checked"] is None else f'<input type="checkbox" disabled{" checked" if i["checked"] else ""} /> '
+            inner = self.inline(i["children"][0]["children"]) if len(i["children"]) == 1 and i["children"][0]["type"] == "Paragraph" else self.blocks(i["children"], "")
             items.append(f"<li>{box}{inner}</li>")
         return f"<{tag}{start}>\n" + "\n".join(items) + f"\n</{tag}>"
 
     def table(self, n: Node) -> str:
         head, rows = table_grid(n)
-        line = lambda cells, t: "<tr>" + "".join(f"<{t}>{self.inline(c['children'])}</{t}>" for c in cells) + "</tr>"
+        line = lambda cells, t: "<tr>\n" + "\n".join(f"<{t}>{self.inline(c['children'])}</{t}>" for c in cells) + "\n</tr>"
         parts = [f"<caption>{self.inline(n['caption'])}</caption>"] if n["caption"] else []
-        parts += [f"<thead>\n{line(head, 'th')}\n</thead>"] if head else []
+        parts += [f"<thead>{line(head, 'th')}</thead>"] if head else []
         parts += ["<tbody>\n" + "\n".join(line(r, "td") for r in rows) + "\n</tbody>"] if rows else []
         label = f' data-label="{_html.escape(n["label"])}"' if n["label"] else ""
         return f"<table{label}>\n" + "\n".join(parts) + "\n</table>"
@@ -414,11 +441,9 @@ class Plain(Renderer):
     """Plain text with underlined headings and grid tables."""
 
     def document(self, n: Node) -> str:
-        parts = []
-        if n["title"]:
-            title = self.inline(n["title"])
-            rule = "=" * max(3, display_width(title))
-            parts.append("\n".join([rule, title, rule, *(f"{k.title()}: {self.inline(n[k])}" for k in ("author", "date") if n[k])]))
+        title = self.inline(n["title"])
+        rule = "=" * max(3, display_width(title))
+        parts = ["\n".join([*([rule, title, rule] if title else []), *(f"{k.title()}: {self.inline(n[k])}" for k in ("author", "date") if n[k])])]
         parts.append(self.blocks(n["children"]))
         parts += [f"[{i}] {t}" for i, t in enumerate(self.note_texts(), 1)]
         body = "\n\n".join(p for p in parts if p)
@@ -429,7 +454,9 @@ class Plain(Renderer):
 
     def link(self, n: Node) -> str:
         inner = self.inline(n["content"])
-        return inner if not n["url"] or inner == n["url"] or n["url"].startswith("#") else f"{inner} ({n['url']})"
+        if not inner.strip() or inner == n["url"]:
+            return n["url"]
+        return inner if not n["url"] or n["url"] in (f"mailto:{inner}", f"http://{inner}", f"https://{inner}") else f"{inner} ({n['url']})"
 
     def image(self, n: Node) -> str:
         return n["description"] or n["extracted_text"] or ""
@@ -441,7 +468,10 @@ class Plain(Renderer):
         return "\n"
 
     def equation(self, n: Node) -> str:
-        return f"${n['code']}$" if n["inline"] else f"$$\n{n['code']}\n$$"
+        if n["inline"]:
+            return f"${n['code']}$"
+        code = f"\\begin{{{n['env']}}}\n{n['code']}\n\\end{{{n['env']}}}" if n["env"] else n["code"]
+        return f"$$\n{code}\n$$"
 
     def paragraph(self, n: Node) -> str:
         tail = [f"Figure: {self.inline(i['caption'])}" for i in n["children"] if i["type"] == "Image" and i["caption"]]
@@ -455,11 +485,12 @@ class Plain(Renderer):
         return "\n".join(f"    {x}".rstrip() for x in n["code"].split("\n"))
 
     def blockquote(self, n: Node) -> str:
-        head = f"{n['alert_type'].upper()}:\n" if n.get("alert_type") else ""
+        head = f"[!{n['alert_type'].upper()}]\n" if n.get("alert_type") else ""
         return "\n".join(f"> {x}".rstrip() for x in (head + self.blocks(n["children"])).split("\n"))
 
     def abstract(self, n: Node) -> str:
-        return "\n".join(f"> {x}".rstrip() for x in ("Abstract: " + self.blocks(n["children"])).split("\n"))
+        gap = "\n" if n["children"] and n["children"][0]["type"] == "Paragraph" else "\n\n"
+        return "\n".join(f"> {x}".rstrip() for x in f"Abstract:{gap}{self.blocks(n['children'])}".split("\n"))
 
     def horizontalrule(self, n: Node) -> str:
         return "---"
@@ -526,14 +557,18 @@ def render_json(tree: Node) -> str:
 UNSAFE_SCHEMES = ("javascript", "vbscript", "data")
 
 
+def is_unsafe(url: str) -> bool:
+    """Whether a browser, which drops tabs, line ends and leading control characters, reads an unsafe scheme."""
+    scheme, colon, _ = re.sub(r"[\t\n\r]", "", url).lstrip("".join(map(chr, range(33)))).partition(":")
+    return bool(colon) and scheme.lower() in UNSAFE_SCHEMES
+
+
 def neutralize_links(tree: Node) -> int:
     """Links of unsafe schemes point nowhere; returns how many."""
-    count = 0
-    for n in walk(tree):
-        if n["type"] == "Link" and n["url"].strip().split(":")[0].lower() in UNSAFE_SCHEMES and ":" in n["url"]:
-            n["url"] = "#"
-            count += 1
-    return count
+    unsafe = [n for n in walk(tree) if n["type"] == "Link" and is_unsafe(n["url"])]
+    for n in unsafe:
+        n["url"] = "#"
+    return len(unsafe)
 
 
 def discard_links(tree: Node) -> None:

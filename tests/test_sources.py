@@ -47,15 +47,15 @@ def test_extraction(source, want):
     ("source", "want"),
     [
         ("<b>a<br>b</b> c", "**a**  \n**b** c\n"),
-        ("<b>a</b>\n  <i>b</i>", "**a** *b*\n"),
+        ("<b>a</b>\n  <i>b</i>", "**a** _b_\n"),
         ("<title>T</title><p>x", "# T\n\nx\n"),
         ("<title>T</title><h1>H</h1><p>x", "# H\n\nx\n"),
         ("<img src='data:x' data-src=real.png alt=a>", "![a](real.png)\n"),
         ("<img srcset='one.png 1x, two.png 2x'>", "![](one.png)\n"),
-        ("<blockquote>Abstract: x</blockquote>", "> Abstract: x\n"),
+        ("<blockquote>Abstract: x</blockquote>", "> [!IMPORTANT]\n> **Abstract**  \n> x\n"),
         ("<blockquote>Abstraction x</blockquote>", "> Abstraction x\n"),
         ("<a href=' JavaScript:x'>y</a>", "[y](#)\n"),
-        ("<ul><li><input type=checkbox checked>a<li>b<ul><li>c</ul></ul>", "- [x] a\n- b\n  - c\n"),
+        ("<ul><li><input type=checkbox checked>a<li>b<ul><li>c</ul></ul>", "- [x] a\n- b\n    - c\n"),
         ("<pre><code class=language-py>a\n b</code></pre>", "```py\na\n b\n```\n"),
     ],
 )
@@ -94,6 +94,40 @@ def test_markdown_is_stable(source):
     assert Markdown().document(parse_markdown(once)) == once
 
 
+PROBES = [  # what was lost, left alive or slow once
+    ("latex", r"a \iffalse x \iftrue y \fi z \else shown \fi keep", "a shown keep\n"),
+    ("latex", r"a \iffalse never \iftrue closed \fi", "a\n"),
+    ("markdown", "a\ue000b \\* **bo\\*ld** `a\\*b` [li\\]nk](http://a.b/\\(c\\))", "a\ue000b \\* **bo\\*ld** `a\\*b` [li\\]nk](http://a.b/(c))\n"),
+    ("markdown", "see http://a.b/c(d). and http://x.y/z)).", "see <http://a.b/c(d)>. and <http://x.y/z>)).\n"),
+    ("text", "===\nOn it\n===\nAuthor: A\n  and B\n\nx", '---\ntitle: "On it"\nauthor: "A and B"\n---\n\nx\n'),
+]
+
+
+@pytest.mark.parametrize(("fmt", "source", "want"), PROBES)
+def test_probes(fmt, source, want):
+    assert convert_text(source, fmt, "markdown") == want
+
+
+def test_unsafe_links():
+    made = convert_text('<a href="java\tscript:x">a</a> <a href="\x01 data:x">b</a> <a href="http://a.b">c</a>', "html", "html")
+    assert made.count('href="#"') == 2 and 'href="http://a.b"' in made
+
+
+def test_deep_and_long():
+    """Nesting of thousands of levels, and many runs of backticks, within seconds."""
+    import time
+
+    begin = time.perf_counter()
+    for fmt, source in (("html", "<div>" * 3000 + "x"), ("html", "<ul><li>" * 600 + "x"), ("markdown", "> " * 2000 + "x"), ("latex", "{" * 3000 + "x"), ("markdown", " ".join("`" * i + "x" for i in range(1, 401)))):
+        convert_text(source, fmt, "markdown")
+    assert time.perf_counter() - begin < 10
+
+
+def test_models_are_not_passed_over():
+    with pytest.raises(ValueError, match="model"):
+        Options(image_handling="describe")
+
+
 @pytest.mark.parametrize("literal", ["a*b*c", "_x_", "[a](b)", "`x`", "<b>", "1. x", "# x", "- x", "~~x~~", "$a$", "a_b_c", "&amp;", "![a](b)", "\\*"])
 def test_literals_survive_markdown(literal):
     tree = node("Document", children=[paragraph(text(literal))])
@@ -151,7 +185,7 @@ def test_json_errors():
 def test_latex():
     tree = parse_latex(r"\newcommand{\w}[1]{\emph{#1}}\section{A}\w{x} ``q'' caf\'e --- \verb|a_b| 5\% % gone" "\n\n" r"\begin{enumerate}\item a\item b\end{enumerate}\begin{tabular}{ll}\hline h & i\\\hline 1 & 2\\\end{tabular}")
     assert kinds(tree) == ["Heading", "Paragraph", "ListBlock", "Table"]
-    assert Markdown().document(tree).startswith("# A\n\n*x* “q” café — `a_b` 5%\n")
+    assert Markdown().document(tree).startswith("# A\n\n_x_ “q” café — `a_b` 5%\n")
     assert len(tree["children"][3]["headers"]) == 2
     bomb = r"\newcommand{\a}{\b\b\b\b\b\b\b\b\b\b}\newcommand{\b}{\c\c\c\c\c\c\c\c\c\c}\newcommand{\c}{\a\a\a\a\a\a\a\a\a\a}\a"
     parse_latex(bomb)
