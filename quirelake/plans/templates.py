@@ -469,11 +469,11 @@ Parts
 3. three
 4. four
 
-+-----+------+
-| Key | Size |
-+=====+======+
-| {key:3} | {size:4} |
-+-----+------+
++----------+----------+
+| Key      | Size     |
++==========+==========+
+| {key:8} | {size:8} |
++----------+----------+
 
 > quoted {name}
 
