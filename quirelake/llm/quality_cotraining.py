@@ -1,7 +1,8 @@
 """Document quality by co-training.
 
-Two classifiers see different views of a document: its text (style measures
-of the whole text) and its page metadata (language, source, length class).
+Two classifiers see different views of a document: its text (hashed words and
+style measures of the whole text) and its page metadata (language, source,
+length class).
 Both start from the labelled rows; in each round either one labels the
 documents that it is most sure of, among all unlabelled ones that it has not
 labelled yet, and hands them to the other.  At the end
@@ -15,7 +16,7 @@ scores, counts by metadata, and sums of slopes and curvatures.  Which labels a
 row was given follows from the views of the rounds before, so no state of rows
 is kept.
 
-Defined results: a null or empty text has the style measures of an empty text;
+Defined results: a null or empty text has the style measures of an empty text and no words;
 null metadata is a value of its own; without labels, or with one class only,
 every score is the smoothed share of good rows; null labels are left out and a
 document labelled twice counts by its largest label; repeated rows give
@@ -26,6 +27,7 @@ read, and missing metadata columns count as null.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -44,6 +46,8 @@ CONFIDENT = 0.05
 #: Bins of a score's logit by which rows are ranked.
 BINS = 256
 METADATA = 256
+#: Buckets of hashed words in the text view.
+WORDS = 128
 THRESHOLD = 0.5
 
 _CLASSES = (b"#*$%&|<>", b"!?", b".,;:", b"0123456789", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"\"'()[]{}", b"=+-_/\\", b"\n")
@@ -66,6 +70,18 @@ def style(text: bytes) -> list[float]:
 
 
 STYLE = len(style(b""))
+#: Places of the text view: style, then words.
+TEXT = STYLE + WORDS
+
+
+def word_shares(text: bytes) -> bytes:
+    """For each bucket the root of the share of words that fall into it, in steps of 1/255."""
+    counts = Counter(map(lower_ascii, text.split()))
+    if not counts:
+        return bytes(WORDS)
+    buckets = np.fromiter((zlib.crc32(w) % WORDS for w in counts), np.int64, len(counts))
+    shares = np.bincount(buckets, np.fromiter(counts.values(), float, len(counts)), WORDS) / counts.total()
+    return np.rint(255 * np.sqrt(shares)).astype(np.uint8).tobytes()
 
 
 def metadata(lang: str | None, source: str | None, n_chars: int | None) -> list[int]:
@@ -75,7 +91,7 @@ def metadata(lang: str | None, source: str | None, n_chars: int | None) -> list[
 
 
 def vectors(docs: DataFrame) -> DataFrame:
-    """doc_id, style and metadata vectors of each row."""
+    """doc_id, style, word and metadata vectors of each row."""
     cols = [F.col(c).cast(k).alias(c) if c in docs.columns else F.lit(None).cast(k).alias(c) for c, k in (("lang", "string"), ("source", "string"), ("n_chars", "long"))]
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *cols)
 
@@ -83,17 +99,19 @@ def vectors(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for piece in pieces(batch, "text", 8_000_000):
                 meta = [metadata(*m) for m in zip(*(piece.column(c).to_pylist() for c in ("lang", "source", "n_chars")), strict=True)]
-                arrays = [piece.column("doc_id"), pa.array([style(t) for t in binary(piece.column("text"))], pa.list_(pa.float64())), pa.array(meta, pa.list_(pa.int32()))]
-                yield pa.record_batch(arrays, names=["doc_id", "style", "metadata"])
+                texts = binary(piece.column("text"))
+                arrays = [piece.column("doc_id"), pa.array(map(style, texts), pa.list_(pa.float64())), pa.array(map(word_shares, texts), pa.binary()), pa.array(meta, pa.list_(pa.int32()))]
+                yield pa.record_batch(arrays, names=["doc_id", "style", "words", "metadata"])
 
-    return chosen.mapInArrow(run, "doc_id long, style array<double>, metadata array<int>")
+    return chosen.mapInArrow(run, "doc_id long, style array<double>, words binary, metadata array<int>")
 
 
 def _arrays(rows: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """The style vectors and metadata places of rows."""
+    """The text vectors and metadata places of rows."""
     table = rows.combine_chunks() if isinstance(rows, pa.Table) else rows
     styles, places = (np.asarray(x.combine_chunks().flatten() if isinstance(x, pa.ChunkedArray) else x.flatten()) for x in (table.column("style"), table.column("metadata")))
-    return styles.reshape(-1, STYLE).astype(float), places.reshape(-1, 3).astype(int)
+    words = np.frombuffer(b"".join(table.column("words").to_pylist()), np.uint8).reshape(-1, WORDS) / 255
+    return np.hstack([styles.reshape(-1, STYLE), words]), places.reshape(-1, 3).astype(int)
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -206,11 +224,11 @@ class Pool:
         a, b, c, label, n = (rows.column(x).to_numpy() for x in (*keys, "n"))
         return np.column_stack([a, b, c]).astype(int), label.astype(float), n.astype(float)
 
-    def style_derivatives(self, rules: list[Rule], w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def text_derivatives(self, rules: list[Rule], w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Slope and curvature of the text view at ``w`` over all rows with labels given by the metadata view."""
 
         def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((STYLE + 1, STYLE))
+            total = np.zeros((TEXT + 1, TEXT))
             for batch in found:
                 if batch.num_rows:
                     styles, places = _arrays(batch)
@@ -222,7 +240,7 @@ class Pool:
             yield pa.record_batch([pa.array([total.ravel()], pa.list_(pa.float64()))], names=["total"])
 
         parts = self.rows.mapInArrow(batches, "total array<double>").toArrow().column("total")
-        total = sum((np.asarray(x.values) for x in parts), np.zeros((STYLE + 1) * STYLE)).reshape(STYLE + 1, STYLE)
+        total = sum((np.asarray(x.values) for x in parts), np.zeros((TEXT + 1) * TEXT)).reshape(TEXT + 1, TEXT)
         return total[0], total[1:]
 
 
@@ -247,7 +265,7 @@ class CoTrained:
     def constant(cls, share: float) -> CoTrained:
         """The same score for all documents."""
         offset = float(_logit(np.array(share)))
-        return cls([np.zeros(STYLE), np.zeros(METADATA + 1)], [(0.0, 0.0)] * 2, np.array([0.0, 0.0, offset]))
+        return cls([np.zeros(TEXT), np.zeros(METADATA + 1)], [(0.0, 0.0)] * 2, np.array([0.0, 0.0, offset]))
 
     @classmethod
     def fitted(cls, labelled: tuple[np.ndarray, np.ndarray], labels: np.ndarray, unlabelled: Callable[[], Pool]) -> CoTrained:
@@ -272,7 +290,7 @@ class CoTrained:
                     rules[view].append(rule(views[view], *ranked[view], float(y.mean())))
             places, taught, n = pool.metadata_counts(rules[0])
             views = [
-                logistic(train[0], y, more=lambda w: pool.style_derivatives(rules[1], w), start=views[0]),
+                logistic(train[0], y, more=lambda w: pool.text_derivatives(rules[1], w), start=views[0]),
                 logistic(np.concatenate([train[1], one_hot(places)]), np.concatenate([y, taught]), np.concatenate([np.ones(len(y)), n])),
             ]
         held = [x[apart] if apart.any() else x for x in labelled]
