@@ -141,12 +141,13 @@ def test_quality_rules(both, which):
     assert not entries.where("base_failed and kept").count()
 
 
-def test_quality_ablation(docs):
+@pytest.mark.parametrize("policy", sorted(quality_rules.POLICIES))
+def test_quality_ablation(docs, policy):
+    bits = quality_rules.POLICIES[policy]
     entries = quality_rules.ledger(docs)
-    masks = [r["failed"] & quality_rules.POLICIES["v2"] for r in entries.collect()]
-    got = {r["rule"]: (r["n_failed"], r["n_only"]) for r in quality_rules.ablation(entries, "v2").collect()}
-    for r in quality_rules.RULES:
-        assert got[r.name] == (sum(m >> r.bit & 1 for m in masks), sum(m == 1 << r.bit for m in masks))
+    masks = [r["failed"] & bits for r in entries.collect()]
+    got = {r["rule"]: (r["n_failed"], r["n_only"]) for r in quality_rules.ablation(entries, policy).collect()}
+    assert got == {r.name: (sum(m >> r.bit & 1 for m in masks), sum(m == 1 << r.bit for m in masks)) for r in quality_rules.RULES if bits >> r.bit & 1}
 
 
 def shingle_sets(df, width):
