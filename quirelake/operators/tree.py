@@ -35,7 +35,12 @@ def _without_parents(nodes: DataFrame, kind: str, id_col: str) -> DataFrame:
     # The outermost link around a node: the first interval, in order, that still holds it.
     w = Window.partitionBy(id_col).orderBy("node_id").rowsBetween(Window.unboundedPreceding, -1)
     opened = F.when(F.col("type") == kind, F.struct(F.col("subtree_end").alias("end"), F.col("parent_id").alias("parent"), F.col("slot").alias("slot"), F.col("ord").alias("ord")))
-    marked = nodes.withColumn("_over", F.max(opened).over(w))
+    # How many of them are open: begun before the node less those that ended before it.
+    begun = nodes.select("*", F.when(F.col("type") == kind, 1).otherwise(0).alias("_delta"), F.lit(1).alias("_is_node"))
+    ended = gone.select(id_col, (F.col("subtree_end") + 1).alias("node_id"), F.lit(-1).alias("_delta"), F.lit(0).alias("_is_node"))
+    events = Window.partitionBy(id_col).orderBy("node_id", "_is_node").rowsBetween(Window.unboundedPreceding, -1)
+    counted = begun.unionByName(ended, allowMissingColumns=True).withColumn("_open", F.coalesce(F.sum("_delta").over(events), F.lit(0)).cast("int"))
+    marked = counted.where("_is_node = 1").withColumn("_over", F.max(opened).over(w))
     inside = F.col("_over").isNotNull() & (F.col("node_id") <= F.col("_over.end"))
     parents = gone.select(F.col(id_col).alias("_id"), F.col("node_id").alias("_gone"))
     child = marked.join(parents, (F.col(id_col) == F.col("_id")) & (F.col("parent_id") == F.col("_gone")), "left")
@@ -44,7 +49,7 @@ def _without_parents(nodes: DataFrame, kind: str, id_col: str) -> DataFrame:
         {
             "parent_id": F.when(lifted, F.col("_over.parent")).otherwise(F.col("parent_id")),
             "slot": F.when(lifted, F.col("_over.slot")).otherwise(F.col("slot")),
-            "depth": F.when(inside, F.col("depth") - 1).otherwise(F.col("depth")),
+            "depth": F.col("depth") - F.col("_open"),
         }
     )
     return out.select(nodes.columns)
@@ -137,11 +142,26 @@ def prune_sections(blocks: DataFrame, titles: tuple[str, ...], *, id_col: str =
 
 
 def unique_names(rows: DataFrame, name: str, *, id_col: str = "doc_id", at: str = "node_id", most: int = 31) -> DataFrame:
-    """``unique_name``: repeats, whatever their case, get `` (2)``, `` (3)`` within the length allowed."""
-    w = Window.partitionBy(id_col, F.lower(name)).orderBy(at)
-    n = F.row_number().over(w)
-    suffix = F.concat(F.lit(" ("), n.cast("string"), F.lit(")"))
-    return rows.withColumn("unique_name", F.when(n == 1, F.col(name)).otherwise(F.concat(F.substr(F.col(name), F.lit(1), most - F.length(suffix)), suffix)))
+    """``unique_name``: a name already given, whatever its case, gets the first free of `` (2)``, `` (3)`` within the length allowed.
+
+    Names made this way count as given, so a later name that equals one is
+    numbered too.  The names of one document are folded in the JVM, by their
+    order; those of a document are as few as its tables.
+    """
+
+    def candidate(bare: Column, n: Column) -> Column:
+        suffix = F.concat(F.lit(" ("), n.cast("string"), F.lit(")"))
+        return F.when(n == 1, bare).otherwise(F.concat(F.substr(bare, F.lit(1), most - F.length(suffix)), suffix))
+
+    def given(taken: Column, row: Column) -> Column:
+        free = F.filter(F.transform(F.sequence(F.lit(1), F.size(taken) + 1), lambda n: candidate(row["name"], n)), lambda c: ~F.exists(taken, lambda t: F.lower(t["name"]) == F.lower(c)))
+        return F.array_append(taken, F.struct(row["at"].alias("at"), F.element_at(free, 1).alias("name")))
+
+    kind = dict(rows.dtypes)
+    ordered = F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), F.col(name).alias("name"))))
+    folded = F.aggregate(ordered, F.expr(f"cast(array() as array<struct<at:{kind[at]},name:string>>)"), given)
+    named = rows.where(F.col(name).isNotNull()).groupBy(id_col).agg(folded.alias("_named")).select(F.col(id_col).alias("_id"), F.inline("_named").alias("_at", "unique_name"))
+    return rows.join(named, (F.col(id_col) == F.col("_id")) & (F.col(at) == F.col("_at")), "left").drop("_id", "_at")
 
 
 def place_notes(marks: DataFrame, notes: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
