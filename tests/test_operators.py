@@ -125,3 +125,39 @@ def test_media(spark):
         media.sheet_serial(F.lit("1900-01-01 12:00:00").cast("timestamp")), media.property_text(F.lit("a  b\n" + "word " * 80)), media.frame_percent(F.lit(1), F.lit(3))
     ).first()
     assert other[0] == 2.5 and len(other[1]) <= 255 and other[1].endswith("word") and other[2] == 33
+
+
+def test_unique_names_are_unique(spark):
+    names = ["x", "X", "x (2)", None, "x", "y" * 31, "y" * 31]
+    df = spark.createDataFrame([(1, i, n, "clash") for i, n in enumerate(names)] + [(2, 0, "x", "clash")], "doc_id long, node_id long, name string, at string")
+    got = {(r["doc_id"], r["node_id"]): r["unique_name"] for r in tree.unique_names(df, "name").collect()}
+    assert [got[1, i] for i in range(7)] == ["x", "X (2)", "x (2) (2)", None, "x (3)", "y" * 31, "y" * 27 + " (2)"] and got[2, 0] == "x"
+    assert tree.unique_names(df.limit(0), "name").count() == 0
+
+
+def test_depth_below_nested_links(spark):
+    from quirelake.schema import node, paragraph
+    from quirelake.schema import text as words
+
+    inner = node("Link", url="v", content=[words("b")])
+    document = node("Document", children=[paragraph(node("Link", url="u", content=[words("a"), inner]), words("c"))])
+    from quirelake.schema import node_schema
+
+    df = spark.createDataFrame([(1, *r) for r in flatten(document)], node_schema())
+    assert [(r["text"], r["depth"]) for r in tree.discard_links(df).orderBy("node_id").collect()] == [(None, 0), (None, 1), ("a", 2), ("b", 2), ("c", 2)]
+
+
+def test_references_of_odd_documents(spark):
+    from quirelake.operators import references
+
+    tex = ["", None, r"\ref{a}\label{a}", "\\section{S}\\label{a}\n\n\\ref{a}\n\n\\section{T}\n\n\\label{a}x"]
+    df = parse_df(spark.createDataFrame([(i, s, "clash") for i, s in enumerate(tex)], "doc_id long, text string, label string"), "latex")
+    assert sorted((r["doc_id"], r["shown"]) for r in references.printed_references(df).collect()) == [(2, "[a]"), (3, "2")]
+
+
+def test_layout_of_empty_tables(spark):
+    from quirelake.operators import layout, references
+
+    empty = spark.createDataFrame([], "doc_id long, at long, kind string, level int, text string, feature string, list long, start int, ok boolean, code string, language string, note string")
+    made = [layout.slide_plans(empty), layout.list_numbers(empty), layout.run_until_failures(empty, phase="doc_id"), layout.dropped_census(empty), layout.code_runs(empty)]
+    assert not sum(df.count() for df in [*made, references.paired_notes(empty, empty), references.attached_captions(empty)])
