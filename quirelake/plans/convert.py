@@ -95,6 +95,22 @@ def render_df(nodes: DataFrame, to_format: str, *, id_col: str = "doc_id") -> Da
     return nodes.groupBy(id_col).applyInArrow(run, f"`{id_col}` long, rendered string, error string")
 
 
-def save(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists") -> None:
-    """Writes a result; never over what is there unless asked to."""
-    df.write.format(fmt).mode(mode).save(path)
+#: Writers by the extension of a path.
+WRITERS = {"parquet": "parquet", "orc": "orc", "csv": "csv", "json": "json", "jsonl": "json", "txt": "text"}
+
+
+def save(df: DataFrame, path: str, fmt: str | None = None, mode: str = "errorifexists") -> None:
+    """Writes a result in a format, or in the one of the path's extension (Parquet without any).
+
+    Never over what is there unless asked to, and never over a file that the result reads.
+    """
+    name = path.rstrip("/").rpartition("/")[2]
+    extension = name.rpartition(".")[2].lower() if "." in name else "parquet"
+    fmt = fmt or WRITERS.get(extension)
+    if fmt is None:
+        raise ValueError(f"no writer for the extension of {name!r}; known are {', '.join(WRITERS)}")
+    plain = lambda x: x.removeprefix("file:").rstrip("/").replace("//", "")
+    if any(plain(read) == plain(path) or plain(read).startswith(f"{plain(path)}/") for read in df.inputFiles()):
+        raise ValueError(f"{path!r} is read by the result that would replace it")
+    writer = df.write.mode(mode)
+    (writer.option("header", True) if fmt == "csv" else writer).format(fmt).save(path)

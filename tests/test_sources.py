@@ -211,3 +211,59 @@ def test_code_parsing():
     source = "Some words of prose that go on.\n\ndef f(a_b):\n\nx = 1\n\nreturn a_b + x\n\nSee [the docs](http://x) and mail a@b.c for more, as in [1].\n"
     got = convert_text(source, "markdown", "markdown", Options(code_parsing=True))
     assert "```\ndef f(a_b):\nx = 1\nreturn a_b + x\n```" in got and got.startswith("Some words of prose") and got.rstrip().endswith("as in [1].") is False or "[the docs]" in got
+
+
+def made_workbook(sheets):
+    """A workbook with the sheets given: name, state and the XML of its rows."""
+    import io
+    import zipfile
+
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        names = "".join(f'<sheet name="{n}" sheetId="{i}" state="{s}" r:id="rId{i}"/>' for i, (n, s, _) in enumerate(sheets, 1))
+        z.writestr("xl/workbook.xml", f"<workbook {main}><sheets>{names}</sheets></workbook>")
+        z.writestr("xl/_rels/workbook.xml.rels", "<Relationships>" + "".join(f'<Relationship Id="rId{i}" Target="worksheets/s{i}.xml"/>' for i in range(1, len(sheets) + 1)) + "</Relationships>")
+        z.writestr("xl/sharedStrings.xml", f'<sst {main}><si><t>plain</t></si><si><r><t>two</t></r><r><t> runs, "q"</t></r><rPh sb="0" eb="1"><t>no</t></rPh></si></sst>')
+        z.writestr("xl/styles.xml", f'<styleSheet {main}><numFmts><numFmt numFmtId="164" formatCode="&quot;d&quot;0.0"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="164"/></cellXfs></styleSheet>')
+        for i, (_, _, rows) in enumerate(sheets, 1):
+            z.writestr(f"xl/worksheets/s{i}.xml", f"<worksheet {main}><sheetData>{rows}</sheetData></worksheet>")
+    return out.getvalue()
+
+
+def test_workbooks(spark):
+    from quirelake.sources.workbook import csv_files, workbook_cells
+
+    rows = (
+        '<row r="1"><c r="A1" t="s"><v>0</v></c><c r="C1" t="s"><v>1</v></c></row><row r="3"><c r="A3" s="1"><v>45000</v></c><c r="B3" s="1"><v>45000.5</v></c><c r="C3" s="1"><v>0.25</v></c>'
+        '<c r="D3" s="2"><v>2.50</v></c><c r="E3" t="b"><v>1</v></c><c r="F3" t="inlineStr"><is><t>in</t></is></c><c r="G3"><f>A3+1</f><v>45001</v></c><c r="H3" t="e"><v>#N/A</v></c></row>'
+    )
+    one, two = made_workbook([("Data", "visible", rows), ("Secret", "hidden", rows)]), made_workbook([("a/b", "visible", '<row><c r="B1"><v>1</v></c></row>'), ("c", "visible", '<row><c r="A1"><v>2</v></c></row>'), ("none", "visible", "")])
+    df = spark.createDataFrame([("one", one, "clash"), ("two", two, ""), ("bad", b"zip", ""), ("null", None, "")], "path string, content binary, sheet string")
+    cells = workbook_cells(df)
+    got = {(r["path"], r["suffix"]): r["csv"] for r in csv_files(cells).collect()}
+    line = "2023-03-15,2023-03-15 12:00:00,06:00:00,2.5,TRUE,in,45001,#N/A"
+    assert got == {("one", ""): f'﻿plain,,"two runs, ""q""",,,,,\r\n,,,,,,,\r\n{line}\r\n', ("two", "_a_b"): "﻿,1\r\n", ("two", "_c"): "﻿2\r\n"}
+    assert [(r["row"], r["col"]) for r in cells.where("formula = '=A3+1'").collect()] == [(2, 6)]
+    assert {r["path"] for r in cells.where("error is not null").collect()} == {"bad", "null"}
+    assert workbook_cells(df.limit(0)).count() == 0
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert csv_files(cells.where("path = 'one'")).head()["csv"] == got["one", ""]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_save_by_extension(spark, tmp_path):
+    from quirelake.plans.convert import save
+
+    df = spark.createDataFrame([(1, "a,b")], "doc_id long, text string")
+    save(df, f"{tmp_path}/out.csv")
+    save(df, f"{tmp_path}/plain")
+    back = spark.read.option("header", True).csv(f"{tmp_path}/out.csv")
+    assert [tuple(r) for r in back.collect()] == [("1", "a,b")] and spark.read.parquet(f"{tmp_path}/plain").count() == 1
+    with pytest.raises(ValueError, match="no writer"):
+        save(df, f"{tmp_path}/out.docx")
+    with pytest.raises(ValueError, match="is read by"):
+        save(back, f"{tmp_path}/out.csv", mode="overwrite")
