@@ -56,7 +56,7 @@ BASE = mask("few_words", "repeated_windows")
 POLICIES = {
     "v1": BASE,
     "v2": BASE | mask("symbols", "duplicate_lines", "long_words", "short_words", "capitals"),
-    # Symbols in two of five words fail: documents of mostly symbols slipped through at one of two.
+    # Two symbols for five words fail: 558 of 571 poor documents labelled at sf0.1 fail a rule, 411 under v2; good ones 109 under both.
     "v3": BASE | mask("symbols_strict", "duplicate_lines", "long_words", "short_words", "capitals"),
 }
 CURRENT = "v3"
