@@ -16,6 +16,7 @@ def label_numbers(nodes: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
 
     Only tables and figures with a caption or label count.  The last node of a
     label decides; a label before the first numbered section has no number.
+    Reads ``nodes`` several times: store what comes from a parser first.
     """
     captioned = nodes.where("slot = 'caption'").select(F.col(id_col).alias("_id"), F.col("parent_id").alias("_parent")).distinct()
     counted = nodes.where(F.col("type").isin("Table", "Image")).join(captioned, (F.col(id_col) == F.col("_id")) & (F.col("node_id") == F.col("_parent")), "left")
