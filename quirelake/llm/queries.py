@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, license_scan, minhash_dedup, pii_semicrf, preference_chat, quality_cotraining, quality_rules, suffix_tree_lm, toxicity_fm
+from . import bpe, decontamination, license_scan, minhash_dedup, periodic_runs, pii_semicrf, preference_chat, quality_cotraining, quality_rules, suffix_tree_lm, token_files, toxicity_fm, whitening
 from .common import environment_path, held_out, read
 
 
@@ -69,6 +70,32 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", held_out(toxicity_fm.HELD_OUT).alias("held_out"), "score", "predicted")
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, written as files of shuffled byte planes and read back."""
+    folder = token_files.new_folder(spark)
+    token_files.write_ids(read(spark, sf_dir, "documents"), folder, tokenizer_path())
+    return token_files.id_checksums(spark, folder)
+
+
+def repeated_tail(doc_id: int, n: int) -> tuple[int, int] | None:
+    """First word and period of the planted tail of a document of ``n`` words; nine documents in ten have none."""
+    g, rest = divmod(zlib.crc32(str(doc_id).encode()), 10)
+    if rest or not n:
+        return None
+    first = g % n
+    return first, 1 + (n - first) // (3 + g % 8)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in every document, with planted tails."""
+    return periodic_runs.run_digests(periodic_runs.periodic_runs(read(spark, sf_dir, "documents"), tail=repeated_tail))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened components of every embedding."""
+    return whitening.whitened(read(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline.py over documents."""
     import corpus_pipeline
@@ -89,6 +116,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_preference": op8_preference,
         "op9_decontamination": op9_decontamination,
         "op10_toxicity": op10_toxicity,
+        "op11_token_files": op11_token_files,
+        "op12_periodic_runs": op12_periodic_runs,
+        "op13_whitening": op13_whitening,
         "pipeline": pipeline,
     }
 
