@@ -11,7 +11,7 @@ from ..functions import formats, text
 from ..operators import blocks, tree
 from ..schema import node_schema
 from ..sources.reader import parse_df
-from . import relations, templates
+from . import office, relations, templates
 from .convert import Options, convert_df, render_df
 from .render import LATEX_ESCAPES
 
@@ -528,5 +528,5 @@ def _template_query(name: str, from_format: str, source: str, to_format: str, ex
 for _conversion in templates.CONVERSIONS:
     _template_query(*_conversion)
 
-for _run, _sql in relations.REGISTERED:
+for _run, _sql in [*relations.REGISTERED, *office.REGISTERED]:
     query(_sql)(_run)

@@ -6,7 +6,7 @@ the grids and the CSV texts are made by Spark from that table.
 
 Defined results: hidden sheets are left out; what is no workbook, or a null,
 has one row with an error; a cell without a stored value is empty; a formula
-that shares another cell's text has no formula of its own; an empty table
+that shares another cell's text reads as that text, moved; an empty table
 gives an empty result; other columns are not read.
 """
 
@@ -20,12 +20,13 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import csv_cell, format_number
+from ..operators.formulas import cell_name, moved
 
-CELLS = "path string, sheet_no int, sheet string, row int, col int, kind string, raw string, formula string, error string"
+CELLS = "path string, sheet_no int, sheet string, row int, col int, kind string, raw string, formula string, shared int, error string"
 NAMES = [c.strip().split()[0] for c in CELLS.split(",")]
 ROWS = 20_000
 # The built-in number formats that show dates or times.
@@ -73,7 +74,7 @@ def _date_styles(archive: zipfile.ZipFile) -> set[int]:
 
 
 def cells_of(content: bytes) -> Iterator[tuple]:
-    """sheet_no, sheet, row, col, kind, raw and formula of the used cells of visible sheets."""
+    """sheet_no, sheet, row, col, kind, raw, formula and the number of a shared formula of the used cells of visible sheets."""
     with zipfile.ZipFile(io.BytesIO(content)) as archive:
         targets = {_attribute(r, "Id"): _attribute(r, "Target") or "" for r in _elements(archive, "xl/_rels/workbook.xml.rels", "Relationship")}
         strings = [_text(s) for s in _elements(archive, "xl/sharedStrings.xml", "si")]
@@ -92,22 +93,23 @@ def cells_of(content: bytes) -> Iterator[tuple]:
                 below = {_name(e): e for e in c}
                 raw = below["v"].text if "v" in below else _text(below["is"]) if "is" in below else None
                 formula = below["f"].text if "f" in below else None
+                shared = below["f"].get("si") if "f" in below and below["f"].get("t") == "shared" else None
                 kind = {"s": "text", "str": "text", "inlineStr": "text", "b": "boolean", "e": "error", "d": "text"}.get(c.get("t", "n"), "number")
                 if c.get("t") == "s" and raw is not None:
                     raw = strings[int(raw)]
                 elif kind == "number" and int(c.get("s", 0)) in dates:
                     kind = "date1904" if old else "date"
-                if raw is not None or formula is not None:
-                    yield number, sheet, int(place[2]) - 1, col - 1, kind, raw, formula and f"={formula}"
+                if raw is not None or formula is not None or shared is not None:
+                    yield number, sheet, int(place[2]) - 1, col - 1, kind, raw, formula and f"={formula}", shared and int(shared)
 
 
 def workbook_cells(files: DataFrame, *, path: str = "path", content: str = "content") -> DataFrame:
-    """The cell table of workbooks, as ``binaryFile`` reads them; one map, no shuffle."""
+    """The cell table of workbooks, as ``binaryFile`` reads them: one map, and one exchange for formulas that share a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def batch_of(made: list[tuple]) -> pa.RecordBatch:
             columns = list(zip(*made, strict=True)) if made else [()] * len(NAMES)
-            kinds = [pa.int32() if n in ("sheet_no", "row", "col") else pa.string() for n in NAMES]
+            kinds = [pa.int32() if n in ("sheet_no", "row", "col", "shared") else pa.string() for n in NAMES]
             return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=NAMES)
 
         for batch in batches:
@@ -120,10 +122,17 @@ def workbook_cells(files: DataFrame, *, path: str = "path", content: str = "cont
                             yield batch_of(made)
                             made = []
                 except (zipfile.BadZipFile, ElementTree.ParseError, ValueError, IndexError, KeyError) as e:
-                    made.append((where, *[None] * 7, f"no workbook: {e}"))
+                    made.append((where, *[None] * 8, f"no workbook: {e}"))
                 yield batch_of(made)
 
-    return files.select(F.col(path).alias("path"), F.col(content).alias("content")).mapInArrow(run, CELLS)
+    cells = files.select(F.col(path).alias("path"), F.col(content).alias("content")).mapInArrow(run, CELLS)
+    # The cell that holds a shared text comes first in its range.
+    sharing = Window.partitionBy("path", "sheet_no", "shared").orderBy("row", "col")
+    one = F.first(F.when(F.col("formula").isNotNull(), F.struct("row", "col", "formula")), ignorenulls=True).over(sharing.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    own = lambda c: F.col(c) + 1
+    text = moved(F.col("_first.formula"), F.col("_first.row") + 1, F.col("_first.col") + 1, own("row"), own("col"))
+    apart = cells.where("shared is not null").withColumn("_first", one).withColumn("formula", F.coalesce("formula", text)).drop("_first")
+    return cells.where("shared is null").unionByName(apart).drop("shared")
 
 
 def shown() -> Column:
@@ -160,3 +169,71 @@ def csv_files(cells: DataFrame) -> DataFrame:
     n = sheets.groupBy("path").agg(F.count("*").alias("_n"))
     part = F.regexp_replace("sheet", r'[<>:"/\\|?*\x00-\x1f]', "_")
     return texts.join(n, "path").select("path", "sheet", F.when(F.col("_n") == 1, "").otherwise(F.concat(F.lit("_"), part)).alias("suffix"), "csv")
+
+
+def _xml(text: Column) -> Column:
+    """Text inside an element; control characters that XML has no form for become spaces."""
+    bare = F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", " ")
+    return F.replace(F.replace(F.replace(F.replace(bare, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit("\r"), F.lit("&#13;"))
+
+
+# The parts of a workbook besides its sheets.
+_MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+_OFFICE = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+_PACKAGE = "http://schemas.openxmlformats.org/package/2006"
+_TYPES = "application/vnd.openxmlformats-officedocument.spreadsheetml"
+_HEAD = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n'
+
+
+def _archive(sheets: list[dict]) -> bytes:
+    """A workbook of sheets that are XML already."""
+    from xml.sax.saxutils import quoteattr
+
+    n = range(1, len(sheets) + 1)
+    override = "".join(f'<Override PartName="/xl/worksheets/sheet{k}.xml" ContentType="{_TYPES}.worksheet+xml"/>' for k in n)
+    listed = "".join(f'<sheet name={quoteattr(s["sheet"])} sheetId="{k}" r:id="rId{k}"/>' for k, s in zip(n, sheets, strict=True))
+    links = "".join(f'<Relationship Id="rId{k}" Type="{_OFFICE}/worksheet" Target="worksheets/sheet{k}.xml"/>' for k in n)
+    parts = {
+        "[Content_Types].xml": f'<Types xmlns="{_PACKAGE}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/>'
+        f'<Override PartName="/xl/workbook.xml" ContentType="{_TYPES}.sheet.main+xml"/>{override}</Types>',
+        "_rels/.rels": f'<Relationships xmlns="{_PACKAGE}/relationships"><Relationship Id="rId1" Type="{_OFFICE}/officeDocument" Target="xl/workbook.xml"/></Relationships>',
+        "xl/workbook.xml": f'<workbook xmlns="{_MAIN}" xmlns:r="{_OFFICE}"><sheets>{listed}</sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{_PACKAGE}/relationships">{links}</Relationships>',
+    } | {f"xl/worksheets/sheet{k}.xml": f'<worksheet xmlns="{_MAIN}"><sheetData>{s["xml"]}</sheetData></worksheet>' for k, s in zip(n, sheets, strict=True)}
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+        for name, text in parts.items():
+            # One date for all parts, so that equal cells give equal bytes.
+            archive.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), _HEAD + text, zipfile.ZIP_DEFLATED)
+    return out.getvalue()
+
+
+def workbook_files(cells: DataFrame) -> DataFrame:
+    """path and content (the bytes of a workbook) from a cell table.
+
+    ``cells`` has path, sheet_no, sheet, row and col (from 0), kind (number, boolean or text), raw and
+    formula.  Spark makes the XML of rows and sheets; a small map packs what is ready.  Formulas
+    are written without a stored value where ``raw`` is null; sheets of a path come in the order of their numbers.
+    """
+    name = cell_name(F.col("row") + 1, F.col("col") + 1)
+    formula = F.when(F.col("formula").isNotNull(), F.concat(F.lit("<f>"), _xml(F.substr("formula", F.lit(2))), F.lit("</f>"))).otherwise("")
+    value = F.when(F.col("raw").isNull(), "").otherwise(F.concat(F.lit("<v>"), _xml(F.col("raw")), F.lit("</v>")))
+    inline = F.concat(F.lit('<is><t xml:space="preserve">'), _xml(F.col("raw")), F.lit("</t></is>"))
+    is_text = F.col("kind") == "text"
+    kind = F.when(is_text & F.col("formula").isNull(), ' t="inlineStr"').when(is_text, ' t="str"').when(F.col("kind") == "boolean", ' t="b"').otherwise("")
+    body = F.when(is_text & F.col("formula").isNull(), inline).otherwise(F.concat(formula, value))
+    cell = F.concat(F.lit('<c r="'), name, F.lit('"'), kind, F.lit(">"), body, F.lit("</c>"))
+    key = ["path", "sheet_no", "sheet"]
+    used = cells.where("raw is not null or formula is not null").select(*key, "row", "col", cell.alias("xml"))
+    joined = lambda order: F.array_join(F.array_sort(F.collect_list(F.struct(order, "xml")))["xml"], "")
+    rows = used.groupBy(*key, "row").agg(joined("col").alias("xml"))
+    rows = rows.select(*key, "row", F.concat(F.lit('<row r="'), (F.col("row") + 1).cast("string"), F.lit('">'), "xml", F.lit("</row>")).alias("xml"))
+    sheets = rows.groupBy(*key).agg(joined("row").alias("xml"))
+    books = sheets.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("sheet_no", "sheet", "xml"))).alias("sheets"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for where, found in zip(batch.column("path").to_pylist(), batch.column("sheets"), strict=True):
+                yield pa.record_batch([pa.array([where], pa.string()), pa.array([_archive(found.as_py())], pa.binary())], names=["path", "content"])
+
+    return books.select(F.col("path").cast("string"), "sheets").mapInArrow(run, "path string, content binary")

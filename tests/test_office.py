@@ -1,0 +1,124 @@
+"""Operators on sheets and pages against plain Python."""
+
+import random
+import re
+
+from pyspark.sql import functions as F
+from quirelake.operators import formulas
+from quirelake.plans import office
+from quirelake.sources.workbook import workbook_cells, workbook_files
+
+
+def _letters(n):
+    out = ""
+    while n:
+        n, r = divmod(n - 1, 26)
+        out = chr(65 + r) + out
+    return out
+
+
+def test_column_names(spark):
+    numbers = [1, 26, 27, 52, 53, 701, 702, 703, 728, 729, 1378, 1379, 16_384, 18_278]
+    rows = spark.createDataFrame([(n,) for n in numbers], "n int").select("n", formulas.column_letters(F.col("n")).alias("s"), formulas.column_number(F.lower(formulas.column_letters(F.col("n")))).alias("back"))
+    assert [(r.n, r.s, r.back) for r in rows.collect()] == [(n, _letters(n), n) for n in numbers]
+
+
+MOVES = [
+    ("=B2*$A$1", "=D4*$A$1"), ("=IF(b2>A$1,\"B2 \"\"B2\",Sheet1!C3:C9)", "=IF(D4>C$1,\"B2 \"\"B2\",Sheet1!E5:E11)"), ("=LOG10(A1)+T[B2]+B2_x+x.B2", "=LOG10(C3)+T[B2]+B2_x+x.B2"),
+    ("='My B2'!$C4+A1!B2", "='My B2'!$C6+A1!D4"), ("=SUM(A:$C)+SUM(2:$5)", "=SUM(C:$C)+SUM(4:$5)"), ("=1.5E3+2E5+B2", "=1.5E3+2E5+D4"), ("={1,2;3,4}&\"'\"&B2", "={1,2;3,4}&\"'\"&D4"), ("", ""), (None, None), ("=\"open B2", "=\"open D4"),
+]
+
+
+def test_moves(spark):
+    rows = spark.createDataFrame([(a, i) for i, (a, _) in enumerate(MOVES)], "f string, i int")
+    two, four = F.lit(2), F.lit(4)
+    found = rows.select("i", "f", formulas.moved(F.col("f"), two, two, four, four).alias("m"), F.array_join(formulas.tokens(F.col("f")), "").alias("t")).orderBy("i").collect()
+    assert [r.m for r in found] == [b for _, b in MOVES]
+    assert [r.t for r in found] == [r.f for r in found]
+
+
+def test_off_the_sheet(spark):
+    rows = spark.createDataFrame([("=A1+B5",), ("=XFD1",), ("=A1048576",)], "f string")
+    two, one, three = F.lit(2), F.lit(1), F.lit(3)
+    assert [r.m for r in rows.select(formulas.moved(F.col("f"), two, two, one, three).alias("m")).collect()] == ["=A1+B5", "=XFD1", "=B1048575"]
+
+
+def test_lines_over_ranges(spark):
+    lines = ["D2:D4 = B2*$A$1", "D3 = x", "no line", "A:B = C1", "D9:D5 = 1", " $f$1:g2 = F3 ", "E1 = ", "E2 =3"]
+    found = formulas.expand(spark.createDataFrame([("s", i, x) for i, x in enumerate(lines)], "sheet string, at int, line string")).collect()
+    assert {(r.row, r.col): r.formula for r in found} == {(2, 4): "=B2*$A$1", (3, 4): "=x", (4, 4): "=B4*$A$1", (1, 6): "=F3", (1, 7): "=G3", (2, 6): "=F4", (2, 7): "=G4"}
+
+
+def _plain_form(formula, row, col):
+    def one(m):
+        c = sum((ord(x) - 64) * 26**k for k, x in enumerate(reversed(m[2])))
+        return f"<{m[1]}{c if m[1] else c - col},{m[3]}{int(m[4]) if m[3] else int(m[4]) - row}>"
+
+    return re.sub(r"(\$?)([A-Z]+)(\$?)([0-9]+)", one, formula)
+
+
+def _plain_lines(cells):
+    """Lines by walking down columns, then along rows."""
+    same = lambda a, b: a in cells and b in cells and _plain_form(cells[a], *a) == _plain_form(cells[b], *b)
+    lines, singles = [], set()
+    for r, c in sorted(cells):
+        if same((r, c), (r - 1, c)):
+            continue
+        end = r
+        while same((r, c), (end + 1, c)):
+            end += 1
+        if end > r:
+            lines.append((r, c, f"{_letters(c)}{r}:{_letters(c)}{end} = {cells[r, c][1:]}"))
+        else:
+            singles.add((r, c))
+    for r, c in sorted(singles):
+        if (r, c - 1) in singles and same((r, c), (r, c - 1)):
+            continue
+        end = c
+        while (r, end + 1) in singles and same((r, c), (r, end + 1)):
+            end += 1
+        lines.append((r, c, f"{_letters(c)}{r}" + (f":{_letters(end)}{r}" if end > c else "") + f" = {cells[r, c][1:]}"))
+    return sorted(lines)
+
+
+def test_compressed_and_expanded(spark):
+    rng, rows, expected, all_cells = random.Random(8), [], [], []
+    for sheet in range(12):
+        cells = {}
+        for r in range(3, 14):
+            for c in range(3, 9):
+                if rng.random() < 0.8:
+                    form = rng.choice([f"=A{r}+$B$1", f"={_letters(c - 1)}{r}*2", f"=SUM({_letters(c)}$1:{_letters(c)}{r - 1})", f"=$A{r}", "=7"])
+                    cells[r, c] = form
+        rows += [(sheet, r, c, f) for (r, c), f in cells.items()]
+        expected += [(sheet, *line) for line in _plain_lines(cells)]
+    table = spark.createDataFrame(rows, "sheet int, row int, col int, formula string")
+    lines = formulas.compress(table)
+    assert sorted(map(tuple, lines.collect())) == sorted(expected)
+    again = formulas.expand(lines.withColumn("at", F.monotonically_increasing_id()))
+    assert sorted((r.sheet, r.row, r.col, r.formula) for r in again.collect()) == sorted(rows)
+
+
+def test_workbooks_round_trip(spark):
+    cells = [
+        ("p", 0, "a & <b>", 0, 0, "text", " x<&>\"y \n", None), ("p", 0, "a & <b>", 0, 27, "number", "1.5", "=A1&\"<\""), ("p", 0, "a & <b>", 4, 1, "boolean", "1", None), ("p", 1, "two", 2, 0, "text", "é", "=\"é\""), ("q", 0, "s", 0, 0, "number", "3", None),
+    ]
+    schema = "path string, sheet_no int, sheet string, row int, col int, kind string, raw string, formula string"
+    found = workbook_cells(workbook_files(spark.createDataFrame(cells, schema))).drop("error").collect()
+    assert sorted(map(tuple, found)) == sorted(cells)
+    assert workbook_files(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_shared_formulas_are_read(spark):
+    import io
+    import zipfile
+
+    book = workbook_files(spark.createDataFrame([("p", 0, "s", r, 1, "number", str(r), f"=A{r + 1}*$C$1") for r in range(3)], "path string, sheet_no int, sheet string, row int, col int, kind string, raw string, formula string")).first().content
+    out = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(book)) as old, zipfile.ZipFile(out, "w") as new:
+        for name in old.namelist():
+            text = old.read(name).decode()
+            text = text.replace("<f>A1*$C$1</f>", '<f t="shared" ref="B1:B3" si="0">A1*$C$1</f>').replace("<f>A2*$C$1</f>", '<f t="shared" si="0"/>').replace("<f>A3*$C$1</f>", '<f t="shared" si="0"/>')
+            new.writestr(name, text)
+    files = spark.createDataFrame([("p", bytearray(out.getvalue()))], "path string, content binary")
+    assert sorted((r.row, r.formula) for r in workbook_cells(files).collect()) == [(r, f"=A{r + 1}*$C$1") for r in range(3)]
