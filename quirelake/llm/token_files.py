@@ -31,8 +31,10 @@ stay null; an empty table gives a folder with no documents; columns other than d
 from __future__ import annotations
 
 import json
+import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -41,7 +43,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import tokenizer_source
+from .bpe import byte_symbols, tokenizer_source
 from .common import pieces, shared_folder
 
 #: Ids of a block.
@@ -54,6 +56,12 @@ _MAGIC = b"BITPLAN1"
 _LEVEL = 3
 _SLICE = 8_000_000
 _HEAD = 6
+#: Words that the whole pipeline of the library takes at once.
+_BATCH = 20_000
+#: A letter, and punctuation that is always apart from it.
+_BEHIND = r"[A-Za-z][.,;:!?)]+"
+#: Words of Latin letters that normalization only lowers.
+_LATIN = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
 
 
 def to_planes(ids: np.ndarray, bits: bool) -> list[bytes]:
@@ -169,43 +177,86 @@ class FileReader:
 
 
 class WordEncoder:
-    """Ids of texts through the tokenizers library, each distinct word once."""
+    """Ids of texts through the tokenizers library, each distinct word once.
+
+    Letters and the punctuation behind them are apart already for the pre-tokenizer; a space between
+    them leaves fewer distinct words.  A word of Latin letters alone is one pre-token and goes straight to the library's
+    model; all others take its whole pipeline.
+    """
 
     def __init__(self, source: str):
         from tokenizers import Tokenizer
 
-        spec = json.loads(source)
+        added = json.loads(source).get("added_tokens", [])
         spaced = lambda t: any(c in t["content"] for c in " \t\n\r\x0b\x0c") or t.get("lstrip") or t.get("rstrip") or t.get("single_word")
-        if any(map(spaced, spec.get("added_tokens", []))):
+        if any(map(spaced, added)):
             raise ValueError("special tokens of this vocabulary can span white space")
+        self.specials = [t["content"] for t in added]
         self.tokenizer = Tokenizer.from_str(source)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        probe = "some words, and  more"
-        if self.tokenizer.encode(probe, add_special_tokens=False).ids != [i for w in probe.split() for i in self.tokenizer.encode(w, add_special_tokens=False).ids]:
+        whole = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        probe = "Some words,  and: more) ÀÉ naïve. aß 12"
+        if whole(probe) != [i for w in probe.split() for i in whole(w)]:
             raise ValueError("pieces of this vocabulary can span white space")
+        symbols = dict(enumerate(byte_symbols()))
+        self.symbols = lambda w: w.encode().decode("latin-1").translate(symbols)
+        direct = lambda w: [t.id for t in self.tokenizer.model.tokenize(self.symbols(w.lower()))]
+        self.direct = direct if all(direct(w) == whole(w) for w in ("Some", "ÀÉ", "naïve", "zzxqéøå", "aß")) else None
+        self.apart = whole("words, more)") == whole("words , more )") and not any(re.search(_BEHIND, t.lower()) for t in self.specials)
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
         self.flat, self.starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
+    def _ids(self, words: list[str]) -> Iterator[list[int]]:
+        if self.direct is None:
+            words, plain = [], words
+        else:
+            plain = [w for w in words if not _LATIN(w)]
+        others = iter(())
+        if plain:
+            batches = (self.tokenizer.encode_batch_fast(plain[k : k + _BATCH], add_special_tokens=False) for k in range(0, len(plain), _BATCH))
+            others = (e.ids for batch in batches for e in batch)
+        if self.direct is None:
+            yield from others
+            return
+        tokenize, symbols = self.tokenizer.model.tokenize, self.symbols
+        for w in words:
+            if not _LATIN(w):
+                yield next(others)
+            else:
+                w = w.lower()
+                yield [t.id for t in tokenize(w if w.isascii() else symbols(w))]
+
     def _codes(self, words: list[str]) -> np.ndarray:
         new = [w for w in words if w not in self.known]
         if new and self.known and len(self.known) + len(new) > CACHED:
             self.clear()
             new = words
         if new:
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))])
+            sizes = np.empty(len(new), np.int64)
+            ids = array("I")
+            for k, found in enumerate(self._ids(new)):
+                sizes[k] = len(found)
+                ids.extend(found)
+            self.flat = np.concatenate([self.flat, np.frombuffer(ids, np.uint32)])
             self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
         return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
+    def _folded(self, texts: pa.Array) -> pa.Array:
+        """Texts with fewer distinct words and the same tokens: in lower case where no special token arises, words apart from what follows."""
+        if self.direct is not None:
+            lower = pc.ascii_lower(texts)
+            if not any(pc.any(pc.match_substring(lower, s)).as_py() for s in self.specials):
+                texts = lower
+        return pc.replace_substring_regex(texts, f"([A-Za-z])({_BEHIND[8:]})", r"\1 \2") if self.apart else texts
+
     def encode(self, texts: pa.Array, end: int | None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and how many each has; ``end`` closes each text."""
-        split = pc.ascii_split_whitespace(texts)
+        split = pc.ascii_split_whitespace(self._folded(texts))
         words = split.flatten().dictionary_encode()
         codes = self._codes(words.dictionary.to_pylist())[words.indices.to_numpy()]
         sizes = np.diff(self.starts)[codes]
