@@ -318,6 +318,66 @@ def test_pii_more(spark):
     assert [r["text"] for r in pii_semicrf.redact(df).orderBy("doc_id").collect()][0] == "call <PHONE> now"
 
 
+def test_pii_leaves_decimals_alone():
+    import random
+
+    rng = random.Random(1)
+    d = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    field = pii_semicrf.trained()
+    for a in range(1, 4):
+        for b in range(1, 16):
+            for form in ("is {x} ok", "{x}, {y}", "({x})", "{x} {y} kg", "-{x}%", "{x}-{y}", "phone {x}", "id: {x}"):
+                for point in ".,":
+                    text = form.format(x=f"{d(a)}{point}{d(b)}", y=f"{d(a)}{point}{d(b)}")
+                    base, found = pii_semicrf.find(text, field)
+                    assert found == base, text
+
+
+def test_pii_kinds_of_four_languages(spark):
+    texts = {
+        "01 23 45 67 89": "phone:0:14", "call 030 12345678 now": "phone:5:17", "912 345 678": "phone:0:11", "x 123 45 6789.": "id:2:13", '"token" = "2abc3ff2ca8fb1e4c565a0eb63815530a948bdde" From': "secret:11:51",
+        "Herr Karl Müller kam": "name:5:16", "pi is 3.1415926535 exactly": "", "1.234.567, version 10.15.7 and 2024-01-02 10:11:12": "", "look (at) this.thing now": "", "key to the city, password reset": "", "jo.x(at)mail.example.org": "email:0:24",
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["spans"] for r in pii_semicrf.personal_data(df).collect()} == dict(enumerate(texts.values()))
+    assert [r["text"] for r in pii_semicrf.redact(df).orderBy("doc_id").collect()][6:9] == list(texts)[6:9]
+
+
+def test_pii_precision_and_recall():
+    """On generated texts that the field has not seen."""
+    field, right, found_, wanted = pii_semicrf.trained(), 0, 0, 0
+    for text, spans in pii_semicrf.generated(1500, seed=99):
+        base, found = pii_semicrf.find(text, field)
+        right += len(set(found) & set(spans))
+        found_ += len(set(found) - (set(base) - set(spans)))
+        wanted += len(spans)
+    assert right / found_ > 0.98 and right / wanted > 0.95
+
+
+def test_pii_field_by_brute_force():
+    """The best segmentation and the sum over all of them, against every segmentation of short sequences."""
+    import random
+
+    rng = random.Random(4)
+    field = pii_semicrf.trained()
+
+    def every(lattice, j):
+        if j == 0:
+            return [(0.0, [])]
+        return [(score + field._score(kind, found), [*path, (i, kind, j)]) for i, kind, found in lattice[j - 1] for score, path in every(lattice, i)]
+
+    for _ in range(60):
+        text = "".join(rng.choice(["+", " ", "-", ".", "(", ") "]) + "".join(rng.choice("0123456789") for _ in range(rng.randrange(1, 5))) for _ in range(rng.randrange(1, 8)))
+        for s in pii_semicrf.sequences(text):
+            lattice = list(field._lattice(text, s))
+            scored = every(lattice, len(s.atoms))
+            best = max(scored, key=lambda t: t[0])
+            spans = [(k, *pii_semicrf.segment(text, s, i, j - 1)) for i, k, j in best[1] if k]
+            assert field.best(text, s) == spans
+            total = max(x for x, _ in scored)
+            assert field.expectation(lattice, Counter()) == pytest.approx(total + math.log(sum(math.exp(x - total) for x, _ in scored)))
+
+
 def test_preference_odd(spark):
     rows_ = [(1, s, t, "user" if t % 2 == 0 else "assistant", x) for s, xs in (("chosen", ["q", "a", "q2", None]), ("rejected", ["q", "a", "q2", "no"])) for t, x in enumerate(xs)]
     rows_ += [(2, "chosen", 0, None, "x"), (2, "rejected", 0, None, "x"), (None, "chosen", 0, "user", "x"), (3, "chosen", 0, "user", "x"), (3, "chosen", 0, "user", "x")]
