@@ -17,7 +17,9 @@ Hot groups stay cheap without losing a link between different texts:
   exact prefix filter: two sets of the similarity asked for must share one of
   the rarest fifth of their shingles, so texts that merely share a passage, or
   that are edited copies of one text too far from each other, never meet.
-  Only members of unlike components and like sizes are paired.
+  Only members of unlike components are paired, and only those whose sizes can meet at that
+  place: each row allows an interval of partners' sizes, which is joined as blocks of powers of two, so pages of
+  one template that are not similar enough are not even compared.
 
 Components are found by label propagation with pointer jumping over
 written tables in the shared folder.  With 28 bands of 4 coordinates a
@@ -40,7 +42,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ASCII_SPACE, LOWER, UPPER, binary, lower_ascii, per_document, pieces, stored
@@ -237,12 +239,36 @@ def _prefix_pairs(texts: DataFrame, labels: DataFrame, width: int) -> DataFrame:
     # Of each shingle, members of the commonest component are never paired with each other.
     kinds = chosen.groupBy("shingle", "label").agg(F.count("*").alias("n")).groupBy("shingle")
     mixed = stored(kinds.agg(F.max(F.struct("n", "label"))["label"].alias("major"), F.count("*").alias("labels")).where("labels > 1").drop("labels"))
-    rows = chosen.join(mixed, "shingle").withColumn("band", F.floor(F.log(F.col("size")) / float(np.log(101 / PERCENT))))
+    # Sizes of partners that a row allows: similar in size, and with both sets within what is left from this place on.
+    lowest, highest = F.ceil(F.col("size") * PERCENT / 100).cast("long"), F.least(F.floor(F.col("size") * 100 / PERCENT), F.floor(F.col("rest") * (100 + PERCENT) / PERCENT) - F.col("size")).cast("long")
+    rows = chosen.join(mixed, "shingle").withColumns({"low": lowest, "high": highest}).where("low <= high")
     side = lambda s: [F.col(c).alias(f"{s}{t}") for c, t in (("node", ""), ("size", "_size"), ("label", "_label"), ("rest", "_rest"))]
-    x = rows.where("label <> major").select("shingle", "band", *side("x"))
-    y = rows.select("shingle", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), *side("y"))
+    x = rows.where("label <> major").select("shingle", F.explode(_dyadic(F.col("low"), F.col("high"))).alias("_d"), *side("x"))
+    y = rows.select("shingle", F.explode(_ancestors(F.col("size"))).alias("_d"), *side("y"))
+    x, y = (t.select("*", "_d.level", "_d.at").drop("_d") for t in (x, y))
     enough = (100 + PERCENT) * F.least("x_rest", "y_rest") >= PERCENT * (F.col("x_size") + F.col("y_size"))
-    return x.join(y, ["shingle", "band"]).where((F.col("x_label") != F.col("y_label")) & enough)
+    return x.join(y, ["shingle", "level", "at"]).where((F.col("x_label") != F.col("y_label")) & enough)
+
+
+def _dyadic(low: Column, high: Column) -> Column:
+    """The interval from ``low`` to ``high`` as blocks (level, at): ``at`` times 2 ** level and as many numbers from there on."""
+
+    def blocks(level: Column) -> Column:
+        width = F.pow(F.lit(2), level).cast("long")
+        first, end = F.floor((low + width - 1) / width), F.floor((high + 1) / width)
+        left = F.when((first < end) & (first % 2 == 1), first)
+        right = F.when((end % 2 == 1) & (end - 1 >= first + first % 2), end - 1)
+        return F.array(left, right)
+
+    levels = F.sequence(F.lit(0), F.log2(high - low + 2).cast("int"))
+    pieces = F.transform(levels, lambda level: F.transform(F.filter(blocks(level), lambda at: at.isNotNull()), lambda at: F.struct(level.alias("level"), at.alias("at"))))
+    return F.flatten(pieces)
+
+
+def _ancestors(size: Column) -> Column:
+    """The blocks that hold a size, of all levels that an interval of partners can have."""
+    levels = F.sequence(F.lit(0), (F.log2(size + 2) + 1).cast("int"))
+    return F.transform(levels, lambda level: F.struct(level.alias("level"), F.floor(size / F.pow(F.lit(2), level)).cast("long").alias("at")))
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:

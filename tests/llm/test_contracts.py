@@ -225,6 +225,39 @@ def test_minhash_random(spark, seed):
     assert {r["doc_id"]: r["component_id"] for r in minhash_dedup.near_duplicates(df, width=4).collect()} == want
 
 
+def test_minhash_compares_few_pages_of_a_template(spark):
+    """Pages that share most of their words, but not enough, are not paired with each other."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng, template = random.Random(5), [f"t{i}" for i in range(88)]
+    for own, most in ((22, 0), (15, 0), (12, 60)):  # about 0.68, 0.77 and 0.79 of similarity
+        rows_ = []
+        for i in range(300):
+            at = rng.randrange(88)
+            rows_.append((i, " ".join(template[:at] + [f"d{i}x{j}" for j in range(own + rng.randrange(-1, 2))] + template[at:])))
+        df = spark.createDataFrame(rows_, "node long, text string")
+        labels = df.select("node", F.col("node").alias("label"))
+        assert minhash_dedup._prefix_pairs(df, labels, 4).count() <= most * len(rows_)
+        docs = df.withColumnRenamed("node", "doc_id")
+        assert {r["doc_id"]: r["component_id"] for r in minhash_dedup.near_duplicates(docs, width=4).collect()} == brute_components(shingle_sets(docs, 4))
+
+
+def test_intervals_meet_sizes_once(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(6)
+    starts = [rng.randrange(1, 400) for _ in range(80)]
+    intervals = [(a, a + rng.randrange(0, max(1, a // 2))) for a in starts]
+    x = spark.createDataFrame(intervals, "low long, high long").select("low", "high", F.inline(minhash_dedup._dyadic(F.col("low"), F.col("high"))))
+    sizes = spark.range(1, 700).select(F.col("id").alias("size"), F.inline(minhash_dedup._ancestors(F.col("id"))))
+    met = Counter((r["low"], r["high"], r["size"]) for r in x.join(sizes, ["level", "at"]).collect())
+    assert met == Counter((a, b, s) for a, b in intervals for s in range(a, b + 1))
+
+
 def test_keep_one_odd(spark, odd):
     """Null ids, repeated rows and clashing columns; the columns stay."""
     df = odd.withColumnsRenamed({"labels": "gone", "score": "node"})
