@@ -18,34 +18,61 @@ PROSE_PUNCTUATION = ".,?!-_*\"':"
 ASCII_PUNCTUATION = r"[!-/:-@\[-`{-~]"
 CODE_PUNCTUATION = r"[#$%&()+/;<=>@\[\\\]^`{|}~]"
 
-# In order, the languages of code and the condition on its lower-cased text `t` (SQL that Spark and DuckDB share).
-_HAS = lambda s: f"contains(t, '{s}')"
-_ANY = lambda *xs: "(" + " or ".join(map(_HAS, xs)) + ")"
-LANGUAGES = [
-    ("latex", _ANY("\\\\begin{", "\\\\documentclass", "\\\\usepackage")),
-    ("html", _ANY("<html>", "</div>", "<!doctype", "xmlns=")),
-    ("sql", f"({_HAS('select ')} and {_HAS('from ')})"),
-    ("json", f"(startswith(t, '{{') and endswith(t, '}}') and {_HAS(':')})"),
-    ("php", _ANY("<?php", "$this->")),
-    ("python", _ANY("def ", "import ", "print(", "elif ")),
-    ("rust", _ANY("fn ", "let mut ", "impl ")),
-    ("go", _ANY("package main", "func ")),
-    ("cpp", _ANY("#include <", "std::", "cout << ")),
-    ("java", f"({_ANY('public class ', 'using system;', 'namespace ', 'system.out.print', 'console.write')} and {_ANY('system.out.print', 'public static void main')})"),
-    ("csharp", _ANY("public class ", "using system;", "namespace ", "system.out.print", "console.write")),
-    ("typescript", f"({_HAS('interface ')} and {_ANY(': string', ': number', 'readonly ')})"),
-    ("javascript", _ANY("document.get", "const ", "let ", "function ", "console.log")),
-    ("css", f"({_HAS('margin:')} and {_HAS('padding:')} and {_ANY('display:', 'color:')})"),
-    ("yaml", f"(startswith(t, '---') or (contains(t, chr(10) || '  ') and {_HAS(':')} and not {_ANY('{', '[')}))"),
-    ("powershell", _ANY("get-", "write-host", "write-output", "write-error")),
-    ("bash", _ANY("pip install", "npm install", "git clone", "docker run", "cargo build", "echo ", "ls -l", "sudo ", "chmod ", "mkdir ")),
+# In order, the languages of code and what its lower-cased text holds: of each group one string at least.
+# ^ before a string: the text begins with it; $: it ends with it; !: it does not hold it.
+LANGUAGES: list[tuple[str, tuple[tuple[str, ...], ...]]] = [
+    ("latex", (("\\begin{", "\\documentclass", "\\usepackage"),)),
+    ("html", (("<html>", "</div>", "<!doctype", "xmlns="),)),
+    ("sql", (("select ",), ("from ",))),
+    ("json", (("^{",), ("$}",), (":",))),
+    ("php", (("<?php", "$this->"),)),
+    ("python", (("def ", "import ", "print(", "elif "),)),
+    ("rust", (("fn ", "let mut ", "impl "),)),
+    ("go", (("package main", "func "),)),
+    ("cpp", (("#include <", "std::", "cout << "),)),
+    ("java", (("public class ", "using system;", "namespace ", "system.out.print", "console.write"), ("system.out.print", "public static void main"))),
+    ("csharp", (("public class ", "using system;", "namespace ", "system.out.print", "console.write"),)),
+    ("typescript", (("interface ",), (": string", ": number", "readonly "))),
+    ("javascript", (("document.get", "const ", "let ", "function ", "console.log"),)),
+    ("css", (("margin:",), ("padding:",), ("display:", "color:"))),
+    ("yaml", (("^---",),)),
+    ("yaml", (("\n  ",), (":",), ("!{",), ("![",))),
+    ("powershell", (("get-", "write-host", "write-output", "write-error"),)),
+    ("bash", (("pip install", "npm install", "git clone", "docker run", "cargo build", "echo ", "ls -l", "sudo ", "chmod ", "mkdir "),)),
 ]
+#: Strings that begin with a sign of the table above and are meant as they are.
+_PLAIN = ("$this->",)
+
+
+def _rule(part: str) -> tuple[str, str]:
+    """The sign of a string and what is looked for."""
+    return ("", part) if part in _PLAIN or part[0] not in "^$!" else (part[0], part[1:])
 
 
 def language_case(backslashes: int = 2) -> str:
     """The language guess as a SQL CASE over ``t``; DuckDB wants one backslash where Spark wants two."""
-    body = " ".join(f"when {c} then '{name}'" for name, c in LANGUAGES)
-    return f"case {body} end".replace("\\\\", "\\" * backslashes)
+
+    def condition(part: str) -> str:
+        sign, what = _rule(part)
+        quoted = "'" + what.replace("\\", "\\" * backslashes) + "'"
+        if "\n" in what:
+            quoted = "(" + quoted.replace("\n", "' || chr(10) || '") + ")"
+        return {"^": f"startswith(t, {quoted})", "$": f"endswith(t, {quoted})", "!": f"not contains(t, {quoted})"}.get(sign, f"contains(t, {quoted})")
+
+    group = lambda g: "(" + " or ".join(map(condition, g)) + ")"
+    body = " ".join(f"when {' and '.join(map(group, groups))} then '{name}'" for name, groups in LANGUAGES)
+    return f"case {body} end"
+
+
+def language_of(code: str) -> str | None:
+    """The language guess of one text."""
+    t = code.lower()
+
+    def holds(part: str) -> bool:
+        sign, what = _rule(part)
+        return t.startswith(what) if sign == "^" else t.endswith(what) if sign == "$" else (what in t) != (sign == "!")
+
+    return next((name for name, groups in LANGUAGES if all(any(map(holds, g)) for g in groups)), None)
 
 
 def words(text: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.formats import check_choice
 from ..schema import NODE_COLUMNS, assemble
-from ..sources.code import fence_code
+from ..sources.code import fenced
 from ..sources.reader import PARSERS, parse
 from .render import RENDERERS, discard_links, neutralize_links, remove_images
 
@@ -40,9 +40,9 @@ def convert_text(source: str, from_format: str, to_format: str, options: Options
     options = options or Options()
     check_choice("format", from_format, tuple(PARSERS))
     check_choice("format", to_format, tuple(RENDERERS))
+    if options.code_parsing and from_format == "markdown":
+        source = fenced(source)
     tree = parse(from_format, source, extract=options.extract_html, url=url)
-    if options.code_parsing and from_format in ("markdown", "text"):
-        fence_code(tree)
     if options.image_handling == "discard" or options.image_handling == "auto" and to_format in ("csv", "text"):
         remove_images(tree)
     if options.discard_links:

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import formulas
+from ..operators import blocks, code, formulas, pages
 from ..sources.workbook import shown, workbook_cells, workbook_files
 
 REGISTERED: list[tuple[Callable[[SparkSession, str], DataFrame], str | None]] = []
@@ -87,3 +87,71 @@ def workbook_formula_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = formulas.compress(placed, id_col="path").withColumn("at", F.monotonically_increasing_id())
     met = formulas.with_formulas(placed.where("row = 1 or (text <> '' and col > 3)"), formulas.expand(lines, id_col="path"), id_col="path")
     return met.select("path", F.col("row").cast("long"), F.col("col").cast("long"), "text", "formula")
+
+
+@_with(
+    """
+SELECT p_partkey AS doc_id, p_name || ' is what this part is called.' || chr(10) || chr(10) || '```' || CASE p_partkey % 3 WHEN 0 THEN 'python' WHEN 1 THEN 'sql' ELSE '' END || chr(10)
+  || CASE p_partkey % 3 WHEN 0 THEN 'def f_' || p_partkey || '(x):' || chr(10) || '    return x_y * ' || p_size WHEN 1 THEN 'select p_size from part where p_partkey = ' || p_partkey || ';' ELSE 'a_b[' || p_size || '] = {' || p_partkey || '};' END
+  || chr(10) || chr(10) || 'x_y = f(a, b[' || p_size || ']);' || chr(10) || '```' || chr(10) || chr(10) || '~~~' || chr(10) || 'y = (1);' || chr(10) || chr(10) || 'z' || chr(10) || '~~~' || chr(10) || chr(10) || 'More words: see [1] or ' || p_brand || ' (size ' || p_size || ').' AS text FROM part"""
+)
+def code_fenced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markdown sources of parts, with unfenced code between prose and fences: code comes out fenced, with its language."""
+    form = (
+        r"concat(p_name, ' is what this part is called.\n\n', case p_partkey % 3 when 0 then concat('def f_', p_partkey, '(x):\n    return x_y * ', p_size) when 1 then concat('select p_size from part where p_partkey = ', p_partkey, ';')"
+        r" else concat('a_b[', p_size, '] = {', p_partkey, '};') end, '\n\n\nx_y = f(a, b[', p_size, ']);\n\n~~~\ny = (1);\n\nz\n~~~\nMore words: see [1] or ', p_brand, ' (size ', p_size, ').')"
+    )
+    return code.fenced_sources(_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.expr(form).alias("text")))
+
+
+def _laid_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of the documents' lines, laid out on a page: every fifth across it, the others in two columns of two.
+
+    A block is as high as it has lines of forty characters; sections lie below one another.
+    """
+    from pyspark.sql import Window
+
+    found = blocks.blocks_of(_table(spark, sf_dir, "documents"))
+    order = Window.partitionBy("doc_id").orderBy("block")
+    placed = found.select("doc_id", (F.row_number().over(order) - 1).alias("n"), (F.col("n_lines") + F.floor(F.col("n_chars") / 40)).cast("double").alias("high"))
+    placed = placed.withColumns({"section": F.floor(F.col("n") / 5).cast("int"), "part": F.col("n") % 5})
+    inside = Window.partitionBy("doc_id", "section")
+    total = lambda *parts: F.coalesce(F.sum(F.when(F.col("part").isin(*parts), F.col("high") * 20 + 10)).over(inside), F.lit(0.0))
+    placed = placed.withColumns({"tall": total(0) + F.greatest(total(1, 2), total(3, 4)), "head": total(0), "one": total(1), "three": total(3)})
+    heights = placed.groupBy("doc_id", "section").agg(F.first("tall").alias("_tall"))
+    top = F.coalesce(F.sum("_tall").over(Window.partitionBy("doc_id").orderBy("section").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    tops = heights.withColumn("_top", top).drop("_tall")
+    y0 = F.col("_top") + F.when(F.col("part") == 0, 0.0).otherwise(F.col("head")) + F.when(F.col("part") == 2, F.col("one")).when(F.col("part") == 4, F.col("three")).otherwise(0.0)
+    right = F.col("part") >= 3
+    x0, x1 = F.when(right, 520.0).otherwise(0.0), F.when((F.col("part") == 0) | right, 1000.0).otherwise(480.0)
+    # Numbers that say nothing about the order.
+    block = F.pmod(F.col("n") * 7919 + F.col("doc_id") % 97, F.lit(1_000_003)).cast("int")
+    return placed.join(tops, ["doc_id", "section"]).select("doc_id", block.alias("block"), "n", x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), (y0 + F.col("high") * 20).alias("y1"))
+
+
+@_with(
+    r"""
+WITH l AS (SELECT doc_id, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents),
+k AS (SELECT *, CASE WHEN trim(line, ' ') = '' THEN 'blank' WHEN regexp_matches(line, '^(    | {0,3}\t)') THEN 'code' WHEN regexp_matches(trim(line, ' '), '^(-{3,}|\*{3,}|_{3,}|={3,})$') THEN 'rule' WHEN starts_with(trim(line, ' '), '>') THEN 'quote'
+  WHEN regexp_matches(trim(line, ' '), '^([-*+•]|[0-9]{1,9}[.)])[ \t\n\x0B\f\r]') THEN 'list' WHEN contains(trim(line, ' '), '|') THEN 'table' ELSE 'paragraph' END AS kind FROM l),
+s AS (SELECT *, CASE WHEN lag(kind) OVER (PARTITION BY doc_id ORDER BY i) IS NOT DISTINCT FROM kind THEN 0 ELSE 1 END AS s FROM k),
+r AS (SELECT doc_id, kind, sum(s) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM s),
+d AS (SELECT DISTINCT doc_id, kind, run FROM r WHERE kind <> 'blank'),
+n AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY run) - 1 AS n FROM d)
+SELECT doc_id, ((n * 7919 + doc_id % 97) % 1000003)::BIGINT AS block, n::BIGINT AS place FROM n"""
+)
+def block_reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reading order of laid out documents; it must be the order of their blocks in the text."""
+    found = pages.reading_order(_laid_out(spark, sf_dir).drop("n"), page="doc_id")
+    return found.select("doc_id", F.col("block").cast("long").alias("block"), F.col("place").cast("long").alias("place"))
+
+
+@_with(None)
+def blocks_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of laid out documents, in parts of their page, merged to a limit."""
+    from pyspark.sql import Window
+
+    laid = _laid_out(spark, sf_dir)
+    tall = F.max("y1").over(Window.partitionBy("doc_id"))
+    shares = laid.withColumn("_tall", tall).select("doc_id", "block", (F.col("x0") / 1000).alias("x0"), (F.col("y0") / F.col("_tall")).alias("y0"), (F.col("x1") / 1000).alias("x1"), (F.col("y1") / F.col("_tall")).alias("y1"), (F.col("n") % 11 == 10).alias("dense"))
+    return pages.merged_to_limit(shares, page="doc_id")

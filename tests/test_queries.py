@@ -13,7 +13,9 @@ def test_oracle(spark, small, same_as_duckdb, name):
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLES)))
 def test_rows(spark, small, name):
     df = catalogue.QUERIES[name](spark, small)
-    assert df.where("error is not null or converted is null").count() == 0 and df.count() > 0
+    if "converted" in df.columns:
+        assert df.where("error is not null or converted is null").count() == 0
+    assert df.count() > 0
 
 
 def test_entry(spark):
