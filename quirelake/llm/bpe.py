@@ -234,6 +234,27 @@ def bpe_digests(docs: DataFrame, path: str) -> DataFrame:
     )
 
 
+def bpe_documents(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, n_tokens, ids, decoded and the digests of both, of every whole text."""
+    source = docs.sparkSession.sparkContext.broadcast(tokenizer_source(path))
+
+    def prepare():
+        encoder = Encoder(_loaded_once(source.value))
+
+        def digest(texts: list[bytes]) -> dict[str, list]:
+            out: dict[str, list] = {"n_tokens": [], "ids": [], "decoded": [], "ids_sha256": [], "decoded_sha256": []}
+            for ids, decoded in encoder.joined([t.decode("utf-8", "replace") for t in texts]):
+                numbers = np.fromstring(ids, np.int32, sep=" ") if ids else np.zeros(0, np.int32)
+                made = (len(numbers), numbers, decoded, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
+                for column, value in zip(out.values(), made, strict=True):
+                    column.append(value)
+            return out
+
+        return digest
+
+    return per_document(docs, "n_tokens long, ids array<int>, decoded string, ids_sha256 string, decoded_sha256 string", prepare, most=2_000_000)
+
+
 def bpe_encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id and ids (array of int) of every whole text."""
     source = docs.sparkSession.sparkContext.broadcast(tokenizer_source(path))

@@ -2,7 +2,9 @@
 
 import corpus_pipeline
 from quirelake.llm import pii_semicrf, toxicity_fm
+from quirelake.llm.queries import tokenizer_path
 from tests.llm.test_contracts import brute_components, brute_contamination, pairs, shingle_sets
+from tokenizers import Tokenizer
 
 
 def test_stages(spark, small):
@@ -28,6 +30,11 @@ def test_stages(spark, small):
             assert after == {i: pii_semicrf.masked(t, pii_semicrf.find(t, field)[1]) for i, t in before.items()}
             assert all(r["n_chars"] == len(r["text"]) for r in made.collect())
         else:
-            assert {r["doc_id"] for r in made.collect()} == set(before)
+            library = Tokenizer.from_file(tokenizer_path())
+            library.no_truncation()
+            for r in made.collect():
+                ids = library.encode(before[r["doc_id"]] or "", add_special_tokens=False).ids
+                assert list(r["ids"]) == ids and r["n_tokens"] == len(ids) and r["decoded"] == library.decode(ids, skip_special_tokens=False)
+            assert made.select("doc_id").distinct().count() == made.count() == len(before)
         docs = made
     assert corpus_pipeline.run(spark, small).count() == docs.count()
