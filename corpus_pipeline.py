@@ -40,8 +40,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text, with the digests of ids and decoded text."""
-    return bpe.bpe_digests(docs, tokenizer_path())
+    """Token ids of each text and the text decoded from them, with the digests of both."""
+    return bpe.bpe_documents(docs, tokenizer_path())
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
