@@ -265,3 +265,69 @@ def test_merging_equals_plain_rounds(spark):
         assert got == _plain_merge(mine, 16, 24), p
         assert len(got) <= 24 or sum(b["dense"] for b in mine) > 23
     assert pages.merged_to_limit(spark.createDataFrame([], BOXES)).count() == 0
+
+
+# Pictures -------------------------------------------------------------------------------
+
+
+def _flood(gray, box, r, depth, page_area, out, level=0):
+    """Blocks by dilating, flood filling and looking into panels."""
+    x0, y0, x1, y1 = box
+    values = [gray[y][x] for y in range(y0, y1) for x in range(x0, x1)]
+    bins = [sum(v // 8 == b for v in values) for b in range(32)]
+    best = bins.index(max(bins))
+    if bins[best] / len(values) < 0.35:
+        out.append((*box, True))
+        return
+    ink = {(x, y) for y in range(y0, y1) for x in range(x0, x1) if abs(gray[y][x] - best * 8 - 4) > 28}
+    mask = {(x + dx, y + dy) for x, y in ink for dx in range(-r, r + 1) for dy in range(-r, r + 1)}
+    while mask:
+        todo, area = [mask.pop()], set()
+        while todo:
+            x, y = todo.pop()
+            area.add((x, y))
+            for n in ((x + 1, y), (x - 1, y), (x, y + 1), (x, y - 1)):
+                if n in mask:
+                    mask.remove(n)
+                    todo.append(n)
+        mine = ink & area
+        bx = (min(x for x, _ in mine), min(y for _, y in mine), max(x for x, _ in mine) + 1, max(y for _, y in mine) + 1)
+        w, h = bx[2] - bx[0], bx[3] - bx[1]
+        if level < depth and 0.08 * page_area < w * h < 0.95 * (x1 - x0) * (y1 - y0):
+            _flood(gray, bx, r, depth, page_area, out, level + 1)
+        elif w * h >= 0.0004 * page_area and min(w, h) >= 2:
+            out.append((*bx, False))
+
+
+def test_segments_equal_flood_fill(spark):
+    from quirelake.operators import pictures
+
+    rng, rows, expected = random.Random(11), [], []
+    for page in range(12):
+        w, h = rng.randrange(20, 60), rng.randrange(20, 50)
+        gray = [[250 + rng.randrange(-3, 4) for _ in range(w)] for _ in range(h)]
+        for _ in range(rng.randrange(1, 9)):
+            a, b, shade = rng.randrange(w), rng.randrange(h), rng.choice([0, 40, 120, 200])
+            for y in range(b, min(h, b + rng.choice([1, 2, 6, 20]))):
+                for x in range(a, min(w, a + rng.choice([2, 5, 15, 40]))):
+                    if rng.random() < 0.8:
+                        gray[y][x] = shade
+        if page == 0:
+            gray = [[rng.randrange(256) for _ in range(w)] for _ in range(h)]
+        rows += [(page, y, line) for y, line in enumerate(gray)]
+        found = []
+        _flood(gray, (0, 0, w, h), 2, 3, w * h, found)
+        expected += [(page, *b) for b in found]
+    df = spark.createDataFrame(rows, "page_id int, y int, gray array<int>")
+    got = pictures.segments(df, dilation=5, side=2)
+    assert sorted((r.page_id, r.x0, r.y0, r.x1, r.y1, r.dense) for r in got.collect()) == sorted(expected)
+    assert pictures.segments(spark.createDataFrame([(1, 0, []), (2, 0, None), (3, 0, [255] * 9)], "page_id int, y int, gray array<int>")).count() == 0
+    assert pictures.segments(df.limit(0)).count() == 0
+
+
+def test_texts_are_drawn(spark):
+    from quirelake.operators import pictures
+
+    df = spark.createDataFrame([(1, "ab c\n\nxyz12"), (2, None)], "doc_id int, text string")
+    got = {(r.doc_id, r.y): r.gray for r in pictures.lines_as_picture(df, width=4).collect()}
+    assert got == {(1, 0): [0, 0, 255, 0], (1, 1): [255] * 4, (1, 2): [0] * 4, (1, 3): [0, 255, 255, 255], (2, 0): [255] * 4}
