@@ -18,8 +18,9 @@ is kept.
 
 Defined results: a null or empty text has the style measures of an empty text and no words;
 null metadata is a value of its own; without labels, or with one class only,
-every score is the smoothed share of good rows; null labels are left out and a
-document labelled twice counts by its largest label; repeated rows give
+every score is the smoothed share of good rows; a document with null labels alone is unlabelled, a
+document labelled twice counts by its largest label, and one with several texts is learned from by the one whose
+vectors come first in order; rows whose crc32(doc_id) is divisible by ``HELD_OUT`` are scored, never learned from; repeated rows give
 repeated results; an empty table gives an empty result; other columns are not
 read, and missing metadata columns count as null.
 """
@@ -310,20 +311,30 @@ class CoTrained:
         return _sigmoid(z[0]), _sigmoid(z[1]), _sigmoid(z[0] * self.combined[0] + z[1] * self.combined[1] + self.combined[2])
 
 
+def _one_row(rows: DataFrame) -> DataFrame:
+    """One row of each doc_id: of several, the one whose vectors come first in order, whichever task is run again."""
+    others = [c for c in rows.columns if c != "doc_id"]
+    return rows.groupBy("doc_id").agg(F.min(F.struct(*others)).alias("_row")).select("doc_id", *(F.col(f"_row.{c}").alias(c) for c in others)).select(rows.columns)
+
+
 def fit(rows: DataFrame, labels: DataFrame) -> CoTrained:
-    """A model co-trained over a bounded sample of the labelled vectors and all unlabelled ones."""
+    """A model co-trained over a bounded sample of the labelled vectors and all unlabelled ones that are not held out.
+
+    A row of ``labels`` without a quality is no label: its document is unlabelled.
+    """
     wanted = (
         labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(HELD_OUT))
         .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
         .agg(F.max(F.col("quality").cast("int")).alias("label"))
     )
     chosen = wanted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED)
-    sample = rows.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
+    sample = _one_row(rows.join(F.broadcast(chosen), "doc_id")).toArrow().sort_by("doc_id")
     styles, places = _arrays(sample)
 
     def unlabelled() -> Pool:
         left = rows.where("doc_id is not null").where(~held_out(HELD_OUT))
-        return Pool(stored(left.join(labels.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_anti").dropDuplicates(["doc_id"])))
+        known = labels.where(F.col("quality").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"))
+        return Pool(stored(_one_row(left.join(known, "doc_id", "left_anti"))))
 
     return CoTrained.fitted((styles, one_hot(places)), np.array(sample.column("label").to_pylist(), float), unlabelled)
 

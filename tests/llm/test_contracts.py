@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from quirelake.llm import (
     bpe,
@@ -351,6 +352,15 @@ def test_pii_more(spark):
     assert [r["text"] for r in pii_semicrf.redact(df).orderBy("doc_id").collect()][0] == "call <PHONE> now"
 
 
+def test_quality_of_several_texts_does_not_depend_on_their_order(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    labels = spark.read.parquet(f"{small}/labels.parquet")
+    more = docs.withColumn("text", F.concat(F.lit("other words "), "text")).unionByName(docs)
+    once = {tuple(r) for r in quality_cotraining.quality_scores(more.orderBy("doc_id", "text").coalesce(1), labels).collect()}
+    again = {tuple(r) for r in quality_cotraining.quality_scores(more.orderBy(F.desc("text")).repartition(7), labels).collect()}
+    assert once == again
+
+
 def test_pii_leaves_decimals_alone():
     import random
 
