@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import blocks, code, formulas, pages
+from ..operators import blocks, code, formulas, includes, pages, pictures
 from ..sources.workbook import shown, workbook_cells, workbook_files
 
 REGISTERED: list[tuple[Callable[[SparkSession, str], DataFrame], str | None]] = []
@@ -155,3 +155,31 @@ def blocks_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     tall = F.max("y1").over(Window.partitionBy("doc_id"))
     shares = laid.withColumn("_tall", tall).select("doc_id", "block", (F.col("x0") / 1000).alias("x0"), (F.col("y0") / F.col("_tall")).alias("y0"), (F.col("x1") / 1000).alias("x1"), (F.col("y1") / F.col("_tall")).alias("y1"), (F.col("n") % 11 == 10).alias("dense"))
     return pages.merged_to_limit(shares, page="doc_id")
+
+
+@_with(None)
+def document_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of documents drawn as pictures, one pixel a character."""
+    drawn = pictures.lines_as_picture(_table(spark, sf_dir, "documents"))
+    return pictures.segments(drawn, page="doc_id", dilation=5, side=1)
+
+
+@_with(
+    """
+WITH RECURSIVE t(main, node, place) AS (SELECT p_partkey, p_partkey, '' FROM part
+  UNION ALL SELECT t.main, p.p_partkey, t.place || s.s FROM t, (SELECT unnest(['1', '2']) AS s) s JOIN part p ON true WHERE p.p_partkey = 2 * t.node + s.s::BIGINT AND length(t.place) < 15),
+pre AS (SELECT t.main, string_agg('[' || p_name || ']', '' ORDER BY place) AS text FROM t JOIN part p ON p.p_partkey = t.node GROUP BY t.main),
+lost AS (SELECT main, list(name ORDER BY place, name) AS missing FROM (
+  SELECT main, 'p' || (2 * node + s.s::BIGINT) AS name, min(place || s.s) AS place FROM t, (SELECT unnest(['1', '2']) AS s) s WHERE 2 * node + s.s::BIGINT > (SELECT max(p_partkey) FROM part) OR length(place) >= 15 GROUP BY ALL) GROUP BY main)
+SELECT 'd/p' || main || '.tex' AS path, text, len(missing)::BIGINT AS n_missing, list_aggregate(missing, 'string_agg', ',') AS missing FROM pre LEFT JOIN lost USING (main)"""
+)
+def included_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources of parts, each with two more that it includes, put together from every part as the main file."""
+    part = _table(spark, sf_dir, "part")
+    path = F.concat(F.lit("d/p"), F.col("p_partkey").cast("string"), F.lit(".tex"))
+    name = lambda k: F.concat(F.lit("p"), (F.col("p_partkey") * 2 + k).cast("string"))
+    text = F.concat(F.lit("["), "p_name", F.lit("]\\input{"), name(1), F.lit("}% \\input{none}\\include{no}"), F.lit("\n"), F.lit("\\input "), name(2))
+    files = part.select(path.alias("path"), F.regexp_replace(text, "\n", " \n").alias("text"))
+    found = includes.whole_sources(files, files)
+    bare = F.regexp_replace("text", r"\s*\n", "")
+    return found.select("path", bare.alias("text"), F.size("missing").cast("long").alias("n_missing"), F.array_join("missing", ",").alias("missing"))
