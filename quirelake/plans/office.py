@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import fitting
 from ..operators import blocks, code, formulas, includes, pages, pictures
 from ..sources.workbook import shown, workbook_cells, workbook_files
 
@@ -183,3 +184,21 @@ def included_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = includes.whole_sources(files, files)
     bare = F.regexp_replace("text", r"\s*\n", "")
     return found.select("path", bare.alias("text"), F.size("missing").cast("long").alias("n_missing"), F.array_join("missing", ",").alias("missing"))
+
+
+@_with(
+    """
+WITH RECURSIVE d AS (SELECT doc_id, list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: length(x)) AS l FROM documents),
+s(doc_id, l, k, scale) AS (SELECT doc_id, l, 0, 1.0::DOUBLE FROM d UNION ALL
+  SELECT doc_id, l, k + 1, CASE WHEN h <= 360 OR scale <= 0.5 THEN scale ELSE greatest(0.5::DOUBLE, scale * 360 / h) END FROM (
+    SELECT *, list_sum(list_transform(l, lambda c: greatest(1.0::DOUBLE, ceil(c / greatest(1.0::DOUBLE, 600 / (20 * scale * 0.5::DOUBLE)))) * (20 * scale) * 1.2::DOUBLE + 6 * scale)) AS h FROM s) WHERE k < 5)
+SELECT doc_id, round(scale, 6) AS scale, greatest(18.0::DOUBLE, 32 - 2 * greatest(0, ceil((32 - 2 * (600 / 0.55::DOUBLE) / greatest(l[1], 1)) / 2)))::DOUBLE AS title FROM s WHERE k = 5"""
+)
+def documents_fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document on one slide: the scale at which its lines fit, and the size of its first line as the title."""
+    length = F.length(F.col("text"))
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: F.struct(F.length(x).alias("chars"), F.lit(0).alias("level"), F.lit("text").alias("kind")))
+    boxes = _table(spark, sf_dir, "documents").select("doc_id", lines.alias("lines"), length.alias("_n"))
+    scale = fitting.fitted_scale(F.col("lines"), F.lit(600.0), F.lit(360.0))
+    title = fitting.title_size(F.col("lines")[0]["chars"], F.lit(600.0), 32.0)
+    return boxes.select("doc_id", F.round(scale, 6).alias("scale"), title.alias("title"))
