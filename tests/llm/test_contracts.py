@@ -356,8 +356,9 @@ def test_quality_of_several_texts_does_not_depend_on_their_order(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     labels = spark.read.parquet(f"{small}/labels.parquet")
     more = docs.withColumn("text", F.concat(F.lit("other words "), "text")).unionByName(docs)
-    once = {tuple(r) for r in quality_cotraining.quality_scores(more.orderBy("doc_id", "text").coalesce(1), labels).collect()}
-    again = {tuple(r) for r in quality_cotraining.quality_scores(more.orderBy(F.desc("text")).repartition(7), labels).collect()}
+    rounded = lambda r: (r["doc_id"], *(round(r[c], 9) for c in ("text_score", "metadata_score", "score")), r["kept"])
+    once = {rounded(r) for r in quality_cotraining.quality_scores(more.orderBy("doc_id", "text").coalesce(1), labels).collect()}
+    again = {rounded(r) for r in quality_cotraining.quality_scores(more.orderBy(F.desc("text")).repartition(7), labels).collect()}
     assert once == again
 
 
