@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fitting
-from ..operators import blocks, code, formulas, includes, pages, pictures
+from ..operators import blocks, code, formulas, grids, includes, pages, pictures, styles
 from ..sources.workbook import shown, workbook_cells, workbook_files
 
 REGISTERED: list[tuple[Callable[[SparkSession, str], DataFrame], str | None]] = []
@@ -202,3 +202,40 @@ def documents_fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
     scale = fitting.fitted_scale(F.col("lines"), F.lit(600.0), F.lit(360.0))
     title = fitting.title_size(F.col("lines")[0]["chars"], F.lit(600.0), 32.0)
     return boxes.select("doc_id", F.round(scale, 6).alias("scale"), title.alias("title"))
+
+
+@_with(
+    """
+WITH l AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity, l_extendedprice) AS "row", l_quantity, l_extendedprice FROM lineitem),
+c AS (SELECT doc_id, "row", unnest([0, 1, 2, 3]) AS col, unnest([CASE WHEN "row" = 1 THEN doc_id::VARCHAR ELSE '' END, l_quantity::BIGINT::VARCHAR, '', floor(l_extendedprice)::BIGINT::VARCHAR]) AS text FROM l
+  UNION ALL SELECT DISTINCT doc_id, 0, unnest([0, 1, 2, 3]), unnest(['order', 'amounts', '', '']) FROM l)
+SELECT doc_id, "row"::BIGINT AS "row", col::BIGINT AS col, text FROM c"""
+)
+def spans_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables of orders: the key spans all lines, the head and the quantity span columns; as plain grids."""
+    from pyspark.sql import Window
+
+    lines = _table(spark, sf_dir, "lineitem")
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
+    row, n = F.row_number().over(order), F.count("*").over(Window.partitionBy("l_orderkey"))
+    placed = lines.select(F.col("l_orderkey").alias("doc_id"), row.cast("long").alias("row"), n.cast("int").alias("_n"), "l_quantity", "l_extendedprice")
+    cell = lambda at, text, across, down: F.struct(F.lit(at).alias("at"), text.cast("string").alias("text"), F.lit(across).alias("colspan"), down.cast("int").alias("rowspan"))
+    key = F.filter(F.array(F.when(F.col("row") == 1, cell(0, F.col("doc_id"), 1, F.col("_n")))), lambda c: c.isNotNull())
+    rest = F.array(cell(1, F.col("l_quantity").cast("long"), 2, F.lit(1)), cell(2, F.floor("l_extendedprice"), 1, F.lit(1)))
+    body = placed.select("doc_id", "row", F.inline(F.concat(key, rest)))
+    head = placed.select("doc_id", F.lit(0).cast("long").alias("row")).distinct().select("doc_id", "row", F.inline(F.array(cell(0, F.lit("order"), 1, F.lit(1)), cell(1, F.lit("amounts"), 3, F.lit(1)))))
+    found = grids.without_spans(head.unionByName(body))
+    return found.select("doc_id", "row", F.col("col").cast("long").alias("col"), "text")
+
+
+@_with("SELECT p_partkey AS doc_id, '_see **' || p_brand || '** and_  ~~' || p_size || '~~ end' || '*in*side `' || p_name || '`' AS markdown FROM part")
+def emphasis_of_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Styled runs about every part as Markdown, markers shared and nested."""
+    run = lambda text, bold=False, italic=False, struck=False, other=False: F.struct(text.cast("string").alias("text"), *(F.lit(v).alias(k) for k, v in (("bold", bold), ("italic", italic), ("strikethrough", struck), ("other", other))))
+    word = F.lit
+    runs = F.array(
+        run(word("see "), italic=True), run(F.col("p_brand"), bold=True, italic=True), run(word(" and "), italic=True), run(word(" ")), run(F.col("p_size"), struck=True), run(word(" en")), run(word("d")),
+        run(word("in"), italic=True), run(word("side ")), run(F.concat(F.lit("`"), "p_name", F.lit("`")), other=True),
+    )
+    rows = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.posexplode(runs).alias("at", "r")).select("doc_id", "at", "r.*")
+    return styles.emphasised(rows)
