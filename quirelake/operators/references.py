@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import stored
 from .tree import section_numbers, without_subtrees
 
 #: Includes in includes at most.
@@ -95,17 +98,15 @@ def included_files(edges: DataFrame, *, depth: int = DEPTH) -> DataFrame:
 
     ``edges`` has path and target, both resolved and inside the folder of the
     main file.  A file that is being read already is left out, as is what lies
-    deeper than ``depth`` files.  A recursive query, whose row limit is lifted.
+    deeper than ``depth`` files.  One join by file a level, over written tables.
     """
-    spark = edges.sparkSession
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    return spark.sql(
-        """
-        WITH RECURSIVE found(main, path, stack, depth) AS (
-          SELECT DISTINCT path, path, array(path), 0 FROM {edges}
-          UNION ALL
-          SELECT f.main, e.target, array_append(f.stack, e.target), f.depth + 1 FROM found f JOIN {edges} e ON e.path = f.path
-          WHERE NOT array_contains(f.stack, e.target) AND f.depth + 1 < {depth})
-        SELECT main, path, depth FROM found""",
-        edges=edges, depth=depth,
-    )
+    edges = stored(edges.select("path", "target"))
+    found = stored(edges.select(F.col("path").alias("main"), "path", F.array("path").alias("stack"), F.lit(0).alias("depth")).distinct())
+    levels = [found]
+    for level in range(1, depth):
+        further = found.join(edges, "path").where(~F.array_contains("stack", F.col("target")))
+        found = stored(further.select("main", F.col("target").alias("path"), F.array_append("stack", F.col("target")).alias("stack"), F.lit(level).alias("depth")))
+        if found.isEmpty():
+            break
+        levels.append(found)
+    return reduce(DataFrame.unionByName, levels).select("main", "path", "depth")

@@ -154,11 +154,11 @@ def phase_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_with(
     """
 SELECT doc_id, string_agg(CASE WHEN n > 1 THEN feature || ' (' || n || ')' ELSE feature END, ', ' ORDER BY first) AS dropped
-FROM (SELECT user_id AS doc_id, event_type AS feature, count(*) AS n, min(event_id) AS first FROM events WHERE event_id % 40 < 3 GROUP BY ALL) GROUP BY doc_id"""
+FROM (SELECT user_id AS doc_id, event_type AS feature, count(*) AS n, min(event_id) AS first FROM events GROUP BY ALL) GROUP BY doc_id"""
 )
 def dropped_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What documents lost, counted."""
-    return layout.dropped_census(_events(spark, sf_dir, feature="event_type").where("at % 40 < 3"))
+    return layout.dropped_census(_events(spark, sf_dir, feature="event_type"))
 
 
 @_with(

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import sys
-
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..schema import NODE_COLUMNS, Node, flatten, node, node_schema
+from ..storage import stored
 from .html import parse_html
 from .latex import parse_latex
 from .markdown import parse_markdown
@@ -66,10 +66,29 @@ def parse(fmt: str, source: str, *, extract: bool = False, url: str | None = Non
     return parse_html(source, extract=extract, url=url) if fmt == "html" else PARSERS[fmt](source)
 
 
-def _rows_of(ids: list, texts: list, urls: list, fmt: str, extract: bool, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+def warnings_of(source: str) -> list[tuple[str, str]]:
+    """Codes and messages about a text that can be read, but perhaps not as it was meant."""
+    out = []
+    if n := source.count("\ufffd"):
+        out.append(("replaced_characters", f"{n} characters were not readable in their encoding"))
+    if n := sum(source.count(c) for c in map(chr, (*range(9), 11, *range(14, 32)))):
+        out.append(("control_characters", f"{n} control characters"))
+    return out
+
+
+def _rows_of(ids: list, texts: list, urls: list, fmt: str, extract: bool, schema: pa.Schema, warn: bool) -> Iterator[pa.RecordBatch]:
+    """Rows of the node table; with ``warn`` also rows of warnings, which have no node, and a text that fails is one of them."""
     made: list[tuple] = []
+    blank = (None,) * len(NODE_COLUMNS)
     for i, source, url in zip(ids, texts, urls, strict=True):
-        made += [(i, *r) for r in flatten(parse(fmt, source or "", extract=extract, url=url))]
+        if not warn:
+            made += [(i, *r) for r in flatten(parse(fmt, source or "", extract=extract, url=url))]
+        else:
+            try:
+                made += [(i, *r, None, None) for r in flatten(parse(fmt, source or "", extract=extract, url=url))]
+            except (ValueError, KeyError, TypeError, RecursionError) as e:
+                made.append((i, *blank, "failed", str(e)))
+            made += [(i, *blank, code, message) for code, message in warnings_of(source or "")]
         if len(made) > 50_000:
             yield _batch(made, schema)
             made = []
@@ -81,15 +100,12 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
-def parse_df(df: DataFrame, fmt: str, *, id_col: str = "doc_id", text_col: str = "text", url_col: str | None = None, extract: bool = False) -> DataFrame:
-    """The node table of a column of texts; a null text is an empty document.
-
-    Only the columns named are read.  Rows of the result are not ordered;
-    ``(id, node_id)`` orders them.
-    """
+def _parsed(df: DataFrame, fmt: str, id_col: str, text_col: str, url_col: str | None, extract: bool, warn: bool) -> DataFrame:
     if fmt not in PARSERS:
         raise ValueError(f"format {fmt!r} is none of {', '.join(PARSERS)}")
     schema: StructType = node_schema(id_col)
+    if warn:
+        schema = schema.add("_code", "string").add("_message", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -97,10 +113,29 @@ def parse_df(df: DataFrame, fmt: str, *, id_col: str = "doc_id", text_col: str =
         arrow = to_arrow_schema(schema)
         for batch in batches:
             ids, texts, urls = (batch.column(k).to_pylist() for k in range(3))
-            yield from _rows_of(ids, texts, urls, fmt, extract, arrow)
+            yield from _rows_of(ids, texts, urls, fmt, extract, arrow, warn)
 
     url: Column = F.col(url_col) if url_col else F.lit(None)
     return df.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"), url.cast("string").alias("_url")).mapInArrow(run, schema)
 
 
-__all__ = ["NODE_COLUMNS", "PARSERS", "parse", "parse_df"]
+def parse_df(df: DataFrame, fmt: str, *, id_col: str = "doc_id", text_col: str = "text", url_col: str | None = None, extract: bool = False) -> DataFrame:
+    """The node table of a column of texts; a null text is an empty document.
+
+    Only the columns named are read.  Rows of the result are not ordered;
+    ``(id, node_id)`` orders them.  A text that is not in its format (JSON alone can be) fails the job; see ``parse_and_warn``.
+    """
+    return _parsed(df, fmt, id_col, text_col, url_col, extract, False)
+
+
+def parse_and_warn(df: DataFrame, fmt: str, *, id_col: str = "doc_id", text_col: str = "text", url_col: str | None = None, extract: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The node table, and id, code and message of what was odd about texts; both from one pass, which is written to the shared folder.
+
+    A text that fails has no nodes and the code ``failed``.
+    """
+    both = stored(_parsed(df, fmt, id_col, text_col, url_col, extract, True))
+    warnings = both.where("_code is not null").select(id_col, F.col("_code").alias("code"), F.col("_message").alias("message"))
+    return both.where("_code is null").drop("_code", "_message"), warnings
+
+
+__all__ = ["NODE_COLUMNS", "PARSERS", "parse", "parse_and_warn", "parse_df"]

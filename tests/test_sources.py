@@ -267,3 +267,16 @@ def test_save_by_extension(spark, tmp_path):
         save(df, f"{tmp_path}/out.docx")
     with pytest.raises(ValueError, match="is read by"):
         save(back, f"{tmp_path}/out.csv", mode="overwrite")
+
+
+def test_warnings_come_from_the_same_pass(spark):
+    from quirelake.sources.reader import parse_and_warn
+
+    good = '{"type": "Document", "children": []}'
+    rows = [(1, good), (2, "{"), (3, None), (4, "[1]"), (5, '{"type": "Nope"}')]
+    nodes, warnings = parse_and_warn(spark.createDataFrame(rows, "doc_id long, text string"), "json")
+    assert [tuple(r)[:2] for r in nodes.collect()] == [(1, 0)]
+    assert sorted((r.doc_id, r.code) for r in warnings.collect()) == [(i, "failed") for i in (2, 3, 4, 5)]
+    nodes, warnings = parse_and_warn(spark.createDataFrame([(1, "a\x01b\ufffd"), (2, "plain")], "doc_id long, text string"), "text")
+    assert sorted((r.doc_id, r.code) for r in warnings.collect()) == [(1, "control_characters"), (1, "replaced_characters")]
+    assert nodes.select("doc_id").distinct().count() == 2
