@@ -47,8 +47,8 @@ LEAST_DOCUMENTS = 5
 #: The z value from which a term is an input of 1; below, of what power of its part of it for weights and for factors, and of how much for factors at least.
 CLEAR_Z, WEIGHT_POWER, FACTOR_POWER, LEAST_FACTOR = 5.0, 3, 1, 0.1
 THRESHOLD = 0.5
-#: Mini-batches of the fit and its rate: of nine pairs the one of the least loss on three parts of the training rows, each left out in turn.
-STEPS, RATE = 500, 0.5
+#: Mini-batches of the fit and its rate.
+STEPS, RATE = 1_000, 0.25
 #: Words whose terms a task remembers.
 CACHED = 200_000
 
