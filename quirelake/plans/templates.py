@@ -13,6 +13,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import spread
 from .convert import convert_df
 
 _PLACE = re.compile(r"\{([a-z_]+)(?::(\d+))?\}")
@@ -48,7 +49,7 @@ def oracle(template: str) -> str:
 
 def converted(parts: DataFrame, template: str, from_format: str, to_format: str) -> DataFrame:
     """p_partkey, converted and error of the documents composed by a template."""
-    docs = parts.select("p_partkey", source(template).alias("source"))
+    docs = spread(parts, "p_partkey").select("p_partkey", source(template).alias("source"))
     return convert_df(docs, from_format, to_format, id_col="p_partkey", text_col="source")
 
 

@@ -48,6 +48,12 @@ NODE_FIELDS: dict[str, dict[str, Any]] = {
     "Document": {"children": [], "title": [], "author": [], "date": [], "section_root": None},
 }
 
+#: The fields of each type that hold child nodes, in their fixed order; its required fields; and a node of it with every default.
+SLOTS_OF = {kind: tuple(name for name in SLOTS if isinstance(fields.get(name), list)) for kind, fields in NODE_FIELDS.items()}
+_REQUIRED_OF = {kind: tuple(name for name, default in fields.items() if default is _REQUIRED) for kind, fields in NODE_FIELDS.items()}
+_LISTS_OF = {kind: tuple(name for name, default in fields.items() if isinstance(default, list)) for kind, fields in NODE_FIELDS.items()}
+_BLANK = {kind: {"type": kind, **fields} for kind, fields in NODE_FIELDS.items()}
+
 #: Attribute columns of the node table and their types; ``text`` holds Text.content.
 ATTRIBUTES: dict[str, str] = {
     "text": "string", "bold": "boolean", "italic": "boolean", "strikethrough": "boolean", "script": "string", "url": "string", "title": "string",
@@ -69,27 +75,29 @@ def node_schema(id_name: str = "doc_id", id_type: str = "long") -> T.StructType:
 def node(kind: str, **fields: Any) -> Node:
     """A node with the defaults of its type; unknown types and fields are errors."""
     known = NODE_FIELDS[kind]
-    if more := fields.keys() - known.keys():
-        raise ValueError(f"{kind} has no {', '.join(sorted(more))}")
-    out: Node = {"type": kind}
-    for name, default in known.items():
-        if name not in fields and default is _REQUIRED:
+    if not fields.keys() <= known.keys():
+        raise ValueError(f"{kind} has no {', '.join(sorted(fields.keys() - known.keys()))}")
+    out: Node = _BLANK[kind].copy()
+    for name in _REQUIRED_OF[kind]:
+        if name not in fields:
             raise ValueError(f"{kind} needs {name}")
-        value = fields.get(name, default)
+    for name in _LISTS_OF[kind]:
+        if name not in fields:
+            out[name] = list(known[name])
+    for name, value in fields.items():
         out[name] = list(value) if isinstance(value, list) else value
     return out
 
 
 def is_slot(kind: str, name: str) -> bool:
     """Whether a field holds child nodes."""
-    return name in SLOTS and isinstance(NODE_FIELDS[kind].get(name), list)
+    return name in SLOTS_OF[kind]
 
 
 def child_slots(n: Node) -> Iterator[tuple[str, list[Node]]]:
     """The child lists of a node in their fixed order."""
-    for name in SLOTS:
-        if is_slot(n["type"], name):
-            yield name, n[name]
+    for name in SLOTS_OF[n["type"]]:
+        yield name, n[name]
 
 
 def walk(n: Node) -> Iterator[Node]:
@@ -98,8 +106,8 @@ def walk(n: Node) -> Iterator[Node]:
     while todo:
         n = todo.pop()
         yield n
-        for _, children in reversed(list(child_slots(n))):
-            todo.extend(reversed(children))
+        for name in reversed(SLOTS_OF[n["type"]]):
+            todo.extend(reversed(n[name]))
 
 
 def plain_text(nodes: list[Node]) -> str:

@@ -1,4 +1,4 @@
-"""Tables in the folder that the driver and the executors share."""
+"""Tables in the folder that the driver and the executors share, and rows dealt over their cores."""
 
 from __future__ import annotations
 
@@ -32,3 +32,16 @@ def stored(df: DataFrame) -> DataFrame:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Tasks for each core, so that a slow one holds up few others.
+TASKS_A_CORE = 4
+
+
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """The rows of ``df`` dealt by columns over all cores.
+
+    For rows of few bytes that cost much work each: a file of them is read by one task or two, and a shuffle is
+    merged into few tasks, since Spark counts bytes.
+    """
+    return df.repartition(TASKS_A_CORE * df.sparkSession.sparkContext.defaultParallelism, *columns)
