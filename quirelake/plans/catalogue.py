@@ -11,6 +11,7 @@ from ..functions import formats, text
 from ..operators import blocks, tree
 from ..schema import node_schema
 from ..sources.reader import parse_df
+from ..storage import shared_folder
 from . import office, relations, templates
 from .convert import Options, convert_df, render_df
 from .render import LATEX_ESCAPES
@@ -507,10 +508,9 @@ def stream_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from ..streaming.convert import run_available
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    out = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    out = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     columns = {"id_col": "page_id", "text_col": "html", "url_col": "url"}
-    run_available(spark, sf_dir, "pages.parquet*", f"{out}/data", f"{out}/state", "html", "markdown", Options(extract_html=True), **columns).awaitTermination()
+    run_available(spark, sf_dir, "pages.parque[t]", f"{out}/data", f"{out}/state", "html", "markdown", Options(extract_html=True), **columns).awaitTermination()
     streamed = spark.read.parquet(f"{out}/data").select("page_id", F.col("converted").alias("streamed"))
     return markdown_of_pages(spark, sf_dir).join(streamed, "page_id").select("page_id", (F.col("converted") == F.col("streamed")).alias("same"))
 
