@@ -41,7 +41,10 @@ def _page_nodes(spark: SparkSession, sf_dir: str, *, extract: bool) -> DataFrame
     return parse_df(_table(spark, sf_dir, "pages"), "html", id_col="page_id", text_col="html", url_col="url", extract=extract)
 
 
-_DECODED = "replace(replace(replace(replace(replace({0}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&amp;', '&')"
+#: Character references of the pages as HTML reads them in text: the semicolon may be missing.
+_DECODED = "{0}"
+for _name, _char in (("quot", '"'), ("copy", "©"), ("middot", "·"), ("gt", ">"), ("lt", "<"), ("amp", "&")):
+    _DECODED = f"regexp_replace({_DECODED}, '&{_name};?', '{_char}', 'g')"
 
 
 @query(
