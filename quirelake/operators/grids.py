@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.values import let
+
 # Fixed value: columns of a row, beyond which no cell begins.
 MOST_COLUMNS = 4096
 
@@ -25,9 +27,12 @@ def _placed(cells: Column, taken: Column) -> Column:
     def step(s: Column, c: Column) -> Column:
         # The first column from here on that is not taken; the one behind the last always is free.
         free = F.filter(F.sequence(s["at"], F.greatest(s["at"], F.size(taken))), lambda j: F.coalesce(F.get(taken, j), F.lit(0)) == 0)
-        first = F.get(free, F.lit(0))
-        one = F.struct(first.alias("start"), (first + c["across"]).alias("end"), c["down"].alias("down"), c["text"].alias("text"))
-        return F.when(first < MOST_COLUMNS, F.struct((first + c["across"]).alias("at"), F.array_append(s["done"], one).alias("done"))).otherwise(F.struct(F.lit(MOST_COLUMNS).alias("at"), s["done"].alias("done")))
+
+        def put(first: Column) -> Column:
+            one = F.struct(first.alias("start"), (first + c["across"]).alias("end"), c["down"].alias("down"), c["text"].alias("text"))
+            return F.when(first < MOST_COLUMNS, F.struct((first + c["across"]).alias("at"), F.array_append(s["done"], one).alias("done"))).otherwise(F.struct(F.lit(MOST_COLUMNS).alias("at"), s["done"].alias("done")))
+
+        return let(F.get(free, F.lit(0)), put)
 
     return F.aggregate(cells, start, step, lambda s: s["done"])
 
@@ -51,7 +56,8 @@ def _row(placed: Column, taken: Column) -> Column:
     last_taken = F.coalesce(F.array_max(F.filter(F.transform(taken, lambda n, j: F.when(n > 0, j + 1)), lambda j: j.isNotNull())), F.lit(0))
     width = F.greatest(F.least(last_taken, F.lit(MOST_COLUMNS)), F.coalesce(F.array_max(F.transform(placed, lambda p: p["end"])), F.lit(0)))
     starts = F.map_from_entries(F.transform(placed, lambda p: F.struct(p["start"].alias("k"), p["text"].alias("v"))))
-    return F.when(width > 0, F.transform(F.sequence(F.lit(0), width - 1), lambda j: F.coalesce(F.try_element_at(starts, j), F.lit("")))).otherwise(F.array().cast("array<string>"))
+    texts = let(starts, lambda m: F.transform(F.sequence(F.lit(0), width - 1), lambda j: F.coalesce(F.try_element_at(m, j), F.lit(""))))
+    return F.when(width > 0, texts).otherwise(F.array().cast("array<string>"))
 
 
 def without_spans(cells: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
@@ -67,9 +73,8 @@ def without_spans(cells: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
     start = F.struct(F.array().cast("array<int>").alias("taken"), F.expr(f"cast(array() as array<struct<row: {dict(cells.dtypes)['row']}, texts: array<string>>>)").alias("done"))
 
     def step(s: Column, r: Column) -> Column:
-        placed = _placed(r["cells"], s["taken"])
-        made = F.struct(r["row"].alias("row"), _row(placed, s["taken"]).alias("texts"))
-        return F.struct(_left(placed, s["taken"]).alias("taken"), F.array_append(s["done"], made).alias("done"))
+        made = lambda p: F.struct(r["row"].alias("row"), _row(p, s["taken"]).alias("texts"))
+        return let(_placed(r["cells"], s["taken"]), lambda p: F.struct(_left(p, s["taken"]).alias("taken"), F.array_append(s["done"], made(p)).alias("done")))
 
     grids = tables.select(id_col, F.inline(F.aggregate("rows", start, step, lambda s: s["done"])))
     return grids.select(id_col, "row", F.posexplode("texts").alias("col", "text"))
