@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.values import let
+
 # The styles and the forms of their markers, the preferred one first.
 FORMS = {
     "bold": (("**", "**"), ("<strong>", "</strong>")),
@@ -65,11 +67,15 @@ def _pieces(runs: Column) -> Column:
         wanted = F.filter(F.array(*(F.when(r[x], F.lit(x)) for x in STYLES)), lambda x: x.isNotNull())
         # What stays open: the outer markers up to the first that the run does not have.
         first_gone = F.array_min(F.filter(F.transform(s["stack"], lambda x, i: F.when(~F.array_contains(wanted, x), i)), lambda i: i.isNotNull()))
-        keep = F.coalesce(first_gone, F.size(s["stack"]))
-        kept = F.slice(s["stack"], 1, keep)
-        lasting = [F.when(r[x] & ~F.array_contains(kept, x), F.struct((-r[f"_e_{x}"]).alias("e"), F.lit(k).alias("k"), F.lit(x).alias("x"))) for k, x in enumerate(STYLES)]
-        new = F.transform(F.array_sort(F.filter(F.array(*lasting), lambda x: x.isNotNull())), lambda t: t["x"])
-        styled = F.struct(F.concat(kept, new).alias("stack"), F.concat(closed(s, keep), text(lead), F.transform(new, lambda x: piece(_OPEN, x, F.lit(""))), text(core)).alias("out"), trail.alias("spaces"))
+
+        def opened(keep: Column) -> Column:
+            kept = F.slice(s["stack"], 1, keep)
+            lasting = [F.when(r[x] & ~F.array_contains(kept, x), F.struct((-r[f"_e_{x}"]).alias("e"), F.lit(k).alias("k"), F.lit(x).alias("x"))) for k, x in enumerate(STYLES)]
+            new = F.transform(F.array_sort(F.filter(F.array(*lasting), lambda x: x.isNotNull())), lambda t: t["x"])
+            pieces = lambda n: F.concat(closed(s, keep), text(lead), F.transform(n, lambda x: piece(_OPEN, x, F.lit(""))), text(core))
+            return let(new, lambda n: F.struct(F.concat(kept, n).alias("stack"), pieces(n).alias("out"), trail.alias("spaces")))
+
+        styled = let(F.coalesce(first_gone, F.size(s["stack"])), opened)
         blank = F.struct(s["stack"].alias("stack"), s["out"].alias("out"), F.concat(s["spaces"], r["text"]).alias("spaces"))
         other = F.struct(F.array().cast("array<string>").alias("stack"), F.concat(closed(s, F.lit(0)), text(r["text"])).alias("out"), F.lit("").alias("spaces"))
         return F.when(r["other"], other).when(core == "", blank).otherwise(styled)
@@ -78,7 +84,7 @@ def _pieces(runs: Column) -> Column:
 
 
 def _forms(pieces: Column) -> Column:
-    """The text of every piece: markers in the first form that fits at both ends."""
+    """The text of every marker by its place: the first form that fits at both ends."""
     at = lambda i: F.get(pieces, i)
     marked = lambda i: F.coalesce(at(i)["mark"] > 0, F.lit(False))
     before = lambda i: F.when(i == 0, " ").when(marked(i - 1), "*").otherwise(F.right(at(i - 1)["value"], F.lit(1)))
@@ -99,28 +105,18 @@ def _forms(pieces: Column) -> Column:
     places = F.when(F.size(pieces) > 0, F.sequence(F.lit(0), F.size(pieces) - 1)).otherwise(F.array().cast("array<int>"))
     partner = lambda i: F.array_min(F.filter(places, lambda j: (j > i) & (at(j)["mark"] == _CLOSE) & (at(j)["style"] == at(i)["style"])))
 
-    def form(i: Column) -> Column:
-        j = partner(i)
-        chosen = F.lit(None).cast("int")
+    def ends(i: Column, j: Column) -> Column:
+        chosen = F.lit(None).cast("struct<a: string, b: string>")
         for style, forms in FORMS.items():
-            best = F.lit(len(forms) - 1)
+            shown = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in forms]
+            best = shown[-1]
             for k in range(len(forms) - 2, -1, -1):
-                best = F.when(fits(forms[k][0], i, True) & fits(forms[k][1], j, False), k).otherwise(best)
+                best = F.when(fits(forms[k][0], i, True) & fits(forms[k][1], j, False), shown[k]).otherwise(best)
             chosen = F.when(at(i)["style"] == style, best).otherwise(chosen)
-        return F.struct(i.alias("i"), j.alias("j"), chosen.alias("form"))
-
-    pairs = F.transform(F.filter(places, lambda i: at(i)["mark"] == _OPEN), form)
-
-    def shown(p: Column, i: Column) -> Column:
-        opens = p["mark"] == _OPEN
-        mine = F.get(F.filter(pairs, lambda x: F.when(opens, x["i"]).otherwise(x["j"]) == i), F.lit(0))["form"]
-        out = p["value"]
-        for style, forms in FORMS.items():
-            for k, (a, b) in enumerate(forms):
-                out = F.when((p["mark"] > 0) & (p["style"] == style) & (mine == k), F.when(opens, a).otherwise(b)).otherwise(out)
-        return out
+        return let(chosen, lambda c: F.array(F.struct(i.alias("at"), c["a"].alias("sign")), F.struct(j.alias("at"), c["b"].alias("sign"))))
 
-    return F.array_join(F.transform(pieces, shown), "")
+    pairs = F.transform(F.filter(places, lambda i: at(i)["mark"] == _OPEN), lambda i: F.struct(i.alias("i"), partner(i).alias("j")))
+    return F.map_from_entries(F.flatten(F.transform(pairs, lambda p: ends(p["i"], p["j"]))))
 
 
 def emphasised(runs: DataFrame, *, id_col: str = "doc_id", at: str = "at") -> DataFrame:
@@ -131,4 +127,5 @@ def emphasised(runs: DataFrame, *, id_col: str = "doc_id", at: str = "at") -> Da
     told = _with_extents(merged_runs(runs, id_col=id_col, at=at), id_col, at)
     each = F.struct(F.col(at).alias("_at"), "text", *STYLES, "other", *(f"_e_{s}" for s in STYLES))
     paragraphs = told.groupBy(id_col).agg(F.array_sort(F.collect_list(each)).alias("_runs"))
-    return paragraphs.select(id_col, _pieces(F.col("_runs")).alias("_p")).select(id_col, _forms(F.col("_p")).alias("markdown"))
+    made = paragraphs.select(id_col, _pieces(F.col("_runs")).alias("_p")).select(id_col, "_p", _forms(F.col("_p")).alias("_signs"))
+    return made.select(id_col, F.array_join(F.transform("_p", lambda p, i: F.coalesce(F.try_element_at("_signs", i), p["value"])), "").alias("markdown"))

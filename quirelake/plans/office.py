@@ -14,6 +14,7 @@ from ..functions import fitting
 from ..operators import blocks, code, formulas, grids, includes, pages, pictures, styles
 from ..sources.reader import parse_and_warn
 from ..sources.workbook import shown, workbook_cells, workbook_files
+from ..storage import spread
 
 REGISTERED: list[tuple[Callable[[SparkSession, str], DataFrame], str | None]] = []
 
@@ -103,7 +104,8 @@ def code_fenced(spark: SparkSession, sf_dir: str) -> DataFrame:
         r"concat(p_name, ' is what this part is called.\n\n', case p_partkey % 3 when 0 then concat('def f_', p_partkey, '(x):\n    return x_y * ', p_size) when 1 then concat('select p_size from part where p_partkey = ', p_partkey, ';')"
         r" else concat('a_b[', p_size, '] = {', p_partkey, '};') end, '\n\n\nx_y = f(a, b[', p_size, ']);\n\n~~~\ny = (1);\n\nz\n~~~\nMore words: see [1] or ', p_brand, ' (size ', p_size, ').')"
     )
-    return code.fenced_sources(_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.expr(form).alias("text")))
+    parts = spread(_table(spark, sf_dir, "part"), "p_partkey")
+    return code.fenced_sources(parts.select(F.col("p_partkey").alias("doc_id"), F.expr(form).alias("text")))
 
 
 def _laid_out(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -238,7 +240,7 @@ def emphasis_of_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
         run(word("see "), italic=True), run(F.col("p_brand"), bold=True, italic=True), run(word(" and "), italic=True), run(word(" ")), run(F.col("p_size"), struck=True), run(word(" en")), run(word("d")),
         run(word("in"), italic=True), run(word("side ")), run(F.concat(F.lit("`"), "p_name", F.lit("`")), other=True),
     )
-    rows = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.posexplode(runs).alias("at", "r")).select("doc_id", "at", "r.*")
+    rows = spread(_table(spark, sf_dir, "part"), "p_partkey").select(F.col("p_partkey").alias("doc_id"), F.posexplode(runs).alias("at", "r")).select("doc_id", "at", "r.*")
     return styles.emphasised(rows)
 
 
@@ -251,7 +253,7 @@ def parse_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trees of parts as JSON, one in three broken off and one in three with odd characters: their nodes and what the reader says, from one pass."""
     name = F.concat("p_name", F.when(F.col("p_partkey") % 3 == 2, F.lit("\ufffd")).otherwise(""))
     tree = F.concat(F.lit('{"type": "Document", "children": [{"type": "Paragraph", "children": [{"type": "Text", "content": "'), name, F.when(F.col("p_partkey") % 3 == 1, "").otherwise('"}]}]}'))
-    parts = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), tree.alias("text"))
+    parts = spread(_table(spark, sf_dir, "part"), "p_partkey").select(F.col("p_partkey").alias("doc_id"), tree.alias("text"))
     nodes, warnings = parse_and_warn(parts, "json")
     counts = nodes.groupBy("doc_id").agg(F.count("*").alias("n_nodes"))
     codes = warnings.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list("code")), ",").alias("codes"))
