@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import layout, references
 from ..sources.reader import parse_df
+from ..storage import spread, stored
 
 REGISTERED: list[tuple[Callable[[SparkSession, str], DataFrame], str]] = []
 
@@ -28,6 +29,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts, dealt over all cores: each becomes a document."""
+    return spread(_table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size"), "p_partkey")
+
+
 def _events(spark: SparkSession, sf_dir: str, **columns: str) -> DataFrame:
     """doc_id and at of every event, with columns of SQL that DuckDB reads alike."""
     return _table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("at"), *[F.expr(c).alias(k) for k, c in columns.items()])
@@ -50,7 +56,7 @@ def reference_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
         r"\\begin{figure}\\includegraphics{a.png}\\caption{C}\\label{f-%d}\\end{figure}\n\n', i, i, i, i)"
     )
     source = F.expr(rf"concat('\\label{{early}}Start.\n\n', array_join(transform(sequence(1, cast(p_partkey % 4 as int) + 1), i -> {section}), ''))")
-    nodes = parse_df(_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), source.alias("text")), "latex")
+    nodes = stored(parse_df(_parts(spark, sf_dir).select(F.col("p_partkey").alias("doc_id"), source.alias("text")), "latex"))
     return references.printed_references(nodes).groupBy("doc_id", "label", "shown").agg(F.count("*").alias("n"))
 
 
@@ -58,7 +64,7 @@ def reference_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def heading_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headings with code, links, math, pictures and notes, as one line."""
     source = F.concat(F.lit("# "), "p_brand", F.lit(" `c` [l](u) $x$[^1] ![i](s) no. "), F.col("p_size").cast("string"), F.lit("\n\nText.\n\n[^1]: note\n"))
-    nodes = parse_df(_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), source.alias("text")), "markdown")
+    nodes = parse_df(_parts(spark, sf_dir).select(F.col("p_partkey").alias("doc_id"), source.alias("text")), "markdown")
     return references.summary_text(nodes, "Heading").select("doc_id", "summary")
 
 
