@@ -2,27 +2,28 @@
 
 A picture is a table of scan lines (page, y, gray values from left to right).
 The background of a region is the fullest bin of its gray values; pixels far from it are ink.
-Ink of a line becomes runs inside the JVM, without a row for each pixel; runs of lines
-that lie close are edges, and their components are found by minimum
-labels with pointer jumping over written tables.  A component that is large, but
-smaller than its region, is a region of the next round, with a background of its own.
+Ink of a line becomes runs inside the JVM, without a row for each pixel.  The runs of one
+region are one group, in which those of lines that lie close are swept side by side and
+joined.  A component that is large, but smaller than its region, is a region of the next round, with a background of its own.
 
 Two pixels belong together if the squares of ``DILATION`` pixels around them touch.  That is what dilating
 the picture and flood filling would find, without either.
 
 Defined results: lines without pixels are empty; a picture without ink has no block; a region whose background is no
 more than ``LEAST_BACKGROUND`` of it is one dense block; a missing line is a line without ink; an empty table gives an
-empty result; other columns are not read.
+empty result; other columns are not read.  The runs of one picture are one group.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from itertools import groupby
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import stored
+from ..storage import spread, stored
 from .layout import GRAY_BIN
 
 # How far ink is from the background; the side of the square around a pixel; how deep panels are looked into, how large a
@@ -35,8 +36,6 @@ PANEL_AREA, PANEL_OF_REGION = 0.08, 0.95
 LEAST_AREA, LEAST_SIDE = 0.0004, 4
 LEAST_BACKGROUND = 0.35
 
-_WIDE = 1 << 20
-
 
 def _background(lines: DataFrame) -> DataFrame:
     """page, region, level, share: the middle of the fullest bin of gray values, the darkest in a tie."""
@@ -57,40 +56,48 @@ def _runs(lines: DataFrame, dilation: int) -> DataFrame:
     return pairs.select("page", "region", "y", (F.col("_r.a") + F.col("_left")).alias("a"), (F.col("_r.b") + F.col("_left") + 1).alias("b"))
 
 
-def _edges(runs: DataFrame, dilation: int) -> DataFrame:
-    """Pairs of runs of unlike lines whose squares touch: each run meets the runs of the lines below it only."""
-    key = ["page", "region"]
-    node = (F.col("y").cast("long") * _WIDE + F.col("a")).alias("node")
-    upper = runs.select(*key, node, F.col("y").alias("_y"), F.col("a").alias("_a"), F.col("b").alias("_b"), F.explode(F.sequence(F.lit(1), F.lit(dilation))).alias("_down"))
-    upper = upper.select(*key, F.col("node").alias("one"), "_a", "_b", "_down", (F.col("_y") + F.col("_down")).alias("y"))
-    met = upper.join(runs.select(*key, node.alias("two"), "y", "a", "b"), [*key, "y"])
-    apart = F.greatest(F.col("a") - F.col("_b") + 1, F.col("_a") - F.col("b") + 1, F.lit(0))
-    return met.where(apart <= F.when(F.col("_down") == dilation, dilation - 1).otherwise(dilation)).select(*key, "one", "two")
-
-
-def connected(nodes: DataFrame, edges: DataFrame, key: list[str]) -> DataFrame:
-    """key, node, label: the smallest node that edges (one, two) reach within a key, by minimum labels and pointer jumping."""
-    both = stored(edges.select(*key, "one", "two").union(edges.select(*key, "two", "one")).distinct())
-    labels = stored(nodes.select(*key, "node", F.col("node").alias("label")))
-    while True:
-        near = both.join(labels.select(*key, F.col("node").alias("one"), "label"), [*key, "one"]).groupBy(*key, F.col("two").alias("node")).agg(F.min("label").alias("_near"))
-        lower = labels.join(near, [*key, "node"], "left").select(*key, "node", "label", F.least("label", F.coalesce("_near", "label")).alias("_low"))
-        jump = lower.select(*key, F.col("node").alias("_low"), F.col("_low").alias("_next"))
-        new = stored(lower.join(jump, [*key, "_low"], "left").select(*key, "node", "label", F.least("_low", F.coalesce("_next", "_low")).alias("_new")))
-        labels = new.select(*key, "node", F.col("_new").alias("label"))
-        if new.where("_new < label").isEmpty():
-            return labels
+def components(runs: list[tuple[int, int, int]], dilation: int) -> list[tuple[int, int, int, int]]:
+    """x0, y0, x1, y1 of each component of runs (y, a, b), which within a line lie further apart than ``dilation``."""
+    runs = sorted(runs)
+    root = list(range(len(runs)))
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    lines = {y: [i for i, _ in each] for y, each in groupby(enumerate(runs), key=lambda r: r[1][0])}
+    for y, lower in lines.items():
+        for down in range(1, dilation + 1):
+            upper = lines.get(y - down, ())
+            near = dilation - 1 if down == dilation else dilation
+            i = j = 0
+            while i < len(upper) and j < len(lower):
+                (_, a, b), (_, c, d) = runs[upper[i]], runs[lower[j]]
+                if max(c - b, a - d) + 1 <= near:
+                    one, two = top(upper[i]), top(lower[j])
+                    root[max(one, two)] = min(one, two)
+                # What ends first touches nothing further: the next run of the other line is too far away.
+                if b < d:
+                    i += 1
+                else:
+                    j += 1
+    boxes: dict[int, list[int]] = {}
+    for i, (y, a, b) in enumerate(runs):
+        box = boxes.setdefault(top(i), [a, y, b, y + 1])
+        box[0], box[2], box[3] = min(box[0], a), max(box[2], b), y + 1
+    return [tuple(box) for box in boxes.values()]
 
 
 def _bounds(runs: DataFrame, dilation: int) -> DataFrame:
     """page, region, x0, y0, x1, y1 of each component of runs."""
-    runs = stored(runs)
-    node = (F.col("y").cast("long") * _WIDE + F.col("a")).alias("node")
-    nodes = runs.select("page", "region", node, "y", "a", "b")
-    labels = connected(nodes, _edges(runs, dilation), ["page", "region"])
-    together = nodes.join(labels, ["page", "region", "node"])
-    boxes = together.groupBy("page", "region", "label").agg(F.min("a").alias("x0"), F.min("y").alias("y0"), F.max("b").alias("x1"), (F.max("y") + 1).alias("y1"))
-    return boxes.drop("label")
+
+    def boxes(table: pa.Table) -> pa.Table:
+        found = components(list(zip(*(table.column(c).to_pylist() for c in ("y", "a", "b")), strict=True)), dilation)
+        key = [pa.array([table.column(k)[0].as_py()] * len(found), table.schema.field(k).type) for k in ("page", "region")]
+        return pa.table([*key, *(pa.array(c, pa.int32()) for c in zip(*found, strict=True))], names=["page", "region", "x0", "y0", "x1", "y1"])
+
+    return runs.groupBy("page", "region").applyInArrow(boxes, f"page {dict(runs.dtypes)['page']}, region string, x0 int, y0 int, x1 int, y1 int")
 
 
 def segments(lines: DataFrame, *, page: str = "page_id", dilation: int = DILATION, depth: int = MOST_DEPTH, area: float = LEAST_AREA, side: int = LEAST_SIDE) -> DataFrame:
@@ -104,7 +111,8 @@ def segments(lines: DataFrame, *, page: str = "page_id", dilation: int = DILATIO
     regions, found = stored(regions), []
     for level in range(depth + 1):
         place = pixels.join(regions, "page").where("y >= y0 and y < y1")
-        cropped = stored(place.select("page", "region", "y", F.col("x0").alias("_left"), F.slice("gray", F.col("x0") + 1, F.col("x1") - F.col("x0")).alias("gray")))
+        cropped = place.select("page", "region", "y", F.col("x0").alias("_left"), F.slice("gray", F.col("x0") + 1, F.col("x1") - F.col("x0")).alias("gray"))
+        cropped = stored(spread(cropped, "page", "region"))
         told = stored(regions.join(_background(cropped), ["page", "region"]))
         found.append(told.where(F.col("share") < LEAST_BACKGROUND).select("page", "x0", "y0", "x1", "y1", F.lit(True).alias("dense")))
         plain = told.where(F.col("share") >= LEAST_BACKGROUND)

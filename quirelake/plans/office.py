@@ -164,7 +164,7 @@ def blocks_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_with(None)
 def document_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of documents drawn as pictures, one pixel a character."""
-    drawn = pictures.lines_as_picture(_table(spark, sf_dir, "documents"))
+    drawn = pictures.lines_as_picture(spread(_table(spark, sf_dir, "documents"), "doc_id"))
     return pictures.segments(drawn, page="doc_id", dilation=5, side=1)
 
 
