@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.formats import check_choice
 from ..schema import NODE_COLUMNS, assemble
 from ..sources.code import fenced
-from ..sources.reader import PARSERS, parse
+from ..sources.reader import PARSERS, in_parts, parse
 from .render import RENDERERS, discard_links, neutralize_links, remove_images
 
 
@@ -62,7 +62,7 @@ def convert_df(df: DataFrame, from_format: str, to_format: str, options: Options
     check_choice("format", to_format, tuple(RENDERERS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches):
             ids, texts, urls = (batch.column(k).to_pylist() for k in range(3))
             made: list[str | None] = []
             errors: list[str | None] = []

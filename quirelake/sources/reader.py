@@ -76,6 +76,17 @@ def warnings_of(source: str) -> list[tuple[str, str]]:
     return out
 
 
+#: Texts that a worker holds as Python values at a time; Spark's batches have up to ten thousand rows.
+TEXTS_AT_ONCE = 256
+
+
+def in_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in parts, so that a worker's memory does not grow with the length of texts times the rows of a batch."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
+            yield batch.slice(at, TEXTS_AT_ONCE)
+
+
 def _rows_of(ids: list, texts: list, urls: list, fmt: str, extract: bool, schema: pa.Schema, warn: bool) -> Iterator[pa.RecordBatch]:
     """Rows of the node table; with ``warn`` also rows of warnings, which have no node, and a text that fails is one of them."""
     made: list[tuple] = []
@@ -111,7 +122,7 @@ def _parsed(df: DataFrame, fmt: str, id_col: str, text_col: str, url_col: str |
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(schema)
-        for batch in batches:
+        for batch in in_parts(batches):
             ids, texts, urls = (batch.column(k).to_pylist() for k in range(3))
             yield from _rows_of(ids, texts, urls, fmt, extract, arrow, warn)
 
