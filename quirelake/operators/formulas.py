@@ -19,9 +19,13 @@ over one cell the last counts; letters of references come out in upper case.
 
 from __future__ import annotations
 
+from string import ascii_letters
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.values import let
+
 # The last row and column of a sheet, and what stands between the range and the formula of a line.
 LAST_ROW, LAST_COLUMN = 1_048_576, 16_384
 SEPARATOR = " = "
@@ -48,7 +52,7 @@ def column_letters(number: Column) -> Column:
     letter = lambda x: F.char(65 + F.pmod(x, F.lit(26)))
     third = F.when(n > 702, letter(F.floor((n - 703) / 676))).otherwise("")
     second = F.when(n > 26, letter(F.floor((n - 27) / 26))).otherwise("")
-    return F.when((n >= 1) & (n <= 18_278), F.concat(third, second, letter(n - 1)))
+    return F.when((n >= 1) & (n <= 26), letter(n - 1)).when((n >= 1) & (n <= 18_278), F.concat(third, second, letter(n - 1)))
 
 
 def cell_name(row: Column, col: Column) -> Column:
@@ -76,6 +80,15 @@ def _coordinates(token: Column, row: Column, col: Column) -> list[Column]:
     return parts
 
 
+def _cell_coordinates(token: Column, row: Column, col: Column) -> Column:
+    """The relative form of a single cell, which most references are, without another regular expression."""
+    letters, digits = F.translate(token, "$0123456789", ""), F.translate(token, f"${ascii_letters}", "").cast("int")
+    number = F.when(F.length(letters) == 1, F.ascii(F.upper(letters)) - 64).otherwise(column_number(letters))
+    across = F.when(F.startswith(token, F.lit("$")), F.concat(F.lit("C:"), number.cast("string"))).otherwise(F.concat(F.lit("c:"), (number - col).cast("string")))
+    down = F.when(F.instr(F.substr(token, F.lit(2)), "$") > 0, F.concat(F.lit("R:"), digits.cast("string"))).otherwise(F.concat(F.lit("r:"), (digits - row).cast("string")))
+    return F.concat_ws(",", across, down)
+
+
 def _is_reference(token: Column) -> Column:
     return token.rlike(f"^(?:{_CELL}|{_COLUMNS}|{_ROWS})$")
 
@@ -87,7 +100,8 @@ def tokens(formula: Column) -> Column:
 
 def relative(formula: Column, row: Column, col: Column) -> Column:
     """The relative form of a formula in its cell, as a text."""
-    form = lambda t: F.when(_is_reference(t), F.concat(F.lit(_MARK), F.concat_ws(",", *_coordinates(t, row, col)), F.lit(_MARK))).otherwise(t)
+    coordinates = lambda t: F.when(F.contains(t, F.lit(":")), F.concat_ws(",", *_coordinates(t, row, col))).otherwise(_cell_coordinates(t, row, col))
+    form = lambda t: F.when(_is_reference(t), F.concat(F.lit(_MARK), coordinates(t), F.lit(_MARK))).otherwise(t)
     return F.array_join(F.transform(tokens(formula), form), "")
 
 
@@ -106,13 +120,13 @@ def absolute(form: Column, row: Column, col: Column) -> Column:
     """A relative form as the formula of a cell; null if a reference would leave the sheet."""
 
     def piece(t: Column) -> Column:
-        parts = F.transform(F.split(t, ","), lambda p: _placed(p, row, col))
         # Cells stand side by side, whole columns and rows with a colon between.
-        joint = F.when(F.size(parts) < 2, "").when(F.lower(F.substr(t, F.lit(1), F.lit(1))) == F.lower(F.substr(F.substring_index(t, ",", -1), F.lit(1), F.lit(1))), ":").otherwise("")
-        return F.concat(parts[0], joint, F.element_at(parts, -1))
+        joint = F.when(F.lower(F.substr(t, F.lit(1), F.lit(1))) == F.lower(F.substr(F.substring_index(t, ",", -1), F.lit(1), F.lit(1))), ":").otherwise("")
+        parts = F.transform(F.split(t, ","), lambda p: _placed(p, row, col))
+        return let(parts, lambda p: F.concat(p[0], F.when(F.size(p) < 2, "").otherwise(joint), F.element_at(p, -1)))
 
     pieces = F.transform(F.split(form, _MARK), lambda t, i: F.when(i % 2 == 1, piece(t)).otherwise(t))
-    return F.when(~F.exists(pieces, lambda p: p.isNull()), F.array_join(pieces, ""))
+    return let(pieces, lambda x: F.when(~F.exists(x, lambda p: p.isNull()), F.array_join(x, "")))
 
 
 def moved(formula: Column, row: Column, col: Column, to_row: Column, to_col: Column) -> Column:

@@ -31,3 +31,53 @@ def test_references_without_a_semicolon(spark, tmp_path, same_as_duckdb, name):
     rows.coalesce(1).write.parquet(f"{tmp_path}/all")
     next((tmp_path / "all").glob("*.parquet")).rename(tmp_path / "pages.parquet")
     same_as_duckdb(catalogue.QUERIES[name](spark, str(tmp_path)), catalogue.ORACLES[name], str(tmp_path))
+
+
+def test_components_of_runs_by_brute_force():
+    import random
+
+    from quirelake.operators.pictures import components
+
+    pick = random.Random(7)
+    for dilation in (1, 3, 5):
+        for _ in range(40):
+            runs = []
+            for y in range(pick.randrange(1, 14)):
+                at = pick.randrange(6)
+                while pick.random() < 0.7:
+                    end = at + pick.randrange(1, 9)
+                    runs.append((y, at, end))
+                    at = end + dilation + pick.randrange(0, 8)
+            label = list(range(len(runs)))
+            for _ in runs:
+                for i, (y, a, b) in enumerate(runs):
+                    for j, (z, c, d) in enumerate(runs):
+                        apart = max(c - b + 1, a - d + 1, 0)
+                        if 1 <= z - y <= dilation and apart <= (dilation - 1 if z - y == dilation else dilation):
+                            label[i] = label[j] = min(label[i], label[j])
+            boxes = [(min(runs[i][1] for i in k), min(runs[i][0] for i in k), max(runs[i][2] for i in k), max(runs[i][0] for i in k) + 1) for k in ([i for i, x in enumerate(label) if x == w] for w in set(label))]
+            assert sorted(components(runs, dilation)) == sorted(boxes)
+
+
+def test_formulas_are_worked_out_once_for_each_cell(spark):
+    from pyspark.sql import functions as F
+
+    from quirelake.operators import formulas
+
+    cells = spark.createDataFrame([("=A1+$B$2&SUM(A:C)&AB3", 5, 3)], "formula string, row int, col int")
+    form = formulas.relative(F.col("formula"), F.col("row"), F.col("col"))
+    placed = formulas.absolute(F.col("form"), F.col("row") + 1, F.col("col") + 1).alias("next")
+    made = cells.select(form.alias("form"), "row", "col").select("form", placed)
+    assert [tuple(r) for r in made.collect()] == [("=\x01c:-2,r:-4\x01+\x01C:2,R:2\x01&SUM(\x01c:-2,c:0\x01)&\x01c:25,r:-2\x01", "=B2+$B$2&SUM(B:D)&AC4")]
+    given = cells.select(F.col("formula").alias("form"), "row", "col").select(placed)
+    assert given._jdf.queryExecution().optimizedPlan().toString().count("split(") == 2  # forms, and the coordinates of one
+
+
+def test_texts_come_in_small_parts():
+    import pyarrow as pa
+
+    from quirelake.sources.reader import TEXTS_AT_ONCE, in_parts
+
+    batch = pa.record_batch({"x": list(range(1000))})
+    parts = list(in_parts(iter([batch])))
+    assert max(p.num_rows for p in parts) <= TEXTS_AT_ONCE and [x for p in parts for x in p.column(0).to_pylist()] == list(range(1000))
