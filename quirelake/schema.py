@@ -50,8 +50,9 @@ NODE_FIELDS: dict[str, dict[str, Any]] = {
 
 #: The fields of each type that hold child nodes, in their fixed order; its required fields; and a node of it with every default.
 SLOTS_OF = {kind: tuple(name for name in SLOTS if isinstance(fields.get(name), list)) for kind, fields in NODE_FIELDS.items()}
+_SLOTS_BACK = {kind: names[::-1] for kind, names in SLOTS_OF.items()}
 _REQUIRED_OF = {kind: tuple(name for name, default in fields.items() if default is _REQUIRED) for kind, fields in NODE_FIELDS.items()}
-_LISTS_OF = {kind: tuple(name for name, default in fields.items() if isinstance(default, list)) for kind, fields in NODE_FIELDS.items()}
+_LISTS_OF = {kind: tuple(name for name, default in fields.items() if isinstance(default, list) or name == "keys") for kind, fields in NODE_FIELDS.items()}
 _BLANK = {kind: {"type": kind, **fields} for kind, fields in NODE_FIELDS.items()}
 
 #: Attribute columns of the node table and their types; ``text`` holds Text.content.
@@ -74,18 +75,16 @@ def node_schema(id_name: str = "doc_id", id_type: str = "long") -> T.StructType:
 
 def node(kind: str, **fields: Any) -> Node:
     """A node with the defaults of its type; unknown types and fields are errors."""
-    known = NODE_FIELDS[kind]
-    if not fields.keys() <= known.keys():
-        raise ValueError(f"{kind} has no {', '.join(sorted(fields.keys() - known.keys()))}")
     out: Node = _BLANK[kind].copy()
+    out.update(fields)
+    if len(out) > len(_BLANK[kind]) or "type" in fields:
+        raise ValueError(f"{kind} has no {', '.join(sorted(fields.keys() - NODE_FIELDS[kind].keys()))}")
     for name in _REQUIRED_OF[kind]:
         if name not in fields:
             raise ValueError(f"{kind} needs {name}")
     for name in _LISTS_OF[kind]:
-        if name not in fields:
-            out[name] = list(known[name])
-    for name, value in fields.items():
-        out[name] = list(value) if isinstance(value, list) else value
+        if isinstance(value := out[name], list):
+            out[name] = value[:]
     return out
 
 
@@ -106,8 +105,9 @@ def walk(n: Node) -> Iterator[Node]:
     while todo:
         n = todo.pop()
         yield n
-        for name in reversed(SLOTS_OF[n["type"]]):
-            todo.extend(reversed(n[name]))
+        for name in _SLOTS_BACK[n["type"]]:
+            if below := n[name]:
+                todo.extend(below[::-1])
 
 
 def plain_text(nodes: list[Node]) -> str:
@@ -160,7 +160,20 @@ def assemble(rows: list[dict[str, Any]]) -> Node:
 
 def text(content: str, **style: Any) -> Node:
     """A Text node."""
-    return node("Text", content=content, **style)
+    if style:
+        return node("Text", content=content, **style)
+    return {"type": "Text", "content": content, "bold": False, "italic": False, "strikethrough": False, "script": None}
+
+
+def copied(nodes: list[Node]) -> list[Node]:
+    """Nodes and their descendants again, so that a change of them leaves these as they are."""
+    out = []
+    for n in nodes:
+        made = n.copy()
+        for name in SLOTS_OF[n["type"]]:
+            made[name] = copied(n[name])
+        out.append(made)
+    return out
 
 
 def paragraph(*children: Node) -> Node:

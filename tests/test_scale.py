@@ -81,3 +81,41 @@ def test_texts_come_in_small_parts():
     batch = pa.record_batch({"x": list(range(1000))})
     parts = list(in_parts(iter([batch])))
     assert max(p.num_rows for p in parts) <= TEXTS_AT_ONCE and [x for p in parts for x in p.column(0).to_pylist()] == list(range(1000))
+
+
+def _composed(template, key):
+    values = {"name": "blue anvil", "brand": "Brand#1", "type": "SMALL", "key": str(key), "size": "7", "brand_latex": "Brand", "rule": "=" * 10, "cr": "\r"}
+    return templates._PLACE.sub(lambda m: values.get(m[1], m[0]), template)
+
+
+@pytest.mark.parametrize("fmt, template", [("markdown", templates.BODY)])
+def test_pieces_that_repeat_are_read_once(monkeypatch, fmt, template):
+    from quirelake.plans.convert import convert_text
+    from quirelake.sources import inline, latex, markdown
+
+    for remembered in (inline._remembered, markdown._remembered):
+        remembered.cache_clear()
+    calls = []
+    holder, name = (inline._TOKEN, "search") if fmt == "markdown" else (latex._PLAIN, "match")
+    counting = type("Counting", (), {name: lambda self, *args: (calls.append(args), getattr(holder, name)(*args))[1]})()
+    monkeypatch.setattr(inline if fmt == "markdown" else latex, "_TOKEN" if fmt == "markdown" else "_PLAIN", counting)
+    convert_text(_composed(template, 1), fmt, "html")
+    first = len(calls)
+    convert_text(_composed(template, 2), fmt, "html")
+    assert len(calls) - first < first  # what has the key alone is read again
+
+
+@pytest.mark.parametrize("fmt, source", [("markdown", "- a *b* <javascript:x>\n\n> q ~~s~~")])
+def test_a_change_of_a_tree_leaves_others_alone(fmt, source):
+    from quirelake.plans.render import neutralize_links, render_json
+    from quirelake.schema import walk
+    from quirelake.sources.reader import parse
+
+    before = parse(fmt, source)
+    changed = parse(fmt, source)
+    assert neutralize_links(changed) == 1
+    for n in walk(changed):
+        if n["type"] == "Text":
+            n["bold"] = True
+        n.get("children", []).append({"type": "HorizontalRule"})
+    assert render_json(parse(fmt, source)) == render_json(before) and render_json(before) != render_json(changed)
