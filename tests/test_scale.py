@@ -88,12 +88,12 @@ def _composed(template, key):
     return templates._PLACE.sub(lambda m: values.get(m[1], m[0]), template)
 
 
-@pytest.mark.parametrize("fmt, template", [("markdown", templates.BODY)])
+@pytest.mark.parametrize("fmt, template", [("markdown", templates.BODY), ("latex", templates.LATEX)])
 def test_pieces_that_repeat_are_read_once(monkeypatch, fmt, template):
     from quirelake.plans.convert import convert_text
     from quirelake.sources import inline, latex, markdown
 
-    for remembered in (inline._remembered, markdown._remembered):
+    for remembered in (inline._remembered, markdown._remembered, latex._remembered, latex._remembered_blocks):
         remembered.cache_clear()
     calls = []
     holder, name = (inline._TOKEN, "search") if fmt == "markdown" else (latex._PLAIN, "match")
@@ -105,7 +105,7 @@ def test_pieces_that_repeat_are_read_once(monkeypatch, fmt, template):
     assert len(calls) - first < first  # what has the key alone is read again
 
 
-@pytest.mark.parametrize("fmt, source", [("markdown", "- a *b* <javascript:x>\n\n> q ~~s~~")])
+@pytest.mark.parametrize("fmt, source", [("markdown", "- a *b* <javascript:x>\n\n> q ~~s~~"), ("latex", "\\begin{quote}a \\emph{b} \\href{javascript:x}{c}\\end{quote}"), ("latex", "\\begin{itemize}\\item a \\href{javascript:x}{c}\\end{itemize}")])
 def test_a_change_of_a_tree_leaves_others_alone(fmt, source):
     from quirelake.plans.render import neutralize_links, render_json
     from quirelake.schema import walk
