@@ -53,3 +53,21 @@ def test_sources_equal_recursion(spark):
         assert got[p] == _plain(files, p), p
     assert set(got) == set(files) and got["c/x0.tex"][1] == ["x16"]
     assert includes.whole_sources(table.limit(0), mains).count() == 0
+
+
+def test_rows_moved_grow_with_files_and_not_with_the_files_below_them(spark, monkeypatch):
+    from quirelake.storage import stored
+
+    moved = []
+
+    def counted(df):
+        out = stored(df)
+        moved.append(out.count())
+        return out
+
+    monkeypatch.setattr(includes, "stored", counted)
+    files = {f"d/p{k}.tex": f"[{k}]\\input{{p{2 * k + 1}}}\\input{{p{2 * k + 2}}}" for k in range(127)} | {"d/p70.tex": "", "d/p71.tex": "a\\input{p8}b", "d/p9.tex": "\\input{p70}\\input{p70}\\input{none}"}
+    table = spark.createDataFrame(list(files.items()), "path string, text string")
+    got = {r.path: (r.text, r.missing) for r in includes.whole_sources(table, table).collect()}
+    assert all(got[p] == _plain(files, p) for p in files)
+    assert sum(moved) < 30 * len(files)
