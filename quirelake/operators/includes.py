@@ -70,17 +70,19 @@ def whole_sources(files: DataFrame, mains: DataFrame, *, path: str = "path", tex
     laid = stored(_laid(unique, starts))
     heights, deep = _heights(laid, starts)
     found = reduce(DataFrame.unionByName, _from_below(laid, heights))
-    far = stored(starts.join(deep, KEY, "left_semi"))
-    if not far.isEmpty():
-        found = found.unionByName(_from_above(laid, far))
-    out = starts.join(found, KEY, "left")
-    return out.select(F.col("path").alias(path), F.coalesce("text", F.lit("")).alias(text), F.coalesce("missing", F.array().cast("array<string>")).alias("missing"))
+    if not deep.isEmpty():
+        found = found.unionByName(_from_above(laid, deep))
+    return found.select(F.col("path").alias(path), F.coalesce("text", F.lit("")).alias(text), F.coalesce("missing", _no_names()).alias("missing"))
 
 
 #: What a source depends on: the folder of the main file, and the file.
 KEY = ["folder", "path"]
 
 
+def _no_names() -> Column:
+    return F.array().cast("array<string>")
+
+
 def _laid(unique: DataFrame, starts: DataFrame) -> DataFrame:
     """folder, path, at, text, name, target: the pieces of every file in every folder of main files; target is the file that a name includes, if any."""
     parts = F.split("path", "/")
@@ -95,28 +97,29 @@ def _laid(unique: DataFrame, starts: DataFrame) -> DataFrame:
 
 
 def _heights(laid: DataFrame, starts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Files with the number of includes on the longest way down, if that is below ``DEPTH``; and the others.
+    """Files with the number of includes on the longest way down, if that is below ``DEPTH``, and whether they are main files; and the other main files.
 
     A round keeps the includes of files that still go on, so it handles fewer than the one before.
     """
     still = laid.where("target is not null").select(*KEY, "target")
-    reached = [laid.select(*KEY, F.lit(0).alias("height")).distinct()]
+    no = F.lit(False).alias("main")
+    reached = [laid.select(*KEY, F.lit(0).alias("height"), no).distinct(), starts.select(*KEY, F.lit(0).alias("height"), F.lit(True).alias("main"))]
     for height in range(1, DEPTH + 1):
-        reached.append(still.select(*KEY, F.lit(height).alias("height")).distinct())
+        reached.append(still.select(*KEY, F.lit(height).alias("height"), no).distinct())
         if height < DEPTH:
             going = still.select("folder", F.col("path").alias("target")).distinct()
             still = stored(still.join(going, ["folder", "target"], "left_semi"))
             if still.isEmpty():
                 break
-    found = stored(reduce(DataFrame.unionByName, reached).groupBy(*KEY).agg(F.max("height").alias("height")))
-    return found.where(F.col("height") < DEPTH), found.where(F.col("height") == DEPTH).select(*KEY)
+    found = stored(reduce(DataFrame.unionByName, reached).groupBy(*KEY).agg(F.max("height").alias("height"), F.max("main").alias("main")))
+    return found.where(F.col("height") < DEPTH), found.where((F.col("height") == DEPTH) & F.col("main")).select(*KEY)
 
 
 def _from_below(laid: DataFrame, heights: DataFrame) -> list[DataFrame]:
-    """folder, path, text, missing of the files with a height, in a table for each height."""
-    no_names = F.array().cast("array<string>")
-    own = laid.where("target is null").join(heights, KEY).select(*KEY, "height", "at", F.coalesce("text", F.lit("")).alias("text"), F.when(F.col("name").isNull(), no_names).otherwise(F.array("name")).alias("missing"))
-    own = stored(own)
+    """folder, path, text, missing of the main files with a height, in a table for each height."""
+    kept = [*KEY, "height", "main"]
+    own = laid.where("target is null").join(heights, KEY).select(*kept, "at", F.coalesce("text", F.lit("")).alias("text"), F.when(F.col("name").isNull(), _no_names()).otherwise(F.array("name")).alias("missing"))
+    own = stored(own.unionByName(heights.where("main").select(*kept, F.lit(-1).alias("at"), F.lit("").alias("text"), _no_names().alias("missing"))))
     below = heights.select("folder", F.col("path").alias("target"), F.col("height").alias("below"))
     links = stored(laid.where("target is not null").select(*KEY, "at", "target").join(heights, KEY).join(below, ["folder", "target"]))
     parts, done = [own], []
@@ -124,12 +127,12 @@ def _from_below(laid: DataFrame, heights: DataFrame) -> list[DataFrame]:
     for height in range((most if most is not None else -1) + 1):
         here = [p.where(F.col("height") == height) for p in parts]
         ordered = F.array_sort(F.collect_list(F.struct("at", "text", "missing")))
-        rows = reduce(DataFrame.unionByName, here).groupBy(*KEY).agg(ordered.alias("p"))
-        done.append(stored(rows.select(*KEY, F.array_join("p.text", "").alias("text"), F.array_distinct(F.flatten("p.missing")).alias("missing"))))
+        rows = reduce(DataFrame.unionByName, here).groupBy(*KEY, "main").agg(ordered.alias("p"))
+        done.append(stored(rows.select(*KEY, "main", F.array_join("p.text", "").alias("text"), F.array_distinct(F.flatten("p.missing")).alias("missing"))))
         if height < most:
-            taken = done[-1].withColumnRenamed("path", "target")
-            parts.append(stored(links.where(F.col("below") == height).join(taken, ["folder", "target"]).select(*KEY, "height", "at", "text", "missing")))
-    return done or [own.select(*KEY, "text", "missing")]
+            taken = done[-1].select("folder", F.col("path").alias("target"), "text", "missing")
+            parts.append(stored(links.where(F.col("below") == height).join(taken, ["folder", "target"]).select(*kept, "at", "text", "missing")))
+    return [d.where("main").select(*KEY, "text", "missing") for d in done or [own]]
 
 
 def _from_above(laid: DataFrame, starts: DataFrame) -> DataFrame:
