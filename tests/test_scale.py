@@ -119,3 +119,17 @@ def test_a_change_of_a_tree_leaves_others_alone(fmt, source):
             n["bold"] = True
         n.get("children", []).append({"type": "HorizontalRule"})
     assert render_json(parse(fmt, source)) == render_json(before) and render_json(before) != render_json(changed)
+
+
+def test_csv_reads_lines_by_the_delimiters_that_it_has(monkeypatch):
+    import csv
+    from types import SimpleNamespace
+
+    from quirelake.sources import plain
+
+    used = []
+    monkeypatch.setattr(plain, "csv", SimpleNamespace(reader=lambda lines, delimiter: (used.append(delimiter), csv.reader(lines, delimiter=delimiter))[1]))
+    assert [plain.sniff(s) for s in ("a,b\n1,2\n", "a;b\n1;2,5\n3;4\n", "a\tb\n1\t2\n", "word\n", "a|b|c\n1|2,x|3\n")] == [",", ";", "\t", ",", "|"]
+    assert len(used) == 2 + 6 + 2 + 0 + 4  # 4 delimiters for each of 12 lines before
+    tree = plain.parse_csv('k,"a\r\nb",\n1,,"x\n"\n')
+    assert [[c["type"] for c in x["children"]] for x in tree["children"][0]["headers"]] == [["Text"], ["Text", "LineBreak", "Text"], []]
