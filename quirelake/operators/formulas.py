@@ -1,6 +1,6 @@
 """Formulas of sheets: references by offset, lines over ranges, and cells.
 
-A formula is cut into tokens by one regular expression in the JVM: texts in
+A formula is cut into tokens by one regular expression: texts in
 quotes, quoted sheet names, structured references, function names and
 names stay as they are; cells (``B2``, ``$A$1``), whole columns (``A:C``) and
 whole rows (``2:5``) are references.  Two formulas are the same one, moved, iff
@@ -9,8 +9,10 @@ distance from the formula's own cell, each with ``$`` as it stands.
 
 So a range of cells that repeat one formula is an island of equal relative
 forms, and writing a formula out over a range adds the offset to each free coordinate.
-Neither needs a Python worker.  Windows are partitioned by sheet and column, or row; a range
-is written out by a generator, row by row.
+Forms are worked out by a Python worker, once for each formula and place of a batch: higher-order
+functions of Spark, which are interpreted, take many times as long.  Islands are found by two
+passes over cells in their order, down columns and along rows; windows are partitioned by sheet and
+column, or row; a range is written out by a generator, row by row.
 
 Defined results: null formulas are no cells; a formula that a shift would push off the sheet
 stays as it is, and never joins a run; lines that are no ``range = formula`` are passed over; of several lines
@@ -19,10 +21,15 @@ over one cell the last counts; letters of references come out in upper case.
 
 from __future__ import annotations
 
-from string import ascii_letters
+import re
+from collections.abc import Callable
+from functools import lru_cache
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.values import let
 
@@ -38,6 +45,9 @@ _ROWS = r"\$?[1-9][0-9]{0,6}:\$?[1-9][0-9]{0,6}(?![\w.$!])"
 #: Kept as they are: texts, sheet names, structured references, numbers and names (functions, sheets, defined names).
 _OTHER = r"\"(?:[^\"]|\"\")*+\"|'(?:[^']|'')*+'!?|\[[^\]]*+\]|[0-9]+(?:\.[0-9]*)?(?:[eE][+-]?[0-9]+)?|[\w\\][\w.\\]*+[!(]?|[\s\S]"
 TOKEN = f"{_CELL}|{_COLUMNS}|{_ROWS}|{_OTHER}"
+_TOKEN = re.compile(f"({_CELL})|({_COLUMNS})|({_ROWS})|{_OTHER}", re.ASCII)
+_REFERENCE = re.compile(r"(\$?)([A-Za-z]*)(\$?)([0-9]*)(?::(\$?)(\w+))?")
+_FORM_REFERENCE = re.compile(f"{_MARK}([^{_MARK}]*){_MARK}")
 
 
 def column_number(letters: Column) -> Column:
@@ -60,37 +70,79 @@ def cell_name(row: Column, col: Column) -> Column:
     return F.concat(column_letters(col), row.cast("string"))
 
 
-def _coordinate(token: Column, pattern: str, own: Column, is_row: bool) -> tuple[Column, Column]:
-    """Whether a coordinate of a token is fixed, and its number or distance from the own cell."""
-    sign, value = F.regexp_extract(token, pattern, 1), F.regexp_extract(token, pattern, 2)
-    number = value.try_cast("int") if is_row else column_number(value)
-    fixed = sign == "$"
-    return fixed, F.when(fixed, number).otherwise(number - own)
+@lru_cache(1024)
+def _number(letters: str) -> int:
+    n = 0
+    for letter in letters.upper():
+        n = 26 * n + ord(letter) - 64
+    return n
 
 
-def _coordinates(token: Column, row: Column, col: Column) -> list[Column]:
-    """The relative form of a reference: its coordinates as ``kind:number``, kinds r and c free, R and C fixed."""
-    parts = []
-    for pattern, own, is_row in (
-        (r"^(\$?)([A-Za-z]+)", col, False), (r"^\$?[A-Za-z]+(\$?)([0-9]+)$", row, True), (r":(\$?)([A-Za-z]+)$", col, False), (r"^(\$?)([0-9]+):", row, True), (r":(\$?)([0-9]+)$", row, True),
-    ):
-        fixed, number = _coordinate(token, pattern, own, is_row)
-        kind = F.when(fixed, "R" if is_row else "C").otherwise("r" if is_row else "c")
-        parts.append(F.when(token.rlike(pattern), F.concat(kind, F.lit(":"), number.cast("string"))))
-    return parts
+@lru_cache(1024)
+def _letters(number: int) -> str:
+    out = ""
+    while number:
+        number, rest = divmod(number - 1, 26)
+        out = chr(65 + rest) + out
+    return out
 
 
-def _cell_coordinates(token: Column, row: Column, col: Column) -> Column:
-    """The relative form of a single cell, which most references are, without another regular expression."""
-    letters, digits = F.translate(token, "$0123456789", ""), F.translate(token, f"${ascii_letters}", "").cast("int")
-    number = F.when(F.length(letters) == 1, F.ascii(F.upper(letters)) - 64).otherwise(column_number(letters))
-    across = F.when(F.startswith(token, F.lit("$")), F.concat(F.lit("C:"), number.cast("string"))).otherwise(F.concat(F.lit("c:"), (number - col).cast("string")))
-    down = F.when(F.instr(F.substr(token, F.lit(2)), "$") > 0, F.concat(F.lit("R:"), digits.cast("string"))).otherwise(F.concat(F.lit("r:"), (digits - row).cast("string")))
-    return F.concat_ws(",", across, down)
+def form_of(formula: str, row: int, col: int) -> str:
+    """The relative form of a formula in its cell: coordinates of references as ``kind:number``, kinds r and c free, R and C fixed."""
 
+    def coordinate(fixed: str, value: str) -> str:
+        is_row = value.isdigit()
+        number = int(value) if is_row else _number(value)
+        if fixed:
+            return f"{'R' if is_row else 'C'}:{number}"
+        return f"r:{number - row}" if is_row else f"c:{number - col}"
 
-def _is_reference(token: Column) -> Column:
-    return token.rlike(f"^(?:{_CELL}|{_COLUMNS}|{_ROWS})$")
+    def form(token: re.Match) -> str:
+        if token.lastindex is None:
+            return token[0]
+        sign, letters, second, digits, third, last = _REFERENCE.match(token[0]).groups()
+        if last:
+            return f"{_MARK}{coordinate(sign or second, letters or digits)},{coordinate(third, last)}{_MARK}"
+        return f"{_MARK}{coordinate(sign, letters)},{coordinate(second, digits)}{_MARK}"
+
+    return _TOKEN.sub(form, formula)
+
+
+def formula_at(form: str, row: int, col: int) -> str | None:
+    """A relative form as the formula of a cell; null if a reference would leave the sheet."""
+    inside = True
+
+    def placed(part: str) -> str:
+        nonlocal inside
+        kind, number = part[0], int(part[2:])
+        at = number + row if kind == "r" else number + col if kind == "c" else number
+        is_row = kind in "rR"
+        inside = inside and 1 <= at <= (LAST_ROW if is_row else LAST_COLUMN)
+        return ("$" if kind in "RC" else "") + (str(at) if is_row else _letters(at)) if inside else ""
+
+    def reference(found: re.Match) -> str:
+        first, last = found[1].split(",")
+        return placed(first) + (":" if first[0].lower() == last[0].lower() else "") + placed(last)
+
+    formula = _FORM_REFERENCE.sub(reference, form)
+    return formula if inside else None
+
+
+def moved_text(formula: str, row: int, col: int, to_row: int, to_col: int) -> str:
+    """The formula of cell (row, col) as it reads in another cell; unchanged where a reference would leave the sheet."""
+    return formula_at(form_of(formula, row, col), to_row, to_col) or formula
+
+
+def _each_once(work: Callable, kind: pa.DataType, *columns: pa.Array) -> pa.Array:
+    """``work`` of the values of rows, a text and whole numbers, called once for equal ones; null where one is null."""
+    keys = pc.binary_join_element_wise(*(c.cast(pa.string()) for c in columns), _MARK).dictionary_encode()
+    first = [key.rsplit(_MARK, len(columns) - 1) for key in keys.dictionary.to_pylist()]
+    return pa.array([work(text, *map(int, numbers)) for text, *numbers in first], kind).take(keys.indices)
+
+
+@F.arrow_udf(StringType())
+def _forms(formula: pa.Array, row: pa.Array, col: pa.Array) -> pa.Array:
+    return _each_once(form_of, pa.string(), formula, row, col)
 
 
 def tokens(formula: Column) -> Column:
@@ -100,9 +152,7 @@ def tokens(formula: Column) -> Column:
 
 def relative(formula: Column, row: Column, col: Column) -> Column:
     """The relative form of a formula in its cell, as a text."""
-    coordinates = lambda t: F.when(F.contains(t, F.lit(":")), F.concat_ws(",", *_coordinates(t, row, col))).otherwise(_cell_coordinates(t, row, col))
-    form = lambda t: F.when(_is_reference(t), F.concat(F.lit(_MARK), coordinates(t), F.lit(_MARK))).otherwise(t)
-    return F.array_join(F.transform(tokens(formula), form), "")
+    return _forms(formula, row, col)
 
 
 def _placed(part: Column, row: Column, col: Column) -> Column:
@@ -159,12 +209,15 @@ def expand(lines: DataFrame, *, id_col: str = "sheet", at: str = "at", line: str
     return latest.select(id_col, "row", "col", F.coalesce(absolute(F.col("_f._form"), F.col("row"), F.col("col")), F.col("_f._formula")).alias("formula"))
 
 
-def _islands(cells: DataFrame, id_col: str, across: str, along: str) -> DataFrame:
-    """``_from`` and ``_to`` along an axis: the run of equal relative forms that each cell is in."""
-    key = [id_col, across, "_form"]
-    runs = cells.withColumn("_run", F.col(along) - F.row_number().over(Window.partitionBy(*key).orderBy(along)))
-    each = Window.partitionBy(*key, "_run")
-    return runs.withColumns({"_from": F.min(along).over(each), "_to": F.max(along).over(each)}).drop("_run")
+def _runs(cells: DataFrame, across: list[str], along: str, end: str) -> DataFrame:
+    """The first cell of each run of neighbours with equal relative forms, with the run's last place along the axis.
+
+    First and last cells of runs are those whose neighbour differs; among these alone, the one behind a first cell ends its run.
+    """
+    line = Window.partitionBy(*across).orderBy(along)
+    beside = lambda at, step: (at(along).over(line) == F.col(along) + step) & (at("_form").over(line) == F.col("_form"))
+    edges = cells.withColumns({"_first": ~F.coalesce(beside(F.lag, -1), F.lit(False)), "_last": ~F.coalesce(beside(F.lead, 1), F.lit(False))}).where("_first or _last")
+    return edges.withColumn(end, F.when(F.col("_last"), F.col(along)).otherwise(F.lead(along).over(line))).where("_first").drop("_first", "_last")
 
 
 def compress(cells: DataFrame, *, id_col: str = "sheet") -> DataFrame:
@@ -175,10 +228,10 @@ def compress(cells: DataFrame, *, id_col: str = "sheet") -> DataFrame:
     """
     used = cells.where(F.col("formula").isNotNull()).select(id_col, F.col("row").cast("int"), F.col("col").cast("int"), "formula")
     formed = used.withColumn("_form", relative(F.col("formula"), F.col("row"), F.col("col")))
-    down = _islands(formed, id_col, "col", "row").withColumnsRenamed({"_from": "_top", "_to": "_bottom"})
-    tall = down.where("_bottom > _top and row = _top").select(id_col, "row", "col", "formula", F.col("_bottom").alias("_row1"), F.col("col").alias("_col1"))
-    wide = _islands(down.where("_bottom = _top"), id_col, "row", "col").where("col = _from")
-    runs = tall.unionByName(wide.select(id_col, "row", "col", "formula", F.col("row").alias("_row1"), F.col("_to").alias("_col1")))
+    down = _runs(formed, [id_col, "col"], "row", "_row1")
+    # A run down a column is a line of its own: its column keeps it apart from single cells and from other runs.
+    apart = down.withColumn("_apart", F.when(F.col("_row1") > F.col("row"), F.col("col")).otherwise(0))
+    runs = _runs(apart, [id_col, "row", "_apart"], "col", "_col1")
     first, last = cell_name(F.col("row"), F.col("col")), cell_name(F.col("_row1"), F.col("_col1"))
     where = F.when(first == last, first).otherwise(F.concat(first, F.lit(":"), last))
     return runs.select(id_col, "row", "col", F.concat(where, F.lit(SEPARATOR), F.substr("formula", F.lit(2))).alias("line"))

@@ -31,25 +31,34 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: Order lines of a task: their cells, some ten a line, are sorted there.
+LINES_A_TASK = 1_000_000
+
+
 def _order_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cell table of a workbook for each order: its lines, amounts, running totals and a row of sums."""
-    lines = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"))).alias("l"))
-    cell = "named_struct('row', {}, 'col', {}, 'kind', '{}', 'raw', {}, 'formula', {})".format
+    """The cell table of a workbook for each order: its lines, amounts, running totals and a row of sums.
+
+    Lines are dealt by path, so that no later step by path needs another exchange; cells are made of
+    one row of a sheet at a time.
+    """
+    dealt = spread(_table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("path"), "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"), "path", rows_a_task=LINES_A_TASK)
+    lines = dealt.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"))).alias("l"))
+    cell = "named_struct('row', i, 'col', {}, 'kind', '{}', 'raw', {}, 'formula', {})".format
     empty = "cast(null as string)"
-    heads = ", ".join(cell(0, c, "text", f"'{t}'", empty) for c, t in enumerate(("part & no.", "quantity", "price", "amount", "total", "<sum>")))
+    heads = ", ".join(cell(c, "text", f"'{t}'", empty) for c, t in enumerate(("part & no.", "quantity", "price", "amount", "total", "<sum>")))
     each = ", ".join(
         [
-            cell("i + 1", 0, "number", "cast(x.l_partkey as string)", empty), cell("i + 1", 1, "number", "cast(x.l_quantity as string)", empty), cell("i + 1", 2, "number", "cast(x.l_extendedprice as string)", empty),
-            cell("i + 1", 3, "number", empty, "concat('=B', i + 2, '*C', i + 2, '*(1-$H$1)')"),
-            cell("i + 1", 4, "number", empty, "if(i = 0, '=D2', concat('=E', i + 1, '+D', i + 2))"),
-            cell("i + 1", 5, "text", "'D1'", "concat('=SUM(D$2:D', i + 2, ')&\"D1\"')"),
+            cell(0, "number", "cast(x.l_partkey as string)", empty), cell(1, "number", "cast(x.l_quantity as string)", empty), cell(2, "number", "cast(x.l_extendedprice as string)", empty),
+            cell(3, "number", empty, "concat('=B', i + 1, '*C', i + 1, '*(1-$H$1)')"),
+            cell(4, "number", empty, "if(i = 1, '=D2', concat('=E', i, '+D', i + 1))"),
+            cell(5, "text", "'D1'", "concat('=SUM(D$2:D', i + 1, ')&\"D1\"')"),
         ]
     )
-    sums = ", ".join(cell("size(l) + 1", c, "number", empty, f"concat('=SUM({letter}2:{letter}', size(l) + 1, ')')") for c, letter in ((1, "B"), (2, "C"), (3, "D")))
-    rate = cell(0, 7, "number", "'0.05'", empty)
-    all_cells = F.expr(f"concat(array({heads}, {rate}), flatten(transform(l, (x, i) -> array({each}))), array({sums}))")
-    cells = lines.select(F.col("l_orderkey").cast("string").alias("path"), F.lit(0).alias("sheet_no"), F.lit("Lines & sums").alias("sheet"), F.inline(all_cells))
-    return cells
+    sums = ", ".join(cell(c, "number", empty, f"concat('=SUM({letter}2:{letter}', i, ')')") for c, letter in ((1, "B"), (2, "C"), (3, "D")))
+    rate = cell(7, "number", "'0.05'", empty)
+    rows = lines.select("path", F.size("l").alias("n"), "l", F.explode(F.sequence(F.lit(0), F.size("l") + 1)).alias("i")).select("path", "n", "i", F.get("l", F.col("i") - 1).alias("x"))
+    cells = F.expr(f"case when i = 0 then array({heads}, {rate}) when i <= n then array({each}) else array({sums}) end")
+    return rows.select("path", F.lit(0).alias("sheet_no"), F.lit("Lines & sums").alias("sheet"), F.inline(cells))
 
 
 _LINES = """

@@ -1,8 +1,9 @@
 """Workbooks of spreadsheets as a table of cells, and their sheets as CSV.
 
 A workbook is a zip archive of XML parts (ECMA-376).  A small map unpacks it,
-sheet by sheet as a stream, into one row for each used cell; what cells show,
-the grids and the CSV texts are made by Spark from that table.
+sheet by sheet, large ones as a stream, into one row for each used cell; what cells show,
+the grids and the CSV texts are made by Spark from that table.  Parts that repeat from
+workbook to workbook are read, or made, once by a worker.
 
 Defined results: hidden sheets are left out; what is no workbook, or a null,
 has one row with an error; a cell without a stored value is empty; a formula
@@ -16,7 +17,10 @@ import io
 import posixpath
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
+from itertools import groupby
+from operator import itemgetter
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -24,19 +28,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import csv_cell, format_number
-from ..operators.formulas import cell_name, moved
+from ..operators.formulas import cell_name, moved_text
 
-CELLS = "path string, sheet_no int, sheet string, row int, col int, kind string, raw string, formula string, shared int, error string"
+CELLS = "path string, sheet_no int, sheet string, row int, col int, kind string, raw string, formula string, error string"
 NAMES = [c.strip().split()[0] for c in CELLS.split(",")]
 ROWS = 20_000
+#: Workbooks and bytes of them that one batch holds at most, but for a single larger one.
+BOOKS, BOOK_BYTES = 1_000, 8_000_000
+#: Bytes of a part that is parsed at once; larger ones are read as a stream.
+WHOLE_PART = 1_000_000
+#: Bytes of the list of sheets that a worker remembers.
+REMEMBERED = 20_000
 # The built-in number formats that show dates or times.
 DATE_FORMATS = {14, 15, 16, 17, 18, 19, 20, 21, 22, 45, 46, 47}
 #: Days from the first day of either calendar of serial numbers to 1970-01-01.
 DAYS_1900, DAYS_1904 = 25_569, 24_107
 
 
+@lru_cache(1024)
+def _local(tag: str) -> str:
+    return tag.rpartition("}")[2]
+
+
 def _name(element: ElementTree.Element) -> str:
-    return element.tag.rpartition("}")[2]
+    return _local(element.tag)
 
 
 def _text(element: ElementTree.Element) -> str:
@@ -46,10 +61,23 @@ def _text(element: ElementTree.Element) -> str:
     return "".join(_text(e) for e in element if _name(e) in ("t", "r"))
 
 
-def _elements(archive: zipfile.ZipFile, part: str, kind: str) -> Iterator[ElementTree.Element]:
-    """The elements of a kind in a part, each dropped after use; a part that is missing has none."""
+def _elements(archive: zipfile.ZipFile, part: str, kind: str) -> Iterable[ElementTree.Element]:
+    """The elements of a kind in a part, those of a large part each dropped after use; a part that is missing has none."""
     if part not in archive.namelist():
-        return
+        return ()
+    if archive.getinfo(part).file_size <= WHOLE_PART:
+        try:
+            return _of_kind(ElementTree.fromstring(archive.read(part)), kind)
+        except ElementTree.ParseError:
+            pass  # read as a stream, up to where it breaks
+    return _streamed(archive, part, kind)
+
+
+def _of_kind(root: ElementTree.Element, kind: str) -> list[ElementTree.Element]:
+    return [e for e in root.iter() if _local(e.tag) == kind]
+
+
+def _streamed(archive: zipfile.ZipFile, part: str, kind: str) -> Iterator[ElementTree.Element]:
     with archive.open(part) as source:
         for _, element in ElementTree.iterparse(source):
             if _name(element) == kind:
@@ -73,48 +101,107 @@ def _date_styles(archive: zipfile.ZipFile) -> set[int]:
     return set()
 
 
+@lru_cache(64)
+def _listed(workbook: bytes, links: bytes) -> tuple[list[tuple[str, str]], bool]:
+    """Names and parts of the visible sheets, and whether days count from 1904."""
+    elements = lambda data, kind: _of_kind(ElementTree.fromstring(data), kind) if data else []
+    targets = {_attribute(r, "Id"): _attribute(r, "Target") or "" for r in elements(links, "Relationship")}
+    old = any(p.get("date1904") in ("1", "true") for p in elements(workbook, "workbookPr"))
+    sheets = []
+    for s in elements(workbook, "sheet"):
+        if s.get("state", "visible") == "visible":
+            target = targets.get(_attribute(s, "id"), "")
+            sheets.append((s.get("name", ""), target.lstrip("/") if target.startswith("/") else posixpath.normpath(f"xl/{target}")))
+    return sheets, old
+
+
+@lru_cache(16_384)
+def _place(name: str) -> tuple[int, int] | None:
+    """Row and column of a cell, from 0."""
+    place = re.fullmatch(r"([A-Z]{1,3})(\d{1,7})", name)
+    if not place:
+        return None
+    col = 0
+    for letter in place[1]:
+        col = 26 * col + ord(letter) - 64
+    return int(place[2]) - 1, col - 1
+
+
+def _shared(formula: ElementTree.Element | None) -> int | None:
+    """The number of the text that a formula shares."""
+    number = formula.get("si") if formula is not None and formula.get("t") == "shared" else None
+    return number and int(number)
+
+
+def _shared_texts(archive: zipfile.ZipFile, part: str) -> dict[int, tuple[int, int, str]]:
+    """Row, column and formula of the first cell, by rows, that holds the text of each shared formula."""
+    first: dict[int, tuple[int, int, str]] = {}
+    for c in _elements(archive, part, "c"):
+        place = _place(c.get("r", ""))
+        for f in [e for e in c if _name(e) == "f"][-1:]:
+            number = _shared(f)
+            if place and f.text and number is not None and (number not in first or place < first[number][:2]):
+                first[number] = (*place, f"={f.text}")
+    return first
+
+
+KINDS = {"s": "text", "str": "text", "inlineStr": "text", "b": "boolean", "e": "error", "d": "text"}
+
+
 def cells_of(content: bytes) -> Iterator[tuple]:
-    """sheet_no, sheet, row, col, kind, raw, formula and the number of a shared formula of the used cells of visible sheets."""
+    """sheet_no, sheet, row, col, kind, raw and formula of the used cells of visible sheets."""
     with zipfile.ZipFile(io.BytesIO(content)) as archive:
-        targets = {_attribute(r, "Id"): _attribute(r, "Target") or "" for r in _elements(archive, "xl/_rels/workbook.xml.rels", "Relationship")}
+        names = archive.namelist()
+        workbook, links = (archive.read(part) if part in names else b"" for part in ("xl/workbook.xml", "xl/_rels/workbook.xml.rels"))
+        sheets, old = (_listed if len(workbook) + len(links) <= REMEMBERED else _listed.__wrapped__)(workbook, links)
         strings = [_text(s) for s in _elements(archive, "xl/sharedStrings.xml", "si")]
         dates = _date_styles(archive)
-        old = any(p.get("date1904") in ("1", "true") for p in _elements(archive, "xl/workbook.xml", "workbookPr"))
-        sheets = [(s.get("name", ""), targets.get(_attribute(s, "id"), "")) for s in _elements(archive, "xl/workbook.xml", "sheet") if s.get("state", "visible") == "visible"]
-        for number, (sheet, target) in enumerate(sheets):
-            part = target.lstrip("/") if target.startswith("/") else posixpath.normpath(f"xl/{target}")
+        for number, (sheet, part) in enumerate(sheets):
+            texts = None
             for c in _elements(archive, part, "c"):
-                place = re.fullmatch(r"([A-Z]{1,3})(\d{1,7})", c.get("r", ""))
+                place = _place(c.get("r", ""))
                 if not place:
                     continue
-                col = 0
-                for letter in place[1]:
-                    col = 26 * col + ord(letter) - 64
-                below = {_name(e): e for e in c}
-                raw = below["v"].text if "v" in below else _text(below["is"]) if "is" in below else None
-                formula = below["f"].text if "f" in below else None
-                shared = below["f"].get("si") if "f" in below and below["f"].get("t") == "shared" else None
-                kind = {"s": "text", "str": "text", "inlineStr": "text", "b": "boolean", "e": "error", "d": "text"}.get(c.get("t", "n"), "number")
-                if c.get("t") == "s" and raw is not None:
+                value = inside = held = shared = formula = None
+                for e in c:
+                    name = _local(e.tag)
+                    if name == "v":
+                        value = e
+                    elif name == "f":
+                        held = e
+                    elif name == "is":
+                        inside = e
+                raw = value.text if value is not None else _text(inside) if inside is not None else None
+                if held is not None:
+                    shared = _shared(held)
+                    if held.text:
+                        formula = f"={held.text}"
+                    elif shared is not None:
+                        texts = _shared_texts(archive, part) if texts is None else texts
+                        row, col, text = texts.get(shared, (0, 0, None))
+                        formula = text and moved_text(text, row + 1, col + 1, place[0] + 1, place[1] + 1)
+                form = c.get("t", "n")
+                kind = KINDS.get(form, "number")
+                if form == "s" and raw is not None:
                     raw = strings[int(raw)]
-                elif kind == "number" and int(c.get("s", 0)) in dates:
+                elif dates and kind == "number" and int(c.get("s", 0)) in dates:
                     kind = "date1904" if old else "date"
                 if raw is not None or formula is not None or shared is not None:
-                    yield number, sheet, int(place[2]) - 1, col - 1, kind, raw, formula and f"={formula}", shared and int(shared)
+                    yield number, sheet, *place, kind, raw, formula
 
 
 def workbook_cells(files: DataFrame, *, path: str = "path", content: str = "content") -> DataFrame:
-    """The cell table of workbooks, as ``binaryFile`` reads them: one map, and one exchange for formulas that share a text."""
+    """The cell table of workbooks, as ``binaryFile`` reads them: one map, which reads each workbook once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def batch_of(made: list[tuple]) -> pa.RecordBatch:
             columns = list(zip(*made, strict=True)) if made else [()] * len(NAMES)
-            kinds = [pa.int32() if n in ("sheet_no", "row", "col", "shared") else pa.string() for n in NAMES]
+            kinds = [pa.int32() if n in ("sheet_no", "row", "col") else pa.string() for n in NAMES]
             return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=NAMES)
 
+        made: list[tuple] = []
         for batch in batches:
             for where, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                made: list[tuple] = []
                 try:
                     for cell in cells_of(data.as_py() or b""):
                         made.append((where, *cell, None))
@@ -122,17 +209,10 @@ def workbook_cells(files: DataFrame, *, path: str = "path", content: str = "cont
                             yield batch_of(made)
                             made = []
                 except (zipfile.BadZipFile, ElementTree.ParseError, ValueError, IndexError, KeyError) as e:
-                    made.append((where, *[None] * 8, f"no workbook: {e}"))
-                yield batch_of(made)
+                    made.append((where, *[None] * 7, f"no workbook: {e}"))
+        yield batch_of(made)
 
-    cells = files.select(F.col(path).alias("path"), F.col(content).alias("content")).mapInArrow(run, CELLS)
-    # The cell that holds a shared text comes first in its range.
-    sharing = Window.partitionBy("path", "sheet_no", "shared").orderBy("row", "col")
-    one = F.first(F.when(F.col("formula").isNotNull(), F.struct("row", "col", "formula")), ignorenulls=True).over(sharing.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    own = lambda c: F.col(c) + 1
-    text = moved(F.col("_first.formula"), F.col("_first.row") + 1, F.col("_first.col") + 1, own("row"), own("col"))
-    apart = cells.where("shared is not null").withColumn("_first", one).withColumn("formula", F.coalesce("formula", text)).drop("_first")
-    return cells.where("shared is null").unionByName(apart).drop("shared")
+    return files.select(F.col(path).alias("path"), F.col(content).alias("content")).mapInArrow(run, CELLS)
 
 
 def shown() -> Column:
@@ -185,13 +265,14 @@ _TYPES = "application/vnd.openxmlformats-officedocument.spreadsheetml"
 _HEAD = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n'
 
 
-def _archive(sheets: list[dict]) -> bytes:
-    """A workbook of sheets that are XML already."""
+@lru_cache(64)
+def _frame(names: tuple[str, ...]) -> bytes:
+    """An archive of what a workbook of sheets of these names holds besides them."""
     from xml.sax.saxutils import quoteattr
 
-    n = range(1, len(sheets) + 1)
+    n = range(1, len(names) + 1)
     override = "".join(f'<Override PartName="/xl/worksheets/sheet{k}.xml" ContentType="{_TYPES}.worksheet+xml"/>' for k in n)
-    listed = "".join(f'<sheet name={quoteattr(s["sheet"])} sheetId="{k}" r:id="rId{k}"/>' for k, s in zip(n, sheets, strict=True))
+    listed = "".join(f'<sheet name={quoteattr(name)} sheetId="{k}" r:id="rId{k}"/>' for k, name in zip(n, names, strict=True))
     links = "".join(f'<Relationship Id="rId{k}" Type="{_OFFICE}/worksheet" Target="worksheets/sheet{k}.xml"/>' for k in n)
     parts = {
         "[Content_Types].xml": f'<Types xmlns="{_PACKAGE}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/>'
@@ -199,20 +280,60 @@ def _archive(sheets: list[dict]) -> bytes:
         "_rels/.rels": f'<Relationships xmlns="{_PACKAGE}/relationships"><Relationship Id="rId1" Type="{_OFFICE}/officeDocument" Target="xl/workbook.xml"/></Relationships>',
         "xl/workbook.xml": f'<workbook xmlns="{_MAIN}" xmlns:r="{_OFFICE}"><sheets>{listed}</sheets></workbook>',
         "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{_PACKAGE}/relationships">{links}</Relationships>',
-    } | {f"xl/worksheets/sheet{k}.xml": f'<worksheet xmlns="{_MAIN}"><sheetData>{s["xml"]}</sheetData></worksheet>' for k, s in zip(n, sheets, strict=True)}
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+    }
+    return _with_parts(b"", parts)
+
+
+def _with_parts(content: bytes, parts: dict[str, str]) -> bytes:
+    """An archive with more parts at its end."""
+    out = io.BytesIO(content)
+    with zipfile.ZipFile(out, "a") as archive:
         for name, text in parts.items():
             # One date for all parts, so that equal cells give equal bytes.
             archive.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), _HEAD + text, zipfile.ZIP_DEFLATED)
     return out.getvalue()
 
 
+def _archive(sheets: list[tuple[str, str]]) -> bytes:
+    """A workbook of sheets: their names, and their rows as XML."""
+    names = tuple(name for name, _ in sheets)
+    frame = (_frame if sum(map(len, names)) <= REMEMBERED else _frame.__wrapped__)(names)
+    return _with_parts(frame, {f"xl/worksheets/sheet{k}.xml": f'<worksheet xmlns="{_MAIN}"><sheetData>{xml}</sheetData></worksheet>' for k, (_, xml) in enumerate(sheets, 1)})
+
+
+def _sheets(cells: list[tuple]) -> list[tuple[str, str]]:
+    """Name and XML of each sheet of a workbook, from sheet_no, sheet, row and XML of its cells in their order."""
+    return [
+        (sheet, "".join(f'<row r="{row + 1}">{"".join(c[3] or "" for c in held)}</row>' for row, held in groupby(of_sheet, key=itemgetter(2))))
+        for (_, sheet), of_sheet in groupby(cells, key=itemgetter(0, 1))
+    ]
+
+
+def _values(column: pa.Array) -> list:
+    """The values of a column; numpy takes them over faster than one by one."""
+    return column.to_pylist() if column.null_count else column.to_numpy(zero_copy_only=False).tolist()
+
+
+def _books(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str | None, list[tuple]]]:
+    """Path and cells of each workbook; batches have path, number in the workbook, sheet_no, sheet, row and XML of cells in their order."""
+    where, held = None, []
+    for batch in batches:
+        path, number, *cell = map(_values, batch.columns)
+        for at, n, made in zip(path, number, zip(*cell, strict=True), strict=True):
+            if n == 1 and held:
+                yield where, held
+                held = []
+            where = at
+            held.append(made)
+    if held:
+        yield where, held
+
+
 def workbook_files(cells: DataFrame) -> DataFrame:
     """path and content (the bytes of a workbook) from a cell table.
 
     ``cells`` has path, sheet_no, sheet, row and col (from 0), kind (number, boolean or text), raw and
-    formula.  Spark makes the XML of rows and sheets; a small map packs what is ready.  Formulas
+    formula.  Spark makes the XML of cells and sorts it; a small map joins and packs what is ready.  Formulas
     are written without a stored value where ``raw`` is null; sheets of a path come in the order of their numbers.
     """
     name = cell_name(F.col("row") + 1, F.col("col") + 1)
@@ -223,17 +344,21 @@ def workbook_files(cells: DataFrame) -> DataFrame:
     kind = F.when(is_text & F.col("formula").isNull(), ' t="inlineStr"').when(is_text, ' t="str"').when(F.col("kind") == "boolean", ' t="b"').otherwise("")
     body = F.when(is_text & F.col("formula").isNull(), inline).otherwise(F.concat(formula, value))
     cell = F.concat(F.lit('<c r="'), name, F.lit('"'), kind, F.lit(">"), body, F.lit("</c>"))
-    key = ["path", "sheet_no", "sheet"]
-    used = cells.where("raw is not null or formula is not null").select(*key, "row", "col", cell.alias("xml"))
-    joined = lambda order: F.array_join(F.array_sort(F.collect_list(F.struct(order, "xml")))["xml"], "")
-    rows = used.groupBy(*key, "row").agg(joined("col").alias("xml"))
-    rows = rows.select(*key, "row", F.concat(F.lit('<row r="'), (F.col("row") + 1).cast("string"), F.lit('">'), "xml", F.lit("</row>")).alias("xml"))
-    sheets = rows.groupBy(*key).agg(joined("row").alias("xml"))
-    books = sheets.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("sheet_no", "sheet", "xml"))).alias("sheets"))
+    used = cells.where("raw is not null or formula is not null").select(F.col("path").cast("string"), "sheet_no", "sheet", "row", "col", cell.alias("xml"))
+    # The number of a cell in its workbook: 1 begins the next one.
+    order = ["sheet_no", "sheet", "row", "col", "xml"]
+    placed = used.withColumn("n", F.row_number().over(Window.partitionBy("path").orderBy(*order))).sortWithinPartitions("path", *order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for where, found in zip(batch.column("path").to_pylist(), batch.column("sheets"), strict=True):
-                yield pa.record_batch([pa.array([where], pa.string()), pa.array([_archive(found.as_py())], pa.binary())], names=["path", "content"])
+        batch_of = lambda made: pa.record_batch([pa.array([where for where, _ in made], pa.string()), pa.array([data for _, data in made], pa.binary())], names=["path", "content"])
+        made: list[tuple[str | None, bytes]] = []
+        size = 0
+        for where, held in _books(batches):
+            made.append((where, _archive(_sheets(held))))
+            size += len(made[-1][1])
+            if len(made) == BOOKS or size >= BOOK_BYTES:
+                yield batch_of(made)
+                made, size = [], 0
+        yield batch_of(made)
 
-    return books.select(F.col("path").cast("string"), "sheets").mapInArrow(run, "path string, content binary")
+    return placed.select("path", "n", "sheet_no", "sheet", "row", "xml").mapInArrow(run, "path string, content binary")

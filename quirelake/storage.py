@@ -38,10 +38,14 @@ def stored(df: DataFrame) -> DataFrame:
 TASKS_A_CORE = 4
 
 
-def spread(df: DataFrame, *columns: str) -> DataFrame:
+def spread(df: DataFrame, *columns: str, rows_a_task: int | None = None) -> DataFrame:
     """The rows of ``df`` dealt by columns over all cores.
 
     For rows of few bytes that cost much work each: a file of them is read by one task or two, and a shuffle is
-    merged into few tasks, since Spark counts bytes.
+    merged into few tasks, since Spark counts bytes.  With ``rows_a_task`` the rows are counted, and more of them make more tasks, so that
+    what a task sorts stays in memory.
     """
-    return df.repartition(TASKS_A_CORE * df.sparkSession.sparkContext.defaultParallelism, *columns)
+    tasks = TASKS_A_CORE * df.sparkSession.sparkContext.defaultParallelism
+    if rows_a_task:
+        tasks = max(tasks, -(-df.count() // rows_a_task))
+    return df.repartition(tasks, *columns)
