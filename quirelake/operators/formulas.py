@@ -9,10 +9,10 @@ distance from the formula's own cell, each with ``$`` as it stands.
 
 So a range of cells that repeat one formula is an island of equal relative
 forms, and writing a formula out over a range adds the offset to each free coordinate.
-Forms are worked out by a Python worker, once for each formula and place of a batch: higher-order
+Forms and cells are worked out by a Python worker, once for each formula and place, or line, of a batch: higher-order
 functions of Spark, which are interpreted, take many times as long.  Islands are found by two
-passes over cells in their order, down columns and along rows; windows are partitioned by sheet and
-column, or row; a range is written out by a generator, row by row.
+passes over cells in the order that a window gives them, down columns and along rows; windows are partitioned by sheet and
+column, or row; a range is written out by a generator, some cells at a time.
 
 Defined results: null formulas are no cells; a formula that a shift would push off the sheet
 stays as it is, and never joins a run; lines that are no ``range = formula`` are passed over; of several lines
@@ -22,14 +22,16 @@ over one cell the last counts; letters of references come out in upper case.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from ..functions.values import let
 
@@ -184,40 +186,102 @@ def moved(formula: Column, row: Column, col: Column, to_row: Column, to_col: Col
     return F.coalesce(absolute(relative(formula, row, col), to_row, to_col), formula)
 
 
-def expand(lines: DataFrame, *, id_col: str = "sheet", at: str = "at", line: str = "line") -> DataFrame:
-    """id, row, col, formula (with its leading ``=``) of every cell that the lines of a sheet cover."""
-    text = F.trim(line)
-    where = F.upper(F.trim(F.substring_index(text, SEPARATOR, 1)))
-    formula = F.trim(F.substr(text, F.instr(text, SEPARATOR) + len(SEPARATOR)))
-    pattern = r"^\$?([A-Z]{1,3})\$?([1-9][0-9]{0,6})(?::\$?([A-Z]{1,3})\$?([1-9][0-9]{0,6}))?$"
-    part = lambda k: F.regexp_extract("_where", pattern, k)
-    last = lambda k, first: F.when(part(k) == "", first).otherwise(part(k))
-    ranges = (
-        lines.where(F.instr(text, SEPARATOR) > 0)
-        .select(id_col, F.col(at).alias("_at"), where.alias("_where"), F.concat(F.lit("="), formula).alias("_formula"))
-        .where(F.col("_where").rlike(pattern) & (F.col("_formula") != "="))
-        .select(
-            id_col, "_at", "_formula", column_number(part(1)).alias("_c0"), part(2).try_cast("int").alias("_r0"),
-            column_number(last(3, part(1))).alias("_c1"), last(4, part(2)).try_cast("int").alias("_r1"),
-        )
-        .where(f"_r0 <= _r1 and _c0 <= _c1 and _r1 <= {LAST_ROW} and _c1 <= {LAST_COLUMN}")
-        .withColumn("_form", relative(F.col("_formula"), F.col("_r0"), F.col("_c0")))
-    )
-    columns = ranges.select("*", F.explode(F.sequence("_c0", "_c1")).alias("col"))
-    cells = columns.select("*", F.explode(F.sequence("_r0", "_r1")).alias("row"))
-    latest = cells.groupBy(id_col, "row", "col").agg(F.max_by(F.struct("_formula", "_form"), "_at").alias("_f"))
-    return latest.select(id_col, "row", "col", F.coalesce(absolute(F.col("_f._form"), F.col("row"), F.col("col")), F.col("_f._formula")).alias("formula"))
+#: Cells that lines are written out to at a time.
+CELLS_AT_ONCE = 50_000
+_RANGE = re.compile(r"\$?([A-Z]{1,3})\$?([1-9][0-9]{0,6})(?::\$?([A-Z]{1,3})\$?([1-9][0-9]{0,6}))?")
+
+
+def _range_of(line: str) -> tuple[int, int, int, int, str] | None:
+    """First and last row, first and last column, and the formula of a line; null where it is none."""
+    where, separator, formula = line.strip(" ").partition(SEPARATOR)
+    where, formula = where.strip(" "), formula.strip(" ")
+    found = _RANGE.fullmatch(where.upper())
+    if not (separator and found and formula):
+        return None
+    row0, col0 = int(found[2]), _number(found[1])
+    row1, col1 = int(found[4] or row0), _number(found[3] or found[1])
+    return (row0, row1, col0, col1, f"={formula}") if row0 <= row1 <= LAST_ROW and col0 <= col1 <= LAST_COLUMN else None
+
+
+def _cells_of(row0: int, row1: int, col0: int, col1: int, formula: str) -> Iterator[tuple[int, int, str]]:
+    """row, col and formula of the cells of a range, row by row."""
+    form = form_of(formula, row0, col0)
+    for row in range(row0, row1 + 1):
+        for col in range(col0, col1 + 1):
+            yield row, col, formula_at(form, row, col) or formula
+
+
+def _written_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of id, at, line as batches of id, at and a list of the cells of each line, or of some of them; equal lines of a batch are written out once."""
+    kind = pa.list_(pa.struct([("row", pa.int32()), ("col", pa.int32()), ("formula", pa.string())]))
+    named = lambda cells: [{"row": row, "col": col, "formula": formula} for row, col, formula in cells]
+    for batch in batches:
+        lines = batch.column(2).dictionary_encode()
+        ranges = [line and _range_of(line) for line in lines.dictionary.to_pylist()]
+        size = np.array([(r[1] - r[0] + 1) * (r[3] - r[2] + 1) if r else 0 for r in ranges] + [0], dtype=np.int64)
+        code = lines.indices.fill_null(len(ranges)).to_numpy()
+        total, begin = np.cumsum(size[code]), 0
+        while begin < len(code):
+            end = max(begin + 1, int(np.searchsorted(total, total[begin] - size[code[begin]] + CELLS_AT_ONCE, "right")))
+            which, given = np.unique(code[begin:end], return_inverse=True)
+            cells = [_cells_of(*ranges[k]) if size[k] else iter(()) for k in which]
+            # A line of more cells than these stands alone and comes in several lists.
+            while any(parts := [named(islice(c, CELLS_AT_ONCE)) for c in cells]):
+                made = pa.array(parts, kind).take(pa.array(given))
+                yield pa.record_batch([*(batch.column(k).slice(begin, end - begin) for k in (0, 1)), made], names=["_id", "_at", "_cells"])
+            begin = end
+
+
+def expand(lines: DataFrame, *, id_col: str = "sheet", at: str = "at", line: str = "line", together: int | None = None) -> DataFrame:
+    """id, row, col, formula (with its leading ``=``) of every cell that the lines of a sheet cover.
+
+    Cells are dealt by their place, as large sheets need it.  With ``together``, they are dealt by sheet, in that many parts and
+    before they are written out: for many small sheets, so that tables dealt alike are joined where they are.
+    """
+    given = lines.select(F.col(id_col).alias("_id"), F.col(at).alias("_at"), line)
+    cell = StructType([StructField("row", IntegerType()), StructField("col", IntegerType()), StructField("formula", StringType())])
+    made = given.mapInArrow(_written_out, StructType([*given.schema.fields[:2], StructField("_cells", ArrayType(cell))]))
+    inline = lambda df: df.select("_id", "_at", F.inline("_cells"))
+    # Dealt before the choice of the last line, which sorts cells once then.
+    cells = inline(made.repartition(together, "_id")) if together else inline(made).repartition("_id", "row", "col")
+    return cells.groupBy("_id", "row", "col").agg(F.max_by("formula", "_at").alias("formula")).select(F.col("_id").alias(id_col), "row", "col", "formula")
 
 
-def _runs(cells: DataFrame, across: list[str], along: str, end: str) -> DataFrame:
-    """The first cell of each run of neighbours with equal relative forms, with the run's last place along the axis.
+def _runs_of(batches: Iterator[pa.RecordBatch], along: str, end: str) -> Iterator[pa.RecordBatch]:
+    """The first cell of each run with ``end``, its last place along an axis.
 
-    First and last cells of runs are those whose neighbour differs; among these alone, the one behind a first cell ends its run.
+    Cells come in their order, ``_n`` is their number in their column or row: 1 begins the next one.
+    A run goes on as long as places follow one another and relative forms are equal.
     """
-    line = Window.partitionBy(*across).orderBy(along)
-    beside = lambda at, step: (at(along).over(line) == F.col(along) + step) & (at("_form").over(line) == F.col("_form"))
-    edges = cells.withColumns({"_first": ~F.coalesce(beside(F.lag, -1), F.lit(False)), "_last": ~F.coalesce(beside(F.lead, 1), F.lit(False))}).where("_first or _last")
-    return edges.withColumn(end, F.when(F.col("_last"), F.col(along)).otherwise(F.lead(along).over(line))).where("_first").drop("_first", "_last")
+    head, last, form = None, 0, None  # the first cell of the run that may go on; place and form of the cell before
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if "_form" not in batch.schema.names:
+            batch = batch.append_column("_form", _each_once(form_of, pa.string(), *(batch.column(k) for k in ("formula", "row", "col"))))
+        place, number, forms = batch.column(along).to_numpy(), batch.column("_n").to_numpy(), batch.column("_form")
+        begins = (number == 1) | (np.append(last, place[:-1]) + 1 != place)
+        begins[1:] |= pc.not_equal(forms.slice(1), forms.slice(0, len(forms) - 1)).to_numpy(zero_copy_only=False)
+        begins[0] |= head is None or forms[0].as_py() != form
+        first = np.flatnonzero(begins)
+        ends = np.append(last, place)[first]  # of the run before each
+        heads = batch.take(pa.array(first))
+        if len(first):
+            done = [head] * (head is not None) + [heads.slice(0, len(first) - 1)]
+            made = pa.Table.from_batches(done).append_column(end, pa.array(ends if head is not None else ends[1:], pa.int32()))
+            yield from made.drop_columns(["_n"]).combine_chunks().to_batches()
+            head = heads.slice(len(first) - 1)
+        last, form = place[-1], forms[-1].as_py()
+    if head is not None:
+        yield head.append_column(end, pa.array([last], pa.int32())).drop_columns(["_n"])
+
+
+def _runs(cells: DataFrame, across: list[str], along: str, end: str) -> DataFrame:
+    """The first cell of each run of neighbours with equal relative forms, with the run's last place along the axis."""
+    window = Window.partitionBy(*across).orderBy(along)
+    ordered = cells.withColumn("_n", F.row_number().over(window)).sortWithinPartitions(*across, along)
+    fields = [*cells.schema.fields, *([] if "_form" in cells.columns else [StructField("_form", StringType())]), StructField(end, IntegerType())]
+    return ordered.mapInArrow(lambda batches: _runs_of(batches, along, end), StructType(fields))
 
 
 def compress(cells: DataFrame, *, id_col: str = "sheet") -> DataFrame:
@@ -226,18 +290,21 @@ def compress(cells: DataFrame, *, id_col: str = "sheet") -> DataFrame:
     Runs go down a column first; cells left single are joined along their row.
     ``cells`` has id, row, col and formula (with its leading ``=``), at most one a cell.
     """
-    used = cells.where(F.col("formula").isNotNull()).select(id_col, F.col("row").cast("int"), F.col("col").cast("int"), "formula")
-    formed = used.withColumn("_form", relative(F.col("formula"), F.col("row"), F.col("col")))
-    down = _runs(formed, [id_col, "col"], "row", "_row1")
+    used = cells.where(F.col("formula").isNotNull()).select(F.col(id_col).alias("_id"), F.col("row").cast("int"), F.col("col").cast("int"), "formula")
+    down = _runs(used, ["_id", "col"], "row", "_row1")
     # A run down a column is a line of its own: its column keeps it apart from single cells and from other runs.
     apart = down.withColumn("_apart", F.when(F.col("_row1") > F.col("row"), F.col("col")).otherwise(0))
-    runs = _runs(apart, [id_col, "row", "_apart"], "col", "_col1")
+    runs = _runs(apart, ["_id", "row", "_apart"], "col", "_col1")
     first, last = cell_name(F.col("row"), F.col("col")), cell_name(F.col("_row1"), F.col("_col1"))
     where = F.when(first == last, first).otherwise(F.concat(first, F.lit(":"), last))
-    return runs.select(id_col, "row", "col", F.concat(where, F.lit(SEPARATOR), F.substr("formula", F.lit(2))).alias("line"))
+    return runs.select(F.col("_id").alias(id_col), "row", "col", F.concat(where, F.lit(SEPARATOR), F.substr("formula", F.lit(2))).alias("line"))
 
 
 def with_formulas(cells: DataFrame, formulas: DataFrame, *, id_col: str = "sheet") -> DataFrame:
-    """id, row, col, text, formula of every cell that shows a text or has a formula; a formula alone shows nothing."""
-    joined = cells.select(id_col, "row", "col", "text").join(formulas.select(id_col, "row", "col", "formula"), [id_col, "row", "col"], "full")
-    return joined.select(id_col, "row", "col", F.coalesce("text", F.lit("")).alias("text"), "formula")
+    """id, row, col, text, formula of every cell that shows a text or has a formula; a formula alone shows nothing.
+
+    Both tables have at most one row a cell.  They are stacked and grouped, which needs no exchange where both are dealt alike by sheet, as a join would.
+    """
+    empty = F.lit(None).cast("string")
+    both = cells.select(id_col, "row", "col", "text", empty.alias("formula")).unionAll(formulas.select(id_col, "row", "col", empty.alias("text"), "formula"))
+    return both.groupBy(id_col, "row", "col").agg(F.coalesce(F.max("text"), F.lit("")).alias("text"), F.max("formula").alias("formula"))

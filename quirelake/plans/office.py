@@ -14,7 +14,7 @@ from ..functions import fitting
 from ..operators import blocks, code, formulas, grids, includes, pages, pictures, styles
 from ..sources.reader import parse_and_warn
 from ..sources.workbook import shown, workbook_cells, workbook_files
-from ..storage import spread
+from ..storage import spread, tasks_for
 
 REGISTERED: list[tuple[Callable[[SparkSession, str], DataFrame], str | None]] = []
 
@@ -35,13 +35,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 LINES_A_TASK = 1_000_000
 
 
-def _order_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _order_cells(spark: SparkSession, sf_dir: str, tasks: int) -> DataFrame:
     """The cell table of a workbook for each order: its lines, amounts, running totals and a row of sums.
 
     Lines are dealt by path, so that no later step by path needs another exchange; cells are made of
     one row of a sheet at a time.
     """
-    dealt = spread(_table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("path"), "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"), "path", rows_a_task=LINES_A_TASK)
+    dealt = spread(_table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("path"), "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"), "path", tasks=tasks)
     lines = dealt.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"))).alias("l"))
     cell = "named_struct('row', i, 'col', {}, 'kind', '{}', 'raw', {}, 'formula', {})".format
     empty = "cast(null as string)"
@@ -78,7 +78,8 @@ SELECT path, "row"::BIGINT AS "row", col::BIGINT AS col, line FROM r"""
 )
 def workbook_formula_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Workbooks of orders, written as files and read back: their formulas as lines over ranges."""
-    cells = workbook_cells(workbook_files(_order_cells(spark, sf_dir)))
+    tasks = tasks_for(_table(spark, sf_dir, "lineitem"), LINES_A_TASK)
+    cells = workbook_cells(workbook_files(_order_cells(spark, sf_dir, tasks)))
     placed = cells.select("path", (F.col("row") + 1).alias("row"), (F.col("col") + 1).alias("col"), "formula")
     return formulas.compress(placed, id_col="path").select("path", F.col("row").cast("long"), F.col("col").cast("long"), "line")
 
@@ -94,10 +95,11 @@ UNION ALL SELECT path, 1, k, t, NULL FROM n, (SELECT unnest([1, 2, 3, 4, 5, 6, 8
 )
 def workbook_formula_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines over ranges written out again, beside what the cells show; number cells of order lines are left out."""
-    cells = _order_cells(spark, sf_dir)
+    tasks = tasks_for(_table(spark, sf_dir, "lineitem"), LINES_A_TASK)
+    cells = _order_cells(spark, sf_dir, tasks)
     placed = cells.select("path", (F.col("row") + 1).alias("row"), (F.col("col") + 1).alias("col"), shown().alias("text"), "formula")
     lines = formulas.compress(placed, id_col="path").withColumn("at", F.monotonically_increasing_id())
-    met = formulas.with_formulas(placed.where("row = 1 or (text <> '' and col > 3)"), formulas.expand(lines, id_col="path"), id_col="path")
+    met = formulas.with_formulas(placed.where("row = 1 or (col > 3 and text <> '')"), formulas.expand(lines, id_col="path", together=tasks), id_col="path")
     return met.select("path", F.col("row").cast("long"), F.col("col").cast("long"), "text", "formula")
 
 

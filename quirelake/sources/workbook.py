@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import csv_cell, format_number
+from ..functions.values import let
 from ..operators.formulas import cell_name, moved_text
 
 CELLS = "path string, sheet_no int, sheet string, row int, col int, kind string, raw string, formula string, error string"
@@ -215,16 +216,24 @@ def workbook_cells(files: DataFrame, *, path: str = "path", content: str = "cont
     return files.select(F.col(path).alias("path"), F.col(content).alias("content")).mapInArrow(run, CELLS)
 
 
-def shown() -> Column:
-    """What a cell shows: numbers without a needless fraction, dates in ISO form, TRUE and FALSE."""
-    raw = F.col("raw")
-    days = F.when(F.col("kind") == "date", F.lit(DAYS_1900)).otherwise(DAYS_1904)
-    serial = raw.try_cast("double")
+def _as_date(serial: Column, days: Column) -> Column:
+    """A serial number of days in ISO form; ``days`` lie between the first one and 1970-01-01."""
     begin = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")  # no zone: serials are what a clock shows
     stamp = begin + F.make_dt_interval(secs=F.round((serial - days) * 86_400).cast("decimal(18,6)"))
     whole, clock = serial == F.floor(serial), serial < 1
     as_text = lambda form: F.date_format(stamp, form)
-    date = F.when(whole & ~clock, as_text("yyyy-MM-dd")).when(clock, as_text("HH:mm:ss")).otherwise(as_text("yyyy-MM-dd HH:mm:ss"))
+    return F.when(whole & ~clock, as_text("yyyy-MM-dd")).when(clock, as_text("HH:mm:ss")).otherwise(as_text("yyyy-MM-dd HH:mm:ss"))
+
+
+def shown() -> Column:
+    """What a cell shows: numbers without a needless fraction, dates in ISO form, TRUE and FALSE.
+
+    Dates stand in a ``let``, apart from the code that Spark makes of the stage: with them it has more than the 8,000 bytes that the JVM compiles, and every cell pays.
+    """
+    raw = F.col("raw")
+    days = F.when(F.col("kind") == "date", F.lit(DAYS_1900)).otherwise(DAYS_1904)
+    serial = raw.try_cast("double")
+    date = let(F.struct(serial.alias("at"), days.alias("days")), lambda x: _as_date(x["at"], x["days"]))
     return (
         F.when(raw.isNull(), "").when(F.col("kind") == "boolean", F.when(raw == "1", "TRUE").otherwise("FALSE"))
         .when(F.col("kind").startswith("date"), date).when(F.col("kind") == "number", format_number(serial)).otherwise(raw)

@@ -38,14 +38,15 @@ def stored(df: DataFrame) -> DataFrame:
 TASKS_A_CORE = 4
 
 
-def spread(df: DataFrame, *columns: str, rows_a_task: int | None = None) -> DataFrame:
+def spread(df: DataFrame, *columns: str, tasks: int | None = None) -> DataFrame:
     """The rows of ``df`` dealt by columns over all cores.
 
     For rows of few bytes that cost much work each: a file of them is read by one task or two, and a shuffle is
-    merged into few tasks, since Spark counts bytes.  With ``rows_a_task`` the rows are counted, and more of them make more tasks, so that
-    what a task sorts stays in memory.
+    merged into few tasks, since Spark counts bytes.
     """
-    tasks = TASKS_A_CORE * df.sparkSession.sparkContext.defaultParallelism
-    if rows_a_task:
-        tasks = max(tasks, -(-df.count() // rows_a_task))
-    return df.repartition(tasks, *columns)
+    return df.repartition(tasks or TASKS_A_CORE * df.sparkSession.sparkContext.defaultParallelism, *columns)
+
+
+def tasks_for(df: DataFrame, rows_a_task: int) -> int:
+    """Tasks for ``spread``: as many as it takes, or more where a task would have more rows, so that what it sorts stays in memory.  It counts the rows."""
+    return max(TASKS_A_CORE * df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows_a_task))

@@ -18,7 +18,7 @@ def _plan(df):
 
 
 def test_workbooks_are_written_and_read_once(spark, small):
-    assert _plan(catalogue.QUERIES["workbook_formula_lines"](spark, small)).count("MapInArrow") == 2
+    assert _plan(catalogue.QUERIES["workbook_formula_lines"](spark, small)).count("MapInArrow run(") == 2
 
 
 def test_cells_pass_one_window_down_and_one_along(spark):
@@ -90,3 +90,72 @@ def test_many_workbooks_of_many_batches(spark):
     found = workbook.workbook_cells(workbook.workbook_files(cells))
     expected = cells.selectExpr("path", "0 as sheet_no", "sheet", "row", "col", "kind", "raw", "formula")
     assert found.drop("error").exceptAll(expected).count() == 0 and found.count() == 2_499 * 3 + 30_001
+
+
+def _written(lines):
+    import pyarrow as pa
+
+    given = pa.record_batch({"_id": ["s"] * len(lines), "_at": list(range(len(lines))), "line": pa.array(lines, pa.string())})
+    made = list(formulas._written_out(iter([given])))
+    return made, sorted((at, c["row"], c["col"], c["formula"]) for b in made for at, held in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True) for c in held)
+
+
+def test_lines_are_written_out_some_cells_at_a_time(monkeypatch):
+    lines = ["A1:A3 = B1", None, "C1:D70 = $A1+C2", "no line", "A1:A3 = B1", "B2 = 7", "A3:A1 = 2", " a1 = b1 "]
+    expected = [(at, r, 1, f"=B{r}") for at in (0, 4) for r in (1, 2, 3)] + [(2, r, c, f"=$A{r}+{'?ABCD'[c]}{r + 1}") for r in range(1, 71) for c in (3, 4)] + [(5, 2, 2, "=7"), (7, 1, 1, "=B1")]
+    for most in (1, 2, 3, 7, 50, 10_000):
+        monkeypatch.setattr(formulas, "CELLS_AT_ONCE", most)
+        made, found = _written(lines)
+        assert found == sorted(expected)
+        assert max(sum(map(len, b.column(2).to_pylist())) for b in made) <= max(most, 3)
+
+
+def test_cells_of_small_sheets_need_no_exchange(spark, small):
+    """Lines go to sheets dealt like the cells: the tables are dealt once more for rows, once for sheets, and put together where they are."""
+    plan = catalogue.QUERIES["workbook_formula_cells"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
+    assert len(dealt) == 4 and "Join" not in plan and sum("REPARTITION_BY_NUM" in line for line in dealt) == 3
+
+
+def test_together_and_apart_are_equal(spark):
+    lines = [("s", 0, "A1:B3 = C1"), ("s", 1, "B2:B5 = 7"), ("t", 0, "A1 = $B$1"), (None, 2, "A1 = 1"), ("s", 2, None), ("t", 3, "x")]
+    table = spark.createDataFrame(lines, "sheet string, at int, line string")
+    found = [sorted(map(repr, formulas.expand(table, together=n).collect())) for n in (None, 3)]
+    assert found[0] == found[1] and len(found[0]) == 10 and "Row(sheet='s', row=2, col=2, formula='=7')" in found[0]
+    cells = spark.createDataFrame([("s", 1, 1, "x"), ("s", 9, 9, "y"), (None, 1, 1, "z")], "sheet string, row int, col int, text string")
+    met = {(r.sheet, r.row, r.col): (r.text, r.formula) for r in formulas.with_formulas(cells, formulas.expand(table)).collect()}
+    assert len(met) == 11 and met["s", 1, 1] == ("x", "=C1") and met["s", 9, 9] == ("y", None) and met[None, 1, 1] == ("z", "=1") and met["s", 3, 2] == ("", "=7")
+
+
+def test_runs_go_on_from_batch_to_batch():
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    cells, expected = [], []
+    for col in range(1, 60):
+        row, n = rng.randrange(1, 5), 0
+        for _ in range(rng.randrange(1, 9)):
+            high, fixed = rng.randrange(1, 6), rng.randrange(3)
+            if cells and n and rng.random() < 0.5:
+                row += 1 + rng.randrange(3)
+            same = n and cells[-1][1] == row - 1 and expected[-1][4] == fixed
+            if same:
+                expected[-1] = (*expected[-1][:3], row + high - 1, fixed)
+            else:
+                expected.append((f"=$A${fixed + 1}", row, col, row + high - 1, fixed))
+            for r in range(row, row + high):
+                n += 1
+                cells.append(("s", r, col, f"=$A${fixed + 1}", n))
+            row += high
+    columns = list(zip(*cells, strict=True))
+    table = pa.table([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32()), strict=True)], names=["_id", "row", "col", "formula", "_n"])
+    for most in (1, 2, 3, 10, 10_000):
+        found = [r for b in formulas._runs_of(iter(table.to_batches(most)), "row", "_row1") for r in b.to_pylist()]
+        assert [(r["formula"], r["row"], r["col"], r["_row1"]) for r in found] == [e[:4] for e in expected]
+
+
+def test_most_cells_show_what_they_are_without_the_code_of_dates(spark):
+    """Dates stand in a lambda: as plain code they make a stage larger than what the JVM compiles."""
+    cells = spark.createDataFrame([("date", "45000.5")], "kind string, raw string").select(workbook.shown().alias("text"))
+    assert cells.first().text == "2023-03-15 12:00:00"
+    assert _plan(cells).count("date_format") == 3 and "lambda" in _plan(cells)
