@@ -232,19 +232,24 @@ def _written_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             begin = end
 
 
+def _line_cells(lines: DataFrame, id_col: str, at: str, line: str, together: int | None) -> DataFrame:
+    """id, at, row, col, formula of every cell that a line covers, once for each such line; dealt by sheet, in ``together`` parts, if that is given."""
+    given = lines.select(F.col(id_col).alias("_id"), F.col(at).alias("_at"), line)
+    cell = StructType([StructField("row", IntegerType()), StructField("col", IntegerType()), StructField("formula", StringType())])
+    made = given.mapInArrow(_written_out, StructType([*given.schema.fields[:2], StructField("_cells", ArrayType(cell))]))
+    return (made.repartition(together, "_id") if together else made).select(F.col("_id").alias(id_col), "_at", F.inline("_cells"))
+
+
 def expand(lines: DataFrame, *, id_col: str = "sheet", at: str = "at", line: str = "line", together: int | None = None) -> DataFrame:
     """id, row, col, formula (with its leading ``=``) of every cell that the lines of a sheet cover.
 
     Cells are dealt by their place, as large sheets need it.  With ``together``, they are dealt by sheet, in that many parts and
-    before they are written out: for many small sheets, so that tables dealt alike are joined where they are.
+    before they are written out: for many small sheets, so that tables dealt alike are put together where they are.
     """
-    given = lines.select(F.col(id_col).alias("_id"), F.col(at).alias("_at"), line)
-    cell = StructType([StructField("row", IntegerType()), StructField("col", IntegerType()), StructField("formula", StringType())])
-    made = given.mapInArrow(_written_out, StructType([*given.schema.fields[:2], StructField("_cells", ArrayType(cell))]))
-    inline = lambda df: df.select("_id", "_at", F.inline("_cells"))
+    key = [id_col, "row", "col"]
+    cells = _line_cells(lines, id_col, at, line, together)
     # Dealt before the choice of the last line, which sorts cells once then.
-    cells = inline(made.repartition(together, "_id")) if together else inline(made).repartition("_id", "row", "col")
-    return cells.groupBy("_id", "row", "col").agg(F.max_by("formula", "_at").alias("formula")).select(F.col("_id").alias(id_col), "row", "col", "formula")
+    return (cells if together else cells.repartition(*key)).groupBy(*key).agg(F.max_by("formula", "_at").alias("formula"))
 
 
 def _runs_of(batches: Iterator[pa.RecordBatch], along: str, end: str) -> Iterator[pa.RecordBatch]:
@@ -308,3 +313,13 @@ def with_formulas(cells: DataFrame, formulas: DataFrame, *, id_col: str = "sheet
     empty = F.lit(None).cast("string")
     both = cells.select(id_col, "row", "col", "text", empty.alias("formula")).unionAll(formulas.select(id_col, "row", "col", empty.alias("text"), "formula"))
     return both.groupBy(id_col, "row", "col").agg(F.coalesce(F.max("text"), F.lit("")).alias("text"), F.max("formula").alias("formula"))
+
+
+def with_lines(cells: DataFrame, lines: DataFrame, *, id_col: str = "sheet", at: str = "at", line: str = "line", together: int | None = None) -> DataFrame:
+    """What ``with_formulas`` gives of what ``expand`` gives of lines, with one sort for both."""
+    key = [id_col, "row", "col"]
+    made = _line_cells(lines, id_col, at, line, together)
+    null = lambda name, kind: F.lit(None).cast(kind).alias(name)
+    kind = made.schema["_at"].dataType
+    both = cells.select(*key, "text", null("_at", kind), null("formula", "string")).unionAll(made.select(*key, null("text", "string"), "_at", "formula"))
+    return (both if together else both.repartition(*key)).groupBy(*key).agg(F.coalesce(F.max("text"), F.lit("")).alias("text"), F.max_by("formula", "_at").alias("formula"))

@@ -99,7 +99,7 @@ def workbook_formula_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = _order_cells(spark, sf_dir, tasks)
     placed = cells.select("path", (F.col("row") + 1).alias("row"), (F.col("col") + 1).alias("col"), shown().alias("text"), "formula")
     lines = formulas.compress(placed, id_col="path").withColumn("at", F.monotonically_increasing_id())
-    met = formulas.with_formulas(placed.where("row = 1 or (col > 3 and text <> '')"), formulas.expand(lines, id_col="path", together=tasks), id_col="path")
+    met = formulas.with_lines(placed.where("row = 1 or (col > 3 and text <> '')"), lines, id_col="path", together=tasks)
     return met.select("path", F.col("row").cast("long"), F.col("col").cast("long"), "text", "formula")
 
 

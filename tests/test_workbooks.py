@@ -125,6 +125,8 @@ def test_together_and_apart_are_equal(spark):
     cells = spark.createDataFrame([("s", 1, 1, "x"), ("s", 9, 9, "y"), (None, 1, 1, "z")], "sheet string, row int, col int, text string")
     met = {(r.sheet, r.row, r.col): (r.text, r.formula) for r in formulas.with_formulas(cells, formulas.expand(table)).collect()}
     assert len(met) == 11 and met["s", 1, 1] == ("x", "=C1") and met["s", 9, 9] == ("y", None) and met[None, 1, 1] == ("z", "=1") and met["s", 3, 2] == ("", "=7")
+    for n in (None, 3):
+        assert {(r.sheet, r.row, r.col): (r.text, r.formula) for r in formulas.with_lines(cells, table, together=n).collect()} == met
 
 
 def test_runs_go_on_from_batch_to_batch():
