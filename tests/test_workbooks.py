@@ -161,3 +161,58 @@ def test_most_cells_show_what_they_are_without_the_code_of_dates(spark):
     cells = spark.createDataFrame([("date", "45000.5")], "kind string, raw string").select(workbook.shown().alias("text"))
     assert cells.first().text == "2023-03-15 12:00:00"
     assert _plan(cells).count("date_format") == 3 and "lambda" in _plan(cells)
+
+
+def _plain_sheet(rows, head='<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n<worksheet xmlns="m"><dimension ref="A1"/>', tail="<mergeCells><mergeCell ref='A1:B2'/></mergeCells></worksheet>"):
+    return f"{head}<sheetData>{rows}</sheetData>{tail}"
+
+
+def test_plain_sheets_read_as_by_the_whole_parser(monkeypatch):
+    rng = random.Random(11)
+    text = lambda least=0: "".join(rng.choice(["a", " ", "\n", "\t", "é", "😀", "&amp;", "&lt;", "&gt;", "&quot;", "&apos;", "&amp;lt;", '"', "'", "]]", ";"]) for _ in range(rng.randrange(least, 6)))
+    plain = workbook._plain_cells
+    monkeypatch.setattr(workbook, "_date_styles", lambda archive: {3})
+
+    def book(sheet):
+        made = made_workbook([("a", "visible", "")])
+        out = io.BytesIO()
+        with zipfile.ZipFile(io.BytesIO(made)) as old, zipfile.ZipFile(out, "w") as new:
+            for name in old.namelist():
+                new.writestr(name, sheet if name.endswith("s1.xml") else old.read(name))
+        return out.getvalue()
+
+    def both(sheet):
+        found = []
+        for way in (plain, lambda data: None):
+            monkeypatch.setattr(workbook, "_plain_cells", way)
+            found.append(list(workbook.cells_of(book(sheet))))
+        assert found[0] == found[1]
+        return found[0]
+
+    for _ in range(60):
+        rows = []
+        for r in range(rng.randrange(8)):
+            cells = []
+            for c in range(rng.randrange(6)):
+                kind = rng.choice(["", ' t="n"', ' s="3"', ' s="2" t="str"', ' t="b"', ' t="e"', ' t="odd"', ' s="3" t="d"'])
+                formula = f"<f>{text()}</f>" if rng.random() < 0.5 else ""
+                value = rng.choice(["", "<v></v>", f"<v>{text()}</v>", f"<is><t>{text(1)}</t></is>", f'<is><t xml:space="preserve">{text(1)}</t></is>'])
+                cells.append(f'<c r="{"ABCXYZ"[c]}{rng.randrange(1, 99)}"{kind}>{formula}{value}</c>')
+            rows.append(f'<row r="{r + 1}">{"".join(cells)}</row>')
+        sheet = _plain_sheet("".join(rows))
+        assert plain(sheet.encode()) is not None
+        both(sheet)
+    assert len(both(_plain_sheet('<row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1" s="3"><v>1</v></c></row>'))) == 2
+    cell = '<c r="A1"><v>1</v></c>'
+    row = f'<row r="1">{cell}</row>'
+    others = [
+        _plain_sheet(f"<!--{cell}-->{row}"), _plain_sheet(row, tail=f"<x>{cell}</x></worksheet>"), _plain_sheet(row, tail=f"<!-- </sheetData> --></worksheet>"), _plain_sheet('<row r="1"><c r="A1"><v><![CDATA[<v>2</v>]]></v></c></row>'),
+        _plain_sheet('<row r="1"><c r="A1"><v>a&#13;b</v></c></row>'), _plain_sheet('<row r="1"><c r="A1"><v>a\r\nb</v></c></row>'), _plain_sheet('<row r="1"><c r="A1" t="inlineStr"><is><t></t></is></c></row>'), _plain_sheet('<row r="1"><c t="b" r="A1"><v>1</v></c></row>'),
+        _plain_sheet('<row r="1"><c r="A1"/><c r="B1"><f t="shared" si="0">A1</f></c><c r="B2"><f t="shared" si="0"/></c></row>'), _plain_sheet("<row/>" + row), _plain_sheet(row, head='<worksheet xmlns="m">'), _plain_sheet(row + "</sheetData><sheetData>" + row),
+    ]
+    for sheet in others:
+        assert plain(sheet.encode()) is None
+        both(sheet)
+    assert plain(_plain_sheet(row, tail="").encode()) is None and plain(b"\xff" + row.encode()) is None and plain(row.encode("utf-16")) is None
+    written = workbook._archive([("s", row)])
+    assert plain(zipfile.ZipFile(io.BytesIO(written)).read("xl/worksheets/sheet1.xml")) == [("A1", "", "", "", "1", "")]
